@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.llm import bpe
+from lumigrid.llm import bpe, langid
 from lumigrid.llm.common import table
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -25,8 +26,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.remainder("doc_id", 3) == 1
+    model = langid.fitted(docs.where(~held_out), PIECES, order=F.col("doc_id"))
+    return langid.identified(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_byte_bpe,)}
+    return {f.__name__: f for f in (op5_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
