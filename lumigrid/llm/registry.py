@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.llm import bpe, chat, langid
+from lumigrid.llm import bpe, chat, fingerprint, langid
 from lumigrid.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -61,6 +61,11 @@ FROM written GROUP BY conv_id
 """.replace("\\\\", "\\")
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.neighbours_compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumns({c: fingerprint.shown(c) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = langid.remainder("doc_id", 3) == 1
@@ -69,7 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_byte_bpe, op6_chat_format, op10_language_id)}
+    return {f.__name__: f for f in (op5_byte_bpe, op6_chat_format, op8_fingerprint, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
