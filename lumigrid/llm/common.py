@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,24 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None:
-        return
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read again.
 
     This cuts the lineage: lost executors cost no recomputation of what came
-    before, and a frame used twice is computed once.  The files go when the
-    returned frame is garbage (or with the shared folder).
+    before, and a frame used twice is computed once.  The files lie in a folder
+    of the application and stay until ``cleared`` or until the folder goes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumigrid-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    weakref.finalize(out._jdf, _remove, spark, path).atexit = False
-    return out
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lumigrid-{spark.sparkContext.applicationId}"
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes all that ``written`` left for this application."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
