@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.llm import bpe, chat, fingerprint, langid
+from lumigrid.llm import bpe, chat, fingerprint, langid, lines, mixing
 from lumigrid.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -61,11 +61,42 @@ FROM written GROUP BY conv_id
 """.replace("\\\\", "\\")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.deduplicated(docs).select(
+        "doc_id",
+        F.size("deleted").cast("long").alias("n_deleted"),
+        F.array_join(F.col("deleted").cast("array<string>"), ",").alias("deleted_lines"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint.neighbours_compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumns({c: fingerprint.shown(c) for c in ("fingerprint", "edited_fingerprint")})
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixed(docs).select("doc_id", "source", "copy", "copies", "shuffle_key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP9_SQL = """
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, 1.0::DOUBLE / (SELECT CAST(count(*) AS DOUBLE) FROM counts) * (SELECT sum(n) FROM counts) / n AS mean FROM counts),
+steps AS (
+  SELECT source, mean, CAST(0 AS BIGINT) AS k, exp(-mean) AS p, exp(-mean) AS total FROM rates
+  UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), total + p * mean / (k + 1) FROM steps WHERE k < 63),
+drawn AS (
+  SELECT d.doc_id, d.source, d.text, (SELECT count(*) FROM steps s WHERE s.source IS NOT DISTINCT FROM d.source AND s.total <= d.u) AS copies
+  FROM (SELECT *, CAST(('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 AS u FROM documents) d)
+SELECT doc_id, source, copy, copies, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(copy AS VARCHAR)) AS shuffle_key,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM drawn)
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = langid.remainder("doc_id", 3) == 1
@@ -74,8 +105,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_byte_bpe, op6_chat_format, op8_fingerprint, op10_language_id)}
+    return {f.__name__: f for f in (op5_byte_bpe, op6_chat_format, op7_line_dedup, op8_fingerprint, op9_mixing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL}
+    return {"op6_chat_format": OP6_SQL, "op9_mixing": OP9_SQL}
