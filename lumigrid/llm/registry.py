@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.llm import bpe, chat, fingerprint, langid, lines, mixing
+from lumigrid.llm import bpe, chat, fingerprint, langid, lines, mixing, ngram_join
 from lumigrid.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ngram_join.linked(docs, n=4, percent=85)
+    return found.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encoded(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
@@ -105,7 +111,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_byte_bpe, op6_chat_format, op7_line_dedup, op8_fingerprint, op9_mixing, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_join, op5_byte_bpe, op6_chat_format, op7_line_dedup, op8_fingerprint, op9_mixing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
