@@ -44,7 +44,11 @@ class Ranks:
             pairs = [line.split() for line in lines if line.strip()]
         self.rank = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in pairs}
         self.spell = {b: a for a, b in self.rank.items()}
-        self.bytes = {b: a.encode("latin-1") for a, b in self.rank.items()}
+        self.blob = np.frombuffer("".join(self.rank).encode("latin-1"), np.uint8)
+        self.sizes, self.starts = np.zeros((2, max(self.spell) + 1), np.int64)
+        lengths = np.array([len(x) for x in self.rank])
+        self.sizes[list(self.spell)] = lengths
+        self.starts[list(self.spell)] = np.cumsum(lengths) - lengths
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for word in self.rank:
             self.trie.add_word(word)
@@ -159,21 +163,27 @@ class Ranks:
         words = self.words
         if len(words) > MEMO:
             words.clear()
-        return np.frombuffer(words[first] + b"".join([words[" " + w] for w in rest]), np.int32)
+        return np.frombuffer(array("i", self.encode_plain(first)).tobytes() + b"".join(map(words.__getitem__, rest)), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of many ids one after another, and how many each has."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.sizes) and self.sizes[ids].all()):
+            raise KeyError("an id outside the vocabulary")
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self.blob[at], sizes
 
 
 class _Words(dict):
-    """Packed ids of words met before."""
+    """Packed ids of words met before, each after a blank."""
 
     def __init__(self, ranks: Ranks):
         super().__init__()
         self.ranks = ranks
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("i", self.ranks.encode_plain(word)).tobytes()
+        ids = array("i", self.ranks.encode_plain(" " + word)).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -226,10 +236,15 @@ def decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks(path, pattern)
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                rows = batch.slice(start, 256)
-                texts = [None if x is None else table.decode(x) for x in rows.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.binary())], [*rows.schema.names, out])
+            for start in range(0, len(batch), 512):
+                rows = batch.slice(start, 512)
+                lists = rows.column(at)
+                values, sizes = table.decode(lists.flatten().to_numpy(zero_copy_only=False))
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))])
+                texts = pc.if_else(pc.is_valid(lists), texts.cast(pa.binary()), pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, texts], [*rows.schema.names, out])
 
     return df.mapInArrow(run, schema)
 
