@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.llm import bpe, chat, fingerprint, langid, lines, mixing, ngram_join, pii
+from lumigrid.llm import bpe, chat, fingerprint, langid, lines, mixing, ngram_join, pii, pq
 from lumigrid.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,6 +21,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pq.near(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return found.select(F.col("node").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.detected(docs)
@@ -118,7 +123,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_pii, op5_byte_bpe, op6_chat_format, op7_line_dedup, op8_fingerprint, op9_mixing, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_embedding_dedup, op3_pii, op5_byte_bpe, op6_chat_format, op7_line_dedup, op8_fingerprint, op9_mixing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
