@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.llm import bpe, chat, fingerprint, langid, lines, mixing, ngram_join, pii, pq
+from lumigrid.llm import bpe, chat, fingerprint, langid, lines, mixing, mixlm, ngram_join, pii, pq
 from lumigrid.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,6 +33,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined("base_spans"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.scored(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc", "doc_id")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encoded(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
@@ -123,7 +127,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_embedding_dedup, op3_pii, op5_byte_bpe, op6_chat_format, op7_line_dedup, op8_fingerprint, op9_mixing, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_embedding_dedup, op3_pii, op4_lm_score, op5_byte_bpe, op6_chat_format, op7_line_dedup, op8_fingerprint, op9_mixing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
