@@ -5,11 +5,506 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumigrid.functions import distributions
+from lumigrid.model import CHANNELS, COLOUR, NORMAL, POSITION, DiametricalConfig, GraphConfig, MergeConfig, MixtureConfig, SpectralConfig, WatsonConfig
+from lumigrid.operators import grid, metrics, mixture, projections, regions
+from lumigrid.operators.segment import segment
+from lumigrid.plans import sql
+from lumigrid.sources import store
+from lumigrid.sources.fixtures import blocky, metric_rows, pixels, pixels_events, pixels_multi
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(text: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if text:
+            SQL[f.__name__] = text
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, n: int = 6) -> DataFrame:
+    """Doubles rounded, as sums of floats depend on their order."""
+    return df.select(*[F.round(c, n).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
+# Projections and filters
+
+
+@query(sql.select("px", "image_id, pid", *CHANNELS))
+def channel_select(spark, d):
+    return rounded(projections.channels(pixels(spark, d), *CHANNELS))
+
+
+@query("WITH " + sql.PX + " SELECT image_id, count(*) AS n_pixels FROM px GROUP BY image_id")
+def number_of_pixels(spark, d):
+    return projections.number_of_pixels(pixels(spark, d))
+
+
+@query(sql.select("px", "image_id, pid", *CHANNELS))
+def element_round_trip(spark, d):
+    return rounded(projections.from_elements(projections.elements(pixels(spark, d))))
+
+
+@query(sql.select("px", "image_id, pid", *CHANNELS))
+def element_array_round_trip(spark, d):
+    return rounded(projections.element_fields(projections.element_array(pixels(spark, d))))
+
+
+@query(sql.ELEMENT_SUM)
+def element_add(spark, d):
+    p = pixels(spark, d)
+    other = p.select("image_id", (F.col("pid") - 1).alias("pid"), *[F.col(c).alias(f"o_{c}") for c in CHANNELS])
+    return rounded(projections.combined(p.join(other, ["image_id", "pid"])))
+
+
+@query(sql.ELEMENT_HALF)
+def element_divide(spark, d):
+    return rounded(projections.divided(pixels(spark, d), 2.0))
+
+
+@query(sql.ASSEMBLED)
+def cdn_image(spark, d):
+    p = pixels(spark, d)
+    rgb = p.select("image_id", "row", "col", *[(F.col(c) * 255).alias(c) for c in COLOUR])
+    return rounded(projections.assembled(rgb, p, p))
+
+
+@query(sql.DEPTH)
+def depth_to_world(spark, d):
+    return rounded(projections.depth_to_world(pixels(spark, d)).select("image_id", "pid", "x", "y", "z"))
+
+
+@query(sql.MASK)
+def projection_mask(spark, d):
+    return projections.projection_mask(pixels(spark, d), (3, 20), (4, 17)).select("image_id", "pid", "inside")
+
+
+@query(sql.LAB)
+def rgb_to_lab_vec(spark, d):
+    p = pixels(spark, d).withColumns({c: F.abs(c) * 255 for c in COLOUR})
+    return rounded(projections.to_lab(p).select("image_id", "pid", *COLOUR))
+
+
+@query(sql.LAB_IMAGE)
+def rgb_to_lab_img(spark, d):
+    p = pixels_multi(spark, d).withColumns({c: F.abs(c) * 4 for c in COLOUR})
+    return rounded(projections.to_lab_image(p).select("image_id", "pid", *COLOUR))
+
+
+@query(sql.CROP)
+def crop_margin(spark, d):
+    return projections.shifted_labels(projections.crop(pixels(spark, d), 3)).select("image_id", "pid", "row", "col", "label")
+
+
+@query(sql.SCALED)
+def feature_scaling(spark, d):
+    return rounded(projections.scaled_features(pixels(spark, d), 0.1).select("image_id", "pid", *COLOUR, *POSITION))
+
+
+@query(sql.STATISTICS)
+def suff_stats(spark, d):
+    df = projections.sufficient_statistics(pixels(spark, d))
+    return rounded(df.select("image_id", "pid", "c1_c1", "c1_c2", "c3_c3", "x_x", "y_z", "z_z", *[f"t{i}" for i in range(1, 7)]))
+
+
+@query(sql.PAINTED)
+def painted_regions(spark, d):
+    p = pixels(spark, d)
+    return rounded(projections.painted(p, regions.summary(p)))
+
+
+@query(sql.NEAREST)
+def resize_nearest(spark, d):
+    return rounded(grid.resized_nearest(pixels(spark, d), 0.5).select("image_id", "pid", "row", "col", "c1", "z", "label"))
+
+
+@query(sql.BILINEAR)
+def resize_bilinear(spark, d):
+    return rounded(grid.resized_bilinear(pixels(spark, d), 0.4, ["c1", "z", "nx"], ("label",)))
+
+
+# Grid edges and stencils
+
+
+@query("WITH " + sql.PX + sql.EDGES + " SELECT image_id, src, dst FROM e")
+def grid_edges(spark, d):
+    return grid.edges(pixels(spark, d))
+
+
+@query(sql.WEIGHTS)
+def edge_weights(spark, d):
+    return rounded(grid.weights(pixels(spark, d)))
+
+
+@query(sql.BY_RGB)
+def edges_by_rgb(spark, d):
+    w = grid.weights(pixels(spark, d))
+    return rounded(w.orderBy("w_rgb", "src", "dst").limit(50).select("image_id", "src", "dst", "w_rgb"))
+
+
+@query(sql.NEIGHBOURS)
+def depth_consistent_neighbours(spark, d):
+    return grid.depth_neighbours(pixels(spark, d), 2, 0.05).groupBy("image_id", "pid").agg(F.count("*").alias("n"))
+
+
+@query(sql.ABSOLUTE)
+def depth_absolute_neighbours(spark, d):
+    return grid.depth_neighbours(pixels(spark, d), 2, absolute=0.05).groupBy("image_id", "pid").agg(F.count("*").alias("n"))
+
+
+@query(sql.MOMENTS)
+def local_moments(spark, d):
+    return rounded(grid.moments(pixels(spark, d), 2, 0.05))
+
+
+@query(sql.EVENT_MOMENTS)
+def event_depth_moments(spark, d):
+    p = pixels_events(spark, d)
+    near = grid.neighbours(p, grid.window(1), ["z"])
+    return rounded(near.where(F.abs(F.col("z") - F.col("o_z")) < F.col("o_z") * 0.2).groupBy("image_id", "pid").agg(F.count("*").alias("n"), F.sum("z").alias("sz")))
+
+
+@query()
+def local_planes(spark, d):
+    return rounded(grid.planes(pixels(spark, d), 2, 0.1))
+
+
+@query()
+def svd_normals(spark, d):
+    return rounded(grid.svd_normals(pixels(spark, d), 2, 0.3))
+
+
+def _holes(p: DataFrame) -> DataFrame:
+    return p.withColumns({n: F.when(F.col("pid") % 7 == 0, 0.0).otherwise(F.col(n)) for n in NORMAL})
+
+
+@query(sql.FILLED)
+def fill_normals(spark, d):
+    return rounded(grid.filled_normals(_holes(pixels(spark, d)), 1).select("image_id", "pid", *NORMAL))
+
+
+@query()
+def fill_normals_in_place(spark, d):
+    return rounded(grid.filled_normals_in_place(_holes(pixels(spark, d)), 1).select("image_id", "pid", *NORMAL))
+
+
+@query(sql.MEDIAN)
+def median3x3(spark, d):
+    return grid.median3x3(pixels(spark, d))
+
+
+@query(sql.SOBEL)
+def sobel_magnitude(spark, d):
+    return rounded(grid.sobel(pixels(spark, d), ["c1", "z"]))
+
+
+@query(sql.BOUNDARIES)
+def region_boundaries(spark, d):
+    return grid.boundaries(blocky(pixels(spark, d)))
+
+
+# Regions and components
+
+
+@query(sql.SUMMARY)
+def region_summary(spark, d):
+    return rounded(regions.summary(pixels(spark, d)))
+
+
+@query(sql.AREAS)
+def region_areas(spark, d):
+    return rounded(regions.areas(pixels_events(spark, d)))
+
+
+@query("WITH " + sql.PX + " SELECT DISTINCT image_id, label FROM px")
+def segment_labels(spark, d):
+    return regions.labels(pixels(spark, d))
+
+
+@query(sql.WATSON_MEANS)
+def region_watson_stats(spark, d):
+    return rounded(regions.watson_of_regions(pixels(spark, d)))
+
+
+@query(sql.ADJACENCY)
+def region_adjacency(spark, d):
+    return regions.adjacency(pixels(spark, d))
+
+
+@query(sql.STRENGTH)
+def boundary_strength(spark, d):
+    p = blocky(pixels(spark, d))
+    return rounded(regions.boundary_strength(p, grid.sobel(p, ["c1"])))
+
+
+@query(sql.COMPONENTS)
+def connected_components(spark, d):
+    return regions.components(pixels(spark, d))
+
+
+@query(sql.COMPONENTS)
+def connected_components_relational(spark, d):
+    store_dir(spark)
+    return regions.components_relational(pixels(spark, d))
+
+
+@query(sql.RENUMBERED)
+def renumber_labels(spark, d):
+    return regions.renumber(pixels(spark, d))
+
+
+@query(sql.PRUNED)
+def prune_small_segments(spark, d):
+    return regions.prune_once(pixels(spark, d), 50)
+
+
+@query()
+def remove_small_regions(spark, d):
+    p = pixels_multi(spark, d)
+    return regions.remove_small(p.drop("label").join(regions.components(p), ["image_id", "pid"]), 5)
+
+
+@query()
+def region_merge(spark, d):
+    return regions.merge_planar(blocky(pixels_multi(spark, d)), MergeConfig(kappa=0.1, thd=50.0, thb=0.9, inliers=0.2, distance=0.2))
+
+
+@query()
+def plane_consistency(spark, d):
+    return rounded(regions.consistent(blocky(pixels(spark, d)), MergeConfig(distance=0.1)))
+
+
+# Clustering steps
+
+CENTRES = [
+    dict(zip(CHANNELS, (0.1, 0.0, -0.1, 0.1, 0.0, 2.0, 1.0, 0.0, 0.0))),
+    dict(zip(CHANNELS, (-0.1, 0.1, 0.0, 0.0, 0.1, 1.9, 0.0, 1.0, 0.0))),
+    dict(zip(CHANNELS, (0.0, -0.1, 0.1, -0.1, 0.0, 2.1, 0.0, 0.0, 1.0))),
+]
+COV = [[0.02, 0.001, 0.0], [0.001, 0.03, 0.002], [0.0, 0.002, 0.025]]
+PARTS = [
+    {"weight": 0.5, "mu_c": [0.0, 0.01, 0.0], "cov_c": COV, "mu_p": [0.0, 0.0, 2.0], "cov_p": COV, "axis": [1.0, 0.0, 0.0], "kappa": 2.0},
+    {"weight": 0.5, "mu_c": [0.05, 0.0, -0.05], "cov_c": COV, "mu_p": [0.05, 0.0, 1.95], "cov_p": COV, "axis": [0.0, 0.6, 0.8], "kappa": 5.0},
+]
+
+
+@query(sql.assign(CENTRES))
+def kmeans_assign(spark, d):
+    return rounded(mixture.assigned(pixels(spark, d), CENTRES).select("image_id", "pid", "cluster", "distance"))
+
+
+@query(sql.assign(CENTRES, update=True))
+def kmeans_update(spark, d):
+    return rounded(mixture.centres_of(mixture.assigned(pixels(spark, d), CENTRES)))
+
+
+@query(sql.gaussian(PARTS[0]["mu_c"], COV))
+def gaussian_logpdf(spark, d):
+    p = pixels(spark, d)
+    return rounded(p.select("image_id", "pid", distributions.gaussian_logpdf(COLOUR, PARTS[0]["mu_c"], COV).alias("logpdf")))
+
+
+@query(sql.watson(PARTS[1]["axis"], PARTS[1]["kappa"]))
+def watson_logpdf(spark, d):
+    p = pixels(spark, d)
+    return rounded(p.select("image_id", "pid", distributions.watson_logpdf(NORMAL, PARTS[1]["axis"], PARTS[1]["kappa"]).alias("logpdf")))
+
+
+@query(sql.em(PARTS, "e"))
+def e_step(spark, d):
+    return rounded(mixture.responsibilities(pixels(spark, d), PARTS).select("image_id", "pid", "p0", "p1", "ll"))
+
+
+@query(sql.em(PARTS, "m"))
+def m_step(spark, d):
+    return rounded(mixture.maximised(mixture.responsibilities(pixels(spark, d), PARTS), 2).drop("x_y", "x_z", "y_z"))
+
+
+@query(sql.em(PARTS, "nll"))
+def neg_log_likelihood(spark, d):
+    return rounded(mixture.negative_log_likelihood(mixture.responsibilities(pixels(spark, d), PARTS)), 4)
+
+
+@query(sql.em(PARTS, "hard"))
+def hard_clustering(spark, d):
+    return mixture.hard(mixture.responsibilities(pixels(spark, d), PARTS), 2).select("image_id", "pid", "cluster")
+
+
+@query(sql.LANDMARKS)
+def landmarks(spark, d):
+    return rounded(pixels(spark, d).where(F.pmod("pid", F.lit(50)) == 0).select("image_id", "pid", "c1", "z"))
+
+
+@query(sql.AFFINITY)
+def affinity(spark, d):
+    p = pixels(spark, d).select("image_id", "pid", *COLOUR, *POSITION)
+    marks = p.where("pid % 100 = 0").select("image_id", F.col("pid").alias("mark"), *[F.col(c).alias(f"o_{c}") for c in (*COLOUR, *POSITION)])
+    gap = sum(((F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}")) for c in (*COLOUR, *POSITION)), F.lit(0.0))
+    return rounded(p.join(marks, "image_id").select("image_id", "pid", "mark", F.exp(-gap).alias("a")))
+
+
+@query(sql.BEST)
+def best_lambda(spark, d):
+    rows = metric_rows(spark, d).where("value is not null")
+    best = rows.groupBy("algorithm").agg(F.max_by(F.struct("image_id", "value"), F.struct("value", -F.col("image_id"))).alias("b"))
+    return rounded(best.select("algorithm", F.col("b.image_id").alias("image_id"), F.col("b.value").alias("value")))
+
+
+@query(sql.COVARIANCE)
+def region_covariance(spark, d):
+    p = pixels(spark, d)
+    pairs = [(a, b) for i, a in enumerate(COLOUR) for b in COLOUR[i:]]
+    return rounded(p.groupBy("image_id", "label").agg(*[F.covar_samp(a, b).alias(f"{a}_{b}") for a, b in pairs]))
+
+
+# Whole algorithms
+
+
+@query()
+def cdngraph_segments(spark, d):
+    return segment(pixels(spark, d), GraphConfig(scale_k=2.0, min_size=20))
+
+
+@query()
+def jcsa_segments(spark, d):
+    return segment(pixels_multi(spark, d), MixtureConfig(k=4, max_iterations=20))
+
+
+@query()
+def gcf_segments(spark, d):
+    return segment(pixels(spark, d), SpectralConfig(k=6, proportion=0.1, prune_below=10))
+
+
+@query()
+def depthwmm_segments(spark, d):
+    return segment(pixels_multi(spark, d), WatsonConfig(k=3, k_init=5, iterations=20))
+
+
+@query()
+def diametrical(spark, d):
+    return segment(pixels_multi(spark, d), DiametricalConfig(k=3))
+
+
+# Metrics
+
+
+def _contingency(spark, d):
+    p = pixels(spark, d)
+    return metrics.contingency(blocky(p), p)
+
+
+def _metric(name: str, text: str, f: Callable[[SparkSession, str], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, d: rounded(f(spark, d))
+    SQL[name] = text
+
+
+@query(sql.metric("SELECT image_id, a, b, n FROM t"))
+def contingency(spark, d):
+    return _contingency(spark, d)
+
+
+for _name, _f in (
+    ("rand_index", metrics.rand_index),
+    ("variation_of_information", metrics.variation_of_information),
+    ("segmentation_covering", metrics.segmentation_covering),
+    ("pair_precision", metrics.pair_precision),
+    ("pair_f_measure", metrics.pair_f_measure),
+    ("region_f_measure", metrics.region_f_measure),
+    ("objects_and_parts", metrics.objects_and_parts),
+):
+    _metric(_name, sql.METRICS[_name], lambda spark, d, f=_f: f(_contingency(spark, d)))
+for _name, _f in (
+    ("boundary_f_measure", metrics.boundary_f),
+    ("boundary_displacement", metrics.boundary_displacement),
+):
+    _metric(_name, sql.METRICS[_name], lambda spark, d, f=_f: f(blocky(pixels(spark, d)), pixels(spark, d).withColumn("label", F.expr("cast((row div 7) * 3 + (col div 8) as int)"))))
+for _name, _f in (
+    ("liu_yang_f", metrics.liu_yang),
+    ("fprime", metrics.f_prime),
+    ("q_metric", metrics.q_metric),
+    ("values_entropy", metrics.values_entropy),
+    ("zeboudj", metrics.zeboudj),
+    ("ecw", lambda p: metrics.ecw(p, 0.2)),
+    ("frc_rgbd", metrics.frc_rgbd),
+):
+    _metric(_name, sql.METRICS[_name], lambda spark, d, f=_f: f(blocky(pixels(spark, d))))
+
+
+# Result store
+
+
+@query(sql.SUMMARISED)
+def metrics_summary(spark, d):
+    return rounded(metrics.summarised(metric_rows(spark, d)))
+
+
+@query(sql.PIVOTED)
+def metrics_pivot(spark, d):
+    return rounded(metrics.pivoted(metric_rows(spark, d), ["m0", "m1", "m2"]))
+
+
+@query(sql.ROLLED)
+def metrics_rollup(spark, d):
+    return rounded(metrics.rolled_up(metric_rows(spark, d)))
+
+
+@query(sql.ALL_METRICS)
+def metric_maps(spark, d):
+    rows = metric_rows(spark, d).where("value is not null").groupBy("algorithm", "metric").agg(F.max("value").alias("value"))
+    maps = rows.groupBy("algorithm").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("m"))
+    return rounded(maps.select("algorithm", F.explode("m").alias("metric", "value")))
+
+
+@query(sql.LOOKUP)
+def store_lookup(spark, d):
+    return rounded(store.lookup(metric_rows(spark, d), metric="m3", value=None).select("image_id", "algorithm", "metric"))
+
+
+@query(sql.UPSERT)
+def store_upsert(spark, d):
+    rows = metric_rows(spark, d)
+    new = rows.where("image_id % 10 = 0").withColumn("value", F.lit(-1.0))
+    return rounded(store.upserted(rows, new, ["image_id"]))
+
+
+@query(sql.INSERT)
+def store_insert(spark, d):
+    rows = metric_rows(spark, d)
+    return rounded(store.inserted(rows.where("image_id % 2 = 0"), rows.withColumn("value", F.lit(0.5)), ["image_id"]))
+
+
+@query(sql.PENDING)
+def pending_work(spark, d):
+    rows = metric_rows(spark, d)
+    return store.missing(rows.select("image_id", "algorithm"), rows.where("value is not null").select("image_id", "algorithm"), ["image_id", "algorithm"])
+
+
+@query(sql.FK)
+def segmentation_algorithms(spark, d):
+    rows = metric_rows(spark, d)
+    algorithms = rows.select("algorithm").distinct().withColumn("name", F.upper("algorithm"))
+    return rows.join(algorithms, "algorithm").groupBy("name").agg(F.countDistinct("image_id").alias("images"))
+
+
+def store_dir(spark: SparkSession) -> None:
+    """A checkpoint folder where none is set."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumigrid-"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
