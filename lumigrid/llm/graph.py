@@ -1,7 +1,7 @@
-"""Connected components by propagating least labels with pointer jumping.
+"""Connected components by contracting edges to least neighbours.
 
 Labels and edges are tables in the shared folder; nothing goes to the driver
-but one count a round.  A hub's messages are combined before the shuffle, and
+but whether edges are left.  A hub's messages are combined before the shuffle, and
 both sides of each join are plain tables, so Spark can split a skewed key.
 """
 
@@ -17,19 +17,27 @@ from lumigrid.llm.common import written
 def components(edges: DataFrame) -> DataFrame:
     """Of edges (a, b): each node with ``label``, the least node that it is joined with.
 
-    Nodes are longs.  Repeated edges, both directions and loops do no harm.
+    Nodes are longs.  Repeated edges, both directions and loops do no harm.  Each
+    round sends every node to the least neighbour of its least neighbour and
+    keeps the edges between different targets, so edges fall away quickly.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
-    while True:
-        heard = both.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label", F.lit(None).cast("long").alias("old"))
-        own = labels.select("node", "label", F.col("label").alias("old"))
-        near = written(heard.unionByName(own).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
-        if not near.where("label < old").limit(1).count():
-            return labels
-        far = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = written(near.select("node", "label").join(far, "label").select("node", F.col("next").alias("label")))
+    e = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
+    while labels is None or e.limit(1).count():
+        ends = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        to = written(ends.groupBy(F.col("e.a").alias("node")).agg(F.min(F.least("e.a", "e.b")).alias("to")))
+        far = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        to = written(to.join(far, "to").select("node", F.col("next").alias("to")))
+        old = labels
+        if old is None:
+            labels = to.withColumnRenamed("to", "label")
+        else:
+            via = to.withColumnRenamed("node", "via")
+            labels = written(old.join(via, F.col("label") == F.col("via"), "left").select("node", F.coalesce("to", "label").alias("label")))
+        left = e.join(to.withColumnRenamed("node", "a"), "a").select(F.col("to").alias("x"), "b")
+        left = written(left.where("x != b")).join(to.withColumnRenamed("node", "b"), "b").select("x", F.col("to").alias("y")).where("x != y")
+        e = written(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return labels
 
 
 class Union:
