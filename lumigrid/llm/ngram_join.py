@@ -40,7 +40,7 @@ FANOUT = 8
 #: Bits of a bitmap at most; with more shared n-grams several take one bit, and leaves are checked by their sets.
 MOST_BITS = 1 << 15
 #: Classes after which a task forgets which it has banded, and words after which it starts its memo anew.
-MEMO = 500_000
+MEMO = 200_000
 CHUNK = 1 << 15
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -224,7 +224,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
     large = one.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     one = written(one.join(large, "family", "left").select("class", "doc", "family", F.coalesce("blocks", F.lit(1)).alias("blocks")))
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("t"))
-    wanted = texts.join(one, "doc").select("t", "class", "family", "blocks")
+    wanted = texts.join(one.hint("merge"), "doc").select("t", "class", "family", "blocks")
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The set of each class, once for each pair of blocks that it takes part in."""
