@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries after which a worker's memo of words, pieces or token pairs starts anew.
-MEMO = 300_000
+MEMO = 120_000
 #: Bytes of text encoded into one Arrow batch, about.
 BATCH_BYTES = 4_000_000
 

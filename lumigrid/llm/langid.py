@@ -26,9 +26,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: At most about so many labelled rows are used to fit the classifier.
 FIT_ROWS = 3000
@@ -37,7 +39,7 @@ LONGEST = 40
 #: Added to each piece's expected count; probability of a code point without piece.
 SMOOTHING, STRANGE = 0.02, 1e-9
 #: Words after which a worker's memo starts anew.
-MEMO = 300_000
+MEMO = 100_000
 MARK = "▁"
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -181,8 +183,8 @@ def fitted(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", o
         def step(batches: Iterator[pd.DataFrame], p: np.ndarray = p) -> Iterator[pd.DataFrame]:
             out = np.zeros_like(p)
             for batch in batches:
-                for start in range(0, len(batch), 500):
-                    rows_ = batch.iloc[start : start + 500]
+                for start in range(0, len(batch), 200):
+                    rows_ = batch.iloc[start : start + 200]
                     seen: dict[str, int] = {}
                     pairs = [(seen.setdefault(w, len(seen)), at[x]) for t, x in zip(rows_["text"], rows_["lang"]) for w in words_of(t)]
                     if pairs:
@@ -209,8 +211,8 @@ class Scorer:
     def add(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.at]
         logs = [self.log]
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
+        for start in range(0, len(new), 8_000):
+            part = new[start : start + 8_000]
             logs.append(pieces(self.model.path).forward(part, self.model.p)[0])
             self.at.update(zip(part, range(len(self.at), len(self.at) + len(part))))
         self.log = np.concatenate(logs)
@@ -237,15 +239,20 @@ class Scorer:
 def identified(df: DataFrame, model: Model, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
     """``df`` with each text's language and the posterior probability of it."""
 
-    @F.pandas_udf(f"{out} string, {score} double")
-    def udf(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kept = [c for c in df.columns if c not in (out, score)]
+    rows = df.select(*kept)
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType()), T.StructField(score, T.DoubleType())])
+    at = kept.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for texts in columns:
-            parts = [scorer(texts.iloc[i : i + 1000].tolist()) for i in range(0, len(texts), 1000)] or [([], np.zeros(0))]
-            yield pd.DataFrame({out: [n for names, _ in parts for n in names], score: np.concatenate([s for _, s in parts])})
+        for batch in batches:
+            for start in range(0, len(batch), 300):
+                part = batch.slice(start, 300)
+                names, scores = scorer(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], [*part.schema.names, out, score])
 
-    kept = [c for c in df.columns if c not in (out, score, "_found")]
-    return df.select(*kept, udf(F.col(text)).alias("_found")).select(*kept, f"_found.{out}", f"_found.{score}")
+    return rows.mapInArrow(run, schema)
 
 
 def remainder(key: str, modulus: int) -> Column:
