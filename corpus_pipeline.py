@@ -39,7 +39,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Keeps of each group of near copies (five words, 0.8) the document with the least id."""
     found = ngram_join.linked(docs, n=5, percent=80)
     kept = written(found.where(F.col("doc") == F.col("component")).select(F.col("doc").alias("doc_id")).distinct())
-    rows = docs.join(kept, "doc_id", "left_semi")
+    rows = docs.join(kept.hint("merge"), "doc_id", "left_semi")
     others = docs.where(F.col("doc_id").isNull())
     return rows.unionByName(others).select(*docs.columns)
 
