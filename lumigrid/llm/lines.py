@@ -4,19 +4,18 @@ A text is the sequence of the hashes of its lines (blanks at their ends do not
 count).  A run of lines repeats if it stands in an earlier text, or earlier in
 its own, and has ``LINES`` lines that are not blank or ``WORDS`` words, at least.
 
-From each line on, the shortest stretch that is long enough for a run is a
-window; the least hash of two neighbouring lines in it (of the line, in a window
-of one line) is a fingerprint.  So every run holds a fingerprint at the same
-place wherever it stands.  Fingerprints are joined with their first holder, each
-place that they align is extended both ways along equal lines, and the runs that
-are long enough are deleted from the later text.  The first holder stays whole
-unless it repeats something earlier.
+From each line on, and back from each line, the shortest stretch that is long
+enough for a run is a window; its fingerprint is the hash of all its lines.
+None is left out: the least hash of a window may stand elsewhere in other
+surroundings first.  A window whose fingerprint has an earlier holder is a
+repeated run, and every line of a repeated run lies in a window within that run,
+so deleting the repeated windows deletes the repeated runs and no more.  The
+first holder stays whole unless it repeats something earlier.
 
 Order is that of the key, then of a hash of the text.  Defined results: rows
 with equal key and text count as one place, so they keep or lose the same lines;
 a null key comes first; a null text stays null and an empty one empty; a
-text all of whose lines go becomes empty.  A fingerprint whose first holder
-stands in other surroundings is not searched for in further holders.
+text all of whose lines go becomes empty.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +31,9 @@ from lumigrid.llm.common import written
 
 LINES, WORDS = 4, 50
 FIRST_KEY = -(1 << 63)
+#: Fingerprints are polynomials of the line hashes, modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,84 +49,58 @@ def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def fingerprints(lines: np.ndarray, words: np.ndarray) -> dict[int, int]:
-    """Place and value of the window minima of one text."""
-    n, out = len(lines), {}
-    with np.errstate(over="ignore"):
-        pairs = ((lines[:-1] * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) ^ (lines[1:] + np.int64(0x632BE59BD9B4E019))).tolist()
-        alone = (lines * np.int64(0xC2B2AE3D27D4EB4F - (1 << 64))).tolist()
+def windows(lines: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and fingerprint of the windows of one text."""
+    n = len(lines)
     sums = np.concatenate([[0], np.cumsum(words)])
     full = np.concatenate([[0], np.cumsum(words > 0)])
-    by_words = np.searchsorted(sums, sums[:n] + WORDS)
-    by_lines = np.searchsorted(full, full[:n] + LINES)
-    for start, end in enumerate(np.minimum(by_words, by_lines).tolist()):
-        if end > n:
-            break
-        if end - start == 1:
-            out[start] = alone[start]
-        elif words[start]:
-            value, at = min((pairs[i], i) for i in range(start, end - 1))
-            out.setdefault(at, value)
-    return out
-
-
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ends = np.minimum(np.searchsorted(sums, sums[:n] + WORDS), np.searchsorted(full, full[:n] + LINES))
+    starts = np.maximum(np.searchsorted(sums, sums[1:] - WORDS, "right"), np.searchsorted(full, full[1:] - LINES, "right")) - 1
+    there, back = np.flatnonzero(ends <= n), np.flatnonzero(starts >= 0)
+    both = np.unique(np.concatenate([there * (n + 1) + ends[there], starts[back] * (n + 1) + back + 1]))
+    start, end = both // (n + 1), both % (n + 1)
+    powers, inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (_BASE, _INVERSE))
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.view(np.uint64) * powers[:n])])
+    return start, end, ((upto[end] - upto[start]) * inverses[start]).view(np.int64)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc", "mark", "at", "n", "print"]
     for batch in batches:
-        docs, marks, places, values = [], [], [], []
-        for doc, mark, lines, words in zip(batch["doc"], batch["mark"], batch["lines"], batch["words"]):
-            found = fingerprints(np.asarray(lines, np.int64), np.asarray(words))
-            docs += [doc] * len(found)
-            marks += [mark] * len(found)
-            places += found
-            values += found.values()
-        yield pd.DataFrame({"doc": docs, "mark": marks, "at": places, "print": values}, dtype="int64")
-
-
-def runs(lines: np.ndarray, words: np.ndarray, other: np.ndarray, shift: int) -> list[tuple[int, int]]:
-    """Long enough runs of ``lines`` that equal those of ``other``, ``shift`` places before."""
-    first, last = max(0, shift), min(len(lines), len(other) + shift)
-    if last <= first:
-        return []
-    equal = np.concatenate([[False], lines[first:last] == other[first - shift : last - shift], [False]])
-    edges = np.flatnonzero(equal[1:] != equal[:-1]).reshape(-1, 2) + first
-    return [(a, b) for a, b in edges.tolist() if words[a:b].sum() >= WORDS or (words[a:b] > 0).sum() >= LINES]
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "mark", "start", "end"]
-    for batch in batches:
-        for k in range(0, len(batch), 64):
-            out: set[tuple] = set()
-            for doc, mark, shifts, lines, words, other in zip(*(c.to_pylist() for c in batch.slice(k, 64).columns)):
-                own, w, far = np.array(lines, np.int64), np.array(words), np.array(other, np.int64)
-                for shift in shifts:
-                    out.update((doc, mark, a, b) for a, b in runs(own, w, far, shift))
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        for k in range(0, len(batch), 500):
+            docs, marks, lines, words = batch.slice(k, 500).columns
+            found = [windows(np.array(x, np.int64), np.array(w, np.int64)) for x, w in zip(lines.to_pylist(), words.to_pylist())]
+            rows = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            start, end, value = (np.concatenate(c) for c in zip(*found))
+            columns = [docs.take(pa.array(rows)), marks.take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in (start, end - start, value))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Repeated runs (doc, mark, start, end): lines from start, before end, of a text."""
-    texts = written(hashed(docs, key, text).dropDuplicates(["doc", "mark"]))
-    prints = texts.mapInPandas(_fingerprints, "doc long, mark long, at long, print long")
+    """Repeated windows (doc, mark, start, end): lines from start, before end, of a text."""
+    texts = hashed(docs, key, text).dropDuplicates(["doc", "mark"])
+    prints = written(texts.mapInArrow(_windows, "doc long, mark long, at long, n long, print long"))
     place = F.struct("doc", "mark", "at")
-    firsts = written(prints.groupBy("print").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("print", "f"))
-    met = prints.join(firsts, "print").where(place != F.col("f"))
-    shift = (F.col("at") - F.col("f.at")).alias("shift")
-    pairs = met.select("doc", "mark", F.col("f.doc").alias("of"), F.col("f.mark").alias("of_mark"), shift)
-    # One row per pair of texts, whose shifts are fewer than the text's lines.
-    pairs = pairs.groupBy("doc", "mark", "of", "of_mark").agg(F.collect_set("shift").alias("shifts"))
-    other = texts.select(F.col("doc").alias("of"), F.col("mark").alias("of_mark"), F.col("lines").alias("other"))
-    both = written(pairs).join(texts, ["doc", "mark"])
-    return both.join(other, ["of", "of_mark"]).select("doc", "mark", "shifts", "lines", "words", "other").mapInArrow(_runs, "doc long, mark long, start long, end long")
+    firsts = written(prints.groupBy("print", "n").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").select("print", "n", "f"))
+    met = prints.join(firsts, ["print", "n"]).where(place != F.col("f"))
+    return met.select("doc", "mark", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"))
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines that any of a text's spans holds."""
+    for batch in batches:
+        gone = []
+        for starts, ends in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            size = max(ends) + 1
+            gone.append(np.flatnonzero(np.cumsum(np.bincount(starts, minlength=size) - np.bincount(ends, minlength=size))))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(gone, pa.list_(pa.int64()))], ["doc", "mark", "gone"])
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", deleted: str = "deleted") -> DataFrame:
     """``docs`` without repeated runs of lines, and ``deleted``: the places of the lines
     that went (empty for most texts; a column of that name is replaced)."""
-    spans = repeats(docs, key, text).distinct().groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    places = F.sort_array(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
-    spans = spans.select("doc", "mark", places.alias("gone"))
+    spans = repeats(docs, key, text).groupBy("doc", "mark").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    spans = spans.mapInArrow(_united, "doc long, mark long, gone array<long>")
     kept = [c for c in docs.columns if c != deleted]
     named = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(kept)])
     old = F.col(f"_{kept.index(text)}")
