@@ -4,8 +4,8 @@ A turn is written as ``<s>[INST]role[/INST]text</s>``.  Control strings inside
 roles and texts get a backslash after their first character and backslashes
 are doubled, so no text can pose as markup and every text can be read back.
 
-Conversations are ordered by the chain of hashes of their turns, which is the
-depth-first order of the tree of their common beginnings.  Ranges of that order
+Conversations are ordered by the array of the hashes of all their turns, which is
+the depth-first order of the tree of their common beginnings, however long.  Ranges of that order
 are formatted independently: a range ("pack") holds the turns of a shared
 beginning once, each at the position that it has in its conversation, and with
 the stretches of its ancestors as the only others that it attends to.  A
@@ -25,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,8 +35,6 @@ START, HEAD, BODY, END = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROLS = (START, HEAD, BODY, END)
 #: Packs start anew after about so many characters, or so many conversations.
 PACK_CHARS, PACK_CONVERSATIONS = 1 << 20, 512
-#: Turns whose hashes order the conversations; later ones follow by the hash of all.
-DEPTH = 4
 #: Roles whose texts are learnt.
 LEARNT = ("assistant",)
 
@@ -60,16 +58,11 @@ def unescaped(text: str) -> str:
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """One row per conversation: its turns in order and the hashes of its first turns' chain."""
+    """One row per conversation: its turns in order and the hash of each."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
     rows = turns.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
     one = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    chain: list[Column] = []
-    for k in range(DEPTH):
-        here = F.get("turns", F.lit(k))
-        chain.append(F.xxhash64(*chain[-1:], here["role"], here["text"]))
-    whole = F.xxhash64(F.transform("turns", lambda t: F.struct(t["role"], t["text"])))
-    return one.select("conv_id", "turns", *[c.alias(f"h{k}") for k, c in enumerate(chain)], whole.alias("h"))
+    return one.select("conv_id", "turns", F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])).alias("hashes"))
 
 
 class _Pack:
@@ -117,7 +110,7 @@ def packed(turns: DataFrame) -> DataFrame:
     stands, the position id of its first character, its parent, where its text
     starts, whether it is learnt, and the merged stretches that it attends to
     (its own, causally, is the last)."""
-    order = [*(f"h{k}" for k in range(DEPTH)), "h", "conv_id"]
+    order = ["hashes", "conv_id"]
     ordered = conversations(turns).repartitionByRange(*order).sortWithinPartitions(*order)
     shape = _arrow(PACKS)
 

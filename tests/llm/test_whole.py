@@ -2,7 +2,7 @@
 
 import random
 
-from lumigrid.llm import lines
+from lumigrid.llm import chat, lines
 
 DOCS = "doc_id long, text string"
 
@@ -38,3 +38,13 @@ def test_runs_whose_pairs_first_stand_elsewhere(spark):
     for k, pair in enumerate(f"p{i}\nq{i}" for i in range(10, 30)):
         texts |= {1000 + k: f"s{k}\nt{k}\n{pair}\nu{k}", 2000 + k: f"l{k}\n{pair}\nr{k}", 3000 + k: f"x{k}\nl{k}\n{pair}\nr{k}\ny{k}"}
     assert deleted(spark, texts) == repeated(texts)
+
+
+def test_turns_are_shared_below_the_fourth(spark):
+    """All conversations share five turns, branch at the sixth and share the next two."""
+    turns = [(k, t, "user", f"turn {t}" if t < 5 else f"turn {t} of {k % 2}") for k in range(200) for t in range(8)]
+    packs = chat.packed(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1)).collect()
+    assert sum(len(p["conversations"]) for p in packs) == 200
+    for p in packs:
+        assert [p["formatted"].count(f"turn {t}<") for t in range(5)] == [1] * 5
+        assert all(p["formatted"].count(f"turn {t} of {v}") <= 1 for t in range(5, 8) for v in range(2))
