@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: White space and letters of the contracts, which look at ASCII only.
 WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = "\x20\x09\x0A\x0B\x0C\x0D"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

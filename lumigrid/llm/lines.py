@@ -1,7 +1,7 @@
 """Operator 7: line dedup by winnowing over line hashes.
 
-A text is the sequence of the hashes of its lines (blanks at their ends do not
-count).  A run of lines repeats if it stands in an earlier text, or earlier in
+A text is the sequence of the hashes of its lines (white space at their ends does
+not count).  A run of lines repeats if it stands in an earlier text, or earlier in
 its own, and has ``LINES`` lines that are not blank or ``WORDS`` words, at least.
 
 From each line on, and back from each line, the shortest stretch that is long
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.llm.common import written
+from lumigrid.llm.common import BLANKS, WORD, written
 
 LINES, WORDS = 4, 50
 FIRST_KEY = -(1 << 63)
@@ -39,8 +39,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Per text its place in the order (doc, mark), and hash and words of each line."""
     lines = F.split(text, "\n")
-    trimmed = F.transform(lines, lambda x: F.trim(x))
-    words = F.transform(trimmed, lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int"))
+    trimmed = F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS)))
+    words = F.transform(trimmed, lambda x: F.regexp_count(x, F.lit(WORD)))
     return docs.where(F.col(text).isNotNull()).select(
         F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY)).alias("doc"),
         F.xxhash64(text).alias("mark"),

@@ -48,3 +48,10 @@ def test_turns_are_shared_below_the_fourth(spark):
     for p in packs:
         assert [p["formatted"].count(f"turn {t}<") for t in range(5)] == [1] * 5
         assert all(p["formatted"].count(f"turn {t} of {v}") <= 1 for t in range(5, 8) for v in range(2))
+
+
+def test_white_space_of_all_kinds_parts_words(spark):
+    tabs = "\t".join(f"word{i}" for i in range(51))
+    short = [f"line {i}" for i in range(4)]
+    texts = {1: f"a\n{tabs}", 2: f"b\n{tabs}", 3: "\n".join(short), 4: "\r\n".join(f"\t{x}" for x in short) + "\x0b"}
+    assert deleted(spark, texts) == {1: [], 2: [1], 3: [], 4: [0, 1, 2, 3]}
