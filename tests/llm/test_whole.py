@@ -41,13 +41,13 @@ def test_runs_whose_pairs_first_stand_elsewhere(spark):
 
 
 def test_turns_are_shared_below_the_fourth(spark):
-    """All conversations share five turns, branch at the sixth and share the next two."""
-    turns = [(k, t, "user", f"turn {t}" if t < 5 else f"turn {t} of {k % 2}") for k in range(200) for t in range(8)]
+    """All conversations share four turns, branch at the fifth, share the sixth and part after it."""
+    turns = [(k, t, "user", f"turn {t}" if t < 4 else f"turn {t} of {k % 2}" if t < 6 else f"own {k}") for k in range(200) for t in range(7)]
     packs = chat.packed(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1)).collect()
     assert sum(len(p["conversations"]) for p in packs) == 200
     for p in packs:
-        assert [p["formatted"].count(f"turn {t}<") for t in range(5)] == [1] * 5
-        assert all(p["formatted"].count(f"turn {t} of {v}") <= 1 for t in range(5, 8) for v in range(2))
+        assert [p["formatted"].count(f"turn {t}<") for t in range(4)] == [1] * 4
+        assert all(p["formatted"].count(f"turn {t} of {v}<") <= 1 for t in (4, 5) for v in range(2))
 
 
 def test_white_space_of_all_kinds_parts_words(spark):
