@@ -1,8 +1,11 @@
 """Places where an operator once did less than its whole job."""
 
 import random
+from collections import Counter
 
-from lumigrid.llm import chat, lines
+import numpy as np
+
+from lumigrid.llm import chat, lines, mixlm
 
 DOCS = "doc_id long, text string"
 
@@ -55,3 +58,60 @@ def test_white_space_of_all_kinds_parts_words(spark):
     short = [f"line {i}" for i in range(4)]
     texts = {1: f"a\n{tabs}", 2: f"b\n{tabs}", 3: "\n".join(short), 4: "\r\n".join(f"\t{x}" for x in short) + "\x0b"}
     assert deleted(spark, texts) == {1: [], 2: [1], 3: [], 4: [0, 1, 2, 3]}
+
+
+def slices():
+    """Counts of three slices of random words, a third of them seen once, some long, some not in training."""
+    rng = random.Random(6)
+    words = sorted({bytes(rng.choices(b"abc", k=rng.randrange(1, 9))) for _ in range(300)} | {b"a" * 90 + bytes([x]) for x in b"xyz"} | {b"\n"})
+    uses = np.array([rng.choice([0, 1, 1, 2, 70]) for _ in words], float)
+    trees = [mixlm.tree(words[k : k + 120], uses[k : k + 120]) for k in range(0, len(words), 120)]
+    table = Counter()
+    for t in trees:
+        for k, b, n in zip(*(c.tolist() for c in mixlm.met_contexts(t))):
+            table[k, b] += n
+    every = [np.array(x, np.int64) for x in zip(*((k, b, n) for (k, b), n in table.items()))]
+    return words, uses, [mixlm.Counts(t, *every) for t in trees]
+
+
+def test_contexts_count_all_words_without_sharing_places():
+    words, uses, found = slices()
+    ended = [w if w == b"\n" else w + b" " for w in words]
+    after = Counter()
+    for w, n in zip(ended, uses):
+        for i, byte in enumerate(w):
+            for k in range(5):
+                after[k, w[max(0, i - k - 1) : i] if k < 4 else w[:i], min(i, k + 1) if k < 4 else i, byte] += n
+    bits, checked = {}, 0
+    for (k, c, at, byte), n in after.items():
+        for j in range(8):
+            bits[k, c, at, j, byte >> (8 - j), byte >> (7 - j) & 1] = bits.get((k, c, at, j, byte >> (8 - j), byte >> (7 - j) & 1), 0) + n
+    for part, counts in enumerate(found):
+        t = counts.tree
+        _, zeros, ones = counts.bits(np.arange(len(t.byte)))
+        place, last = 0, -1
+        for p, (w, e) in enumerate(zip(t.word, t.edge)):
+            place, last = (place + 1 if w == last else 0), w
+            text = ended[part * 120 + w]
+            byte = text[place]
+            for k in range(5):
+                c = text[max(0, place - k - 1) : place] if k < 4 else text[:place]
+                at = min(place, k + 1) if k < 4 else place
+                for j in range(8):
+                    expected = [bits.get((k, c, at, j, byte >> (8 - j), x), 0) for x in (0, 1)]
+                    assert [zeros[8 * e + j, k], ones[8 * e + j, k]] == expected
+                    checked += 1
+    assert checked > 50_000
+
+
+def test_slices_score_all_words(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [(k, " ".join("".join(rng.choices("abcdef", k=rng.randrange(1, 12))) for _ in range(60))) for k in range(150)]
+    docs = spark.createDataFrame(texts, DOCS)
+    one = {r["doc"]: r for r in mixlm.scored(docs).collect()}
+    monkeypatch.setattr(mixlm, "SLICE", 4000)
+    monkeypatch.setattr(mixlm, "FREQUENT", 20)
+    many = {r["doc"]: r for r in mixlm.scored(docs).collect()}
+    assert all(np.isclose(many[k]["base_score"], r["base_score"]) for k, r in one.items())
+    scores = [sum(r["score"] for r in rows.values()) for rows in (one, many)]
+    assert abs(scores[1] / scores[0] - 1) < 0.05, scores  # slices of some 400 words learn apart
