@@ -104,6 +104,15 @@ def test_contexts_count_all_words_without_sharing_places():
     assert checked > 50_000
 
 
+def test_learning_meets_every_training_byte():
+    words, uses, found = slices()
+    total = sum(mixlm.learnt(c) for c in found)
+    cells = mixlm.GATES // 8 * mixlm.BUCKETS
+    expected = 8 * sum(n * (len(w) + (w != b"\n")) for w, n in zip(words, uses))
+    assert np.isclose(total[-2 * cells : -cells].sum(), expected)
+    assert np.isfinite(mixlm.merged(total).weights).all()
+
+
 def test_slices_score_all_words(spark, monkeypatch):
     rng = random.Random(7)
     texts = [(k, " ".join("".join(rng.choices("abcdef", k=rng.randrange(1, 12))) for _ in range(60))) for k in range(150)]
