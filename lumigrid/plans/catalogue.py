@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumigrid.functions import distributions
@@ -150,6 +151,13 @@ def edges_by_rgb(spark, d):
     return rounded(w.orderBy("w_rgb", "src", "dst").limit(50).select("image_id", "src", "dst", "w_rgb"))
 
 
+@query(sql.RANKED_BY_RGB)
+def edges_ranked_by_rgb(spark, d):
+    """All edges in the order in which the graph merging takes them; edges_by_rgb shows the first 50."""
+    w = rounded(grid.weights(pixels(spark, d)).select("image_id", "src", "dst", "w_rgb"))
+    return w.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy("w_rgb", "src", "dst")).cast("long"))
+
+
 @query(sql.NEIGHBOURS)
 def depth_consistent_neighbours(spark, d):
     return grid.depth_neighbours(pixels(spark, d), 2, 0.05).groupBy("image_id", "pid").agg(F.count("*").alias("n"))

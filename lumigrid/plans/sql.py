@@ -124,6 +124,8 @@ _W = f"""SELECT a.image_id, a.pid AS src, b.pid AS dst, sqrt({squares(COLOUR)})
   acos(greatest(0.0, least(1.0, {_DOT}))) AS w_n FROM {near("px", HALF)}"""
 WEIGHTS = f"WITH {PX}, w AS ({_W}) SELECT image_id, src, dst, {rs(('w_rgb', 'w_xyz', 'w_n'))} FROM w"
 BY_RGB = f"WITH {PX}, w AS ({_W}) SELECT image_id, src, dst, {r('w_rgb', 'w_rgb')} FROM w ORDER BY w.w_rgb, src, dst LIMIT 50"
+RANKED_BY_RGB = f"""WITH {PX}, w AS ({_W}), e AS (SELECT image_id, src, dst, {r('w_rgb', 'w_rgb')} FROM w)
+SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY w_rgb, src, dst) AS rank FROM e"""
 _DEPTH = lambda t: f"FROM {near('px', window(2))} WHERE abs(b.z - a.z) {t} GROUP BY a.image_id, a.pid"
 NEIGHBOURS = f"WITH {PX} SELECT a.image_id, a.pid, count(*) AS n {_DEPTH('< a.z * 0.05')}"
 ABSOLUTE = f"WITH {PX} SELECT a.image_id, a.pid, count(*) AS n {_DEPTH('<= 0.05')}"
