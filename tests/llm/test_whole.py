@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+import corpus_pipeline
 from lumigrid.llm import chat, lines, mixlm
 
 DOCS = "doc_id long, text string"
@@ -135,3 +136,24 @@ def test_all_edges_are_ranked(spark):
     for _, image in ranked.groupby("image_id"):
         image = image.sort_values("rank")
         assert image["rank"].tolist() == list(range(1, len(image) + 1)) and image["w_rgb"].is_monotonic_increasing
+
+
+def test_one_row_of_near_copies_is_kept(spark):
+    def words(a, b):
+        return " ".join(f"w{i}" for i in range(a, b))
+
+    near = words(0, 99) + " other"
+    rows = [(3, words(0, 100)), (3, words(0, 100)), (3, near), (None, near), (4, words(200, 300)), (None, words(200, 300))]
+    rows += [(None, words(400, 500)), (None, words(400, 499) + " other"), (None, words(600, 700)), (None, words(600, 700)), (5, "a b"), (5, "c d"), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t or "")) for k, t in rows], DOCS + ", lang string, source string, n_chars long")
+    sets = [{tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} if t else set() for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for g, (k, t) in zip(group, rows):
+        least[g] = min(least.get(g, 1 << 40), 1 << 40 if k is None else k)
+    got = [r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()]
+    assert sorted(1 << 40 if k is None else k for k in got) == sorted(least.values())
