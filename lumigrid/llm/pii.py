@@ -43,7 +43,7 @@ LOOSE = {
     "email": r"\b[A-Za-z0-9._%+-]{2,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,63}+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,24}+)+",
     "phone": r"\(?\b[0-9]{3}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{4}\b",
     "card": r"\b[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}\b",
-    "secret": r"\b[A-Za-z0-9_/+-]{20,200}+(?![A-Za-z0-9_/+-])",
+    "secret": r"\b[A-Za-z0-9_/+-]{20,}+(?![A-Za-z0-9_/+-])",
 }
 LOOSE_NEEDS = {"email": r"[(\[]at[)\]]", "phone": r"[0-9]{3}\)?[\x20.-][0-9]{3}", "card": r"[0-9]{4}[\x20-]?[0-9]{4}", "secret": r"[A-Za-z0-9_/+-]{20}"}
 #: Words whose presence before a candidate speaks for it.

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from lumigrid.llm import chat, lines, mixlm
+from lumigrid.llm import chat, lines, mixlm, pii
 
 DOCS = "doc_id long, text string"
 
@@ -138,6 +138,13 @@ def test_all_edges_are_ranked(spark):
         assert image["rank"].tolist() == list(range(1, len(image) + 1)) and image["w_rgb"].is_monotonic_increasing
 
 
+def test_long_secrets_are_proposed_whole(spark):
+    secrets = ["a1B2" * 60, "head/" + "x9" * 150 + "+tail-end", "k" * 20]
+    df = spark.createDataFrame([(f"token = {x} ; end",) for x in secrets], "text string")
+    found = df.select(pii.found(df["text"], pii.LOOSE["secret"], pii.LOOSE_NEEDS["secret"]).alias("f")).collect()
+    assert [[h["t"] for h in r["f"]] for r in found] == [[x] for x in secrets]
+
+
 def test_one_row_of_near_copies_is_kept(spark):
     def words(a, b):
         return " ".join(f"w{i}" for i in range(a, b))
