@@ -58,6 +58,17 @@ class Union:
             self.up[max(x, y)] = min(x, y)
         return x != y
 
+    def join_all(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Joins all pairs at once: roots are hung on lower ones until no pair is apart."""
+        while True:
+            roots = self.roots()
+            a, b = roots[x], roots[y]
+            apart = a != b
+            if not apart.any():
+                return
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+
     def roots(self) -> np.ndarray:
         while (self.up != (up := self.up[self.up])).any():
             self.up = up

@@ -1,24 +1,21 @@
 """Operator 1: n-gram Jaccard join by signature trees.
 
 A text's set holds 64-bit hashes of its word n-grams.  Equal sets form a class.
-Candidates lose no link.  Let a pair's smaller set have at most u n-grams; at
-the least similarity the two differ in D = u * (100 - percent) / percent of them
-at most.  If the space of hashes is cut into D + 1 segments, some segment holds
-the same n-grams of both, so classes that agree in a segment are the candidates.
-Sizes are cut into ranges, each with its own u; a class takes part in all ranges
-that the smaller set of a pair with it may lie in.  Segments that are empty in
-both say nothing, so there are ``SPARE`` more of them than D + 1, and a class with
-more empty segments than that names its empty ones too.
-
-Classes that agree in a segment, directly or through others, form a family, and
-each family is joined with itself by signature trees: leaves hold exact bitmaps
-over the n-grams that at least two classes of the family share, nodes the OR of
-their children's bitmaps and the range of their sizes.  Neighbours in the trees'
-order are compared first.  Then two trees are walked at once; a pair of nodes is
-dropped when its sizes or the most n-grams that it can share rule out every pair
-below, or when all below is joined already.  At the leaves the count of shared
-bits is the size of the intersection, so links are exact.  Families over
-``BLOCK`` classes or ``BLOCK_GRAMS`` n-grams are joined block by block.
+Classes that share one of ``BANDS`` min-hash bands, directly or through others,
+form a family, and each family is joined with itself by signature trees: leaves
+hold exact bitmaps over the n-grams that at least two classes of the family
+share, nodes the OR of their children's bitmaps and the range of their sizes.
+Neighbours in the trees' order are compared first.  Then two trees are walked at
+once; a pair of nodes is dropped when its sizes or the most n-grams that it can
+share rule out every pair below, or when all below is joined already.  At the
+leaves the count of shared bits is the size of the intersection, so links are
+exact.  Families over ``BLOCK`` classes or ``BLOCK_GRAMS`` n-grams are joined
+block by block.
+
+A pair at the least similarity of 0.85 shares no band with a probability of 7e-11
+(40 bands of 5; 1e-7 at 0.8), and that is the only way to lose a link.  Segments of
+the sets, of which two linked ones must share one, lose none at all; but they
+glue texts that share a passage into families of most of the corpus.
 
 Defined results: a null text counts as empty; an empty set links with nothing;
 fewer words than ``n`` make one n-gram; equal texts have one class; rows with
@@ -42,8 +39,7 @@ from pyspark.sql import functions as F
 from lumigrid.llm.common import written
 from lumigrid.llm.graph import Union, components
 
-#: Segments beyond D + 1, as a part of D; ratio of a range's largest size to its least.
-SPARE, RATIO = 16, 1.7
+BANDS, ROWS = 40, 5
 #: Classes, and n-grams, of a family that meet in one task, from each of two blocks.
 BLOCK, BLOCK_GRAMS = 1024, 2_000_000
 FANOUT = 8
@@ -51,7 +47,10 @@ FANOUT = 8
 MOST_BITS = 1 << 15
 #: Classes after which a task forgets which it has named, and words after which it starts its memo anew.
 MEMO = 200_000
-CHUNK = 1 << 17
+CHUNK = 1 << 15
+_RNG = np.random.default_rng(20240607)
+_A = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,46 +85,23 @@ class Shingler:
         return np.unique(mixed(grams + np.uint64(size)))
 
 
-class Segments:
-    """Names of the segments of sets."""
-
-    def __init__(self, percent: int):
-        self.percent, bounds = percent, [1]
-        while bounds[-1] < 1 << 40:
-            bounds.append(max(bounds[-1] + 1, int(bounds[-1] * RATIO)))
-        self.bounds = np.array(bounds)  # the largest size of each range
-        differ = self.bounds * (100 - percent) // percent
-        self.spare = -(-differ // SPARE)
-        self.number = differ + 1 + self.spare
-
-    def names(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Of non-empty sets: the set's place and the name of a segment, for all their segments."""
-        sizes = np.array([len(s) for s in sets])
-        high = np.searchsorted(self.bounds, sizes)
-        low = np.searchsorted(self.bounds, -(-sizes * self.percent // 100))
-        x, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        found = []
-        for back in range(int((high - low).max()) + 1):
-            takes = high - back >= low
-            level = np.maximum(high - back, 0)
-            one = takes[of]
-            grams, owner = (x, of) if takes.all() else (x[one], of[one])
-            k = self.number[level]
-            at = ((grams >> np.uint64(32)) * k[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-            starts = np.flatnonzero(np.diff(owner, prepend=-1).astype(bool) | np.diff(at, prepend=-1).astype(bool))
-            own, segment = owner[starts], at[starts]
-            sums = np.add.reduceat(mixed(grams * _STEP + np.uint64(7)), starts)
-            found.append((own, _named(sums, level[own], segment, np.diff(starts, append=len(grams)))))
-            full = np.bincount(own, minlength=len(sets))
-            for i in np.flatnonzero(takes & (k - full > self.spare[level])):
-                empty = np.setdiff1d(np.arange(k[i]), segment[own == i])
-                found.append((np.full(len(empty), i), _named(np.zeros(len(empty), np.uint64), level[i], empty, 0)))
-        return tuple(np.concatenate(c) for c in zip(*found))
-
-
-def _named(sums: np.ndarray, level, segment: np.ndarray, count) -> np.ndarray:
-    where = (np.zeros(len(sums), np.int64) + level << 32) + segment
-    return mixed(mixed(sums + np.uint64(1)) * _STEP + where.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (np.zeros(len(sums), np.int64) + count).astype(np.uint64))
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """Band hashes of non-empty sets: one row each."""
+    out, start = np.empty((len(sets), BANDS), np.uint64), 0
+    while start < len(sets):
+        stop, size = start, 0
+        while stop < len(sets) and (size == 0 or size + len(sets[stop]) <= CHUNK):
+            size += len(sets[stop])
+            stop += 1
+        x = np.concatenate(sets[start:stop])
+        at = np.cumsum([0] + [len(s) for s in sets[start : stop - 1]])
+        for b in range(BANDS):
+            h = np.full(stop - start, b, np.uint64)
+            for k in range(b * ROWS, b * ROWS + ROWS):
+                h = mixed(h * _STEP + np.minimum.reduceat((x ^ _B[k]) * _A[k], at))
+            out[start:stop, b] = h
+        start = stop
+    return out
 
 
 def digest(s: np.ndarray) -> int:
@@ -140,59 +116,37 @@ def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 
 
 def classed(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """Per row (doc, size, class)."""
+    """Per row (doc, size, class) and the bands, which are left out where the task has met the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(n)
+        shingles, met = Shingler(n), set()
         for batch in batches:
             for rows in _slices(batch):
                 sets = [shingles(t) for t in rows.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], ["doc", "size", "class"])
-
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc long, size long, class long")
-
-
-def segmented(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
-    """Rows (segment, class) of all texts, without those of classes that the task has met."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, segments, met, part, size = Shingler(n), Segments(percent), set(), {}, 0
-
-        def out() -> pa.RecordBatch:
-            own, name = segments.names(list(part.values()))
-            names = np.array(list(part), np.int64)[own]
-            return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(names)], ["segment", "class"])
-
-        for batch in batches:
-            for rows in _slices(batch):
-                for s in map(shingles, rows.column(0).to_pylist()):
-                    if len(s) and (c := digest(s)) not in met:
-                        met.add(c)
-                        part[c], size = s, size + len(s)
-                        if size > CHUNK:
-                            yield out()
-                            part, size = {}, 0
+                names = [digest(s) for s in sets]
+                new = [i for i, (c, s) in enumerate(zip(names, sets)) if len(s) and c not in met and not met.add(c)]
+                found = dict(zip(new, bands([sets[i] for i in new]).view(np.int64))) if new else {}
                 if len(met) > MEMO:
                     met.clear()
-        if part:
-            yield out()
+                lists = pa.array([found.get(i) for i in range(len(rows))], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), lists], ["doc", "size", "class", "bands"])
 
-    return docs.select(F.col(text).cast("string").alias("t")).where("t is not null").mapInArrow(run, "segment long, class long")
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc long, size long, class long, bands array<long>")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows (segment, class): each class with the least one of its segment."""
-    segment, least = None, None
+    """Of sorted rows (band, class): each class with the least one of its band."""
+    band, least = None, None
     for batch in batches:
         if not len(batch):
             continue
         s, c = (batch.column(k).to_numpy() for k in range(2))
         first = np.diff(s, prepend=s[0]).astype(bool)
-        first[0] = segment is None or s[0] != segment
+        first[0] = band is None or s[0] != band
         starts = np.flatnonzero(first)
         at = np.cumsum(first) - 1
         heads = np.where(at >= 0, c[starts[np.maximum(at, 0)]] if len(starts) else 0, least if least is not None else 0)
-        segment, least = s[-1], heads[-1]
+        band, least = s[-1], heads[-1]
         pair = np.unique(np.stack([heads, c])[:, heads != c], axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
@@ -296,8 +250,9 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
     """Per row of ``docs``: doc, size of its set, class, and ``component``, the least key
     that it reaches by links of Jaccard similarity ``percent`` / 100 or more."""
     rows = written(classed(docs, n, key, text))
-    sorted_ = segmented(docs, n, percent, text).repartition("segment").sortWithinPartitions("segment", "class")
-    families = components(sorted_.mapInArrow(_stars, "a long, b long")).select(F.col("node").alias("class"), F.col("label").alias("family"))
+    banded = rows.where("bands is not null").select(F.explode("bands").alias("band"), "class")
+    banded = banded.repartition("band").sortWithinPartitions("band", "class")
+    families = components(banded.mapInArrow(_stars, "a long, b long")).select(F.col("node").alias("class"), F.col("label").alias("family"))
     keys = rows.groupBy("class").agg(F.min("doc").alias("least"))
     one = written(rows.where("size > 0").groupBy("class").agg(F.min("doc").alias("doc"), F.max("size").alias("size")).join(families, "class"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int")

@@ -21,31 +21,17 @@ def near(rng, base, changes):
     return out
 
 
-@pytest.mark.parametrize("percent", [50, 80, 85, 95])
-def test_every_link_shares_a_segment(percent):
-    """Pairs at the least similarity or just above it, of all sizes: the candidates lose none."""
-    rng, segments, links = random.Random(percent), nj.Segments(percent), 0
-    for size in [*range(1, 60), 100, 333, 2000]:
-        for _ in range(30):
-            base = [rng.getrandbits(63) for _ in range(size)]
-            a, b = (np.unique(np.array(x, np.uint64)) for x in (base, near(rng, base, rng.randrange(1 + size * (100 - percent) // 90))))
-            if not len(b):
-                continue
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                links += 1
-                own, names = segments.names([a, b])
-                assert np.intersect1d(names[own == 0], names[own == 1]).size
-    assert links > 800
-
-
-def test_sets_with_many_empty_segments_meet():
-    """Sets whose n-grams lie in few segments agree in empty ones alone."""
-    segments = nj.Segments(85)
-    a = np.arange(1, 41, dtype=np.uint64)  # all in the first segment
-    b = np.sort(np.append(a[1:], np.uint64(99)))
-    own, names = segments.names([a, b])
-    assert np.intersect1d(names[own == 0], names[own == 1]).size
+@pytest.mark.parametrize("share", [0.5, 0.6, 0.7])
+def test_pairs_share_bands_as_often_as_independent_hashes(share):
+    rng, n, pairs = np.random.default_rng(3), 200, 3000
+    both = round(2 * n * share / (1 + share))
+    x = nj.mixed(rng.integers(0, 1 << 63, (pairs, 2 * n - both), np.uint64))
+    sets = [np.unique(part) for row in x for part in (row[:n], row[-n:])]
+    found = nj.bands(sets).reshape(pairs, 2, -1)
+    missed = (found[:, 0] != found[:, 1]).all(axis=1).mean()
+    jaccard = both / (2 * n - both)
+    expected = (1 - jaccard**nj.ROWS) ** nj.BANDS
+    assert abs(missed - expected) < 4 * (expected * (1 - expected) / pairs) ** 0.5 + 1e-3, (missed, expected)
 
 
 @pytest.mark.parametrize("split", [0, 70])
