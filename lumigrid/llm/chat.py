@@ -8,14 +8,17 @@ Conversations are ordered by the array of the hashes of all their turns, which i
 the depth-first order of the tree of their common beginnings, however long.  Ranges of that order
 are formatted independently: a range ("pack") holds the turns of a shared
 beginning once, each at the position that it has in its conversation, and with
-the stretches of its ancestors as the only others that it attends to.  A
-beginning that a third of all conversations share is thus spread over ranges
-and repeated once in each; equal conversations may lie in several ranges.
+the stretches of its ancestors as the only others that it attends to.  Within a
+pack no turn is written twice for one beginning; a pack repeats, of what others
+hold, the beginning of its first conversation at most, so all repeats together
+are no more than one conversation for each ``PACK_CHARS`` characters written, for each
+``PACK_CONVERSATIONS`` conversations and for each partition.  Equal conversations may lie in several packs.
 
 Defined results: null texts and roles count as empty; rows of a conversation
 are taken by turn, then role, then text (nulls first), repeated rows are turns
-of their own; an empty table has no packs; extra columns are ignored; rows
-without conv_id form one conversation.
+of their own; an empty table has no packs; extra columns are ignored; each row
+without conv_id is a conversation of its own; a conversation is held whole by
+one task, so a very long one takes memory of some times its size.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: The template's control strings.
 START, HEAD, BODY, END = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROLS = (START, HEAD, BODY, END)
-#: Packs start anew after about so many characters, or so many conversations.
-PACK_CHARS, PACK_CONVERSATIONS = 1 << 20, 512
+#: Packs start anew after about so many characters, or so many conversations (equal ones add no characters).
+PACK_CHARS, PACK_CONVERSATIONS = 1 << 20, 1 << 16
 #: Roles whose texts are learnt.
 LEARNT = ("assistant",)
 
@@ -61,7 +64,8 @@ def conversations(turns: DataFrame) -> DataFrame:
     """One row per conversation: its turns in order and the hash of each."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
     rows = turns.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
-    one = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    one = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    one = one.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array("t").alias("turns")))
     return one.select("conv_id", "turns", F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])).alias("hashes"))
 
 

@@ -7,14 +7,19 @@ probabilities are learnt by expectation-maximisation, whose expectation step
 runs the forward and the backward algorithm over the training words.
 
 A word is a run of letters and letter-like signs, in lower case, with the
-vocabulary's mark for a word's start.  Runs over ``LONGEST`` code points are
-scored in consecutive parts.  A code point that no piece covers has a small
-probability that is equal in all languages.
+vocabulary's mark for a word's start; however long, it is scored whole, and sums
+are scaled on the way so that they never vanish.  A code point that no piece
+covers has a small probability that is equal in all languages.
+
+The classifier is fitted on about ``FIT_ROWS`` labelled rows, an equal part of them
+for each language (all rows of one that has fewer), and on words of ``LONGEST``
+code points at most.
 
 Defined results: a null or empty text, or one without any letter, is ``und``
-with score 0; without training rows every text is ``und``; ties go to the
-language that sorts first; repeated rows are scored each; other columns are
-kept, columns named like the results are replaced.
+with score 0; without training rows every text is ``und``; an empty table gives
+no rows; ties go to the language that sorts first; repeated rows are scored
+each; other columns are kept, columns named like the results are replaced; a
+very long text takes memory for its words, a very long word for its own sums.
 """
 
 from __future__ import annotations
@@ -32,10 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: At most about so many labelled rows are used to fit the classifier.
+from lumigrid.llm.common import tidy, written
+
+#: At most about so many labelled rows, and words of so many code points, are used to fit the classifier.
 FIT_ROWS = 3000
 ROUNDS = 2
-LONGEST = 40
+LONGEST = 30
+#: Sums of words that are held at once, and the sum below which a word's are scaled.
+CELLS, LOW = 400_000, 1e-100
 #: Added to each piece's expected count; probability of a code point without piece.
 SMOOTHING, STRANGE = 0.02, 1e-9
 #: Words after which a worker's memo starts anew.
@@ -67,6 +76,7 @@ class Pieces:
                     edges.append((nodes[t[: n - 1]] * self.kinds + int(self.kind[ord(t[n - 1])]), nodes[t[:n]]))
             ends[nodes[t]] = i
         self.edges, self.target = np.array(sorted(edges), np.int64).T.copy()
+        self.longest = max(map(len, self.texts))
         self.piece = np.full(len(nodes), -1)
         self.piece[list(ends)] = list(ends.values())
 
@@ -106,21 +116,28 @@ class Pieces:
         """Log probability of each word by language, with what a backward pass needs.
 
         ``p``: a row of probabilities for each piece, and a last one for code
-        points without piece.
+        points without piece.  The sums of a word and language are scaled together, those of as
+        many places as the longest piece has; words to go back over are too short for that.
         """
         word, end, size, piece, lengths = found = self.matches(words)
         longest = int(lengths.max(initial=1))
         alpha = np.zeros((longest + 1, len(words), p.shape[1]))
         alpha[0] = 1.0
         cuts = np.searchsorted(end, np.arange(1, longest + 2))
+        scale = np.zeros((len(words), p.shape[1]))
         for t in range(1, longest + 1):
             part = slice(cuts[t - 1], cuts[t])
             w = word[part]
             if len(w):
                 value = alpha[t - size[part], w] * p[piece[part]]
                 first = np.flatnonzero(np.diff(w, prepend=-1))
-                alpha[t, w[first]] = np.add.reduceat(value, first)
-        log = np.log(np.maximum(alpha[lengths, np.arange(len(words))], 1e-300))
+                here, total = w[first], np.add.reduceat(value, first)
+                alpha[t, here] = total
+                low, k = np.nonzero((total < LOW) & (total > 0) & (lengths[here] > LONGEST + 1)[:, None])
+                if len(low):
+                    alpha[max(0, t - self.longest) : t + 1, here[low], k] /= total[low, k]
+                    scale[here[low], k] += np.log(total[low, k])
+        log = np.log(np.maximum(alpha[lengths, np.arange(len(words))], 1e-300)) + scale
         return log, alpha, found, cuts
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -150,8 +167,6 @@ def words_of(text: str | None) -> list[str]:
     found = _RUN.findall((text or "").lower())
     if not any(map(str.isalpha, found)) and not any(c.isalpha() for w in found for c in w):
         return []
-    if max(map(len, found)) > LONGEST:
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
 
 
@@ -163,17 +178,18 @@ class Model:
 
 
 def fitted(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", order: Column | None = None, rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Model:
-    """Learns from rows with a language: all, or about ``rows`` of them chosen by a hash of ``order``.
+    """Learns from rows with a language: all, or about ``rows`` of them, as many of each language,
+    chosen by a hash of ``order``.
 
-    The driver gets the piece counts only: vocabulary times languages numbers.
+    The sample is written once.  The driver gets the piece counts only: vocabulary times languages numbers.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = known.select(lang).count()
-    if n > rows:
-        by = F.xxhash64(F.col(text)) if order is None else F.xxhash64(order)
-        known = known.where(F.pmod(by, F.lit(1 << 20)) < int((1 << 20) * rows / n))
-    known = known.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    languages = tuple(sorted(r[0] for r in known.select("lang").distinct().collect()))
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), (F.xxhash64(F.col(text)) if order is None else F.xxhash64(order)).alias("by"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = tuple(sorted(counts))
+    if sum(counts.values()) > rows:
+        least = F.coalesce(*[F.when(F.col("lang") == x, F.lit(int((1 << 20) * min(1.0, rows / len(counts) / n)))) for x, n in counts.items()])
+        known = known.where(F.pmod("by", F.lit(1 << 20)) < least)
+    known = written(known.select("text", "lang")) if languages else known
     size = len(pieces(path).texts)
     p = np.full((size + 1, max(1, len(languages))), 1.0 / size)
     p[-1] = STRANGE
@@ -186,7 +202,7 @@ def fitted(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", o
                 for start in range(0, len(batch), 200):
                     rows_ = batch.iloc[start : start + 200]
                     seen: dict[str, int] = {}
-                    pairs = [(seen.setdefault(w, len(seen)), at[x]) for t, x in zip(rows_["text"], rows_["lang"]) for w in words_of(t)]
+                    pairs = [(seen.setdefault(w, len(seen)), at[x]) for t, x in zip(rows_["text"], rows_["lang"]) for w in words_of(t) if len(w) <= LONGEST]
                     if pairs:
                         k = p.shape[1]
                         w, x = np.array(pairs).T
@@ -211,8 +227,12 @@ class Scorer:
     def add(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.at]
         logs = [self.log]
-        for start in range(0, len(new), 8_000):
-            part = new[start : start + 8_000]
+        new.sort(key=len)
+        while new:
+            n = len(new)
+            while n > 1 and n * (len(new[n - 1]) + 2) > CELLS:
+                n = min(n - 1, max(1, CELLS // (len(new[n - 1]) + 2)))
+            part, new = new[:n], new[n:]
             logs.append(pieces(self.model.path).forward(part, self.model.p)[0])
             self.at.update(zip(part, range(len(self.at), len(self.at) + len(part))))
         self.log = np.concatenate(logs)
@@ -252,7 +272,7 @@ def identified(df: DataFrame, model: Model, text: str = "text", out: str = "lang
                 names, scores = scorer(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], [*part.schema.names, out, score])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def remainder(key: str, modulus: int) -> Column:

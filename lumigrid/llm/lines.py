@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.llm.common import BLANKS, WORD, written
+from lumigrid.llm.common import BLANKS, WORD, tidy, written
 
 LINES, WORDS = 4, 50
 FIRST_KEY = -(1 << 63)
@@ -79,7 +79,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Repeated windows (doc, mark, start, end): lines from start, before end, of a text."""
     texts = hashed(docs, key, text).dropDuplicates(["doc", "mark"])
-    prints = written(texts.mapInArrow(_windows, "doc long, mark long, at long, n long, print long"))
+    prints = written(texts.mapInArrow(tidy(_windows), "doc long, mark long, at long, n long, print long"))
     place = F.struct("doc", "mark", "at")
     firsts = written(prints.groupBy("print", "n").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").select("print", "n", "f"))
     met = prints.join(firsts, ["print", "n"]).where(place != F.col("f"))
@@ -100,7 +100,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", delet
     """``docs`` without repeated runs of lines, and ``deleted``: the places of the lines
     that went (empty for most texts; a column of that name is replaced)."""
     spans = repeats(docs, key, text).groupBy("doc", "mark").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    spans = spans.mapInArrow(_united, "doc long, mark long, gone array<long>")
+    spans = spans.mapInArrow(tidy(_united), "doc long, mark long, gone array<long>")
     kept = [c for c in docs.columns if c != deleted]
     named = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(kept)])
     old = F.col(f"_{kept.index(text)}")

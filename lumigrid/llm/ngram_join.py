@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.llm.common import written
+from lumigrid.llm.common import tidy, written
 from lumigrid.llm.graph import Union, components
 
 BANDS, ROWS = 40, 5
@@ -131,7 +131,7 @@ def classed(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
                 lists = pa.array([found.get(i) for i in range(len(rows))], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), lists], ["doc", "size", "class", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc long, size long, class long, bands array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), "doc long, size long, class long, bands array<long>")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +252,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
     rows = written(classed(docs, n, key, text))
     banded = rows.where("bands is not null").select(F.explode("bands").alias("band"), "class")
     banded = banded.repartition("band").sortWithinPartitions("band", "class")
-    families = components(banded.mapInArrow(_stars, "a long, b long")).select(F.col("node").alias("class"), F.col("label").alias("family"))
+    families = components(banded.mapInArrow(tidy(_stars), "a long, b long")).select(F.col("node").alias("class"), F.col("label").alias("family"))
     keys = rows.groupBy("class").agg(F.min("doc").alias("least"))
     one = written(rows.where("size > 0").groupBy("class").agg(F.min("doc").alias("doc"), F.max("size").alias("size")).join(families, "class"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int")
@@ -290,7 +290,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
             roots = joined(sets, split, percent).roots()
         return pa.table({"a": pa.array(names[roots], pa.int64()), "b": pa.array(names, pa.int64())}).filter(pa.array(roots != np.arange(len(sets))))
 
-    edges = wanted.mapInArrow(dealt, "family long, i int, j int, side int, class long, grams binary")
+    edges = wanted.mapInArrow(tidy(dealt), "family long, i int, j int, side int, class long, grams binary")
     edges = edges.groupBy("family", "i", "j").applyInArrow(walked, "a long, b long")
     parts = components(edges).select(F.col("node").alias("class"), "label")
     names = written(keys.join(parts, "class", "left").select("class", "least", F.coalesce("label", "class").alias("label")))

@@ -106,13 +106,13 @@ WITH turns AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 written AS (
   SELECT *, length(replace(replace(replace(replace(replace(t, '\', '\\'), '<s>', '<\s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '</s>', '<\/s>')) AS n
-  FROM (SELECT *, role || chr(10) || text AS t FROM turns))
+  FROM (SELECT *, role || chr(10) || text AS t, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM turns))
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n - 1 + length('<s>[INST][/INST]</s>')) AS BIGINT) AS formatted_chars
-FROM written GROUP BY conv_id
+FROM written GROUP BY conv_id, lone
 """.replace("\\\\", "\\")
 
 

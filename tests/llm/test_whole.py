@@ -54,6 +54,22 @@ def test_turns_are_shared_below_the_fourth(spark):
         assert all(p["formatted"].count(f"turn {t} of {v}<") <= 1 for t in (4, 5) for v in range(2))
 
 
+def test_rows_without_conversation_stand_alone(spark):
+    turns = [(None, t, "user", f"text {t}") for t in range(40)] + [(1, t, "assistant", f"text {t}") for t in range(3)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.packed(df)).collect()
+    assert sorted(r["texts"] for r in got if r["conv_id"] is None) == sorted([f"text {t}"] for t in range(40))
+    assert [r["learnt"] for r in got if r["conv_id"] == 1] == [[f"text {t}" for t in range(3)]]
+
+
+def test_ten_shared_turns(spark):
+    """Each beginning is written once per pack, and packs repeat one conversation's beginning at most."""
+    turns = [(k, t, "user", f"turn {t}" if t < 10 else f"own {k // 3}") for k in range(90) for t in range(11)]
+    packs = chat.packed(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1)).collect()
+    assert all(p["formatted"].count(f"turn {t}<") == 1 for p in packs for t in range(10))
+    assert 30 <= sum(p["formatted"].count("own") for p in packs) < 30 + len(packs)
+
+
 def test_white_space_of_all_kinds_parts_words(spark):
     tabs = "\t".join(f"word{i}" for i in range(51))
     short = [f"line {i}" for i in range(4)]
