@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns the documents that it keeps;
 all but the last have the columns of ``documents``.  Each result is written as
 Parquet to the shared folder and read again as the next stage's input.
+
+Defined results: a null or empty text has no language and is rejected by the first stage
+(later ones, given such rows, keep them: no lines to delete, no near copies, no tokens); a text
+all of whose lines go is dropped; of rows with equal or null ids each is a document of
+its own, and copies among them count; ties among copies go to the least id, then the
+least hash of the text; an empty table passes all stages; texts are never cut.
 """
 
 from __future__ import annotations
