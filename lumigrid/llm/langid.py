@@ -44,7 +44,7 @@ FIT_ROWS = 3000
 ROUNDS = 2
 LONGEST = 30
 #: Sums of words that are held at once, and the sum below which a word's are scaled.
-CELLS, LOW = 400_000, 1e-100
+CELLS, LOW = 100_000, 1e-100
 #: Added to each piece's expected count; probability of a code point without piece.
 SMOOTHING, STRANGE = 0.02, 1e-9
 #: Words after which a worker's memo starts anew.
@@ -133,8 +133,8 @@ class Pieces:
                 first = np.flatnonzero(np.diff(w, prepend=-1))
                 here, total = w[first], np.add.reduceat(value, first)
                 alpha[t, here] = total
-                low, k = np.nonzero((total < LOW) & (total > 0) & (lengths[here] > LONGEST + 1)[:, None])
-                if len(low):
+                if longest > LONGEST + 1:
+                    low, k = np.nonzero((total < LOW) & (total > 0) & (lengths[here] > LONGEST + 1)[:, None])
                     alpha[max(0, t - self.longest) : t + 1, here[low], k] /= total[low, k]
                     scale[here[low], k] += np.log(total[low, k])
         log = np.log(np.maximum(alpha[lengths, np.arange(len(words))], 1e-300)) + scale
