@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumigrid.llm.common import tidy
+from lumigrid.llm.common import small_batches, tidy
 
 #: Entries after which a worker's memo of words, pieces or token pairs starts anew.
-MEMO = 120_000
+MEMO = 40_000
 #: Bytes of text encoded into one Arrow batch, about.
 BATCH_BYTES = 4_000_000
 
@@ -226,7 +226,7 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), type=kind)
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists], [*rows.schema.names, ids])
 
-    return df.mapInArrow(tidy(run), schema)
+    return small_batches(df).mapInArrow(tidy(run), schema)
 
 
 def decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -248,7 +248,7 @@ def decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
                 texts = pc.if_else(pc.is_valid(lists), texts.cast(pa.binary()), pa.scalar(None, pa.binary()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, texts], [*rows.schema.names, out])
 
-    return df.mapInArrow(tidy(run), schema)
+    return small_batches(df).mapInArrow(tidy(run), schema)
 
 
 def digest_of_ids(ids: str = "ids") -> Column:

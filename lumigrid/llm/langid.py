@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumigrid.llm.common import tidy, written
+from lumigrid.llm.common import small_batches, tidy, written
 
 #: At most about so many labelled rows, and words of so many code points, are used to fit the classifier.
 FIT_ROWS = 3000
@@ -48,7 +48,7 @@ CELLS, LOW = 100_000, 1e-100
 #: Added to each piece's expected count; probability of a code point without piece.
 SMOOTHING, STRANGE = 0.02, 1e-9
 #: Words after which a worker's memo starts anew.
-MEMO = 100_000
+MEMO = 60_000
 MARK = "▁"
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -272,7 +272,7 @@ def identified(df: DataFrame, model: Model, text: str = "text", out: str = "lang
                 names, scores = scorer(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], [*part.schema.names, out, score])
 
-    return rows.mapInArrow(tidy(run), schema)
+    return small_batches(rows).mapInArrow(tidy(run), schema)
 
 
 def remainder(key: str, modulus: int) -> Column:

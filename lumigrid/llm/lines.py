@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.llm.common import BLANKS, WORD, tidy, written
+from lumigrid.llm.common import BLANKS, WORD, small_batches, tidy, written
 
 LINES, WORDS = 4, 50
 FIRST_KEY = -(1 << 63)
@@ -78,7 +78,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Repeated windows (doc, mark, start, end): lines from start, before end, of a text."""
-    texts = hashed(docs, key, text).dropDuplicates(["doc", "mark"])
+    texts = hashed(small_batches(docs), key, text).dropDuplicates(["doc", "mark"])
     prints = written(texts.mapInArrow(tidy(_windows), "doc long, mark long, at long, n long, print long"))
     place = F.struct("doc", "mark", "at")
     firsts = written(prints.groupBy("print", "n").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").select("print", "n", "f"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.llm.common import tidy, written
+from lumigrid.llm.common import small_batches, tidy, written
 from lumigrid.llm.graph import Union, components
 
 BANDS, ROWS = 40, 5
@@ -46,7 +46,7 @@ FANOUT = 8
 #: Bits of a bitmap at most; with more shared n-grams several take one bit, and leaves are checked by their sets.
 MOST_BITS = 1 << 15
 #: Classes after which a task forgets which it has named, and words after which it starts its memo anew.
-MEMO = 200_000
+MEMO = 100_000
 CHUNK = 1 << 15
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,7 +131,7 @@ def classed(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
                 lists = pa.array([found.get(i) for i in range(len(rows))], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), lists], ["doc", "size", "class", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), "doc long, size long, class long, bands array<long>")
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), "doc long, size long, class long, bands array<long>")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
