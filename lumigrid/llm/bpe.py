@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from lumigrid.llm.common import small_batches, tidy
 
 #: Entries after which a worker's memo of words, pieces or token pairs starts anew.
-MEMO = 40_000
+MEMO = 120_000
 #: Bytes of text encoded into one Arrow batch, about.
 BATCH_BYTES = 4_000_000
 
