@@ -143,17 +143,6 @@ def test_slices_score_all_words(spark, monkeypatch):
     assert abs(scores[1] / scores[0] - 1) < 0.05, scores  # slices of some 400 words learn apart
 
 
-def test_all_edges_are_ranked(spark):
-    from lumigrid.plans import catalogue
-
-    q, d = catalogue.queries(), "/root/testdata/sf0.001"
-    ranked = q["edges_ranked_by_rgb"](spark, d).toPandas()
-    assert len(ranked) == q["edge_weights"](spark, d).count() > 50
-    for _, image in ranked.groupby("image_id"):
-        image = image.sort_values("rank")
-        assert image["rank"].tolist() == list(range(1, len(image) + 1)) and image["w_rgb"].is_monotonic_increasing
-
-
 def test_long_secrets_are_proposed_whole(spark):
     secrets = ["a1B2" * 60, "head/" + "x9" * 150 + "+tail-end", "k" * 20]
     df = spark.createDataFrame([(f"token = {x} ; end",) for x in secrets], "text string")
