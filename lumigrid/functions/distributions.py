@@ -18,18 +18,23 @@ class ExponentialFamily(Protocol):
 
 
 def kummer(a: float, b: float, x: float) -> float:
-    """Kummer's confluent hypergeometric function 1F1(a; b; x)."""
+    """Kummer's confluent hypergeometric function 1F1(a; b; x); infinite at the poles b = 0, -1, .."""
+    if b <= 0 and b == math.floor(b):
+        return math.inf
+    if a == b:
+        return math.exp(x)
     return math.exp(log_kummer(a, b, x)) if a > 0 and b > a else _series(a, b, x)
 
 
 def _series(a: float, b: float, x: float) -> float:
+    """The power series; its terms grow until about the x-th and fall from there on."""
     if x < 0:
         return math.exp(x) * _series(b - a, b, -x)
     term = total = 1.0
-    for k in range(500):
+    for k in range(500 + int(4 * (abs(x) + abs(a) + abs(b)))):
         term *= (a + k) / (b + k) * x / (k + 1)
         total += term
-        if abs(term) < 1e-15 * abs(total):
+        if k > abs(b) and abs(term) < 1e-15 * abs(total):
             break
     return total
 
@@ -47,6 +52,10 @@ def log_kummer(a: float, b: float, x: float) -> float:
     return math.lgamma(b) - math.lgamma(a) + x + (a - b) * math.log(x) + math.log(total)
 
 
+def log_gamma(x: float) -> float:
+    return math.lgamma(x)
+
+
 def kummer_ratio(a: float, c: float, x: float) -> float:
     """Derivative of log 1F1(a; c; x): the mean squared projection at concentration x."""
     return a / c * math.exp(log_kummer(a + 1, c + 1, x) - log_kummer(a, c, x))
@@ -121,6 +130,10 @@ class Watson:
     def logpdf(self, x: np.ndarray) -> np.ndarray:
         return watson_statistic(x) @ self.theta - self.log_normaliser()
 
+    def density(self, x: np.ndarray) -> np.ndarray:
+        """The density, relative to the uniform one."""
+        return np.exp(self.logpdf(x))
+
     def divergence(self, other: "Watson") -> float:
         """Bregman divergence from this mean statistic to the other's."""
         return self.dual() - other.dual() - float((self.mean - other.mean) @ other.theta)
@@ -137,9 +150,19 @@ class Watson:
         return np.linalg.eigh(m)[1][:, -1]
 
 
+def scatter(x: np.ndarray) -> np.ndarray:
+    """Mean of the outer squares of rows."""
+    return x.T @ x / len(x)
+
+
+def log_likelihood(x: np.ndarray, axis: np.ndarray, kappa: float) -> float:
+    """Watson log likelihood of rows from their scatter: n (k u'Su - log M)."""
+    return len(x) * (kappa * float(axis @ scatter(x) @ axis) - log_kummer(0.5, x.shape[1] / 2, kappa))
+
+
 def watson_mle(x: np.ndarray) -> tuple[np.ndarray, float]:
     """Axis and concentration of greatest likelihood: along the largest or the least eigenvector."""
-    s = x.T @ x / len(x)
+    s = scatter(x)
     values, vectors = np.linalg.eigh(s)
     d, best = x.shape[1], None
     for at in (-1, 0):

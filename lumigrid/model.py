@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+import ast
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 
 PIXELS = (
     "image_id BIGINT, pid BIGINT, row INT, col INT, c1 DOUBLE, c2 DOUBLE, c3 DOUBLE, x DOUBLE, y DOUBLE, z DOUBLE, "
@@ -30,6 +32,8 @@ class GraphConfig:
     scale_k: float = 1.0
     min_size: int = 200
     update_sizes: bool = False
+    #: Edges (image_id, src, dst, w_rgb, w_xyz, w_n) of a pixel frame, in place of the built-in weights.
+    weigh: Callable | None = field(default=None, compare=False)
 
 
 @dataclass(frozen=True)
@@ -44,6 +48,9 @@ class SpectralConfig:
     lab_mode: str = "reference"
     return_pruned: bool = False
     seed: int = 0
+    #: Affinity of rows to landmarks, and which sizes of regions to delete, in place of the built-in ones.
+    affinity: Callable | None = field(default=None, compare=False)
+    delete: Callable[[int], bool] | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
         if not 0 <= self.proportion <= 1:
@@ -67,7 +74,7 @@ class WatsonConfig:
 
     k: int = 4
     k_init: int = 6
-    iterations: int = 60
+    iterations: int = 300
     seed: int = 0
 
 
@@ -94,4 +101,9 @@ class MergeConfig:
 
 def params(config) -> dict[str, str]:
     """A parameter record as a map of strings, for the result store."""
-    return {k: str(v) for k, v in asdict(config).items()}
+    return {k: str(v) for k, v in asdict(config).items() if not callable(v) and v is not None}
+
+
+def config_of(kind: type, values: dict[str, str]):
+    """The record that ``params`` wrote as a map of strings."""
+    return kind(**{k: ast.literal_eval(v) if k != "lab_mode" else v for k, v in values.items()})

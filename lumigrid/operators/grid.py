@@ -110,12 +110,17 @@ def svd_normals(df: DataFrame, w: int = 3, absolute: float = 0.5) -> DataFrame:
     return moments(df, w, absolute=absolute).where("n > 3").mapInPandas(solve, schema)
 
 
+def _finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+
 def filled_normals(df: DataFrame, w: int = 3, below: float = 1e-6) -> DataFrame:
-    """Near-zero normals replaced by the direction of the sum over their window, from one snapshot."""
+    """Near-zero and non-finite normals replaced by the direction of the sum over the finite ones
+    of their window, from one snapshot."""
     length = F.sqrt(sum((F.col(n) * F.col(n) for n in NORMAL), F.lit(0.0)))
-    holes = df.where((length < below) | F.isnan(length))
+    holes = df.where((length < below) | ~_finite(length))
     near = exploded(holes.select("image_id", "pid", "row", "col"), window(w)).withColumns({"row": F.col("row") + F.col("dr"), "col": F.col("col") + F.col("dc")})
-    sound = df.where(~F.isnan(length)).select(*KEYS, *NORMAL)
+    sound = df.where(_finite(length)).select(*KEYS, *NORMAL)
     sums = near.join(sound, KEYS).groupBy("image_id", "pid").agg(*[F.sum(n).alias(f"s_{n}") for n in NORMAL])
     total = F.sqrt(sum((F.col(f"s_{n}") * F.col(f"s_{n}") for n in NORMAL), F.lit(0.0)))
     sums = sums.select("image_id", "pid", *[F.when(total != 0, F.col(f"s_{n}") / total).otherwise(F.lit(float("nan"))).alias(f"s_{n}") for n in NORMAL])
@@ -123,6 +128,19 @@ def filled_normals(df: DataFrame, w: int = 3, below: float = 1e-6) -> DataFrame:
     return out.select(*[F.coalesce(f"s_{c}", c).alias(c) if c in NORMAL else c for c in df.columns])
 
 
+def cleaned_normals(df: DataFrame, w: int = 3) -> DataFrame:
+    """Non-finite components of normals replaced by the mean of the finite ones in their window (7 by 7), and
+    the normals so mended scaled to length 1; without a finite neighbour they stay."""
+    finite = {n: _finite(F.col(n)) for n in NORMAL}
+    holes = df.where(~(finite["nx"] & finite["ny"] & finite["nz"]))
+    near = exploded(holes.select("image_id", "pid", "row", "col"), window(w)).withColumns({"row": F.col("row") + F.col("dr"), "col": F.col("col") + F.col("dc")})
+    means = near.join(df.select(*KEYS, *NORMAL), KEYS).groupBy("image_id", "pid").agg(*[F.avg(F.when(finite[n], F.col(n))).alias(f"m_{n}") for n in NORMAL])
+    out = df.join(means.withColumn("_mended", F.lit(True)), ["image_id", "pid"], "left")
+    out = out.withColumns({f"f_{n}": F.when(finite[n], F.col(n)).otherwise(F.coalesce(f"m_{n}", n)) for n in NORMAL})
+    length = F.sqrt(sum((F.col(f"f_{n}") * F.col(f"f_{n}") for n in NORMAL), F.lit(0.0)))
+    return out.select(*[F.when(F.col("_mended") & (length != 0), F.col(f"f_{c}") / length).otherwise(F.col(f"f_{c}")).alias(c) if c in NORMAL else c for c in df.columns])
+
+
 def filled_normals_in_place(df: DataFrame, w: int = 3, below: float = 1e-6) -> DataFrame:
     """The same with earlier fills feeding later ones, row by row; one image per task."""
 
@@ -131,8 +149,10 @@ def filled_normals_in_place(df: DataFrame, w: int = 3, below: float = 1e-6) -> D
         n = np.zeros((h, wd, 3))
         r, c = image["row"].to_numpy() - 1, image["col"].to_numpy() - 1
         n[r, c] = image[list(NORMAL)]
-        for i, j in np.argwhere(np.linalg.norm(n, axis=2) < below):
-            s = n[max(0, i - w) : i + w + 1, max(0, j - w) : j + w + 1].sum(axis=(0, 1))
+        size = np.linalg.norm(n, axis=2)
+        for i, j in np.argwhere((size < below) | ~np.isfinite(size)):
+            near = n[max(0, i - w) : i + w + 1, max(0, j - w) : j + w + 1]
+            s = near[np.isfinite(near).all(axis=2)].sum(axis=0)
             size = np.linalg.norm(s)
             n[i, j] = s / size if size else np.nan
         return image.assign(nx=n[r, c, 0], ny=n[r, c, 1], nz=n[r, c, 2])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,16 +110,41 @@ def boundary_f(seg: DataFrame, truth: DataFrame, r: int = 1) -> DataFrame:
     return m.select("image_id", F.when(p + q > 0, 2 * p * q / (p + q)).otherwise(0.0).alias("value"))
 
 
-def boundary_displacement(seg: DataFrame, truth: DataFrame, most: int = 5) -> DataFrame:
-    """Mean of both directed mean distances to the nearest boundary; distances over ``most`` count as ``most``."""
-    a, b = edge_pixels(seg), edge_pixels(truth)
-
-    def directed(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
-        d = x.join(_reached(x, y, most), KEYS, "left").select("image_id", F.least(F.coalesce("d", F.lit(float(most))), F.lit(float(most))).alias("d"))
-        return d.groupBy("image_id").agg(F.avg("d").alias(name))
+def boundary_displacement(seg: DataFrame, truth: DataFrame) -> DataFrame:
+    """Mean of both directed mean distances to the nearest boundary pixel; null if either has none.
 
-    both = directed(a, b, "x").join(directed(b, a, "y"), "image_id")
-    return both.select("image_id", ((F.col("x") + F.col("y")) / 2).alias("value"))
+    Distances come from an exact distance transform, one image per task.
+    """
+    a, b = edge_pixels(seg), edge_pixels(truth)
+    places = a.select("image_id", "row", "col", F.lit(True).alias("own")).unionByName(b.select("image_id", "row", "col", F.lit(False).alias("own")))
+
+    def measured(image: pd.DataFrame) -> pd.DataFrame:
+        shape = (int(image["row"].max()), int(image["col"].max()))
+        sides = [image[image["own"] == x] for x in (True, False)]
+        value = None
+        if all(map(len, sides)):
+            masks = []
+            for side in sides:
+                mask = np.zeros(shape, bool)
+                mask[side["row"] - 1, side["col"] - 1] = True
+                masks.append(mask)
+            value = float(np.mean([nearest(y)[x].mean() for x, y in (masks, masks[::-1])]))
+        return pd.DataFrame({"image_id": [image["image_id"].iloc[0]], "value": [value]})
+
+    return places.groupBy("image_id").applyInPandas(measured, "image_id long, value double")
+
+
+def nearest(mask: np.ndarray) -> np.ndarray:
+    """Distance from each place to the nearest true one: down the columns first, then over all columns."""
+    h, w = mask.shape
+    rows = np.arange(h)[:, None]
+    before = np.maximum.accumulate(np.where(mask, rows, -(1 << 20)), axis=0)
+    after = np.minimum.accumulate(np.where(mask, rows, 1 << 20)[::-1], axis=0)[::-1]
+    down = np.minimum(rows - before, after - rows).astype(np.float64) ** 2
+    out = np.full((h, w), np.inf)
+    for c in range(w):
+        out = np.minimum(out, down[:, c : c + 1] + (np.arange(w) - c) ** 2)
+    return np.sqrt(out)
 
 
 def colour_errors(df: DataFrame) -> DataFrame:
@@ -202,6 +229,16 @@ def frc_rgbd(df: DataFrame) -> DataFrame:
     return both.select("image_id", ((F.col("c") + F.col("d")) / 2).alias("value"))
 
 
+def of_channels(metric: Callable[..., DataFrame], names: tuple[str, ...] = COLOUR, **options) -> Callable[[DataFrame], DataFrame]:
+    """A metric of one value as one of several: the mean over the named columns."""
+
+    def mean(df: DataFrame) -> DataFrame:
+        every = reduce(DataFrame.unionByName, [metric(df, value=c, **options) for c in names])
+        return every.groupBy("image_id").agg(F.avg("value").alias("value"))
+
+    return mean
+
+
 SUPERVISED: dict[str, Callable[[DataFrame], DataFrame]] = {
     "RandIndex": rand_index,
     "VariationOfInformation": variation_of_information,
@@ -214,8 +251,8 @@ SUPERVISED: dict[str, Callable[[DataFrame], DataFrame]] = {
 BOUNDARY: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"FBoundary": boundary_f, "BoundaryDisplacementError": boundary_displacement}
 UNSUPERVISED: dict[str, Callable[[DataFrame], DataFrame]] = {
     "ECW": ecw,
-    "Zeboudj": zeboudj,
-    "ValuesEntropy": values_entropy,
+    "Zeboudj": of_channels(zeboudj, radius=5),
+    "ValuesEntropy": of_channels(values_entropy),
     "LiuYangF": liu_yang,
     "FPrime": f_prime,
     "Q": q_metric,

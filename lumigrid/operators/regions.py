@@ -54,6 +54,12 @@ def watson_of_regions(df: DataFrame) -> DataFrame:
     return df.groupBy("image_id", "label").agg(*[F.avg(x).alias(f"t{i + 1}") for i, x in enumerate(t)], F.count("*").alias("cnt"))
 
 
+def covariances(df: DataFrame, names: tuple[str, ...] = COLOUR) -> DataFrame:
+    """Per label the sample covariances of the named columns, as a_b for a not after b."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    return df.groupBy("image_id", "label").agg(*[F.covar_samp(a, b).alias(f"{a}_{b}") for a, b in pairs])
+
+
 def components(df: DataFrame, label: str = "label") -> DataFrame:
     """4-connected components of equal labels, numbered by first pixel; one image per task."""
 

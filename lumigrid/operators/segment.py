@@ -11,10 +11,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumigrid.model import CHANNELS, NORMAL, DiametricalConfig, GraphConfig, MixtureConfig, SpectralConfig, WatsonConfig
+from lumigrid.model import CHANNELS, COLOUR, NORMAL, POSITION, DiametricalConfig, GraphConfig, MixtureConfig, SpectralConfig, WatsonConfig
 from lumigrid.operators import grid, mixture, regions
 from lumigrid.operators.projections import to_lab
 
@@ -90,7 +90,7 @@ def merged_graph(n: int, edges: np.ndarray, weights: np.ndarray, config: GraphCo
 
 @algorithm(GraphConfig)
 def graph_segments(df: DataFrame, config: GraphConfig) -> DataFrame:
-    edges = grid.weights(df)
+    edges = (config.weigh or grid.weights)(df)
     pixels = df.select(F.col("image_id").alias("image"), "pid")
 
     def run(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
@@ -104,11 +104,12 @@ def graph_segments(df: DataFrame, config: GraphConfig) -> DataFrame:
 
 
 def _per_image(df: DataFrame, act: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
-    def run(image: pd.DataFrame) -> pd.DataFrame:
-        image = image.sort_values("pid").reset_index(drop=True)
-        return pd.DataFrame({"image_id": image["image_id"], "pid": image["pid"], "label": np.asarray(act(image), np.int32)})
+    return df.groupBy("image_id").applyInPandas(lambda image: _labelled(image, act), LABELS)
 
-    return df.groupBy("image_id").applyInPandas(run, LABELS)
+
+def _labelled(image: pd.DataFrame, act: Callable[[pd.DataFrame], np.ndarray]) -> pd.DataFrame:
+    image = image.sort_values("pid").reset_index(drop=True)
+    return pd.DataFrame({"image_id": image["image_id"], "pid": image["pid"], "label": np.asarray(act(image), np.int32)})
 
 
 def _smoothed(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -142,12 +143,39 @@ def landmarks(n: int, proportion: float) -> np.ndarray:
     return np.unique(np.floor(np.arange(m) * n / m).astype(int))
 
 
-def nystrom(f: np.ndarray, at: np.ndarray, nev: int) -> np.ndarray:
-    """Leading eigenvectors of the normalised Gaussian affinity, extended from landmarks to all rows."""
-    c = np.exp(-((f[:, None, :] - f[None, at, :]) ** 2).sum(axis=2))
+def landmark_pixels(df: DataFrame, proportion: float) -> DataFrame:
+    """The pixels of the evenly spaced places that ``landmarks`` names, as a plan: places by pid in each image."""
+    n = F.count("*").over(Window.partitionBy("image_id"))
+    rows = df.withColumns({"_at": F.row_number().over(Window.partitionBy("image_id").orderBy("pid")) - 1, "_n": n})
+    m = F.greatest(F.lit(2), F.least("_n", F.rint(F.col("_n") * proportion).cast("long")))
+    # place p is floor(k n / m) for some k if and only if k = ceil(p m / n) gives it back
+    k = F.expr("(_at * _m + _n - 1) div _n")
+    return rows.withColumn("_m", m).withColumn("_k", k).where("_k < _m and (_k * _n) div _m = _at").drop("_at", "_n", "_m", "_k")
+
+
+def affinity(df: DataFrame, marks: DataFrame, names: tuple[str, ...] = (*COLOUR, *POSITION)) -> DataFrame:
+    """Gaussian affinity of all pixels to the landmarks of their image (some hundreds of them)."""
+    other = marks.select("image_id", F.col("pid").alias("mark"), *[F.col(c).alias(f"o_{c}") for c in names])
+    gap = sum(((F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}")) for c in names), F.lit(0.0))
+    return df.select("image_id", "pid", *names).join(other, "image_id").select("image_id", "pid", "mark", F.exp(-gap).alias("a"))
+
+
+def gaussian(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """exp of minus the squared distances, from norms and one product."""
+    square = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y) - 2 * x @ y.T
+    return np.exp(-np.maximum(square, 0))
+
+
+def nystrom(f: np.ndarray, at: np.ndarray, nev: int, affinity: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Leading eigenvectors of the normalised affinity, extended from landmarks to all rows.
+
+    Memory is that of rows times landmarks, twice.
+    """
+    c = (affinity or gaussian)(f, f[at])
     inner = np.linalg.pinv(c[at], hermitian=True, rcond=1e-10)
     degree = np.maximum(c @ (inner @ c.sum(axis=0)), 1e-12)
-    c = c / np.sqrt(degree)[:, None] / np.sqrt(degree[at])[None]
+    c /= np.sqrt(degree)[:, None]
+    c /= np.sqrt(degree[at])[None]
     values, vectors = np.linalg.eigh((c[at] + c[at].T) / 2)
     keep = np.argsort(-values)[: min(nev, len(at))]
     return c @ vectors[:, keep] / np.where(np.abs(values[keep]) > 1e-10, values[keep], 1e-10)
@@ -166,6 +194,12 @@ def disparity(f: np.ndarray, labels: np.ndarray) -> float:
     return float(np.mean(scores))
 
 
+def best_of(scores: DataFrame) -> DataFrame:
+    """Of rows (image_id, place, .., score) each image's row of the greatest score, the first place of equal ones."""
+    order = Window.partitionBy("image_id").orderBy(F.col("score").desc(), "place")
+    return scores.where("score IS NOT NULL AND NOT isnan(score)").withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+
+
 @algorithm(SpectralConfig)
 def spectral_segments(df: DataFrame, config: SpectralConfig) -> DataFrame:
     colours = to_lab(df) if config.lab_mode == "reference" else to_lab(df.withColumns({c: F.col(c) * 255 for c in ("c1", "c2", "c3")}))
@@ -177,10 +211,10 @@ def spectral_segments(df: DataFrame, config: SpectralConfig) -> DataFrame:
         best = None
         for weight in config.lambdas:
             f = x * np.r_[[3 / max(spread[:3].sum(), 1e-12)] * 3, [weight * 3 / max(spread[3:].sum(), 1e-12)] * 3]
-            _, group = mixture.kmeans(nystrom(f, landmarks(len(x), config.proportion), config.nev), config.k, config.seed)
+            _, group = mixture.kmeans(nystrom(f, landmarks(len(x), config.proportion), config.nev, config.affinity), config.k, config.seed)
             same = group[a] == group[b]
             labels = regions.renumbered(regions.flooded(own, a[same], b[same]))
-            small = regions.pruned(labels, np.stack([a, b]), config.prune_below)
+            small = regions.pruned(labels, np.stack([a, b]), config.prune_below, config.delete)
             score = disparity(f, small)
             if not np.isnan(score) and (best is None or score > best[0]):
                 best = score, regions.renumbered(small) if config.return_pruned else labels

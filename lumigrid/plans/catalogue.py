@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import math
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumigrid.functions import distributions
-from lumigrid.model import CHANNELS, COLOUR, NORMAL, POSITION, DiametricalConfig, GraphConfig, MergeConfig, MixtureConfig, SpectralConfig, WatsonConfig
+from lumigrid.model import CHANNELS, COLOUR, NORMAL, POSITION, DiametricalConfig, GraphConfig, MergeConfig, MixtureConfig, SpectralConfig, WatsonConfig, config_of, params
 from lumigrid.operators import grid, metrics, mixture, projections, regions
-from lumigrid.operators.segment import segment
-from lumigrid.plans import sql
-from lumigrid.sources import store
+from lumigrid.operators.segment import affinity as affinities
+from lumigrid.operators.segment import best_of, landmark_pixels, segment
+from lumigrid.plans import harness, sql
+from lumigrid.sources import dataset, store
 from lumigrid.sources.fixtures import blocky, metric_rows, pixels, pixels_events, pixels_multi
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,13 +155,7 @@ def edge_weights(spark, d):
 
 @query(sql.BY_RGB)
 def edges_by_rgb(spark, d):
-    w = grid.weights(pixels(spark, d))
-    return rounded(w.orderBy("w_rgb", "src", "dst").limit(50).select("image_id", "src", "dst", "w_rgb"))
-
-
-@query(sql.RANKED_BY_RGB)
-def edges_ranked_by_rgb(spark, d):
-    """All edges in the order in which the graph merging takes them; edges_by_rgb shows the first 50."""
+    """All edges with their rank in their image: the order in which the graph merging takes them."""
     w = rounded(grid.weights(pixels(spark, d)).select("image_id", "src", "dst", "w_rgb"))
     return w.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy("w_rgb", "src", "dst")).cast("long"))
 
@@ -348,29 +350,28 @@ def hard_clustering(spark, d):
 
 @query(sql.LANDMARKS)
 def landmarks(spark, d):
-    return rounded(pixels(spark, d).where(F.pmod("pid", F.lit(50)) == 0).select("image_id", "pid", "c1", "z"))
+    return rounded(landmark_pixels(pixels(spark, d), 0.03).select("image_id", "pid", "c1", "z"))
 
 
 @query(sql.AFFINITY)
 def affinity(spark, d):
-    p = pixels(spark, d).select("image_id", "pid", *COLOUR, *POSITION)
-    marks = p.where("pid % 100 = 0").select("image_id", F.col("pid").alias("mark"), *[F.col(c).alias(f"o_{c}") for c in (*COLOUR, *POSITION)])
-    gap = sum(((F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}")) for c in (*COLOUR, *POSITION)), F.lit(0.0))
-    return rounded(p.join(marks, "image_id").select("image_id", "pid", "mark", F.exp(-gap).alias("a")))
+    p = pixels(spark, d)
+    return rounded(affinities(p, landmark_pixels(p, 0.03)))
 
 
 @query(sql.BEST)
 def best_lambda(spark, d):
-    rows = metric_rows(spark, d).where("value is not null")
-    best = rows.groupBy("algorithm").agg(F.max_by(F.struct("image_id", "value"), F.struct("value", -F.col("image_id"))).alias("b"))
-    return rounded(best.select("algorithm", F.col("b.image_id").alias("image_id"), F.col("b.value").alias("value")))
+    """Of several labellings of each image, in the order of their weights, the best by disparity."""
+    p, found = pixels_multi(spark, d), []
+    for place, side in enumerate((2, 3, 5)):
+        blocks = p.withColumn("label", F.expr(f"cast(((row - 1) div {side}) * 10 + (col - 1) div {side} as int)"))
+        found.append(metrics.frc_rgbd(blocks).select("image_id", F.lit(place).alias("place"), F.round("value", 9).alias("score")))
+    return rounded(best_of(reduce(DataFrame.unionByName, found)))
 
 
 @query(sql.COVARIANCE)
 def region_covariance(spark, d):
-    p = pixels(spark, d)
-    pairs = [(a, b) for i, a in enumerate(COLOUR) for b in COLOUR[i:]]
-    return rounded(p.groupBy("image_id", "label").agg(*[F.covar_samp(a, b).alias(f"{a}_{b}") for a, b in pairs]))
+    return rounded(regions.covariances(pixels(spark, d)))
 
 
 # Whole algorithms
@@ -401,6 +402,198 @@ def diametrical(spark, d):
     return segment(pixels_multi(spark, d), DiametricalConfig(k=3))
 
 
+def _flat(spark, d) -> DataFrame:
+    """Images whose regions are 5 by 5 blocks, far apart in colour, position and normal, with little noise."""
+    p = pixels_multi(spark, d)
+    block = F.expr("cast((row - 1) div 5 * 2 + (col - 1) div 5 as int)")
+    p = p.withColumn("label", block)
+    at = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), block + 1)
+    far = {"c1": (0, 10, 0, 10), "c2": (0, 0, 10, 10), "c3": (1, 2, 3, 4), "x": (0, 0, 9, 9), "y": (0, 9, 0, 9), "z": (1, 3, 5, 7)}
+    p = p.withColumns({c: at(v) + F.col(c) * 1e-3 for c, v in far.items()})
+    axes = {"nx": (1, 0, 0, 0.6), "ny": (0, 1, 0, 0.6), "nz": (0, 0, 1, 0.529150262212918)}
+    p = p.withColumns({c: at(v) + F.col(c) * 1e-3 for c, v in axes.items()})
+    length = F.sqrt(sum((F.col(n) * F.col(n) for n in NORMAL), F.lit(0.0)))
+    return p.withColumns({n: F.col(n) / length for n in NORMAL})
+
+
+def _halves(spark, d) -> DataFrame:
+    """The same with two halves, as median filters and poor starts change what lies between four blocks."""
+    p = _flat(spark, d)
+    side = F.expr("cast((col - 1) div 5 as int)")
+    small = {c: F.col(c) - F.round(F.col(c)) for c in (*COLOUR, *POSITION)}
+    p = p.withColumns(small).withColumns({c: F.col(c) + side * 4.0 + 1 for c in (*COLOUR, *POSITION)})
+    length = F.sqrt(1 + F.col("c1") * F.col("c1") * 1e-6 * (1 - side) + F.col("c2") * F.col("c2") * 1e-6 * side)
+    tilt = {"nx": F.when(side == 0, 1.0).otherwise(0.0), "ny": F.when(side == 0, F.col("c1") * 1e-3).otherwise(F.col("c2") * 1e-3), "nz": F.when(side == 1, 1.0).otherwise(0.0)}
+    return p.withColumns({c: v / length for c, v in tilt.items()}).withColumn("label", side)
+
+
+def _flat_query(name: str, text: str, source: Callable, config: object) -> None:
+    QUERIES[name] = lambda spark, d: segment(source(spark, d), config)
+    SQL[name] = text
+
+
+for _name, _text, _source, _config in (
+    ("cdngraph_flat", sql.FLAT, _flat, GraphConfig(scale_k=0.5, min_size=5)),
+    ("depthwmm_flat", sql.FLAT, _flat, WatsonConfig(k=4, k_init=6, iterations=50)),
+    ("jcsa_flat", sql.HALVES, _halves, MixtureConfig(k=2, max_iterations=30, seed=3)),
+    ("jcsa_merged_flat", sql.HALVES, _halves, MixtureConfig(k=2, max_iterations=30, seed=3, merge_regions=True)),
+    ("gcf_flat", sql.HALVES, _halves, SpectralConfig(lambdas=(0.1, 1.0), nev=2, k=2, proportion=0.3, prune_below=3)),
+    ("diametrical_flat", sql.HALVES, _halves, DiametricalConfig(k=2)),
+):
+    _flat_query(_name, _text, _source, _config)
+
+
+@query(sql.OBJECTIVE)
+def diametrical_objective(spark, d):
+    """The mean squared cosine to the own cluster's first coordinate axis, by cluster."""
+    p = _halves(spark, d)
+    labels = segment(p, DiametricalConfig(k=2)).withColumnRenamed("label", "cluster")
+    own = F.when(F.col("cluster") == 1, F.col("nx") * F.col("nx")).otherwise(F.col("nz") * F.col("nz"))
+    return rounded(p.join(labels, ["image_id", "pid"]).groupBy("image_id", "cluster").agg(F.count("*").alias("n"), F.avg(own).alias("objective")), 4)
+
+
+@query(sql.SVD_FLAT)
+def svd_normals_plane(spark, d):
+    """Local planes of one tilted plane: every pixel has its normal."""
+    p = pixels(spark, d).withColumns({"x": F.col("col") * 0.01, "y": F.col("row") * 0.01}).withColumn("z", 2 + F.col("x") * 0.5 - F.col("y") * 0.25)
+    return rounded(grid.svd_normals(p, 2, 0.5).select("image_id", "pid", *NORMAL), 5)
+
+
+@query(sql.PLANES_FLAT)
+def local_planes_plane(spark, d):
+    p = pixels(spark, d).withColumns({"x": F.col("col") * 0.01, "y": F.col("row") * 0.01}).withColumn("z", 2 + F.col("x") * 0.5 - F.col("y") * 0.25)
+    return rounded(grid.planes(p, 2, 0.5).select("image_id", "pid", *NORMAL), 5)
+
+
+@query(sql.FILL_ONE)
+def fill_normals_in_place_apart(spark, d):
+    """Holes too far apart to feed each other, so filling in place equals filling from one snapshot."""
+    p = pixels(spark, d)
+    hole = (F.col("row") % 4 == 0) & (F.col("col") % 4 == 0)
+    p = p.withColumns({n: F.when(hole, 0.0).otherwise(F.col(n)) for n in NORMAL})
+    return rounded(grid.filled_normals_in_place(p, 1).select("image_id", "pid", *NORMAL))
+
+
+@query(sql.CLEANED)
+def clean_normals(spark, d):
+    p = pixels(spark, d)
+    broken = F.when(F.col("pid") % 11 == 0, float("nan")).when(F.col("pid") % 13 == 0, float("inf"))
+    return rounded(grid.cleaned_normals(p.withColumn("nx", F.coalesce(broken, F.col("nx")))).select("image_id", "pid", *NORMAL))
+
+
+@query(sql.SMALL)
+def small_regions_of_stripes(spark, d):
+    """Stripes of two rows with one odd pixel each: removing small regions leaves the stripes."""
+    p = pixels_multi(spark, d).withColumn("stripe", F.expr("cast((row - 1) div 2 as int)"))
+    odd = (F.col("col") == 5) & (F.col("row") % 4 == 1)
+    p = p.withColumns({c: F.col("stripe") * 10.0 for c in COLOUR}).withColumn("label", F.when(odd, 100 + F.col("stripe")).otherwise(F.col("stripe")))
+    return regions.remove_small(p.drop("label").join(regions.components(p), ["image_id", "pid"]), 3)
+
+
+# Distributions
+
+
+def _numbers(spark, text: str, f: Callable, schema: str) -> DataFrame:
+    """A function of components' parameters (few rows) over the rows of a statement."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([f(*row) for row in b.itertuples(index=False)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return spark.sql(text).mapInPandas(run, schema)
+
+
+@query(sql.KUMMER)
+def kummer_values(spark, d):
+    f = lambda a, b, x: (a, b, x, math.log(abs(distributions.kummer(a, b, x))))
+    return rounded(_numbers(spark, sql.KUMMER_GRID, f, "a double, b double, x double, log_m double"))
+
+
+@query(sql.KUMMER_RATIO)
+def kummer_ratios(spark, d):
+    f = lambda a, c, x: (a, c, x, distributions.kummer_ratio(a, c, x))
+    return rounded(_numbers(spark, sql.RATIO_GRID, f, "a double, c double, x double, ratio double"))
+
+
+@query(sql.CONCENTRATION)
+def watson_concentration(spark, d):
+    """Concentrations by mean statistic, turned back into the mean: what went in must come out."""
+    f = lambda r: (r, distributions.kummer_ratio(0.5, 1.5, distributions.concentration(3, r)))
+    return rounded(_numbers(spark, sql.MEAN_GRID, f, "r double, back double"), 4)
+
+
+@query(sql.BOUNDS)
+def concentration_bounds(spark, d):
+    f = lambda r: (r, *distributions.concentration_bounds(r, 1.5, 0.5), distributions.concentration_approximate(r, 1.5, 0.5))
+    return rounded(_numbers(spark, sql.MEAN_GRID, f, "r double, low double, middle double, high double, chosen double"))
+
+
+@query(sql.GAMMA)
+def log_gamma_values(spark, d):
+    f = lambda x: (x, distributions.log_gamma(x), float(distributions.statistic_dimension(int(x) + 1)))
+    return rounded(_numbers(spark, sql.GAMMA_GRID, f, "x double, log_gamma double, dimension double"))
+
+
+def _by_label(spark, d, f: Callable, schema: str) -> DataFrame:
+    """A function of the pixels of each region."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(image: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[image["image_id"].iloc[0], image["label"].iloc[0], *f(image)]], columns=["image_id", "label", *names])
+
+    return rounded(pixels(spark, d).groupBy("image_id", "label").applyInPandas(run, f"image_id long, label int, {schema}"))
+
+
+@query(sql.GAUSSIAN_OF)
+def gaussian_of_regions(spark, d):
+    """Mean, covariance, log density at the mean and dual of the Gaussian of each region."""
+
+    def f(image):
+        g = distributions.Gaussian.of(image[list(COLOUR)].to_numpy())
+        s = g.covariance()
+        return [*g.mu, s[0, 0], s[0, 1], s[1, 2], float(g.logpdf(g.mu[None])[0]), g.dual()]
+
+    return _by_label(spark, d, f, "m1 double, m2 double, m3 double, s11 double, s12 double, s23 double, at_mean double, dual double")
+
+
+@query(sql.SCATTER_OF)
+def watson_scatter(spark, d):
+    """Scatter, and log likelihood of an axis from it, of the normals of each region."""
+
+    def f(image):
+        x = image[list(NORMAL)].to_numpy()
+        s = distributions.scatter(x)
+        return [s[0, 0], s[0, 1], s[1, 2], distributions.log_likelihood(x, np.array([0.0, 0.6, 0.8]), 5.0)]
+
+    return _by_label(spark, d, f, "sxx double, sxy double, syz double, ll double")
+
+
+@query(sql.WATSON_OF)
+def watson_of_means(spark, d):
+    """A region's Watson: the length of its mean, the mean as its parameters give it back, its divergence to
+    itself, and the trace of its statistic."""
+
+    def f(image):
+        w = distributions.Watson(distributions.watson_statistic(image[list(NORMAL)].to_numpy()).mean(axis=0))
+        back = float(np.linalg.norm(w.theta) * distributions.kummer_ratio(0.5, 1.5, w.kappa) / abs(w.kappa))
+        return [w.length, back, w.divergence(w), float(w.mean[:3].sum())]
+
+    return _by_label(spark, d, f, "length double, back double, own double, trace double")
+
+
+@query(sql.MLE)
+def watson_mle_axis(spark, d):
+    """Directions close to an axis: the fitted axis is that one, and its concentration gives the mean back."""
+
+    def run(image: pd.DataFrame) -> pd.DataFrame:
+        axis, kappa = distributions.watson_mle(image[list(NORMAL)].to_numpy())
+        axis = axis * np.sign(axis[np.abs(axis).argmax()])
+        return pd.DataFrame([[image["image_id"].iloc[0], image["label"].iloc[0], *np.round(axis, 2), kappa > 50]], columns=["image_id", "label", "ax", "ay", "az", "sharp"])
+
+    out = _flat(spark, d).where("label < 3").groupBy("image_id", "label").applyInPandas(run, "image_id long, label int, ax double, ay double, az double, sharp boolean")
+    return rounded(out, 2)
+
+
 # Metrics
 
 
@@ -440,6 +633,8 @@ for _name, _f in (
     ("q_metric", metrics.q_metric),
     ("values_entropy", metrics.values_entropy),
     ("zeboudj", metrics.zeboudj),
+    ("zeboudj_colour", metrics.of_channels(metrics.zeboudj, radius=5)),
+    ("values_entropy_colour", metrics.of_channels(metrics.values_entropy)),
     ("ecw", lambda p: metrics.ecw(p, 0.2)),
     ("frc_rgbd", metrics.frc_rgbd),
 ):
@@ -502,11 +697,148 @@ def segmentation_algorithms(spark, d):
     return rows.join(algorithms, "algorithm").groupBy("name").agg(F.countDistinct("image_id").alias("images"))
 
 
+@query(sql.DDL)
+def table_statements(spark, d):
+    """DDL and lower-case table names from record types."""
+    rows = [(store.table_name(k), store.create_table_sql(k)) for k in (GraphConfig, DiametricalConfig)]
+    return spark.createDataFrame(rows, "name string, ddl string")
+
+
+@query(sql.PARAMETERS)
+def parameter_maps(spark, d):
+    """Parameter records as maps, as JSON text, and read back as records and maps."""
+    records = [("CDNGraph", GraphConfig(scale_k=2.0)), ("Diametrical", DiametricalConfig(k=7))]
+    again = [(n, params(config_of(type(r), params(r)))) for n, r in records]
+    df = spark.createDataFrame(again, "name string, params map<string,string>")
+    df = df.select("name", store.encoded("params").alias("text")).select("name", "text", F.explode(store.decoded("text")).alias("key", "value"))
+    return df.where("value <> 'None'")
+
+
+@query(sql.FILE_NAMES)
+def file_names(spark, d):
+    rows = [(i, store.file_name("NYU", i), dataset.raw_file("/data"), dataset.transformed_file("/data", i)) for i in (1, 2, 1449)]
+    return spark.createDataFrame(rows, "image int, segments string, raw string, transformed string")
+
+
+@query(sql.FITS)
+def fits_round_trip(spark, d):
+    """Colour, positions and labels of each image as the parts of a FITS file, and back."""
+
+    def there(image: pd.DataFrame) -> pd.DataFrame:
+        image = image.sort_values("pid")
+        shape = (int(image["col"].max()), int(image["row"].max()))
+        grid_ = lambda c, kind: image[c].to_numpy().reshape(shape).T.astype(kind)
+        parts = [np.stack([grid_(c, np.float64) for c in g]) for g in (COLOUR, POSITION)] + [grid_("label", np.int32)]
+        return pd.DataFrame({"image_id": [image["image_id"].iloc[0]], "content": [dataset.fits_bytes(parts)]})
+
+    def back(batches):
+        for batch in batches:
+            for image, content in zip(batch["image_id"], batch["content"]):
+                rgb, xyz, labels = dataset.fits_parts(content)
+                r, c = np.mgrid[1 : labels.shape[0] + 1, 1 : labels.shape[1] + 1]
+                out = {"image_id": image, "row": r.ravel(), "col": c.ravel()} | {f"c{k + 1}": rgb[k].ravel().astype(float) for k in range(3)} | {n: xyz[k].ravel().astype(float) for k, n in enumerate(POSITION)}
+                yield pd.DataFrame(out | {"label": labels.ravel().astype(np.int32)})
+
+    files = pixels_multi(spark, d).groupBy("image_id").applyInPandas(there, "image_id long, content binary")
+    return rounded(files.mapInPandas(back, "image_id long, row int, col int, c1 double, c2 double, c3 double, x double, y double, z double, label int"))
+
+
+def _folder(spark) -> str:
+    store_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/lumigrid-scene-{uuid.uuid4().hex}"
+
+
+@query(sql.DATASET)
+def dataset_images(spark, d):
+    """A data set written in two steps (three images, then all; none twice) and read: counts by image, and its size."""
+    data = dataset.Dataset(spark, _folder(spark))
+    source = pixels_multi(spark, d)
+    data.preprocess(source, 3)
+    data.preprocess(source)
+    data.preprocess(source)
+    size = len(data)
+    return data.pixels().groupBy(F.col("image_id").cast("long").alias("image_id")).agg(F.count("*").alias("n")).withColumns({"size": F.lit(size), "name": F.lit(data.name)})
+
+
+@query(sql.IMAGE)
+def dataset_image(spark, d):
+    """One image of a data set, without its margin, labels from 1."""
+    data = dataset.Dataset(spark, _folder(spark))
+    data.preprocess(pixels_multi(spark, d))
+    found = data.images(F.col("image_id") == 2, margin=2, normals=False)
+    return rounded(found.select(F.col("image_id").cast("long").alias("image_id"), "pid", "row", "col", "c1", "label"))
+
+
+@query(sql.SAVED)
+def store_segments(spark, d):
+    """Labels and region means saved twice, the second time over the first, and read again."""
+    kept = store.Store(spark, _folder(spark))
+    p = pixels_multi(spark, d)
+    for labels in (p.select("image_id", "pid", F.lit(0).alias("label")), p.select("image_id", "pid", "label")):
+        kept.save_segments(labels, regions.summary(p), 5)
+    return kept.load_segments(1, 5).select(F.col("image_id").cast("long").alias("image_id"), "pid", "label")
+
+
+@query(sql.UPDATED)
+def store_updates(spark, d):
+    """Rows inserted twice (no row twice), then some updated, in a stored table."""
+    kept, schema = store.Store(spark, _folder(spark)), "image_id long, algorithm string, metric string, value double"
+    rows = metric_rows(spark, d).where("image_id % 3 = 0")
+    for _ in range(2):
+        kept.insert("rows", schema, rows, ["image_id"])
+    kept.update("rows", schema, rows.where("image_id % 2 = 0").withColumn("value", F.lit(9.0)), ["image_id"])
+    return rounded(kept.read("rows", schema))
+
+
+@query(sql.FIRST)
+def store_first(spark, d):
+    """The row of a key, and whether rows of other keys exist."""
+    rows = metric_rows(spark, d)
+    one = store.get(rows, image_id=7)
+    return spark.createDataFrame([(one["image_id"], one["algorithm"], store.exists(rows, image_id=8), store.exists(rows, image_id=-1))], "image_id long, algorithm string, other boolean, none boolean")
+
+
+@query(sql.MERGED_MAPS)
+def merged_metric_maps(spark, d):
+    rows = metric_rows(spark, d).where("value is not null and image_id < 200")
+    maps = rows.groupBy("algorithm").agg(*[F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("metric").isin(*k), F.struct("metric", F.lit(v).alias("v")))))).alias(n) for n, k, v in (("a", ("m0", "m1"), 1.0), ("b", ("m1", "m2"), 2.0))])
+    return maps.select("algorithm", F.explode(store.merged_metrics("a", "b")).alias("metric", "value"))
+
+
+@query(sql.RESIZED_MEANS)
+def resized_region_means(spark, d):
+    """An image resized with its labels, and the means of its regions then."""
+    small = grid.resized_nearest(pixels(spark, d), 0.5)
+    return rounded(regions.summary(small).select("image_id", "label", "cnt", "mc1", "mx", "mz"))
+
+
+@query(sql.RESIZED_ALL)
+def resize_all_channels(spark, d):
+    return rounded(grid.resized_bilinear(pixels(spark, d), 0.4, list(CHANNELS), ("label",)).select("image_id", "pid", *CHANNELS))
+
+
+@query(sql.HARNESS)
+def harness_summary(spark, d):
+    """A batch of two algorithms segmented, segmented again (nothing left to do), evaluated and summarised."""
+    kept = store.Store(spark, _folder(spark))
+    p = _flat(spark, d).where("image_id < 2")
+    config = {"algorithms": {"CDNGraph": {"scale_k": 0.5, "min_size": 5}, "DepthWMM": {"k": 4, "k_init": 6, "iterations": 50}}}
+    harness.segment_batch(p, config, kept)
+    rows = harness.segment_batch(p, config, kept)
+    if rows.where("error IS NOT NULL OR elapsed <= 0").limit(1).count():
+        raise ValueError("an image was not segmented")
+    harness.evaluate_batch(p, config, kept)
+    exact = ("RandIndex", "SegmentationCovering", "Precision", "FMeasure", "FMeasureRegions", "PRObjectsAndParts", "FBoundary", "BoundaryDisplacementError", "VariationOfInformation")
+    found = harness.summarize(kept).where(F.col("metric").isin(*exact))
+    return rounded(found.withColumn("mean", F.round("mean", 6) + 0.0))
+
+
 def store_dir(spark: SparkSession) -> None:
-    """A checkpoint folder where none is set."""
+    """A checkpoint folder where none is set, in local mode; an error on a cluster."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumigrid-"))
 
 

@@ -123,8 +123,7 @@ _DOT = "a.nx * b.nx + a.ny * b.ny + a.nz * b.nz"
 _W = f"""SELECT a.image_id, a.pid AS src, b.pid AS dst, sqrt({squares(COLOUR)}) AS w_rgb, sqrt({squares(POSITION)}) AS w_xyz,
   acos(greatest(0.0, least(1.0, {_DOT}))) AS w_n FROM {near("px", HALF)}"""
 WEIGHTS = f"WITH {PX}, w AS ({_W}) SELECT image_id, src, dst, {rs(('w_rgb', 'w_xyz', 'w_n'))} FROM w"
-BY_RGB = f"WITH {PX}, w AS ({_W}) SELECT image_id, src, dst, {r('w_rgb', 'w_rgb')} FROM w ORDER BY w.w_rgb, src, dst LIMIT 50"
-RANKED_BY_RGB = f"""WITH {PX}, w AS ({_W}), e AS (SELECT image_id, src, dst, {r('w_rgb', 'w_rgb')} FROM w)
+BY_RGB = f"""WITH {PX}, w AS ({_W}), e AS (SELECT image_id, src, dst, {r('w_rgb', 'w_rgb')} FROM w)
 SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY w_rgb, src, dst) AS rank FROM e"""
 _DEPTH = lambda t: f"FROM {near('px', window(2))} WHERE abs(b.z - a.z) {t} GROUP BY a.image_id, a.pid"
 NEIGHBOURS = f"WITH {PX} SELECT a.image_id, a.pid, count(*) AS n {_DEPTH('< a.z * 0.05')}"
@@ -226,10 +225,32 @@ k AS (SELECT *, exp(l0 - top) / (exp(l0 - top) + exp(l1 - top)) AS p0, exp(l1 -
     return f"{head}, u AS (SELECT 0 AS comp, p0 AS p, * FROM k UNION ALL SELECT 1, p1, * FROM k) SELECT image_id, comp, {cols}, {r('sum(p) / (SELECT count(*) FROM px)', 'weight')} FROM u GROUP BY image_id, comp"
 
 
-LANDMARKS = f"WITH {PX} SELECT image_id, pid, {rs(('c1', 'z'))} FROM px WHERE pid % 50 = 0"
-AFFINITY = f"WITH {PX} SELECT a.image_id, a.pid, b.pid AS mark, {r(f'exp(-({squares(COLOUR + POSITION)}))', 'a')} FROM px a JOIN px b ON b.pid % 100 = 0"
-BEST = f"""WITH {MR}, k AS (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY value DESC, image_id) AS n FROM mr WHERE value IS NOT NULL)
-SELECT algorithm, image_id, {r("value", "value")} FROM k WHERE n = 1"""
+_MARKS = """marks AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY pid) - 1 AS place FROM px) WHERE place IN
+  (SELECT CAST(floor(k * n::DOUBLE / m) AS BIGINT) FROM (SELECT n, m, unnest(range(0, m)) AS k FROM (SELECT count(*) AS n, greatest(2, CAST(round_even(count(*) * 0.03, 0) AS BIGINT)) AS m FROM px))))"""
+LANDMARKS = f"WITH {PX}, {_MARKS} SELECT image_id, pid, {rs(('c1', 'z'))} FROM marks"
+AFFINITY = f"WITH {PX}, {_MARKS} SELECT a.image_id, a.pid, b.pid AS mark, {r(f'exp(-({squares(COLOUR + POSITION)}))', 'a')} FROM px a CROSS JOIN marks b"
+
+
+def _frc(place: int, side: int) -> str:
+    """Disparity of square blocks of each image, as one row for each image."""
+    parts = []
+    for names in (COLOUR, ("z",)):
+        off = "sqrt(" + " + ".join(f"({c} - m_{c}) * ({c} - m_{c})" for c in names) + ")"
+        d = "sqrt(" + " + ".join(f"(u.{c} - v.{c}) * (u.{c} - v.{c})" for c in names) + ")"
+        own = ", ".join(f"avg({c}) OVER (PARTITION BY image_id, label) AS m_{c}" for c in names)
+        parts.append(f"""(SELECT x.image_id, (inter / n - intra) / 2 AS v FROM
+  (SELECT image_id, avg({off}) AS intra, count(*) AS n FROM (SELECT *, {own} FROM b) GROUP BY image_id) x JOIN
+  (SELECT image_id, sum(x) AS inter FROM (SELECT u.image_id, u.label, sum({d}) / greatest(count(*) - 1, 1) * max(u.n) AS x FROM g u JOIN g v ON u.image_id = v.image_id GROUP BY u.image_id, u.label) GROUP BY image_id) y
+  ON x.image_id = y.image_id)""")
+    means = ", ".join(f"avg({c}) AS {c}" for c in (*COLOUR, "z"))
+    return f"""SELECT c.image_id, {place} AS place, round((c.v + z.v) / 2, 9) AS score FROM
+ (WITH b AS (SELECT * REPLACE (CAST((("row" - 1) // {side}) * 10 + (col - 1) // {side} AS INTEGER) AS label) FROM pm), g AS (SELECT image_id, label, count(*) AS n, {means} FROM b GROUP BY 1, 2) SELECT * FROM {parts[0]}) c JOIN
+ (WITH b AS (SELECT * REPLACE (CAST((("row" - 1) // {side}) * 10 + (col - 1) // {side} AS INTEGER) AS label) FROM pm), g AS (SELECT image_id, label, count(*) AS n, {means} FROM b GROUP BY 1, 2) SELECT * FROM {parts[1]}) z ON c.image_id = z.image_id"""
+
+
+BEST = f"""WITH {PM}, s AS ({" UNION ALL ".join(_frc(p, s) for p, s in enumerate((2, 3, 5)))}),
+k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, place) AS n FROM s)
+SELECT image_id, place, {r("score", "score")} FROM k WHERE n = 1"""
 _PAIRS = [(a, b) for i, a in enumerate(COLOUR) for b in COLOUR[i:]]
 COVARIANCE = f"WITH {PX} SELECT image_id, label, {', '.join(r(f'covar_samp({a}, {b})', f'{a}_{b}') for a, b in _PAIRS)} FROM px GROUP BY image_id, label"
 _CT = f"{PX}, {BL}, t AS (SELECT a.image_id, a.label AS a, b.label AS b, count(*) AS n FROM bl a JOIN px b ON b.pid = a.pid GROUP BY 1, 2, 3), m AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS tot FROM t)"
@@ -253,7 +274,7 @@ _OTHER = 'tr AS (SELECT * REPLACE (CAST(("row" // 7) * 3 + col // 8 AS INTEGER)
 _RIM = lambda t, name: f"{name} AS (SELECT DISTINCT a.image_id, a.pid, a.\"row\", a.col FROM {near(t, window(1))} WHERE a.label <> b.label)"
 _RIMS = f"WITH {PX}, {BL}, {_OTHER}, {_RIM('bl', 'ra')}, {_RIM('tr', 'rb')}"
 _HIT = lambda x, y: f"(SELECT count(*) FROM {x} p WHERE EXISTS (SELECT 1 FROM {y} q WHERE abs(q.\"row\" - p.\"row\") <= 1 AND abs(q.col - p.col) <= 1))"
-_FAR = lambda x, y: f"(SELECT avg(d) FROM (SELECT p.pid, least(5.0, coalesce(min(CASE WHEN abs(q.\"row\" - p.\"row\") <= 5 AND abs(q.col - p.col) <= 5 THEN sqrt(pow(q.\"row\" - p.\"row\", 2) + pow(q.col - p.col, 2)) END), 5.0)) AS d FROM {x} p CROSS JOIN {y} q GROUP BY p.pid))"
+_FAR = lambda x, y: f"(SELECT avg(d) FROM (SELECT p.pid, min(sqrt(pow(q.\"row\" - p.\"row\", 2) + pow(q.col - p.col, 2))) AS d FROM {x} p CROSS JOIN {y} q GROUP BY p.pid))"
 _ERR = f"WITH {PX}, {BL}, e AS (SELECT image_id, label, count(*) AS area, {' + '.join(f'var_pop({c}) * count(*)' for c in COLOUR)} AS e2 FROM bl GROUP BY image_id, label), s AS (SELECT *, count(*) OVER (PARTITION BY area) AS same FROM e)"
 _MD = lambda names: f"d AS (SELECT bl.*, {', '.join(f'avg({c}) OVER (PARTITION BY label) AS m_{c}' for c in names)} FROM bl)"
 _OFF = lambda names: "sqrt(" + " + ".join(f"({c} - m_{c}) * ({c} - m_{c})" for c in names) + ")"
@@ -267,6 +288,14 @@ def _disparity(names) -> str:
  SELECT ((SELECT sum(x) FROM h) / (SELECT count(*) FROM bl) - (SELECT avg({_OFF(names)}) FROM d)) / 2)"""
 
 
+def _zeboudj(names, radius: int) -> str:
+    one = lambda c: f"""SELECT a.image_id, a.pid, a.label, '{c}' AS c, max(CASE WHEN b.label = a.label THEN abs(b.{c} - a.{c}) END) AS i, max(CASE WHEN b.label <> a.label THEN abs(b.{c} - a.{c}) END) AS e FROM {near("bl", window(radius))} GROUP BY 1, 2, 3"""
+    return f"""WITH {PX}, {BL}, p AS ({" UNION ALL ".join(one(c) for c in names)}),
+ q AS (SELECT image_id, label, c, count(*) AS area, avg(i) AS i, coalesce(avg(e), 0.0) AS e FROM p GROUP BY 1, 2, 3),
+ s AS (SELECT image_id, c, sum(area * CASE WHEN i > 0 AND i < e THEN 1 - i / e WHEN i = 0 THEN e ELSE 0.0 END) / sum(area) AS value FROM q GROUP BY 1, 2)
+ {_value("avg(value)")} FROM s GROUP BY image_id"""
+
+
 METRICS = {
     "rand_index": _pairs("(pairs + 2 * cells - ina - inb) / pairs"),
     "pair_precision": _pairs("cells / ina"),
@@ -287,9 +316,11 @@ METRICS = {
     "q_metric": f"{_ERR} {_value('sqrt(count(*)) * sum(e2 / (1 + ln(area)) + pow(same::DOUBLE / area, 2)) / (1000 * sum(area))')} FROM s GROUP BY image_id",
     "values_entropy": f"""WITH {PX}, {BL}, v AS (SELECT image_id, label, floor(c1 * 16) AS v, count(*) AS n FROM bl GROUP BY 1, 2, 3),
  w AS (SELECT *, sum(n) OVER (PARTITION BY label) AS area, sum(n) OVER () AS tot FROM v) {_value("-sum(n::DOUBLE / tot * ln(n::DOUBLE / area))")} FROM w GROUP BY image_id""",
-    "zeboudj": f"""WITH {PX}, {BL}, p AS (SELECT a.image_id, a.pid, a.label, max(CASE WHEN b.label = a.label THEN abs(b.c1 - a.c1) END) AS i, max(CASE WHEN b.label <> a.label THEN abs(b.c1 - a.c1) END) AS e FROM {near("bl", window(2))} GROUP BY 1, 2, 3),
- q AS (SELECT image_id, label, count(*) AS area, avg(i) AS i, coalesce(avg(e), 0.0) AS e FROM p GROUP BY 1, 2)
- {_value("sum(area * CASE WHEN i > 0 AND i < e THEN 1 - i / e WHEN i = 0 THEN e ELSE 0.0 END) / sum(area)")} FROM q GROUP BY image_id""",
+    "zeboudj": _zeboudj(("c1",), 2),
+    "zeboudj_colour": _zeboudj(COLOUR, 5),
+    "values_entropy_colour": f"""WITH {PX}, {BL}, q AS (SELECT image_id, label, unnest(['c1', 'c2', 'c3']) AS c, floor(unnest([c1, c2, c3]) * 16) AS v FROM bl),
+ v AS (SELECT image_id, label, c, v, count(*) AS n FROM q GROUP BY 1, 2, 3, 4), w AS (SELECT *, sum(n) OVER (PARTITION BY c, label) AS area, sum(n) OVER (PARTITION BY c) AS tot FROM v),
+ x AS (SELECT image_id, c, -sum(n::DOUBLE / tot * ln(n::DOUBLE / area)) AS value FROM w GROUP BY 1, 2) {_value("avg(value)")} FROM x GROUP BY image_id""",
     "ecw": f"""WITH {PX}, {BL}, {_MD(COLOUR)} SELECT CAST(0 AS BIGINT) AS image_id, {r(f"(SELECT avg(CASE WHEN {_OFF(COLOUR)} > 0.2 THEN 1.0 ELSE 0.0 END) FROM d) + (SELECT avg(CASE WHEN sqrt({squares(['m_' + c for c in COLOUR])}) < 0.2 THEN 1.0 ELSE 0.0 END) FROM {near('d', HALF)} WHERE a.label <> b.label)", "value")}""",
     "frc_rgbd": f"WITH {PX}, {BL} SELECT CAST(0 AS BIGINT) AS image_id, {r('(' + _disparity(COLOUR) + ' + ' + _disparity(('z',)) + ') / 2', 'value')}",
 }
@@ -303,3 +334,86 @@ UPSERT = f"WITH {MR} SELECT image_id, algorithm, metric, CASE WHEN image_id % 10
 INSERT = f"WITH {MR} SELECT image_id, algorithm, metric, CASE WHEN image_id % 2 = 0 THEN round(value, 6) + 0.0 ELSE 0.5 END::DOUBLE AS value FROM mr"
 PENDING = f"WITH {MR} SELECT image_id, algorithm FROM mr WHERE value IS NULL"
 FK = f"WITH {MR} SELECT upper(algorithm) AS name, count(DISTINCT image_id) AS images FROM mr GROUP BY 1"
+
+# Whole algorithms on images of four far blocks: each block is one segment, numbered by its first pixel
+_BLOCK = "CAST((\"row\" - 1) // 5 * 2 + (col - 1) // 5 AS INTEGER)"
+FLAT = f"""WITH {PM}, b AS (SELECT image_id, pid, {_BLOCK} AS block FROM pm), f AS (SELECT image_id, block, min(pid) AS first FROM b GROUP BY 1, 2),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY first) AS n FROM f)
+SELECT b.image_id, b.pid, CAST(k.n AS INTEGER) AS label FROM b JOIN k ON k.image_id = b.image_id AND k.block = b.block"""
+HALVES = f"WITH {PM} SELECT image_id, pid, CAST((col - 1) // 5 + 1 AS INTEGER) AS label FROM pm"
+OBJECTIVE = f"WITH {PM} SELECT image_id, CAST((col - 1) // 5 + 1 AS INTEGER) AS cluster, count(*) AS n, 1.0::DOUBLE AS objective FROM pm GROUP BY 1, 2"
+# The plane z = 2 + x / 2 - y / 4 has the direction (1/2, -1/4, -1)
+_TILT = [x / math.sqrt(0.25 + 0.0625 + 1) for x in (0.5, -0.25, -1.0)]
+SVD_FLAT = f"WITH {PX} SELECT image_id, pid, {', '.join(f'round({x!r}::DOUBLE, 5) AS {n}' for x, n in zip(_TILT, NORMAL))} FROM px"
+PLANES_FLAT = SVD_FLAT
+_APART = 'CASE WHEN "row" % 4 = 0 AND col % 4 = 0 THEN 0.0 ELSE'
+FILL_ONE = f"""WITH {PX}, h AS (SELECT image_id, pid, "row", col, {", ".join(f"{_APART} {n} END AS {n}" for n in NORMAL)} FROM px),
+s AS (SELECT a.image_id, a.pid, sum(b.nx) AS nx, sum(b.ny) AS ny, sum(b.nz) AS nz FROM {near("h", window(1))} WHERE {_LEN("a.")} < 1e-6 GROUP BY a.image_id, a.pid)
+SELECT h.image_id, h.pid, {", ".join(r(f"coalesce(s.{n} / {_LEN('s.')}, h.{n})", n) for n in NORMAL)} FROM h LEFT JOIN s USING (image_id, pid)"""
+CLEANED = f"""WITH {PX}, h AS (SELECT image_id, pid, "row", col, CASE WHEN pid % 11 = 0 OR pid % 13 = 0 THEN NULL ELSE nx END AS nx, ny, nz FROM px),
+s AS (SELECT a.image_id, a.pid, avg(b.nx) AS nx FROM {near("h", window(3))} WHERE a.nx IS NULL GROUP BY a.image_id, a.pid),
+m AS (SELECT h.image_id, h.pid, coalesce(h.nx, s.nx) AS nx, h.ny, h.nz, s.nx IS NOT NULL AS mended FROM h LEFT JOIN s USING (image_id, pid))
+SELECT image_id, pid, {", ".join(r(f"{n} / CASE WHEN mended THEN {_LEN()} ELSE 1 END", n) for n in NORMAL)} FROM m"""
+SMALL = f"""WITH {PM}, b AS (SELECT image_id, pid, ("row" - 1) // 2 AS stripe FROM pm)
+SELECT image_id, pid, CAST(stripe + 1 AS INTEGER) AS label FROM b"""
+
+# Distributions: Kummer's series, term by term
+KUMMER_GRID = "SELECT a, b, x FROM VALUES (0.5D, 1.5D), (1.5D, 2.5D), (1.5D, 1.5D), (2.5D, 1.5D), (1.0D, 2.0D), (3.0D, 1.0D) AS p(a, b) CROSS JOIN VALUES (-8.0D), (-0.5D), (0.0D), (0.5D), (3.0D), (25.0D), (60.0D), (400.0D), (600.0D) AS q(x)"
+RATIO_GRID = "SELECT 0.5D AS a, c, x FROM VALUES (1.5D), (2.0D) AS p(c) CROSS JOIN VALUES (-6.0D), (-0.5D), (0.5D), (4.0D), (20.0D), (29.0D) AS q(x)"
+MEAN_GRID = "SELECT CAST(id AS DOUBLE) / 20 AS r FROM range(7, 20)"
+GAMMA_GRID = "SELECT CAST(id AS DOUBLE) / 2 AS x FROM range(1, 60)"
+_SERIES = lambda grid, a, b: f"""t(a, b, x, k, term, total) AS (  -- e^x 1F1(b - a; b; -x) for negative x keeps all terms of one sign
+  SELECT a, b, x, 0, 1.0::DOUBLE, 1.0::DOUBLE FROM {grid}
+  UNION ALL SELECT a, b, x, k + 1, term * (CASE WHEN x < 0 THEN {b} - {a} ELSE {a} END + k) / ({b} + k) * abs(x) / (k + 1), total + term * (CASE WHEN x < 0 THEN {b} - {a} ELSE {a} END + k) / ({b} + k) * abs(x) / (k + 1)
+  FROM t WHERE k < 1500),
+s AS (SELECT a, b, x, CASE WHEN x < 0 THEN exp(x) ELSE 1 END * total AS m FROM t WHERE k = 1500)"""
+_GRID = lambda p, names, q: f"g AS (SELECT * FROM (VALUES {p}) AS p({names}) CROSS JOIN (VALUES {q}) AS q(x))"
+_D = lambda *v: ", ".join(f"({x}::DOUBLE)" for x in v)
+KUMMER = f"""WITH RECURSIVE {_GRID(", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in ((0.5, 1.5), (1.5, 2.5), (1.5, 1.5), (2.5, 1.5), (1.0, 2.0), (3.0, 1.0))), "a, b", _D(-8, -0.5, 0, 0.5, 3, 25, 60, 400, 600))},
+{_SERIES("g", "a", "b")} SELECT a, b, x, {r("ln(abs(m))", "log_m")} FROM s"""
+KUMMER_RATIO = f"""WITH RECURSIVE {_GRID("(1.5::DOUBLE), (2.0::DOUBLE)", "c", _D(-6, -0.5, 0.5, 4, 20, 29))}, w AS (SELECT 0.5::DOUBLE + d AS a, c + d AS b, x, d FROM g, (VALUES (0), (1)) AS v(d)),
+{_SERIES("w", "a", "b")} SELECT 0.5::DOUBLE AS a, p.b AS c, p.x, {r("0.5 / p.b * q.m / p.m", "ratio")} FROM s p JOIN s q ON q.x = p.x AND q.b = p.b + 1 AND q.a = p.a + 1 WHERE p.a = 0.5"""
+_R = "(SELECT unnest(range(7, 20))::DOUBLE / 20 AS r)"
+CONCENTRATION = f"SELECT {r('r', 'r', 4)}, {r('r', 'back', 4)} FROM {_R}"
+BOUNDS = f"""WITH b AS (SELECT r, (r * 1.5 - 0.5) / (r * (1 - r)) * (1 + (1 - r) / 1.0) AS low, (r * 1.5 - 0.5) / (2 * r * (1 - r)) * (1 + sqrt(1 + 4 * 2.5 * r * (1 - r) / 0.5)) AS middle,
+  (r * 1.5 - 0.5) / (r * (1 - r)) * (1 + r / 0.5) AS high FROM {_R})
+SELECT {r("r", "r")}, {r("low", "low")}, {r("middle", "middle")}, {r("high", "high")}, {r("CASE WHEN r < 0.5 / 1.5 THEN low WHEN r < 1 / sqrt(1.5) THEN middle ELSE high END", "chosen")} FROM b"""
+GAMMA = f"SELECT {r('x', 'x')}, {r('lgamma(x)', 'log_gamma')}, (floor(x) + 1) + (floor(x) + 1) * floor(x) / 2 AS dimension FROM (SELECT unnest(range(1, 60))::DOUBLE / 2 AS x)"
+GAUSSIAN_OF = f"""WITH {PX}, g AS (SELECT image_id, label, avg(c1) AS m1, avg(c2) AS m2, avg(c3) AS m3, var_samp(c1) AS a, covar_samp(c1, c2) AS b, covar_samp(c1, c3) AS c, var_samp(c2) AS d, covar_samp(c2, c3) AS e, var_samp(c3) AS f FROM px GROUP BY 1, 2),
+h AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM g)
+SELECT image_id, label, {rs(("m1", "m2", "m3"))}, {r("a", "s11")}, {r("b", "s12")}, {r("e", "s23")}, {r("-0.5 * (ln(det) + 3 * ln(2 * pi()))", "at_mean")}, {r("-0.5 * (ln(det) + 3 * ln(2 * pi() * exp(1)))", "dual")} FROM h"""
+SCATTER_OF = f"""WITH {PX} SELECT image_id, label, {r("avg(nx * nx)", "sxx")}, {r("avg(nx * ny)", "sxy")}, {r("avg(ny * nz)", "syz")},
+  {r(f"sum(5.0 * pow(0.6 * ny + 0.8 * nz, 2) - ({log_kummer(0.5, 1.5, 5.0)!r}))", "ll")} FROM px GROUP BY 1, 2"""
+WATSON_OF = f"""WITH {PX}, t AS (SELECT image_id, label, {", ".join(f"avg({t}) AS t{i + 1}" for i, t in enumerate(_T))} FROM px GROUP BY 1, 2),
+s AS (SELECT *, sqrt({" + ".join(f"t{i} * t{i}" for i in range(1, 7))}) AS size FROM t)
+SELECT image_id, label, {r("size", "length")}, {r("size", "back")}, 0.0::DOUBLE AS own, 1.0::DOUBLE AS trace FROM s"""
+MLE = f"""WITH {PM} SELECT DISTINCT image_id, {_BLOCK} AS label, CASE WHEN {_BLOCK} = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS ax, CASE WHEN {_BLOCK} = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS ay, CASE WHEN {_BLOCK} = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS az, true AS sharp
+FROM pm WHERE {_BLOCK} < 3"""
+
+# Data set, files and store
+_DDL = "CREATE TABLE IF NOT EXISTS {} ({}) USING parquet"
+DDL = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{_DDL.format(n, f)}')" for n, f in (("graphconfig", "scale_k DOUBLE, min_size BIGINT, update_sizes BOOLEAN, weigh STRING"), ("diametricalconfig", "k BIGINT, threshold DOUBLE, max_iterations BIGINT, seed BIGINT"))) + ") AS t(name, ddl)"
+_GRAPH, _DIAM = '{"min_size":"200","scale_k":"2.0","update_sizes":"False"}', '{"k":"7","max_iterations":"200","seed":"0","threshold":"0.001"}'
+PARAMETERS = f"""WITH t AS (SELECT * FROM (VALUES ('CDNGraph', '{_GRAPH}'), ('Diametrical', '{_DIAM}')) AS v(name, text)), k AS (SELECT name, text, unnest(json_keys(text)) AS key FROM t)
+SELECT name, text, key, json_extract_string(text, '$.' || key) AS value FROM k"""
+FILE_NAMES = "SELECT i AS image, 'NYU_' || i || '_seg' AS segments, '/data/raw/nyu_depth_v2_labeled.mat' AS raw, '/data/transformed/image_nyu_v2_' || i || '.fits' AS transformed FROM (SELECT unnest([1, 2, 1449]) AS i)"
+FITS = f'WITH {PM} SELECT image_id, "row", col, {rs(COLOUR + POSITION)}, label FROM pm'
+DATASET = f"WITH {PM} SELECT image_id, count(*) AS n, CAST((SELECT count(DISTINCT image_id) FROM pm) AS INTEGER) AS size, 'NYU' AS name FROM pm GROUP BY image_id"
+IMAGE = f"""WITH {PM} SELECT image_id, CAST((col - 2) * 7 + "row" - 1 AS BIGINT) AS pid, "row" - 1 AS "row", col - 1 AS col, {r("c1", "c1")}, label + 1 AS label
+FROM pm WHERE image_id = 2 AND "row" BETWEEN 2 AND 8 AND col BETWEEN 2 AND 8"""
+SAVED = f"WITH {PM} SELECT image_id, pid, label FROM pm WHERE image_id = 1"
+UPDATED = f"WITH {MR} SELECT image_id, algorithm, metric, CASE WHEN image_id % 2 = 0 THEN 9.0 ELSE round(value, 6) + 0.0 END::DOUBLE AS value FROM mr WHERE image_id % 3 = 0"
+FIRST = f"WITH {MR} SELECT image_id, algorithm, true AS other, false AS none FROM mr WHERE image_id = 7"
+MERGED_MAPS = f"""WITH {MR}, m AS (SELECT DISTINCT algorithm, metric FROM mr WHERE value IS NOT NULL AND image_id < 200 AND metric IN ('m0', 'm1', 'm2'))
+SELECT algorithm, metric, CASE WHEN metric = 'm0' THEN 1.0 ELSE 2.0 END::DOUBLE AS value FROM m"""
+RESIZED_MEANS = f"""WITH {PX}, {_TARGET(0.5)}, n AS (SELECT p.* FROM t JOIN px p ON p."row" = CAST(floor((trow - 0.5) / 0.5) + 1 AS INTEGER) AND p.col = CAST(floor((tcol - 0.5) / 0.5) + 1 AS INTEGER))
+SELECT image_id, label, count(*) AS cnt, {r("avg(c1)", "mc1")}, {r("avg(x)", "mx")}, {r("avg(z)", "mz")} FROM n GROUP BY 1, 2"""
+RESIZED_ALL = f"""WITH {PX}, {_TARGET(0.4)},
+u AS (SELECT *, (trow - 0.5::DOUBLE) / 0.4::DOUBLE + 0.5::DOUBLE AS p, (tcol - 0.5::DOUBLE) / 0.4::DOUBLE + 0.5::DOUBLE AS q FROM t),
+v AS (SELECT *, CAST(floor(p) AS INTEGER) AS r0, CAST(floor(q) AS INTEGER) AS q0, p - floor(p) AS fr, q - floor(q) AS fc FROM u)
+SELECT v.image_id, CAST((tcol - 1) * th + trow AS BIGINT) AS pid, {", ".join(r(f"sum({_WT} * {c})", c) for c in CHANNELS)}
+FROM v CROSS JOIN {offsets(((0, 0), (0, 1), (1, 0), (1, 1)))} JOIN px b ON b."row" = greatest(1, least(r0 + dr, h)) AND b.col = greatest(1, least(q0 + dc, w))
+GROUP BY v.image_id, th, trow, tcol"""
+# Segmentations that equal the ground truth have the best value of every metric
+_BEST = ", ".join(f"('{m}', {0.0 if m in ('BoundaryDisplacementError', 'VariationOfInformation') else 1.0}::DOUBLE)" for m in ("RandIndex", "SegmentationCovering", "Precision", "FMeasure", "FMeasureRegions", "PRObjectsAndParts", "FBoundary", "BoundaryDisplacementError", "VariationOfInformation"))
+HARNESS = f"SELECT algorithm, metric, mean, CAST(2 AS BIGINT) AS n FROM (VALUES ('CDNGraph'), ('DepthWMM')) AS a(algorithm) CROSS JOIN (VALUES {_BEST}) AS m(metric, mean)"

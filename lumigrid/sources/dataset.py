@@ -126,7 +126,8 @@ class Dataset:
         if where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             source = source.join(self.pixels().select("image_id").distinct(), "image_id", "left_anti")
         if n:
-            source = source.where(F.col("image_id") <= n)
+            first = source.select("image_id").distinct().orderBy("image_id").limit(n)
+            source = source.join(first, "image_id", "left_semi")
         source.write.mode("append").partitionBy("image_id").parquet(self.path)
 
     def __len__(self) -> int:

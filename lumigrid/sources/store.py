@@ -6,6 +6,7 @@ update writes the whole table anew; tables here have a row per image and algorit
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from typing import get_type_hints
 
@@ -36,7 +37,7 @@ def file_name(dataset: str, image: int, suffix: str = "seg") -> str:
 def with_id(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``rows`` with an id hashed from the named columns (maps as JSON with sorted keys)."""
     maps = {f.name for f in rows.schema if isinstance(f.dataType, T.MapType)}
-    part = lambda k: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(k)))) if k in maps else F.col(k).cast("string")
+    part = lambda k: encoded(k) if k in maps else F.col(k).cast("string")
     return rows.withColumn("id", F.xxhash64(*[part(k) for k in keys]))
 
 
@@ -77,6 +78,15 @@ def inserted(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFram
     return table.unionByName(missing(rows, table, keys))
 
 
+def encoded(column: str):
+    """A map as JSON text with sorted keys."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(column))))
+
+
+def decoded(column: str, kind: str = "MAP<STRING,STRING>"):
+    return F.from_json(F.col(column), kind)
+
+
 def merged_metrics(a: str, b: str):
     """Two metric maps as one; the second's values win."""
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), F.col(b))
@@ -100,10 +110,38 @@ class Store:
     def insert(self, name: str, schema: str, rows: DataFrame, keys: Sequence[str]) -> None:
         missing(rows, self.read(name, schema), keys).write.mode("append").parquet(self._at(name))
 
+    def update(self, name: str, schema: str, rows: DataFrame, keys: Sequence[str]) -> None:
+        """The stored table with ``rows`` in place of those of the same keys.
+
+        The new table is written beside the old one and takes its place by renaming; frames read
+        before no longer find their files, so read again.
+        """
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        old, new = (jvm.org.apache.hadoop.fs.Path(self._at(x)) for x in (name, f"{name}-{uuid.uuid4().hex}"))
+        upserted(self.read(name, schema), rows, keys).write.parquet(new.toString())
+        fs = old.getFileSystem(conf)
+        fs.delete(old, True)
+        fs.rename(new, old)
+
     def save_segments(self, labels: DataFrame, regions: DataFrame, algorithm_id: int) -> None:
-        """Labels and region means of one algorithm, partitioned by image."""
+        """Labels and region means of one algorithm, partitioned by algorithm and image; what is there of them is replaced."""
         for name, df in (("labels", labels), ("regions", regions)):
-            df.withColumn("algorithm_id", F.lit(algorithm_id)).write.mode("append").partitionBy("image_id").parquet(self._at(name))
+            out = df.withColumn("algorithm_id", F.lit(algorithm_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            out.partitionBy("algorithm_id", "image_id").parquet(self._at(name))
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """``df`` written under the store once and read again."""
+        path = f"{self.path}/_kept/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def labels(self, algorithm_id: int) -> DataFrame | None:
+        """All stored labels of an algorithm, or None."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self._at('labels')}/algorithm_id={algorithm_id}")
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return None
+        return self.spark.read.parquet(where.toString()).withColumn("image_id", F.col("image_id").cast("long"))
 
     def load_segments(self, image_id: int, algorithm_id: int) -> DataFrame:
         return self.spark.read.parquet(self._at("labels")).where((F.col("image_id") == image_id) & (F.col("algorithm_id") == algorithm_id))

@@ -41,3 +41,11 @@ def test_has_rows(spark, name):
     if set(df.columns) == {"image_id", "pid", "label"}:
         for _, image in df.toPandas().groupby("image_id"):
             assert sorted(image["label"].unique()) == list(range(1, image["label"].nunique() + 1))
+
+
+def test_all_edges_are_ranked(spark):
+    ranked = QUERIES["edges_by_rgb"](spark, SF).toPandas()
+    assert len(ranked) == QUERIES["edge_weights"](spark, SF).count() > 50
+    for _, image in ranked.groupby("image_id"):
+        image = image.sort_values("rank")
+        assert image["rank"].tolist() == list(range(1, len(image) + 1)) and image["w_rgb"].is_monotonic_increasing
