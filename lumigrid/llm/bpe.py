@@ -34,6 +34,8 @@ from lumigrid.llm.common import tidy
 
 #: Entries after which a worker's memo of words, pieces or token pairs starts anew.
 MEMO = 120_000
+#: The same for words with their blank, which are most of a text.
+WORDS = 400_000
 #: Bytes of text encoded into one Arrow batch, about.
 BATCH_BYTES = 4_000_000
 
@@ -163,7 +165,7 @@ class Ranks:
             return np.array(self.encode_plain(text), np.int32)
         first, *rest = text.split(" ")
         words = self.words
-        if len(words) > MEMO:
+        if len(words) > WORDS:
             words.clear()
         return np.frombuffer(array("i", self.encode_plain(first)).tobytes() + b"".join(map(words.__getitem__, rest)), np.int32)
 
