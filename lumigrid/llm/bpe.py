@@ -32,10 +32,8 @@ from pyspark.sql import types as T
 
 from lumigrid.llm.common import tidy
 
-#: Entries after which a worker's memo of words, pieces or token pairs starts anew.
-MEMO = 120_000
-#: The same for words with their blank, which are most of a text.
-WORDS = 400_000
+#: Entries after which a task's memo of words, pieces or token pairs starts anew.
+MEMO = 400_000
 #: Bytes of text encoded into one Arrow batch, about.
 BATCH_BYTES = 4_000_000
 
@@ -165,10 +163,15 @@ class Ranks:
             return np.array(self.encode_plain(text), np.int32)
         first, *rest = text.split(" ")
         words = self.words
-        if len(words) > WORDS:
+        if len(words) > MEMO:
             words.clear()
         return np.frombuffer(array("i", self.encode_plain(first)).tobytes() + b"".join(map(words.__getitem__, rest)), np.int32)
 
+    def forget(self) -> None:
+        """Empties the memos, so that a worker's later tasks have the memory."""
+        for memo in (self.words, self.parts, self.fits):
+            memo.clear()
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of many ids one after another, and how many each has."""
         if len(ids) and not (0 <= ids.min() and ids.max() < len(self.sizes) and self.sizes[ids].all()):
@@ -227,6 +230,7 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 kind = pa.list_(pa.field("element", pa.int32(), False))
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), type=kind)
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists], [*rows.schema.names, ids])
+        table.forget()
 
     return df.mapInArrow(tidy(run), schema)
 
