@@ -123,11 +123,11 @@ def test_contexts_count_all_words_without_sharing_places():
 
 def test_learning_meets_every_training_byte():
     words, uses, found = slices()
-    total = sum(mixlm.learnt(c) for c in found)
+    total = sum(mixlm.learnt(c, mixlm._start()) for c in found)
     cells = mixlm.GATES // 8 * mixlm.BUCKETS
     expected = 8 * sum(n * (len(w) + (w != b"\n")) for w, n in zip(words, uses))
     assert np.isclose(total[-2 * cells : -cells].sum(), expected)
-    assert np.isfinite(mixlm.merged(total).weights).all()
+    assert np.isfinite(mixlm.merged(total, mixlm._start()).weights).all()
 
 
 def test_slices_score_all_words(spark, monkeypatch):
@@ -138,9 +138,8 @@ def test_slices_score_all_words(spark, monkeypatch):
     monkeypatch.setattr(mixlm, "SLICE", 4000)
     monkeypatch.setattr(mixlm, "FREQUENT", 20)
     many = {r["doc"]: r for r in mixlm.scored(docs).collect()}
-    assert all(np.isclose(many[k]["base_score"], r["base_score"]) for k, r in one.items())
-    scores = [sum(r["score"] for r in rows.values()) for rows in (one, many)]
-    assert abs(scores[1] / scores[0] - 1) < 0.05, scores  # slices of some 400 words learn apart
+    for c in ("base_score", "score"):  # whatever the slices, the model is the same
+        assert all(np.isclose(many[k][c], r[c], rtol=1e-6) for k, r in one.items())
 
 
 def test_long_secrets_are_proposed_whole(spark):
