@@ -1,4 +1,4 @@
-"""Queries of the ten text operators over their whole tables, and SQL where it can say the same."""
+"""Queries of the text operators over their whole tables, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.llm import bpe, chat, fingerprint, langid, lines, mixing, mixlm, ngram_join, pii, pq
+from lumigrid.llm import bpe, chat, divergence, fingerprint, langid, lines, mixing, mixlm, ngram_join, pii, pq, search, warc
 from lumigrid.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -159,9 +159,81 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html")).records(payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Five hexadecimal digits are four of base 32.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hash, {5 * i + 1}, 5) AS BIGINT) >> {shift}) & 31 AS INTEGER) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0)
+)
+OP11_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hash FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p JOIN f ON p.html = f.html
+"""
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+_TERM = r"[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), {_CAPITALS}) AS text FROM documents),
+o AS (SELECT d, lang, source, unnest(regexp_extract_all(text, '{_TERM}')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY 1, 2 HAVING count(DISTINCT d) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY 1),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN k ON o.lang = k.lang AND o.term = k.term GROUP BY 1, 2, 3),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(s.n, 0) + l.v)::HUGEINT AS BIGINT) AS p,
+    CAST(1 + (1000000000::HUGEINT * (k.n + 1)) // (l.n + l.v)::HUGEINT AS BIGINT) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+every AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM every)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return search.searched(docs, items)
+
+
+_WORD = r"[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
+OP13_SQL = f"""
+WITH o AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_CAPITALS}), '{_WORD}')) AS term FROM documents),
+t AS (SELECT doc_id, term, count(*) AS tf FROM o GROUP BY 1, 2),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY 1),
+a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM t, a GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_CAPITALS}), '{_WORD}')) AS term FROM benchmark),
+s AS (
+  SELECT item_id, t.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // len)))) AS BIGINT) AS score
+  FROM q JOIN t ON t.term = q.term JOIN w ON w.term = q.term JOIN d ON d.doc_id = t.doc_id, a GROUP BY 1, 2),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_embedding_dedup, op3_pii, op4_lm_score, op5_byte_bpe, op6_chat_format, op7_line_dedup, op8_fingerprint, op9_mixing, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_embedding_dedup, op3_pii, op4_lm_score, op5_byte_bpe, op6_chat_format, op7_line_dedup, op8_fingerprint, op9_mixing, op10_language_id, op11_warc, op12_divergence, op13_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op9_mixing": OP9_SQL, "op11_warc": OP11_SQL, "op12_divergence": OP12_SQL, "op13_search": OP13_SQL}
