@@ -130,14 +130,20 @@ class Archive:
         """All records, frame by frame; a payload whose digest differs is an error.  Without
         ``payloads`` they are checked but not returned."""
         bundles = self.index.select("bundle").distinct()
-        n = bundles.count()
-        return bundles.repartition(max(n, 1), "bundle").mapInArrow(tidy(_reader(self.folder, payloads)), RECORDS)
+        return self._dealt(bundles, bundles.count()).mapInArrow(tidy(_reader(self.folder, payloads)), RECORDS)
+
+    @staticmethod
+    def _dealt(rows: DataFrame, bundles: int) -> DataFrame:
+        """As many partitions as bundles.  By a hash, as Spark takes rows that are already grouped by ``bundle``
+        for dealt, and would make one task of so few."""
+        return rows.repartition(max(bundles, 1), F.xxhash64("bundle"))
 
     def fetch(self, wanted: DataFrame) -> DataFrame:
         """The records of the pages in ``wanted`` (page_id): their frames alone are read, each once."""
         places = self.index.join(wanted.select("page_id").distinct().hint("merge"), "page_id", "left_semi")
         frames = places.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
-        dealt = frames.repartition("bundle").sortWithinPartitions("bundle", "frame")
+        frames = written(frames)
+        dealt = self._dealt(frames, frames.select("bundle").distinct().count()).sortWithinPartitions("bundle", "frame")
         return dealt.mapInArrow(tidy(_reader(self.folder)), RECORDS)
 
     def resolved(self, wanted: DataFrame) -> DataFrame:
