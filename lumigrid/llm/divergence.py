@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 
 from lumigrid.llm.common import tidy, written
 
-#: Bytes of text that are cut at once, and cells (group, term) of a block, about.
-CHUNK, CELLS = 1 << 23, 1 << 20
+#: Bytes of text that are cut at once, and cells (group, term) of a block, about (more where a language
+#: has so many sources that a block's pairs would outnumber its cells, up to ``MOST``).
+CHUNK, CELLS, MOST = 1 << 23, 1 << 16, 1 << 21
 SCALE = 1_000_000_000
 #: Each byte in lower case, or 0 where it parts terms.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
@@ -216,8 +217,8 @@ def _pairs(named: DataFrame, groups: DataFrame) -> DataFrame:
         value = F.col("terms") * (pq(p) - _apart(F.col("a0"), F.col("b0")))
         parts = parts.unionByName(met.groupBy("a", "b").agg(F.sum(value).alias("value")))
     cells = named.select("gid", "tid", "n", "total", "lang")
-    n = cells.count()
-    blocks = 1 + n // CELLS
+    sources = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    blocks = 1 + cells.count() // max(CELLS, min(sources * sources, MOST))
     both = cells.withColumn("block", F.pmod(F.xxhash64("tid"), F.lit(blocks))).groupBy("lang", "block").applyInArrow(_common, "a long, b long, value long")
     value = parts.unionByName(both).groupBy("a", "b").agg(F.sum("value").alias("value"))
     return _ranked(pairs.select("lang", "source", "item", "a", "b").join(value, ["a", "b"]).select("lang", "source", "item", "value"), "pair")
