@@ -74,19 +74,31 @@ def concentration(dim: int, length: float, tolerance: float = 1e-6, most: float
     return min(k, most)
 
 
-def concentration_bounds(r: float, c: float, a: float) -> tuple[float, float, float]:
-    """Lower, middle and upper closed-form bounds of the concentration at mean r."""
+def concentration_bounds(r: float, c: float, a: float, variant: str = "paper") -> tuple[float, float, float]:
+    """Lower, middle and upper closed-form bounds of the concentration at mean r.
+
+    ``variant="source"``: the middle one with r for 4 under its root, as the public package has it.
+    """
     low = (r * c - a) / (r * (1 - r)) * (1 + (1 - r) / (c - a))
-    middle = (r * c - a) / (2 * r * (1 - r)) * (1 + math.sqrt(1 + 4 * (c + 1) * r * (1 - r) / (a * (c - a))))
+    root = math.sqrt(1 + (4 if variant == "paper" else r) * (c + 1) * r * (1 - r) / (a * (c - a)))
+    middle = (r * c - a) / (2 * r * (1 - r)) * (1 + root)
     high = (r * c - a) / (r * (1 - r)) * (1 + r / a)
     return low, middle, high
 
 
-def concentration_approximate(r: float, c: float, a: float) -> float:
-    low, middle, high = concentration_bounds(r, c, a)
-    if r < a / c:
-        return low
-    return middle if r < 2 * a / math.sqrt(c) else high
+def concentration_approximate(r: float, c: float, a: float, variant: str = "paper") -> float:
+    """The bound that fits r: for small, middle and large r the lower, middle and upper one; with
+    ``variant="source"`` the upper, middle and lower one, parted at half the places."""
+    low, middle, high = concentration_bounds(r, c, a, variant)
+    if variant == "paper":
+        return low if r < a / c else middle if r < 2 * a / math.sqrt(c) else high
+    return high if r < a / (2 * c) else middle if r < a / math.sqrt(c) else low
+
+
+def concentration_along(axis: np.ndarray, s: np.ndarray, c: float, a: float, variant: str = "paper") -> float:
+    """The same for a scatter along an axis, whose mean is kept within (0, 1)."""
+    eps = np.finfo(float).eps
+    return concentration_approximate(min(max(float(axis @ s @ axis), eps), 1 - 5 * eps), c, a, variant)
 
 
 def watson_statistic(x: np.ndarray) -> np.ndarray:
@@ -150,6 +162,13 @@ class Watson:
         return np.linalg.eigh(m)[1][:, -1]
 
 
+def watson_divergence(axis: np.ndarray, kappa: float, other_axis: np.ndarray, other_kappa: float) -> float:
+    """Bregman divergence of two Watsons given by axis and concentration."""
+    a, c = 0.5, len(axis) / 2
+    one, other = kappa * watson_statistic(axis)[0], other_kappa * watson_statistic(other_axis)[0]
+    return log_kummer(a, c, kappa) - log_kummer(a, c, other_kappa) - float((one - other) @ other) / other_kappa * kummer_ratio(a, c, other_kappa)
+
+
 def scatter(x: np.ndarray) -> np.ndarray:
     """Mean of the outer squares of rows."""
     return x.T @ x / len(x)
@@ -173,6 +192,22 @@ def watson_mle(x: np.ndarray) -> tuple[np.ndarray, float]:
     return best[1], best[2]
 
 
+def gaussian_dimension(n: int) -> int:
+    """Dimension of a Gaussian whose mean and mean square have n numbers together."""
+    return round((math.sqrt(1 + 4 * n) - 1) / 2)
+
+
+def gaussian_parameters(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and mean square (column by column) from one flat array."""
+    d = gaussian_dimension(len(flat))
+    return flat[:d], flat[d:].reshape(d, d).T
+
+
+def trace_of_product(a: np.ndarray, b: np.ndarray) -> float:
+    """Trace of a b without the product."""
+    return float((a * b.T).sum())
+
+
 @dataclass(frozen=True)
 class Gaussian:
     """A Gaussian given by its mean and minus its mean square (mu, H)."""
@@ -215,3 +250,8 @@ def gaussian_logpdf(names: tuple[str, str, str], mu: list[float], cov: list[list
 def watson_logpdf(names: tuple[str, str, str], axis: list[float], kappa: float) -> Column:
     dot = sum((F.col(c) * a for c, a in zip(names, axis)), F.lit(0.0))
     return kappa * dot * dot - log_kummer(0.5, 1.5, kappa)
+
+
+def watson_pdf(names: tuple[str, str, str], axis: list[float], kappa: float) -> Column:
+    """The density, relative to the uniform one."""
+    return F.exp(watson_logpdf(names, axis, kappa))

@@ -1,4 +1,4 @@
-"""Stencils and graphs of the pixel grid, by exploded offsets and equi-joins."""
+"""Stencils and graphs of the pixel grid, over tiles with a rim; resizing by exploded offsets and equi-joins."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumigrid.model import COLOUR, NORMAL, POSITION
+from lumigrid.operators import regions, tiles
+from lumigrid.sources.shared import written
 
 KEYS = ["image_id", "row", "col"]
 #: Half of the eight neighbours, so that each edge arises once.
@@ -27,14 +29,9 @@ def exploded(df: DataFrame, offsets) -> DataFrame:
 
 def neighbours(df: DataFrame, offsets, columns: list[str], clamp: bool = False) -> DataFrame:
     """(image_id, pid, dr, dc, own columns as o_*, neighbour's columns): neighbours outside
-    the image are left out, or taken from its border with ``clamp``."""
-    own = df.select("image_id", "pid", "row", "col", *[F.col(c).alias(f"o_{c}") for c in columns])
-    if clamp:
-        own = own.join(df.groupBy("image_id").agg(F.max("row").alias("_h"), F.max("col").alias("_w")), "image_id")
-    near = exploded(own, offsets).withColumns({"row": F.col("row") + F.col("dr"), "col": F.col("col") + F.col("dc")})
-    if clamp:
-        near = near.withColumns({"row": F.greatest(F.lit(1), F.least("row", "_h")), "col": F.greatest(F.lit(1), F.least("col", "_w"))}).drop("_h", "_w")
-    return near.join(df.select(*KEYS, F.col("pid").alias("n_pid"), *columns), KEYS)
+    the image are left out, or taken from its border with ``clamp``.  Pairs arise tile by tile;
+    pixels alone are shuffled."""
+    return tiles.neighbours(df, list(offsets), columns, clamp)
 
 
 def edges(df: DataFrame, columns: list[str] = [], offsets=HALF) -> DataFrame:  # noqa: B006
@@ -63,10 +60,22 @@ def depth_neighbours(df: DataFrame, w: int = 3, relative: float | None = 0.01, a
 
 def moments(df: DataFrame, w: int = 3, relative: float = 0.01, absolute: float | None = None) -> DataFrame:
     """Ten sums of each pixel's neighbourhood, for pixels with three neighbours or more."""
-    pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"s{a}{b}") for a, b in pairs] + [F.sum(c).alias(f"s{c}") for c in POSITION]
-    near = depth_neighbours(df, w, relative, absolute)
-    return near.groupBy("image_id", "pid").agg(*sums, F.count("*").alias("n")).where("n >= 3")
+    pairs = [(a, b) for i, a in enumerate(POSITION) for b in POSITION[i:]]
+    names = [f"s{a}{b}" for a, b in pairs] + [f"s{c}" for c in POSITION]
+
+    def sums(t: tiles.Tile) -> dict[str, np.ndarray]:
+        p = {c: t.grid(c) for c in POSITION}
+        values = dict(zip(names, [p[a] * p[b] for a, b in pairs] + [p[c] for c in POSITION]))
+        out, n, z = {k: np.zeros(t.size) for k in names}, np.zeros(t.size, np.int64), t.near(p["z"])
+        for dr, dc in window(w):
+            gap = np.abs(t.near(p["z"], dr, dc) - z)
+            like = t.near(t.there, dr, dc) & (gap <= absolute if absolute is not None else gap < z * relative)
+            n += like
+            for k, v in values.items():
+                out[k] += np.where(like, t.near(v, dr, dc), 0.0)
+        return out | {"n": n, "keep": n >= 3}
+
+    return tiles.stencil(df, list(POSITION), w, sums, ", ".join(f"{k} double" for k in names) + ", n long")
 
 
 def planes(df: DataFrame, w: int = 3, relative: float = 0.01) -> DataFrame:
@@ -110,81 +119,146 @@ def svd_normals(df: DataFrame, w: int = 3, absolute: float = 0.5) -> DataFrame:
     return moments(df, w, absolute=absolute).where("n > 3").mapInPandas(solve, schema)
 
 
-def _finite(x: Column) -> Column:
-    return ~F.isnan(x) & (F.abs(x) != float("inf"))
+def _box_normals(t: tiles.Tile, w: int, finite: dict[str, np.ndarray]) -> tuple[dict, dict]:
+    """Sums and numbers of the finite normals' components over each place's box."""
+    sums = {n: t.box(np.where(ok, t.grid(n), 0.0), w) for n, ok in finite.items()}
+    return sums, {n: t.box(ok.astype(np.int64), w) for n, ok in finite.items()}
+
+
+def _length(parts) -> np.ndarray:
+    return np.sqrt(sum(p * p for p in parts))
+
+
+def _with_normals(df: DataFrame, found: DataFrame) -> DataFrame:
+    new = found.select("image_id", "pid", *[F.col(n).alias(f"_{n}") for n in NORMAL])
+    out = df.join(new, ["image_id", "pid"], "left")
+    return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in NORMAL else c for c in df.columns])
+
+
+_NORMALS = ", ".join(f"{n} double" for n in NORMAL)
 
 
 def filled_normals(df: DataFrame, w: int = 3, below: float = 1e-6) -> DataFrame:
     """Near-zero and non-finite normals replaced by the direction of the sum over the finite ones
     of their window, from one snapshot."""
-    length = F.sqrt(sum((F.col(n) * F.col(n) for n in NORMAL), F.lit(0.0)))
-    holes = df.where((length < below) | ~_finite(length))
-    near = exploded(holes.select("image_id", "pid", "row", "col"), window(w)).withColumns({"row": F.col("row") + F.col("dr"), "col": F.col("col") + F.col("dc")})
-    sound = df.where(_finite(length)).select(*KEYS, *NORMAL)
-    sums = near.join(sound, KEYS).groupBy("image_id", "pid").agg(*[F.sum(n).alias(f"s_{n}") for n in NORMAL])
-    total = F.sqrt(sum((F.col(f"s_{n}") * F.col(f"s_{n}") for n in NORMAL), F.lit(0.0)))
-    sums = sums.select("image_id", "pid", *[F.when(total != 0, F.col(f"s_{n}") / total).otherwise(F.lit(float("nan"))).alias(f"s_{n}") for n in NORMAL])
-    out = df.join(sums, ["image_id", "pid"], "left")
-    return out.select(*[F.coalesce(f"s_{c}", c).alias(c) if c in NORMAL else c for c in df.columns])
+
+    def fill(t: tiles.Tile) -> dict[str, np.ndarray]:
+        length = _length([t.grid(n) for n in NORMAL])
+        sound = t.there & np.isfinite(length)
+        own = t.near(length)
+        sums, counts = _box_normals(t, w, dict.fromkeys(NORMAL, sound))
+        total = _length(sums.values())
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = {n: np.where(total != 0, s / total, np.nan) for n, s in sums.items()}
+        return out | {"keep": ((own < below) | ~np.isfinite(own)) & (counts["nx"] > 0)}
+
+    return _with_normals(df, tiles.stencil(df, list(NORMAL), w, fill, _NORMALS))
 
 
 def cleaned_normals(df: DataFrame, w: int = 3) -> DataFrame:
     """Non-finite components of normals replaced by the mean of the finite ones in their window (7 by 7), and
     the normals so mended scaled to length 1; without a finite neighbour they stay."""
-    finite = {n: _finite(F.col(n)) for n in NORMAL}
-    holes = df.where(~(finite["nx"] & finite["ny"] & finite["nz"]))
-    near = exploded(holes.select("image_id", "pid", "row", "col"), window(w)).withColumns({"row": F.col("row") + F.col("dr"), "col": F.col("col") + F.col("dc")})
-    means = near.join(df.select(*KEYS, *NORMAL), KEYS).groupBy("image_id", "pid").agg(*[F.avg(F.when(finite[n], F.col(n))).alias(f"m_{n}") for n in NORMAL])
-    out = df.join(means.withColumn("_mended", F.lit(True)), ["image_id", "pid"], "left")
-    out = out.withColumns({f"f_{n}": F.when(finite[n], F.col(n)).otherwise(F.coalesce(f"m_{n}", n)) for n in NORMAL})
-    length = F.sqrt(sum((F.col(f"f_{n}") * F.col(f"f_{n}") for n in NORMAL), F.lit(0.0)))
-    return out.select(*[F.when(F.col("_mended") & (length != 0), F.col(f"f_{c}") / length).otherwise(F.col(f"f_{c}")).alias(c) if c in NORMAL else c for c in df.columns])
+
+    def clean(t: tiles.Tile) -> dict[str, np.ndarray]:
+        finite = {n: t.there & np.isfinite(t.grid(n)) for n in NORMAL}
+        sums, counts = _box_normals(t, w, finite)
+        whole = np.logical_and.reduce([t.near(ok) for ok in finite.values()])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mended = {n: np.where(t.near(finite[n]) | (counts[n] == 0), t.near(t.grid(n)), sums[n] / counts[n]) for n in NORMAL}
+            length = _length(mended.values())
+            out = {n: np.where(length != 0, v / length, v) for n, v in mended.items()}
+        return out | {"keep": ~whole}
+
+    return _with_normals(df, tiles.stencil(df, list(NORMAL), w, clean, _NORMALS))
+
+
+def _filled_in_order(rows: pd.DataFrame, w: int, holes: np.ndarray) -> np.ndarray:
+    """The normals of ``rows`` after filling the holes row by row, earlier fills feeding later ones."""
+    n = rows[list(NORMAL)].to_numpy()
+    place = rows[["row", "col"]].to_numpy()
+    at = {x: k for k, x in enumerate(map(tuple, place.tolist()))}
+    around = window(w)
+    for k in np.flatnonzero(holes)[np.lexsort(place[holes][:, ::-1].T)]:
+        r, c = place[k].tolist()
+        near = n[[i for dr, dc in around if (i := at.get((r + dr, c + dc))) is not None]]
+        s = near[np.isfinite(near).all(axis=1)].sum(axis=0)
+        size = np.linalg.norm(s)
+        n[k] = s / size if size else np.nan
+    return n
+
+
+def _hole(below: float) -> Column:
+    length = F.sqrt(sum((F.col(n) * F.col(n) for n in NORMAL), F.lit(0.0)))
+    return (length < below) | F.isnan(length) | (length == float("inf"))
 
 
 def filled_normals_in_place(df: DataFrame, w: int = 3, below: float = 1e-6) -> DataFrame:
-    """The same with earlier fills feeding later ones, row by row; one image per task."""
+    """The same with earlier fills feeding later ones, row by row.
+
+    Holes within reach of each other depend on each other, others do not.  So the groups that holes
+    form are found first, and each with the pixels around it is filled by itself, all at once;
+    no task takes an image.
+    """
+    pixels = df.select("image_id", "pid", "row", "col", *NORMAL)
+    holes = written(pixels.where(_hole(below)))
+    order = window(w)
+    links = edges(holes, [], [o for o in order if o > (0, 0)])
+    groups = written(regions.linked(holes.select("image_id", "pid"), links))
+    around = exploded(holes.select("image_id", "pid", "row", "col").join(groups, ["image_id", "pid"]), order)
+    around = around.select("image_id", "root", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col")).distinct()
+    units = around.join(pixels, KEYS)
+
+    def fill(unit: pd.DataFrame) -> pd.DataFrame:
+        length = np.linalg.norm(unit[list(NORMAL)].to_numpy(), axis=1)
+        some = (length < below) | ~np.isfinite(length)
+        n = _filled_in_order(unit, w, some)
+        return pd.DataFrame({"image_id": unit["image_id"], "pid": unit["pid"], **{c: n[:, k] for k, c in enumerate(NORMAL)}})[some]
 
-    def fill(image: pd.DataFrame) -> pd.DataFrame:
-        h, wd = int(image["row"].max()), int(image["col"].max())
-        n = np.zeros((h, wd, 3))
-        r, c = image["row"].to_numpy() - 1, image["col"].to_numpy() - 1
-        n[r, c] = image[list(NORMAL)]
-        size = np.linalg.norm(n, axis=2)
-        for i, j in np.argwhere((size < below) | ~np.isfinite(size)):
-            near = n[max(0, i - w) : i + w + 1, max(0, j - w) : j + w + 1]
-            s = near[np.isfinite(near).all(axis=2)].sum(axis=0)
-            size = np.linalg.norm(s)
-            n[i, j] = s / size if size else np.nan
-        return image.assign(nx=n[r, c, 0], ny=n[r, c, 1], nz=n[r, c, 2])
+    found = units.groupBy("image_id", "root").applyInPandas(fill, f"image_id long, pid long, {_NORMALS}")
+    return _with_normals(df, found)
 
-    return df.groupBy("image_id").applyInPandas(fill, df.schema)
+
+def median_of(t: tiles.Tile, label: str = "label") -> np.ndarray:
+    values = np.where(t.there, t.grid(label), np.nan)
+    return np.rint(np.nanmedian([t.near(values, *o) for o in window(1)], axis=0))
 
 
 def median3x3(df: DataFrame, label: str = "label") -> DataFrame:
     """Median of the labels of 3 by 3 pixels; the border repeats its last pixels."""
-    near = neighbours(df, window(1), [label], clamp=True)
-    return near.groupBy("image_id", "pid").agg(F.rint(F.percentile(label, F.lit(0.5))).cast("int").alias("label"))
+    return tiles.stencil(df, [label], 1, lambda t: {"label": median_of(t, label)}, "label int", clamp=True)
+
+
+def gradients_of(t: tiles.Tile, names: list[str]) -> dict[str, np.ndarray]:
+    out = {}
+    for c in names:
+        g = t.grid(c)
+        x = sum(dc * (2 - abs(dr)) * t.near(g, dr, dc) for dr, dc in window(1))
+        y = sum(dr * (2 - abs(dc)) * t.near(g, dr, dc) for dr, dc in window(1))
+        out[f"g_{c}"] = np.sqrt(x * x + y * y)
+    return out | {"mog": np.max(list(out.values()), axis=0)}
 
 
 def sobel(df: DataFrame, names: list[str]) -> DataFrame:
-    """Gradient magnitude by channel as g_*, and the greatest of them by the image's greatest as ``mog``."""
-    near = neighbours(df, window(1), names, clamp=True)
-    kx = F.col("dc") * (2 - F.abs("dr"))
-    ky = F.col("dr") * (2 - F.abs("dc"))
-    sums = [F.sum(k * F.col(c)).alias(f"{t}_{c}") for c in names for t, k in (("x", kx), ("y", ky))]
-    g = near.groupBy("image_id", "pid").agg(*sums)
-    g = g.select("image_id", "pid", *[F.sqrt(F.col(f"x_{c}") * F.col(f"x_{c}") + F.col(f"y_{c}") * F.col(f"y_{c}")).alias(f"g_{c}") for c in names])
-    most = F.greatest(*[f"g_{c}" for c in names]) if len(names) > 1 else F.col(f"g_{names[0]}")
-    g = g.withColumn("mog", most)
+    """Gradient magnitude by channel as g_*, and the greatest of them by the image's greatest as ``mog`` (0 in a flat image)."""
+    g = tiles.stencil(df, names, 1, lambda t: gradients_of(t, names), ", ".join(f"g_{c} double" for c in names) + ", mog double", clamp=True)
     top = g.groupBy("image_id").agg(F.max("mog").alias("_top"))
-    return g.join(top, "image_id").withColumn("mog", F.col("mog") / F.col("_top")).drop("_top")
+    return g.join(top, "image_id").withColumn("mog", F.when(F.col("_top") > 0, F.col("mog") / F.col("_top")).otherwise(0.0)).drop("_top")
 
 
 def boundaries(df: DataFrame, w: int = 1) -> DataFrame:
     """(image_id, label, pid): pixels in the dilation of a label by ``w`` but not in its erosion."""
-    near = neighbours(df, window(w), ["label"]).where("label != o_label")
-    pairs = F.explode(F.array(F.col("label"), F.col("o_label"))).alias("label")
-    return near.select("image_id", "pid", pairs).distinct()
+
+    def rim(t: tiles.Tile) -> dict:
+        labels, pid = t.of(t.near(t.grid("label"))), t.rows("pid").to_numpy()
+        pairs = []
+        for o in window(w):
+            other = t.of(t.near(t.grid("label"), *o))
+            met = t.of(t.near(t.there, *o)) & (other != labels)
+            pairs += [np.stack([pid[met], x[met]], axis=1) for x in (labels, other)]
+        found = np.unique(np.concatenate(pairs), axis=0)
+        return {"pid": found[:, 0], "label": found[:, 1]}
+
+    return tiles.by_tile(df, ["label"], w, rim, "pid long, label int").select("image_id", "pid", "label")
 
 
 def _sizes(df: DataFrame, scale: float) -> DataFrame:

@@ -7,15 +7,15 @@ boundaries); every metric is a frame (image_id, value).
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigrid.model import COLOUR
-from lumigrid.operators import grid
+from lumigrid.operators import grid, tiles
 
 KEYS = ["image_id", "pid"]
 
@@ -90,14 +90,25 @@ def objects_and_parts(t: DataFrame, whole: float = 0.9, part: float = 0.25, beta
 
 def edge_pixels(df: DataFrame) -> DataFrame:
     """Pixels with an 8-neighbour of another label."""
-    near = grid.neighbours(df, grid.window(1), ["label"]).where("label != o_label")
-    return near.select("image_id", "pid").distinct().join(df.select("image_id", "pid", "row", "col"), KEYS)
+
+    def rim(t: tiles.Tile) -> dict[str, np.ndarray]:
+        label = t.grid("label")
+        met = [t.near(t.there, *o) & (t.near(label, *o) != t.near(label)) for o in grid.window(1)]
+        return {"row": t.row, "col": t.col, "keep": np.logical_or.reduce(met)}
+
+    return tiles.stencil(df, ["label"], 1, rim, "row int, col int")
 
 
 def _reached(a: DataFrame, b: DataFrame, r: int) -> DataFrame:
-    near = grid.exploded(a, grid.window(r)).withColumns({"row": F.col("row") + F.col("dr"), "col": F.col("col") + F.col("dc")})
-    met = near.join(b.select("image_id", "row", "col"), ["image_id", "row", "col"])
-    return met.groupBy("image_id", "pid").agg(F.min(F.sqrt((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("double"))).alias("d"))
+    """The pixels of ``a`` that have one of ``b`` within ``r`` rows and columns."""
+    both = a.select("image_id", "pid", "row", "col", F.lit(1).alias("mine"), F.lit(0).alias("other"))
+    both = both.unionByName(b.select("image_id", "pid", "row", "col", F.lit(0).alias("mine"), F.lit(1).alias("other")))
+    both = both.groupBy("image_id", "pid", "row", "col").agg(F.max("mine").alias("mine"), F.max("other").alias("other"))
+
+    def met(t: tiles.Tile) -> dict[str, np.ndarray]:
+        return {"mine": t.near(t.grid("mine")), "keep": (t.near(t.grid("mine")) > 0) & (t.box(t.grid("other"), r) > 0)}
+
+    return tiles.stencil(both, ["mine", "other"], r, met, "mine int")
 
 
 def boundary_f(seg: DataFrame, truth: DataFrame, r: int = 1) -> DataFrame:
@@ -111,40 +122,51 @@ def boundary_f(seg: DataFrame, truth: DataFrame, r: int = 1) -> DataFrame:
 
 
 def boundary_displacement(seg: DataFrame, truth: DataFrame) -> DataFrame:
-    """Mean of both directed mean distances to the nearest boundary pixel; null if either has none.
+    """Mean of both directed mean distances to the nearest boundary pixel; null if either has none."""
+    a, b = edge_pixels(seg), edge_pixels(truth)
+    sides = [nearest_boundary(x, y).groupBy("image_id").agg(F.avg("distance").alias(n)) for x, y, n in ((a, b, "_a"), (b, a, "_b"))]
+    images = a.select("image_id").union(b.select("image_id")).distinct()
+    both = images.join(sides[0], "image_id", "left").join(sides[1], "image_id", "left")
+    return both.select("image_id", ((F.col("_a") + F.col("_b")) / 2).alias("value"))
+
+
+#: Rows of a strip in which distances along the columns meet.
+STRIP = 32
+
+
+def nearest_boundary(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(image_id, pid, distance): from each pixel of ``a`` to the nearest of ``b`` in its image, however far it is.
 
-    Distances come from an exact distance transform, one image per task.
+    The exact distance transform in two steps that each split an image: along each column first
+    (a task has columns), then across them (a task has strips of some rows).
     """
-    a, b = edge_pixels(seg), edge_pixels(truth)
-    places = a.select("image_id", "row", "col", F.lit(True).alias("own")).unionByName(b.select("image_id", "row", "col", F.lit(False).alias("own")))
-
-    def measured(image: pd.DataFrame) -> pd.DataFrame:
-        shape = (int(image["row"].max()), int(image["col"].max()))
-        sides = [image[image["own"] == x] for x in (True, False)]
-        value = None
-        if all(map(len, sides)):
-            masks = []
-            for side in sides:
-                mask = np.zeros(shape, bool)
-                mask[side["row"] - 1, side["col"] - 1] = True
-                masks.append(mask)
-            value = float(np.mean([nearest(y)[x].mean() for x, y in (masks, masks[::-1])]))
-        return pd.DataFrame({"image_id": [image["image_id"].iloc[0]], "value": [value]})
-
-    return places.groupBy("image_id").applyInPandas(measured, "image_id long, value double")
-
-
-def nearest(mask: np.ndarray) -> np.ndarray:
-    """Distance from each place to the nearest true one: down the columns first, then over all columns."""
-    h, w = mask.shape
-    rows = np.arange(h)[:, None]
-    before = np.maximum.accumulate(np.where(mask, rows, -(1 << 20)), axis=0)
-    after = np.minimum.accumulate(np.where(mask, rows, 1 << 20)[::-1], axis=0)[::-1]
-    down = np.minimum(rows - before, after - rows).astype(np.float64) ** 2
-    out = np.full((h, w), np.inf)
-    for c in range(w):
-        out = np.minimum(out, down[:, c : c + 1] + (np.arange(w) - c) ** 2)
-    return np.sqrt(out)
+    last = a.groupBy("image_id").agg(F.max("row").alias("last"))
+    columns = b.select("image_id", "row", "col").join(last, "image_id")
+
+    def down(table: pa.Table) -> pa.Table:
+        rows, n = np.unique(table.column("row").to_numpy().astype(np.int64)), table.column("last")[0].as_py()
+        at = np.arange(1, -(-n // STRIP) * STRIP + 1)
+        after = np.searchsorted(rows, at)
+        far = np.minimum(np.where(after > 0, at - rows[after - 1], 1 << 30), np.where(after < len(rows), rows[np.minimum(after, len(rows) - 1)] - at, 1 << 30))
+        strips = far.reshape(-1, STRIP)
+        k = len(strips)
+        return pa.table({"image_id": pa.array([table.column("image_id")[0].as_py()] * k, pa.int64()), "strip": pa.array(range(k), pa.int32()), "col": pa.array([table.column("col")[0].as_py()] * k, pa.int32()), "far": pa.array(list(strips), pa.list_(pa.int64()))})
+
+    met = columns.groupBy("image_id", "col").applyInArrow(down, "image_id long, strip int, col int, far array<long>")
+    own = a.select("image_id", F.expr(f"cast((row - 1) div {STRIP} as int)").alias("strip"), "pid", "row", "col")
+
+    def across(mine: pa.Table, strip: pa.Table) -> pa.Table:
+        row, col, pid = (mine.column(c).to_numpy().astype(np.int64) for c in ("row", "col", "pid"))
+        out = np.zeros(0)
+        if len(pid) and strip.num_rows:
+            far = np.array(strip.column("far").to_pylist(), float) ** 2
+            at = strip.column("col").to_numpy()
+            step = max(1, CELLS // len(at))
+            out = np.concatenate([np.sqrt((far[:, (row[i : i + step] - 1) % STRIP] + (at[:, None] - col[i : i + step]) ** 2).min(axis=0)) for i in range(0, len(row), step)])
+        n = len(out)
+        return pa.table({"image_id": pa.array([mine.column("image_id")[0].as_py()] * n if n else [], pa.int64()), "pid": pid[:n], "distance": out})
+
+    return own.groupBy("image_id", "strip").cogroup(met.groupBy("image_id", "strip")).applyInArrow(across, "image_id long, pid long, distance double")
 
 
 def colour_errors(df: DataFrame) -> DataFrame:
@@ -183,14 +205,36 @@ def values_entropy(df: DataFrame, levels: int = 16, value: str = "c1") -> DataFr
     return n.groupBy("image_id").agg((-F.sum(F.col("n") / F.col("all") * F.log(F.col("n") / F.col("area")))).alias("value"))
 
 
-def zeboudj(df: DataFrame, radius: int = 2, value: str = "c1") -> DataFrame:
-    """Contrast inside and at the edge of each region over a window."""
-    near = grid.neighbours(df, grid.window(radius), ["label", value])
-    gap = F.abs(F.col(value) - F.col(f"o_{value}"))
-    p = near.groupBy("image_id", "pid", F.col("o_label").alias("label")).agg(F.max(F.when(F.col("label") == F.col("o_label"), gap)).alias("i"), F.max(F.when(F.col("label") != F.col("o_label"), gap)).alias("e"))
-    r = p.groupBy("image_id", "label").agg(F.count("*").alias("area"), F.avg("i").alias("i"), F.coalesce(F.avg("e"), F.lit(0.0)).alias("e"))
+def zeboudj(df: DataFrame, radius: int = 2, values: tuple[str, ...] = ("c1",)) -> DataFrame:
+    """Contrast inside and at the edge of each region over a window; the mean over ``values``.
+
+    A tile gives the sums of its part of each region.
+    """
+
+    def contrasts(t: tiles.Tile) -> dict:
+        label, own = t.grid("label"), t.near(t.grid("label"))
+        names, at = np.unique(t.of(own), return_inverse=True)
+        same = {o: (t.near(t.there, *o) & (t.near(label, *o) == own), t.near(t.there, *o) & (t.near(label, *o) != own)) for o in grid.window(radius)}
+        edge = t.of(np.logical_or.reduce([out for _, out in same.values()]))
+        found = {"label": [], "channel": [], "area": [], "inside": [], "outside": [], "rims": []}
+        for k, c in enumerate(values):
+            v = t.grid(c)
+            inside, outside = np.zeros(t.size), np.zeros(t.size)
+            for o, (near, far) in same.items():
+                gap = np.abs(t.near(v, *o) - t.near(v))
+                inside, outside = np.maximum(inside, np.where(near, gap, 0)), np.maximum(outside, np.where(far, gap, 0))
+            sums = (np.bincount(at), np.bincount(at, t.of(inside)), np.bincount(at, t.of(outside)), np.bincount(at, edge).astype(np.int64))
+            for name, x in zip(found, (names, np.full(len(names), k), *sums)):
+                found[name].append(x)
+        return {k: np.concatenate(v) for k, v in found.items()}
+
+    parts = tiles.by_tile(df, ["label", *values], radius, contrasts, "label int, channel int, area long, inside double, outside double, rims long")
+    total = [F.sum(c).alias(c) for c in ("area", "inside", "outside", "rims")]
+    r = parts.groupBy("image_id", "channel", "label").agg(*total)
+    r = r.select("image_id", "channel", "area", (F.col("inside") / F.col("area")).alias("i"), F.when(F.col("rims") > 0, F.col("outside") / F.col("rims")).otherwise(0.0).alias("e"))
     c = F.when((F.col("i") > 0) & (F.col("i") < F.col("e")), 1 - F.col("i") / F.col("e")).when(F.col("i") == 0, F.col("e")).otherwise(0.0)
-    return r.groupBy("image_id").agg((F.sum(F.col("area") * c) / F.sum("area")).alias("value"))
+    by = r.groupBy("image_id", "channel").agg((F.sum(F.col("area") * c) / F.sum("area")).alias("value"))
+    return by.groupBy("image_id").agg(F.avg("value").alias("value"))
 
 
 def _with_means(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -209,17 +253,37 @@ def ecw(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return intra.join(inter, "image_id", "left").select("image_id", (F.col("intra") + F.coalesce("inter", F.lit(0.0))).alias("value"))
 
 
+#: Regions of a block of distances, and distances that are held at once.
+REGIONS, CELLS = 1024, 1 << 21
+
+
+def distance_sums(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of each row of ``x`` the sum of its distances to all of ``others``, by blocks."""
+    step, out = max(1, CELLS // max(len(others), 1)), []
+    for i in range(0, len(x), step):
+        square = sum((x[i : i + step, k, None] - others[None, :, k]) ** 2 for k in range(x.shape[1]))
+        out.append(np.sqrt(square).sum(axis=1))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def _disparity(df: DataFrame, names: tuple[str, ...], out: str) -> DataFrame:
+    """Distances between regions are added up by blocks: a task has ``REGIONS`` regions and the means of all of their image."""
     m = _with_means(df, names)
     far = F.sqrt(sum(((F.col(c) - F.col(f"m_{c}")) * (F.col(c) - F.col(f"m_{c}")) for c in names), F.lit(0.0)))
     intra = m.groupBy("image_id").agg(F.avg(far).alias("intra"), F.count("*").alias("all"))
     r = df.groupBy("image_id", "label").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names])
-    o = r.select("image_id", F.col("label").alias("o_label"), *[F.col(c).alias(f"o_{c}") for c in names])
-    pair = r.join(o, "image_id")
-    d = F.sqrt(sum(((F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}")) for c in names), F.lit(0.0)))
-    by = pair.groupBy("image_id", "label").agg(F.sum(d).alias("d"), F.count("*").alias("regions"), F.first("n").alias("n"))
-    inter = by.groupBy("image_id").agg(F.sum(F.col("d") / F.greatest(F.col("regions") - 1, F.lit(1)) * F.col("n")).alias("inter"))
-    both = intra.join(inter, "image_id")
+    count = r.groupBy("image_id").agg(F.count("*").alias("_r")).withColumn("blocks", F.ceil(F.col("_r") / REGIONS).cast("int")).drop("_r")
+    own = F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int")
+    r = r.join(count, "image_id").select("image_id", "n", *names, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def sums(table: pa.Table) -> pa.Table:
+        x, n = np.column_stack([table.column(c).to_numpy() for c in names]), table.column("n").to_numpy()
+        some = table.column("own").to_numpy() == table.column("block").to_numpy()
+        value = float((distance_sums(x[some], x) / max(len(x) - 1, 1) * n[some]).sum())
+        return pa.table({"image_id": table.column("image_id")[:1], "inter": pa.array([value])})
+
+    parts = r.groupBy("image_id", "block").applyInArrow(sums, "image_id long, inter double")
+    both = intra.join(parts.groupBy("image_id").agg(F.sum("inter").alias("inter")), "image_id")
     return both.select("image_id", ((F.col("inter") / F.col("all") - F.col("intra")) / 2).alias(out))
 
 
@@ -251,7 +315,7 @@ SUPERVISED: dict[str, Callable[[DataFrame], DataFrame]] = {
 BOUNDARY: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"FBoundary": boundary_f, "BoundaryDisplacementError": boundary_displacement}
 UNSUPERVISED: dict[str, Callable[[DataFrame], DataFrame]] = {
     "ECW": ecw,
-    "Zeboudj": of_channels(zeboudj, radius=5),
+    "Zeboudj": partial(zeboudj, radius=5, values=COLOUR),
     "ValuesEntropy": of_channels(values_entropy),
     "LiuYangF": liu_yang,
     "FPrime": f_prime,
@@ -275,9 +339,9 @@ def unsupervised(df: DataFrame, algorithm: str) -> DataFrame:
     return _rows({k: f(df) for k, f in UNSUPERVISED.items()}, algorithm)
 
 
-def summarised(rows: DataFrame) -> DataFrame:
+def summarised(rows: DataFrame, by: tuple[str, ...] = ("algorithm", "metric")) -> DataFrame:
     """Mean by algorithm and metric, without missing values."""
-    return rows.where(F.col("value").isNotNull()).groupBy("algorithm", "metric").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    return rows.where(F.col("value").isNotNull()).groupBy(*by).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
 
 
 def pivoted(rows: DataFrame, metrics: list[str]) -> DataFrame:

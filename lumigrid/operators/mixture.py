@@ -1,8 +1,11 @@
-"""Single steps of clustering and mixture fitting as plans, and the loops as kernels of one image."""
+"""Single steps of clustering and mixture fitting as plans, and the loops as kernels of one image.
+
+``iterated`` has the loops as plans over all images; both use the steps below.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -82,107 +85,205 @@ def hard(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("cluster", F.coalesce(*[F.when(F.col(f"p{j}") == top, F.lit(j)) for j in range(n)]).cast("int"))
 
 
-def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Lloyd's iterations from k-means++ starts; centres and assignments."""
+def objective(df: DataFrame, distance: str = "distance") -> DataFrame:
+    """The sum of all distances to the nearest centre."""
+    return df.groupBy("image_id").agg(F.sum(distance).alias("objective"))
+
+
+def clustering_error(df: DataFrame, axes: list[list[float]], cluster: str = "cluster") -> DataFrame:
+    """By cluster (0..) its pixels and the sum of their normals' squared cosines to its axis."""
+    cosine = F.coalesce(*[F.when(F.col(cluster) == j, sum((F.col(n) * float(a) for n, a in zip(NORMAL, axis)), F.lit(0.0))) for j, axis in enumerate(axes)])
+    return df.groupBy("image_id", cluster).agg(F.count("*").alias("n"), F.sum(cosine * cosine).alias("error"))
+
+
+def watson_loss(df: DataFrame, parts: list[dict]) -> DataFrame:
+    """Log of minus the sum of all components' log densities over all pixels (null where that sum is not negative)."""
+    from lumigrid.functions.distributions import watson_logpdf
+
+    total = sum((watson_logpdf(NORMAL, p["axis"], p["kappa"]) for p in parts), F.lit(0.0))
+    out = df.groupBy("image_id").agg((-F.sum(total)).alias("_s"))
+    return out.select("image_id", F.when(F.col("_s") > 0, F.log(F.when(F.col("_s") > 0, F.col("_s")))).alias("loss"))
+
+
+#: Pixels that starts are drawn from, about; turns of the joint start; numbers that a component's statistics have.
+SEEDS, JOINT_TURNS, WIDE = 4096, 49, 25
+#: Colour, position and normal in a row of channels.
+MODES = (slice(0, 3), slice(3, 6), slice(6, 9))
+
+
+def spaced(x: np.ndarray) -> np.ndarray:
+    """Evenly spaced rows, ``SEEDS`` to twice as many at most; all of few."""
+    step = -(-len(x) // SEEDS)
+    return x[step - 1 :: step] if step else x
+
+
+def seeded(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Starts by k-means++."""
     rng, n = np.random.default_rng(seed), len(x)
     centres = [x[rng.integers(n)]]
+    d = np.full(n, np.inf)
     for _ in range(1, min(k, n)):
-        d = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        d = np.minimum(d, ((x - centres[-1]) ** 2).sum(axis=1))
         centres.append(x[rng.choice(n, p=d / d.sum())] if d.sum() > 0 else x[rng.integers(n)])
-    c, own = np.array(centres), None
+    return np.array(centres)
+
+
+def nearest_centre(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * x @ c.T).argmin(axis=1)
+
+
+def cluster_sums(x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """By cluster the sum of its rows, and their number in the last column."""
+    return np.column_stack([np.bincount(own, x[:, j], k) for j in range(x.shape[1])] + [np.bincount(own, minlength=k)])
+
+
+def moved(c: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The clusters' means; an empty one keeps its centre."""
+    return np.where(sums[:, -1:] > 0, sums[:, :-1] / np.maximum(sums[:, -1:], 1), c)
+
+
+def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Lloyd's iterations from k-means++ starts; centres and assignments."""
+    c, own = seeded(spaced(x), k, seed), None
     for _ in range(rounds):
-        new = ((x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * x @ c.T).argmin(axis=1)
+        new = nearest_centre(x, c)
         if own is not None and (new == own).all():
             break
         own = new
-        for j in range(len(c)):
-            if (own == j).any():
-                c[j] = x[own == j].mean(axis=0)
+        c = moved(c, cluster_sums(x, own, len(c)))
     return c, own
 
 
+def joined_centres(parts: np.ndarray) -> np.ndarray:
+    """Centres of all channels from those of colour, position and normal, each scaled to length 1."""
+    return np.hstack([c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12) for c in parts])
+
+
+def joint_assigned(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row by the joint distance, and that distance."""
+    d = sum(np.linalg.norm(x[:, None, s] - centres[None, :, s], axis=2) for s in MODES[:2])
+    lengths = [np.maximum(np.linalg.norm(y[:, 6:], axis=1), 1e-12) for y in (x, centres)]
+    d = d + 1 - (x[:, 6:] @ centres[:, 6:].T) / lengths[0][:, None] / lengths[1]
+    return d.argmin(axis=1), d.min(axis=1)
+
+
+def joint_centres(sums: np.ndarray) -> np.ndarray:
+    """Mean colour and position and the direction of the summed normals; clusters without direction go."""
+    size = np.linalg.norm(sums[:, 6:9], axis=1)
+    some = (sums[:, 9] > 0) & (size > 0)
+    return np.hstack([sums[some, :6] / sums[some, 9:], sums[some, 6:9] / size[some, None]])
+
+
 def joint_start(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Assignments by the joint distance, from one k-means per modality whose centres are scaled to length 1."""
-    unit = lambda c: c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    parts = [unit(kmeans(x[:, s], k, seed)[0]) for s in (slice(0, 3), slice(3, 6), slice(6, 9))]
-    k = min(len(p) for p in parts)
-    centres, before, own = np.hstack([p[:k] for p in parts]), 100.0, np.zeros(len(x), int)
-    normal = np.maximum(np.linalg.norm(x[:, 6:], axis=1), 1e-12)
-    for _ in range(49):
-        d = sum(np.linalg.norm(x[:, None, s] - centres[None, :, s], axis=2) for s in (slice(0, 3), slice(3, 6)))
-        d = d + 1 - (x[:, 6:] @ centres[:, 6:].T) / normal[:, None] / np.maximum(np.linalg.norm(centres[:, 6:], axis=1), 1e-12)
-        own, value = d.argmin(axis=1), float(d.min(axis=1).sum())
-        new = []
-        for j in range(len(centres)):
-            rows = x[own == j]
-            size = np.linalg.norm(rows[:, 6:].sum(axis=0)) if len(rows) else 0
-            if size > 0:
-                new.append(np.concatenate([rows[:, :6].mean(axis=0), rows[:, 6:].sum(axis=0) / size]))
+    centres, before, own = joined_centres([kmeans(x[:, s], k, seed)[0] for s in MODES]), 100.0, None
+    for _ in range(JOINT_TURNS):
+        own, least = joint_assigned(x, centres)
+        value = float(least.sum())
         if abs(value - before) <= 0.1:
             break
-        centres, before = np.array(new), value
+        centres, before = joint_centres(cluster_sums(x, own, len(centres))), value
     return own
 
 
-def joint_em(x: np.ndarray, config: MixtureConfig) -> np.ndarray:
-    """Responsibilities of the joint mixture of two Gaussians and a Watson per component.
+def statistics(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """By component the sums of weights, and of weighted channels, their products and the normals' statistic: (k, WIDE)."""
+    i, j = np.triu_indices(3)
+    parts = [np.ones((len(x), 1))]
+    for s in MODES[:2]:
+        parts += [x[:, s], x[:, s][:, i] * x[:, s][:, j]]
+    return p.T @ np.hstack([*parts, watson_statistic(x[:, 6:])])
+
+
+def components_of(sums: np.ndarray) -> list[tuple[float, Gaussian, Gaussian, Watson]]:
+    """Log weight, colour, position and normal of each component; those that cannot be fitted are dropped."""
+    return _components(np.ascontiguousarray(sums, float).tobytes())
+
+
+@lru_cache(maxsize=64)
+def _components(data: bytes) -> list[tuple[float, Gaussian, Gaussian, Watson]]:
+    sums = np.frombuffer(data).reshape(-1, WIDE)
+    n, out = sums[:, 0].sum(), []
+    i, j = np.triu_indices(3)
+    for s in sums:
+        total = s[0]
+        if total < 4:
+            continue
+        try:
+            pair = []
+            for at in (1, 10):
+                mu, square = s[at : at + 3] / total, np.zeros((3, 3))
+                square[i, j] = square[j, i] = s[at + 3 : at + 9] / total
+                cov = square - np.outer(mu, mu) + 1e-9 * np.eye(3)
+                if np.linalg.det(cov) <= 0:
+                    raise np.linalg.LinAlgError
+                pair.append(Gaussian(mu, -(cov + np.outer(mu, mu))))
+            out.append((float(np.log(total / n)), *pair, Watson(s[19:] / total)))
+        except (np.linalg.LinAlgError, ValueError):
+            continue
+    return out
+
+
+def posterior(x: np.ndarray, components: list) -> tuple[float, np.ndarray | None]:
+    """Negative log likelihood of the rows and the components' shares in each; None without components."""
+    logs = []
+    for weight, colour, position, normal in components:
+        logs.append(weight + colour.logpdf(x[:, MODES[0]]) + position.logpdf(x[:, MODES[1]]) + normal.logpdf(x[:, MODES[2]]))
+    if not logs:
+        return np.nan, None
+    l = np.stack(logs, axis=1)
+    top = l.max(axis=1)
+    p = np.exp(l - top[:, None])
+    total = p.sum(axis=1)
+    return -float((top + np.log(total)).sum()), p / total[:, None]
+
+
+def joint_em(x: np.ndarray, config: MixtureConfig, start: np.ndarray | None = None) -> np.ndarray:
+    """Responsibilities of the joint mixture of two Gaussians and a Watson per component, from ``start``
+    (labels 0..) or the joint start.
 
     Components whose parameters cannot be fitted are dropped; iteration goes on for
-    ``min_iterations`` and then while the likelihood rises.
+    ``min_iterations`` and then while the likelihood rises.  Rows that no component fits are one.
     """
-    own = joint_start(x, config.k, config.seed)
-    p = np.eye(own.max() + 1)[own]
-    stat, best, result = watson_statistic(x[:, 6:]), np.inf, None
+    own = joint_start(x, config.k, config.seed) if start is None else start
+    sums, best, result = statistics(x, np.eye(own.max() + 1)[own]), np.inf, np.ones((len(x), 1))
     for turn in range(max(config.max_iterations, 1)):
-        logs = []
-        for j in range(p.shape[1]):
-            w = p[:, j]
-            total = w.sum()
-            if total < 4:
-                continue
-            try:
-                l = np.full(len(x), np.log(total / len(x)))
-                for s in (slice(0, 3), slice(3, 6)):
-                    mu = w @ x[:, s] / total
-                    cov = (x[:, s] * w[:, None]).T @ x[:, s] / total - np.outer(mu, mu) + 1e-9 * np.eye(3)
-                    if np.linalg.det(cov) <= 0:
-                        raise np.linalg.LinAlgError
-                    l = l + Gaussian(mu, -(cov + np.outer(mu, mu))).logpdf(x[:, s])
-                logs.append(l + Watson(w @ stat / total).logpdf(x[:, 6:]))
-            except (np.linalg.LinAlgError, ValueError):
-                continue
-        if not logs:
-            break
-        l = np.stack(logs, axis=1)
-        top = l.max(axis=1)
-        nll = -float((top + np.log(np.exp(l - top[:, None]).sum(axis=1))).sum())
-        if turn >= config.min_iterations and not nll < best:
+        nll, p = posterior(x, components_of(sums))
+        if p is None or (turn >= config.min_iterations and not nll < best):
             break
-        best = nll
-        p = np.exp(l - top[:, None])
-        p /= p.sum(axis=1, keepdims=True)
-        result = p
-    return p if result is None else result
+        best, result, sums = nll, p, statistics(x, p)
+    return result
+
+
+def first_axes(mean: np.ndarray, config: DiametricalConfig) -> np.ndarray:
+    rng = np.random.default_rng(config.seed)
+    axes = mean / max(np.linalg.norm(mean), 1e-12) + rng.uniform(-0.1, 0.1, (config.k, len(mean)))
+    return axes / np.linalg.norm(axes, axis=1, keepdims=True)
+
+
+def axis_assigned(x: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, float]:
+    s = (x @ axes.T) ** 2
+    return s.argmax(axis=1), float(s.max(axis=1).sum())
+
+
+def axis_scatter(x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    return np.stack([x[own == j].T @ x[own == j] for j in range(k)])
+
+
+def moved_axes(axes: np.ndarray, scatter: np.ndarray) -> np.ndarray:
+    """The leading direction of each cluster; an empty one keeps its axis."""
+    return np.array([np.linalg.eigh(s)[1][:, -1] if np.trace(s) > 0 else a for a, s in zip(axes, scatter)])
 
 
 def diametrical(x: np.ndarray, config: DiametricalConfig) -> tuple[np.ndarray, np.ndarray]:
     """Clusters of directions up to sign: axes and assignments."""
-    rng = np.random.default_rng(config.seed)
-    mean = x.mean(axis=0)
-    axes = mean / max(np.linalg.norm(mean), 1e-12) + rng.uniform(-0.1, 0.1, (config.k, x.shape[1]))
-    axes /= np.linalg.norm(axes, axis=1, keepdims=True)
-    old, own = -np.inf, np.zeros(len(x), int)
+    axes, old = first_axes(x.mean(axis=0), config), -np.inf
     for _ in range(config.max_iterations):
-        s = (x @ axes.T) ** 2
-        own, value = s.argmax(axis=1), float(s.max(axis=1).sum())
+        own, value = axis_assigned(x, axes)
         if value - old <= config.threshold:
             break
-        old = value
-        for j in range(config.k):
-            rows = x[own == j]
-            if len(rows):
-                axes[j] = np.linalg.eigh(rows.T @ rows)[1][:, -1]
-    return axes, own
+        axes, old = moved_axes(axes, axis_scatter(x, own, config.k)), value
+    return axes, axis_assigned(x, axes)[0]
 
 
 def average_linkage(d: np.ndarray, k: int) -> np.ndarray:
@@ -198,28 +299,50 @@ def average_linkage(d: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def watson_mixture(x: np.ndarray, config: WatsonConfig) -> np.ndarray:
-    """Labels of a Watson mixture of directions, reduced from ``k_init`` to ``k`` components by divergence."""
-    _, own = diametrical(x, DiametricalConfig(k=config.k_init, seed=config.seed))
-    t = watson_statistic(x)
-    names = np.unique(own)
-    weight = np.array([(own == j).mean() for j in names])
-    mean = np.array([t[own == j].mean(axis=0) for j in names])
+def watson_sums(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """By component the sum of weights and of the weighted statistic."""
+    return p.T @ np.hstack([np.ones((len(x), 1)), watson_statistic(x)])
 
-    def logs() -> np.ndarray:
-        return np.stack([np.log(w + 1e-300) + Watson(m).logpdf(x) for w, m in zip(weight, mean)], axis=1)
 
-    for _ in range(config.iterations):
-        l = logs()
-        p = np.exp(l - l.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        total = p.sum(axis=0) + np.finfo(float).eps
-        weight, mean = total / len(x), (p.T @ t) / total[:, None]
-    parts = [Watson(m) for m in mean]
-    d = np.array([[wi * wj * (a.mean @ a.theta - log_kummer(0.5, 1.5, a.kappa) + log_kummer(0.5, 1.5, b.kappa) - a.mean @ b.theta) for wj, b in zip(weight, parts)] for wi, a in zip(weight, parts)])
-    d = np.triu(d) + np.triu(d, 1).T
-    group = average_linkage(d, min(config.k, len(parts)))
+def watson_parts(sums: np.ndarray, hard: bool = False) -> np.ndarray:
+    """Weight and mean statistic of each component; of ``hard`` clusters the empty ones go."""
+    sums = sums[sums[:, 0] > 0] if hard else sums
+    total = sums[:, :1] + (0 if hard else np.finfo(float).eps)
+    return np.hstack([total / sums[:, 0].sum(), sums[:, 1:] / total])
+
+
+def watson_logs(x: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    theta, constant = _natural(np.ascontiguousarray(parts[:, 1:], float).tobytes())
+    return np.log(parts[:, 0] + 1e-300) + watson_statistic(x) @ theta.T - constant
+
+
+@lru_cache(maxsize=64)
+def _natural(means: bytes) -> tuple[np.ndarray, np.ndarray]:
+    found = [Watson(m) for m in np.frombuffer(means).reshape(-1, 6)]
+    return np.array([w.theta for w in found]), np.array([w.log_normaliser() for w in found])
+
+
+def watson_posterior(x: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    l = watson_logs(x, parts)
+    p = np.exp(l - l.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def watson_reduced(parts: np.ndarray, k: int) -> np.ndarray:
+    """``k`` components at most: those of least divergence, weighted, become one."""
+    weight, mean = parts[:, 0], parts[:, 1:]
+    found = [Watson(m) for m in mean]
+    d = np.array([[wi * wj * (a.mean @ a.theta - log_kummer(0.5, 1.5, a.kappa) + log_kummer(0.5, 1.5, b.kappa) - a.mean @ b.theta) for wj, b in zip(weight, found)] for wi, a in zip(weight, found)])
+    group = average_linkage(np.triu(d) + np.triu(d, 1).T, min(k, len(found)))
     pi = np.bincount(group, weight)
     eta = np.array([(mean[group == g] * weight[group == g][:, None]).sum(axis=0) / max(pi[g], 1e-300) for g in range(len(pi))])
-    weight, mean = pi, eta
-    return logs().argmax(axis=1)
+    return np.column_stack([pi, eta])
+
+
+def watson_mixture(x: np.ndarray, config: WatsonConfig) -> np.ndarray:
+    """Labels of a Watson mixture of directions, reduced from ``k_init`` to ``k`` components by divergence."""
+    _, own = diametrical(x, DiametricalConfig(k=config.k_init, seed=config.seed))
+    parts = watson_parts(watson_sums(x, np.eye(config.k_init)[own]), hard=True)
+    for _ in range(config.iterations):
+        parts = watson_parts(watson_sums(x, watson_posterior(x, parts)))
+    return watson_logs(x, watson_reduced(parts, config.k)).argmax(axis=1)

@@ -55,13 +55,19 @@ def element_fields(df: DataFrame) -> DataFrame:
 
 
 def combined(df: DataFrame, sign: int = 1, prefix: str = "o_") -> DataFrame:
-    """Component-wise sum or difference with the channels named ``o_*``; the normal is scaled to length 1."""
+    """Component-wise sum or difference with the channels named ``o_*``; the normal is scaled to length 1,
+    and is NaN where it is 0 (x - x)."""
     plain = {c: F.col(c) + sign * F.col(prefix + c) for c in CHANNELS}
     length = F.sqrt(sum((plain[n] * plain[n] for n in NORMAL), F.lit(0.0)))
-    out = {c: (plain[c] / F.when(length != 0, length) if c in NORMAL else plain[c]) for c in CHANNELS}
+    out = {c: (F.when(length != 0, plain[c] / F.when(length != 0, length)).otherwise(float("nan")) if c in NORMAL else plain[c]) for c in CHANNELS}
     return df.select("image_id", "pid", *[out[c].alias(c) for c in CHANNELS])
 
 
+def zero(df: DataFrame) -> DataFrame:
+    """The neutral element of the sum for each pixel: all channels 0."""
+    return df.select("image_id", "pid", *[F.lit(0.0).alias(c) for c in CHANNELS])
+
+
 def divided(df: DataFrame, by: float) -> DataFrame:
     length = F.sqrt(sum((F.col(n) * F.col(n) for n in NORMAL), F.lit(0.0)))
     return df.select("image_id", "pid", *[(F.col(c) / by).alias(c) for c in (*COLOUR, *POSITION)], *[(F.col(n) / F.when(length != 0, length)).alias(n) for n in NORMAL])
@@ -72,6 +78,19 @@ def depth_to_world(df: DataFrame, camera: Camera = Camera()) -> DataFrame:
     return df.withColumns({"x": (F.col("col") - camera.cx) * F.col("z") / camera.fx, "y": (F.col("row") - camera.cy) * F.col("z") / camera.fy})
 
 
+def to_colour_camera(df: DataFrame, camera: Camera = Camera()) -> DataFrame:
+    """Where each world position stands in the colour camera: ``u`` (columns), ``v`` (rows) and its depth there ``w``."""
+    r, t = camera.rotation(), camera.translation
+    x, y, w = (sum((float(r[i][j]) * F.col(c) for j, c in enumerate(POSITION)), F.lit(t[i])) for i in range(3))
+    return df.withColumns({"u": x / w * camera.f_rgb[0] + camera.c_rgb[0], "v": y / w * camera.f_rgb[1] + camera.c_rgb[1], "w": w})
+
+
+def absolute_depth(df: DataFrame, raw: str = "raw", camera: Camera = Camera()) -> DataFrame:
+    """``z`` in metres from the sensor's raw number, up to the greatest depth."""
+    z = camera.depth_params[0] / (camera.depth_params[1] - F.col(raw))
+    return df.withColumn("z", F.when((z < 0) | (z > camera.max_depth), camera.max_depth).otherwise(z))
+
+
 def projection_mask(df: DataFrame, rows: tuple[int, int] = (45, 471), cols: tuple[int, int] = (41, 601)) -> DataFrame:
     return df.withColumn("inside", F.col("row").between(*rows) & F.col("col").between(*cols))
 

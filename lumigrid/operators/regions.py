@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +16,16 @@ from lumigrid.functions.distributions import Watson
 from lumigrid.model import COLOUR, NORMAL, POSITION, MergeConfig
 from lumigrid.operators import grid
 from lumigrid.operators.projections import watson_statistic
+from lumigrid.operators.tiles import Tile
+from lumigrid.sources.shared import written
 
 
-def summary(df: DataFrame) -> DataFrame:
+def summary(df: DataFrame, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Per label: pixels, mean colour and position, and the direction of the summed normals."""
     sums = [F.avg(c).alias(f"m{c}") for c in (*COLOUR, *POSITION)] + [F.sum(n).alias(f"_{n}") for n in NORMAL]
-    out = df.groupBy("image_id", "label").agg(F.count("*").alias("cnt"), *sums)
+    out = df.groupBy(*by, "label").agg(F.count("*").alias("cnt"), *sums)
     length = F.sqrt(sum((F.col(f"_{n}") * F.col(f"_{n}") for n in NORMAL), F.lit(0.0)))
-    return out.select("image_id", "label", "cnt", *[f"m{c}" for c in (*COLOUR, *POSITION)], *[(F.col(f"_{n}") / F.when(length != 0, length)).alias(f"m{n}") for n in NORMAL])
+    return out.select(*by, "label", "cnt", *[f"m{c}" for c in (*COLOUR, *POSITION)], *[(F.col(f"_{n}") / F.when(length != 0, length)).alias(f"m{n}") for n in NORMAL])
 
 
 def areas(df: DataFrame) -> DataFrame:
@@ -115,21 +120,32 @@ def renumber(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def components_relational(df: DataFrame, label: str = "label") -> DataFrame:
-    """The same components for one image too large for a task: least pids spread along edges.
+    """The same components for one image too large for a task."""
+    e = grid.edges(df, [label], ((1, 0), (0, 1))).where(f"o_{label} = {label}").select("image_id", "src", "dst")
+    return renumber(linked(df.select("image_id", "pid"), e).withColumnRenamed("root", "label"))
+
+
+def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(image_id, pid, root): the least pid that a node is joined with by edges (src, dst).
 
-    Each round is written by ``checkpoint``; the count of changes is all the driver sees.
+    Each round sends every node to the least neighbour of its least neighbour and keeps the edges
+    between different targets.  Rounds are written; the driver sees whether edges are left.
     """
-    e = grid.edges(df, [label], ((1, 0), (0, 1))).where(f"o_{label} = {label}").select("image_id", "src", "dst")
-    both = e.unionByName(e.select("image_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).checkpoint()
-    now = df.select("image_id", "pid", F.col("pid").alias("root")).checkpoint()
-    while True:
-        near = both.join(now.select("image_id", F.col("pid").alias("src"), "root"), ["image_id", "src"]).select("image_id", F.col("dst").alias("pid"), "root", F.lit(None).cast("long").alias("old"))
-        new = near.unionByName(now.select("image_id", "pid", "root", F.col("root").alias("old"))).groupBy("image_id", "pid").agg(F.min("root").alias("root"), F.max("old").alias("old")).checkpoint()
-        if not new.where("root < old").limit(1).count():
-            break
-        far = new.select("image_id", F.col("pid").alias("root"), F.col("root").alias("far"))
-        now = new.select("image_id", "pid", "root").join(far, ["image_id", "root"]).select("image_id", "pid", F.col("far").alias("root")).checkpoint()
-    return renumber(now.select("image_id", "pid", F.col("root").alias("label")))
+    least, most = F.least("src", "dst"), F.greatest("src", "dst")
+    e = written(edges.where("src <> dst").select("image_id", least.alias("src"), most.alias("dst")).distinct())
+    root = nodes.select("image_id", "pid", F.col("pid").alias("root"))
+    while e.limit(1).count():
+        both = e.unionByName(e.select("image_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        to = written(both.groupBy("image_id", F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("to")))
+        far = to.select("image_id", F.col("node").alias("to"), F.col("to").alias("far"))
+        to = written(to.join(far, ["image_id", "to"]).select("image_id", "node", F.col("far").alias("to")))
+        found = root.join(to.withColumnRenamed("node", "root"), ["image_id", "root"], "left")
+        root = written(found.select("image_id", "pid", F.coalesce("to", "root").alias("root")))
+        for end in ("src", "dst"):
+            e = e.join(to.select("image_id", F.col("node").alias(end), F.col("to").alias(f"_{end}")), ["image_id", end]).drop(end)
+        e = e.withColumnsRenamed({"_src": "src", "_dst": "dst"}).where("src <> dst")
+        e = written(e.select("image_id", least.alias("src"), most.alias("dst")).distinct())
+    return root
 
 
 def prune_once(df: DataFrame, below: int = 350) -> DataFrame:
@@ -143,27 +159,68 @@ def prune_once(df: DataFrame, below: int = 350) -> DataFrame:
     return out.select("image_id", "pid", "row", "col", F.coalesce("into", "label").alias("label"))
 
 
-def pruned(labels_: np.ndarray, pairs: np.ndarray, below: int, delete: Callable[[int], bool] | None = None) -> np.ndarray:
-    """Smallest regions first, each into its neighbour with most pixels, until none is too small."""
-    labels_ = labels_.copy()
-    delete = delete or (lambda n: n < below)
+def prune_map(size: dict[int, int], near: dict[int, set[int]], below: int, delete: Callable[[int], bool] | None = None, replace: Callable[[int, int], float] | None = None) -> dict[int, int]:
+    """The label that each region ends with: smallest regions first, each into its neighbour with most pixels, until none is too small.
+
+    ``delete`` says by its pixels whether a region goes, ``replace`` gives the cost, by the pixels of both, of
+    taking a neighbour's label: the one of least cost, then of least number, is taken.
+    """
+    size, near, end = dict(size), {k: set(x) for k, x in near.items()}, {k: k for k in size}
+    delete, replace = delete or (lambda n: n < below), replace or (lambda n, m: -m)
     while True:
-        names, counts = np.unique(labels_, return_counts=True)
-        size = dict(zip(names.tolist(), counts.tolist()))
-        x, y = labels_[pairs[0]], labels_[pairs[1]]
-        touch = np.unique(np.concatenate([np.stack([x, y], 1), np.stack([y, x], 1)])[np.concatenate([x != y, x != y])], axis=0)
-        small = sorted((n, k) for k, n in size.items() if delete(n) and (touch[:, 0] == k).any())
+        small = sorted((n, k) for k, n in size.items() if delete(n) and near.get(k))
         if not small:
-            return labels_
+            break
         into: dict[int, int] = {}
+        taken: set[int] = set()
         for _, k in small:
-            if k in into.values():
-                continue
-            best = max(touch[touch[:, 0] == k, 1].tolist(), key=lambda m: (size[m], -m))
-            if best not in into:
-                into[k] = best
+            if k not in taken:
+                best = min(near[k], key=lambda m: (replace(size[k], size[m]), m))
+                if best not in into:
+                    into[k] = best
+                    taken.add(best)
         for k, m in into.items():
-            labels_[labels_ == k] = m
+            end[k] = m
+            size[m] += size.pop(k)
+            for x in near.pop(k):
+                near[x].discard(k)
+                if x != m:
+                    near[x].add(m)
+                    near[m].add(x)
+
+    def last(k: int) -> int:
+        while end[k] != k:
+            k = end[k]
+        return k
+
+    return {k: last(k) for k in end}
+
+
+def pruned(labels_: np.ndarray, pairs: np.ndarray, below: int, delete: Callable[[int], bool] | None = None, replace: Callable[[int, int], float] | None = None) -> np.ndarray:
+    """The labels of pixels after ``prune_map``; ``pairs``: places of pixels that touch."""
+    names, at, counts = np.unique(labels_, return_inverse=True, return_counts=True)
+    x, y = labels_[pairs[0]], labels_[pairs[1]]
+    near: dict[int, set[int]] = defaultdict(set)
+    for a, b in np.unique(np.stack([x[x != y], y[x != y]], axis=1), axis=0).tolist():
+        near[a].add(b)
+        near[b].add(a)
+    into = prune_map(dict(zip(names.tolist(), counts.tolist())), near, below, delete, replace)
+    return np.array([into[k] for k in names.tolist()])[at]
+
+
+def prune(df: DataFrame, below: int = 350, delete: Callable[[int], bool] | None = None, replace: Callable[[int, int], float] | None = None) -> DataFrame:
+    """``df`` with the labels after ``prune_map``; a task gets an image's table of regions (4-connected), not its pixels."""
+    n = df.groupBy("image_id", "label").agg(F.count("*").alias("n"))
+    e = grid.edges(df, ["label"], ((1, 0), (0, 1))).where("o_label <> label").select("image_id", F.col("o_label").alias("label"), F.col("label").alias("near"))
+    both = e.unionByName(e.select("image_id", F.col("near").alias("label"), F.col("label").alias("near"))).groupBy("image_id", "label").agg(F.collect_set("near").alias("near"))
+
+    def run(table: pa.Table) -> pa.Table:
+        names, sizes, near = (table.column(c).to_pylist() for c in ("label", "n", "near"))
+        into = prune_map(dict(zip(names, sizes)), {k: set(x or ()) for k, x in zip(names, near)}, below, delete, replace)
+        return pa.table({"image_id": table.column("image_id"), "label": pa.array(names, pa.int32()), "into": pa.array([into[k] for k in names], pa.int32())})
+
+    found = n.join(both, ["image_id", "label"], "left").groupBy("image_id").applyInArrow(run, "image_id long, label int, into int")
+    return df.join(found, ["image_id", "label"]).select(*[F.col("into").alias("label") if c == "label" else c for c in df.columns])
 
 
 class Graph:
@@ -219,6 +276,76 @@ class Graph:
         return new
 
 
+class Rims:
+    """Boundaries of regions that merge.  A region's boundary is its dilation without its erosion,
+    and that of two merged ones is the union of both.
+
+    Pixels count by the set of regions whose boundaries hold them, as the number and sum of their
+    values; so contraction adds up records and looks at no pixel.
+    """
+
+    def __init__(self) -> None:
+        self.sets: dict[frozenset, list[float]] = {}
+        self.of: dict[int, set[frozenset]] = defaultdict(set)
+        self.edges: dict[int, dict[int, list[float]]] = defaultdict(dict)
+
+    def add(self, regions: frozenset, total: float, n: float) -> None:
+        """More pixels whose value adds up to ``total`` on the boundaries of just these regions."""
+        self._put(regions, total, n)
+        for a in regions:
+            for b in regions:
+                if a < b:
+                    self._edge(a, b, total, n)
+
+    def _put(self, regions: frozenset, total: float, n: float) -> None:
+        found = self.sets.setdefault(regions, [0.0, 0])
+        found[0] += total
+        found[1] += n
+        for a in regions:
+            self.of[a].add(regions)
+
+    def _edge(self, a: int, b: int, total: float, n: float) -> None:
+        found = self.edges[a].setdefault(b, [0.0, 0])
+        self.edges[b][a] = found
+        found[0] += total
+        found[1] += n
+
+    def contract(self, a: int, b: int, new: int) -> None:
+        """Puts ``new`` in place of both; a pixel on both boundaries counts once."""
+        for regions in self.of[a] | self.of[b]:
+            total, n = self.sets.pop(regions)
+            for c in regions:
+                self.of[c].discard(regions)
+            others = regions - {a, b}
+            self._put(others | {new}, total, n)
+            for c in others:
+                self._edge(new, c, total, n)
+        for x in (a, b):
+            for c in self.edges.pop(x, {}):
+                self.edges[c].pop(x, None)
+            self.of.pop(x, None)
+
+    def mean(self, a: int, b: int) -> float:
+        """Mean value on both boundaries; 1 if they share no pixel."""
+        total, n = self.edges[a].get(b, (0.0, 0))
+        return total / n if n else 1.0
+
+
+def rims_of(t: Tile, values: np.ndarray) -> Rims:
+    """The boundaries' records of a labelled image (column ``label``), with the values of its core."""
+    label, found = t.grid("label"), Rims()
+    near = np.stack([np.where(t.near(t.there, *o), t.near(label, *o), t.near(label)) for o in grid.window(1)])
+    rim = t.near(t.there) & (near != near[0]).any(axis=0)
+    sums: dict[frozenset, list[float]] = {}
+    for names, value in zip(np.sort(near[:, rim], axis=0).T.tolist(), values[rim].tolist()):
+        one = sums.setdefault(frozenset(names), [0.0, 0])
+        one[0] += value
+        one[1] += 1
+    for names, (total, n) in sums.items():
+        found.add(names, total, n)
+    return found
+
+
 def _regions(image: pd.DataFrame) -> dict[int, dict]:
     t = np.column_stack([image[n] for n in NORMAL])
     from lumigrid.functions.distributions import watson_statistic as statistic
@@ -248,86 +375,136 @@ def plane_share(points: np.ndarray, distance: float, seed: int, tries: int = 60)
     return best
 
 
-def _with_graph(df: DataFrame, act: Callable[[pd.DataFrame, Graph], None]) -> DataFrame:
+def graph_of(image: pd.DataFrame) -> Graph:
+    """The adjacency (8-connected) of an image's regions, whose data merge."""
+    g = Graph(merge=_merged)
+    for k, data in _regions(image).items():
+        g.add(data, k)
+    at = np.full((int(image["row"].max()), int(image["col"].max())), -1)
+    at[image["row"] - 1, image["col"] - 1] = image["label"]
+    for x, y in ((at[:-1], at[1:]), (at[:, :-1], at[:, 1:]), (at[:-1, :-1], at[1:, 1:]), (at[1:, :-1], at[:-1, 1:])):
+        for a, b in np.unique(np.stack([x[x != y], y[x != y]], 1), axis=0).tolist():
+            if a in g and b in g:
+                g.connect(a, b, True)
+    return g
+
+
+def labels_of(g: Graph, n: int) -> np.ndarray:
+    label = np.zeros(n, np.int64)
+    for k in g.vertices():
+        label[g[k]["rows"]] = k
+    return renumbered(label)
+
+
+def without_small(g: Graph, small_area: int, merged: Callable[[int, int, int], None] = lambda a, b, new: None) -> None:
+    """Merges each region under an area into the neighbour of closest mean colour (the least of equal ones).
+
+    A pass takes the regions that it starts with, smallest first; regions that it makes wait for the
+    next one.  Passes go on while they merge.  A region without neighbours stays.
+    """
+    again = True
+    while again:
+        again = False
+        for _, k in sorted((g[k]["n"], k) for k in g.vertices()):
+            if k in g and g[k]["n"] < small_area and g.degree(k):
+                into = min(g.adjacent(k), key=lambda m: (float(np.linalg.norm(g[m]["colour"] - g[k]["colour"])), m))
+                merged(k, into, g.contract(k, into))
+                again = True
+
+
+def merge_regions(g: Graph, rims: Rims, points: np.ndarray, config: MergeConfig) -> None:
+    """Small regions first; then the first region (by number) with a neighbour to merge with takes the closest one
+    that is planar, not parted by a boundary and on one plane with it, again and again.
+
+    Pairs wait in a queue by region, divergence and neighbour.  A pair is looked at once, as nothing
+    that decides about it changes while both are there; pairs of regions that are gone are skipped.
+    """
+    without_small(g, config.small_area, rims.contract)
+    fits: dict[int, Watson] = {}
+    queue: list[tuple[int, float, int]] = []
+
+    def enter(a: int, b: int) -> None:
+        wa, wb = fits[a], fits[b]
+        if wa.kappa > config.kappa and wb.kappa > config.kappa:
+            wd = min(wa.divergence(wb), wb.divergence(wa))
+            if wd < config.thd and rims.mean(a, b) < config.thb:
+                heapq.heappush(queue, (a, wd, b))
+                heapq.heappush(queue, (b, wd, a))
+
+    for k in g.vertices():
+        fits[k] = Watson(g[k]["eta"])
+    for k in g.vertices():
+        for m in g.adjacent(k):
+            if k < m:
+                enter(k, m)
+    while queue:
+        a, _, b = heapq.heappop(queue)
+        if a in g and b in g and plane_share(points[np.sort(np.concatenate([g[a]["rows"], g[b]["rows"]]))], config.distance, config.seed) > config.inliers:
+            new = g.contract(a, b)
+            rims.contract(a, b, new)
+            fits[new] = Watson(g[new]["eta"])
+            for c in g.adjacent(new):
+                enter(new, c)
+
+
+def planar_labels(image: pd.DataFrame, config: MergeConfig = MergeConfig()) -> np.ndarray:
+    """Labels of a labelled image (rows by pid) after merging its planar regions."""
+    names = ["c1", "c2", "c3", "z"]
+    t = Tile.whole(image, [*names, "label"], 1, clamp=True)
+    mog = grid.gradients_of(t, names)["mog"]
+    top = float(t.of(mog).max())
+    g, inner = graph_of(image), Tile.whole(image, ["label"], 1)
+    merge_regions(g, rims_of(inner, mog / top if top > 0 else np.zeros_like(mog)), image[list(POSITION)].to_numpy(), config)
+    return labels_of(g, len(image))
+
+
+def _by_image(df: DataFrame, act: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
     def run(image: pd.DataFrame) -> pd.DataFrame:
         image = image.sort_values("pid").reset_index(drop=True)
-        g, found = Graph(merge=_merged), _regions(image)
-        for k, data in found.items():
-            g.add(data, k)
-        h, w = int(image["row"].max()), int(image["col"].max())
-        at = np.full((h, w), -1)
-        at[image["row"] - 1, image["col"] - 1] = image["label"]
-        for x, y in ((at[:-1], at[1:]), (at[:, :-1], at[:, 1:]), (at[:-1, :-1], at[1:, 1:]), (at[1:, :-1], at[:-1, 1:])):
-            for a, b in np.unique(np.stack([x[x != y], y[x != y]], 1), axis=0).tolist():
-                if a in g and b in g:
-                    g.connect(a, b, True)
-        act(image, g)
-        label = np.zeros(len(image), np.int64)
-        for k in g.vertices():
-            label[g[k]["rows"]] = k
-        return pd.DataFrame({"image_id": image["image_id"], "pid": image["pid"], "label": renumbered(label)})
+        return pd.DataFrame({"image_id": image["image_id"], "pid": image["pid"], "label": act(image)})
 
     return df.groupBy("image_id").applyInPandas(run, "image_id long, pid long, label int")
 
 
 def remove_small(df: DataFrame, small_area: int = 1000) -> DataFrame:
-    """Regions under an area go into the touching region of closest mean colour, smallest first."""
+    """Regions under an area go into the touching region of closest mean colour: see ``without_small``."""
 
-    def act(image: pd.DataFrame, g: Graph) -> None:
-        while True:
-            small = sorted((g[k]["n"], k) for k in g.vertices() if g[k]["n"] < small_area and g.degree(k))
-            if not small:
-                return
-            k = small[0][1]
-            g.contract(k, min(g.adjacent(k), key=lambda m: (float(np.linalg.norm(g[m]["colour"] - g[k]["colour"])), m)))
+    def act(image: pd.DataFrame) -> np.ndarray:
+        g = graph_of(image)
+        without_small(g, small_area)
+        return labels_of(g, len(image))
 
-    return _with_graph(df, act)
+    return _by_image(df, act)
 
 
 def merge_planar(df: DataFrame, config: MergeConfig = MergeConfig()) -> DataFrame:
-    """Greedy merging of planar regions with like normals and weak boundaries, to a fixed point."""
-    gradient = grid.sobel(df, ["c1", "c2", "c3", "z"])
-    rows = df.join(gradient.select("image_id", "pid", "mog"), ["image_id", "pid"])
-
-    def act(image: pd.DataFrame, g: Graph) -> None:
-        mog, points = image["mog"].to_numpy(), image[list(POSITION)].to_numpy()
-        h = int(image["row"].max())
-        key = (image["col"].to_numpy() - 1) * (h + 2) + image["row"].to_numpy()
-
-        def rim(a: dict, b: dict) -> float:
-            near = lambda x: np.unique((key[x][:, None] + np.array([0, 1, -1, h + 2, -h - 2])).ravel())
-            both = np.isin(key, np.intersect1d(near(a["rows"]), near(b["rows"])))
-            return float(np.nan_to_num(mog[both]).mean()) if both.any() else 1.0
-
-        again = True
-        while again:
-            again = False
-            for i in g.vertices():
-                if i not in g:
-                    continue
-                wi = Watson(g[i]["eta"])
-                if wi.kappa <= config.kappa:
-                    continue
-                pairs = []
-                for j in g.adjacent(i):
-                    wj = Watson(g[j]["eta"])
-                    pairs.append((min(wi.divergence(wj), wj.divergence(wi)), j, wj.kappa))
-                for wd, j, kappa in sorted(pairs):
-                    if kappa > config.kappa and wd < config.thd and rim(g[i], g[j]) < config.thb:
-                        both = np.concatenate([g[i]["rows"], g[j]["rows"]])
-                        if plane_share(points[both], config.distance, config.seed) > config.inliers:
-                            g.contract(i, j)
-                            again = True
-                            break
-
-    return _with_graph(rows, act)
+    """Greedy merging of planar regions with like normals and weak boundaries: see ``merge_regions``."""
+    return _by_image(df, lambda image: planar_labels(image, config))
+
+
+def merged_boundaries(df: DataFrame, value: str, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """(image_id, a, b, n, total): pixels on the boundaries of both regions, and the sum of a value there, after
+    the contractions (a, b, new) of labels that the image has."""
+
+    def run(image: pd.DataFrame) -> pd.DataFrame:
+        image = image.sort_values("pid").reset_index(drop=True)
+        t = Tile.whole(image, ["label", value], 1)
+        rims, have = rims_of(t, t.near(t.grid(value))), set(image["label"])
+        for a, b, new in merges:
+            if a in have and b in have:
+                rims.contract(a, b, new)
+                have = (have - {a, b}) | {new}
+        rows = [(image["image_id"].iloc[0], a, b, int(n), total) for a in rims.edges for b, (total, n) in rims.edges[a].items() if a < b]
+        return pd.DataFrame(rows, columns=["image_id", "a", "b", "n", "total"])
+
+    return df.groupBy("image_id").applyInPandas(run, "image_id long, a int, b int, n long, total double")
 
 
 def consistent(points: DataFrame, config: MergeConfig = MergeConfig()) -> DataFrame:
     """Per region the share of points on its best plane and whether it passes as a plane."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        share = plane_share(part[list(POSITION)].to_numpy(), config.distance, config.seed)
+        share = plane_share(part.sort_values("pid")[list(POSITION)].to_numpy(), config.distance, config.seed)
         return pd.DataFrame({"image_id": [part["image_id"].iloc[0]], "label": [part["label"].iloc[0]], "share": [share], "planar": [share > config.inliers]})
 
-    return points.orderBy("pid").groupBy("image_id", "label").applyInPandas(run, "image_id long, label int, share double, planar boolean")
+    return points.groupBy("image_id", "label").applyInPandas(run, "image_id long, label int, share double, planar boolean")

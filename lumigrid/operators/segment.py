@@ -1,7 +1,9 @@
 """Segmentation algorithms behind one call: ``segment(pixels, config)``.
 
-Each algorithm is a kernel of one image; Spark runs as many images at once as it
-has slots.  Edges, medians, components and summaries around them are plans.
+An image that fits a task is segmented in it, start to end, and Spark runs as many images at once as
+it has slots.  With ``spread`` images of any size are taken apart: graph merging by tiles,
+mixtures and spectral clustering by blocks of pixels, turn by turn for all images at once.  Both give
+the same labels, but for the last digits of sums.
 """
 
 from __future__ import annotations
@@ -15,27 +17,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigrid.model import CHANNELS, COLOUR, NORMAL, POSITION, DiametricalConfig, GraphConfig, MixtureConfig, SpectralConfig, WatsonConfig
-from lumigrid.operators import grid, mixture, regions
+from lumigrid.operators import grid, iterated, merging, mixture, regions, spectral
 from lumigrid.operators.projections import to_lab
+from lumigrid.operators.spectral import disparity, gaussian, landmarks, nystrom  # noqa: F401
+from lumigrid.operators.tiles import Tile
 
 LABELS = "image_id long, pid long, label int"
-_KERNELS: dict[type, Callable[[DataFrame, object], DataFrame]] = {}
+ATTEMPTS = "image_id long, algorithm int, pid long, label int, elapsed double, error string"
+#: By kind of parameters: labels of one image (rows by pid), and the plan for images of any size.
+_IMAGE: dict[type, Callable[[pd.DataFrame, object], np.ndarray]] = {}
+_SPREAD: dict[type, Callable[[DataFrame, object, int], DataFrame]] = {}
 
 
-def algorithm(config: type) -> Callable:
-    def add(f: Callable) -> Callable:
-        _KERNELS[config] = f
-        return f
+def _of_image(config: type) -> Callable:
+    return lambda f: _IMAGE.setdefault(config, f)
 
-    return add
 
+def _spread(config: type) -> Callable:
+    return lambda f: _SPREAD.setdefault(config, f)
 
-def segment(df: DataFrame, config: object) -> DataFrame:
-    """Labels (image_id, pid, label) of all images, from 1 by first pixel."""
-    found = _KERNELS.get(type(config))
-    if found is None:
+
+def segment(df: DataFrame, config: object, spread: int = 0) -> DataFrame:
+    """Labels (image_id, pid, label) of all images, from 1 by first pixel.
+
+    ``spread``: 0 for an image a task, else the rows and columns of a tile, which are taken apart.
+    """
+    if type(config) not in _IMAGE:
         raise NotImplementedError(f"no algorithm for {type(config).__name__}")
-    return found(df, config)
+    if isinstance(config, SpectralConfig):
+        df = lab(df, config)
+    if spread:
+        return _SPREAD[type(config)](df, config, spread)
+    if isinstance(config, GraphConfig) and config.weigh:
+        return weighed_segments(df, config)
+    act = _IMAGE[type(config)]
+    return df.groupBy("image_id").applyInPandas(lambda image: _labelled(image, lambda rows: act(rows, config)), LABELS)
 
 
 def timed(df: DataFrame, config: object, action: Callable[[DataFrame], object] = DataFrame.count) -> float:
@@ -45,6 +61,35 @@ def timed(df: DataFrame, config: object, action: Callable[[DataFrame], object] =
     return time.perf_counter() - began
 
 
+def attempted(df: DataFrame, configs: list[object], todo: DataFrame) -> DataFrame:
+    """Segments images by several algorithms in one job: rows (image_id, algorithm, pid, label), and a row without pid for
+    each attempt with its elapsed seconds, or with its error, which costs no other image.
+
+    ``todo``: rows (image_id, algorithm), the place of the parameters in ``configs``.
+    """
+    missing = [type(c).__name__ for c in configs if type(c) not in _IMAGE]
+    if missing:
+        raise NotImplementedError(f"no algorithm for {missing[0]}")
+    wanted = todo.groupBy("image_id").agg(F.sort_array(F.collect_set("algorithm")).alias("wanted"))
+
+    def run(image: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for k in image["wanted"].iloc[0]:
+            began = time.perf_counter()
+            try:
+                rows = lab_image(image, configs[k]) if isinstance(configs[k], SpectralConfig) else image
+                labels = _labelled(rows, lambda x: _IMAGE[type(configs[k])](x, configs[k]))  # noqa: B023
+                elapsed, error = time.perf_counter() - began, None
+            except Exception as e:  # the batch goes on; the row says why
+                labels, elapsed, error = None, None, f"{type(e).__name__}: {str(e)[:500]}"
+            status = pd.DataFrame({"image_id": [image["image_id"].iloc[0]], "algorithm": [k], "pid": [None], "label": [None], "elapsed": [elapsed], "error": [error]})
+            parts += [status] if labels is None else [status, labels.assign(algorithm=k, elapsed=None, error=None)]
+        names = [c.split()[0] for c in ATTEMPTS.split(", ")]
+        return pd.concat([p[names].astype({"pid": "Int64", "label": "Int32", "elapsed": "Float64", "error": object}) for p in parts])
+
+    return df.join(wanted, "image_id").groupBy("image_id").applyInPandas(run, ATTEMPTS)
+
+
 class _Sets:
     """Union by rank, as the order of roots matters where sizes are left stale."""
 
@@ -88,10 +133,28 @@ def merged_graph(n: int, edges: np.ndarray, weights: np.ndarray, config: GraphCo
     return np.array([sets.root(i) for i in range(n)])
 
 
-@algorithm(GraphConfig)
-def graph_segments(df: DataFrame, config: GraphConfig) -> DataFrame:
-    edges = (config.weigh or grid.weights)(df)
-    pixels = df.select(F.col("image_id").alias("image"), "pid")
+def _pairs(image: pd.DataFrame, offsets=grid.HALF) -> np.ndarray:
+    """Places of both ends of an image's edges."""
+    t = Tile.whole(image.assign(place=np.arange(len(image))), ["place"], 1)
+    place = t.near(t.grid("place"))
+    parts = [np.stack([place[there], t.near(t.grid("place"), *o)[there]], axis=1) for o in offsets if (there := t.near(t.there) & t.near(t.there, *o)) is not None]
+    return np.concatenate(parts)
+
+
+@_of_image(GraphConfig)
+def graph_labels(image: pd.DataFrame, config: GraphConfig) -> np.ndarray:
+    if config.weigh:
+        raise ValueError("given weights are frames: segment() takes them")
+    pairs = _pairs(image)
+    one, other = (image[list(CHANNELS)].to_numpy()[pairs[:, k]] for k in (0, 1))
+    far = [np.sqrt(((one - other)[:, s] ** 2).sum(axis=1)) for s in (slice(0, 3), slice(3, 6))]
+    angle = np.arccos(np.clip((one[:, 6:] * other[:, 6:]).sum(axis=1), 0, 1))
+    return regions.renumbered(merged_graph(len(image), pairs, np.column_stack([*far, angle]), config))
+
+
+def weighed_segments(df: DataFrame, config: GraphConfig) -> DataFrame:
+    """Graph merging by given weights: edges meet their image's pixels."""
+    edges, pixels = config.weigh(df), df.select(F.col("image_id").alias("image"), "pid")
 
     def run(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         pid = np.sort(p["pid"].to_numpy())
@@ -103,8 +166,9 @@ def graph_segments(df: DataFrame, config: GraphConfig) -> DataFrame:
     return pixels.groupBy("image").cogroup(edges.groupBy("image_id")).applyInPandas(run, LABELS)
 
 
-def _per_image(df: DataFrame, act: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
-    return df.groupBy("image_id").applyInPandas(lambda image: _labelled(image, act), LABELS)
+@_spread(GraphConfig)
+def graph_spread(df: DataFrame, config: GraphConfig, side: int) -> DataFrame:
+    return merging.spread_graph(df, (config.weigh or grid.weights)(df), config, side)
 
 
 def _labelled(image: pd.DataFrame, act: Callable[[pd.DataFrame], np.ndarray]) -> pd.DataFrame:
@@ -112,35 +176,45 @@ def _labelled(image: pd.DataFrame, act: Callable[[pd.DataFrame], np.ndarray]) ->
     return pd.DataFrame({"image_id": image["image_id"], "pid": image["pid"], "label": np.asarray(act(image), np.int32)})
 
 
-def _smoothed(df: DataFrame, labels: DataFrame) -> DataFrame:
-    placed = df.select("image_id", "pid", "row", "col").join(labels, ["image_id", "pid"])
-    median = grid.median3x3(placed)
-    return regions.components(df.select("image_id", "pid", "row", "col").join(median, ["image_id", "pid"]))
+def _smooth(image: pd.DataFrame, labels: np.ndarray) -> np.ndarray:
+    """Components of an image's labels after their median."""
+    t = Tile.whole(image.assign(label=labels), ["label"], 1, clamp=True)
+    image = image.assign(label=t.of(grid.median_of(t)).astype(int))
+    return regions.renumbered(regions.flooded(*regions.as_grid(image, "label")))
 
 
-@algorithm(MixtureConfig)
-def mixture_segments(df: DataFrame, config: MixtureConfig) -> DataFrame:
-    hard = _per_image(df, lambda image: mixture.joint_em(image[list(CHANNELS)].to_numpy(), config).argmax(axis=1) + 1)
-    out = _smoothed(df, hard)
-    if config.merge_regions:
-        return regions.merge_planar(df.drop("label").join(out, ["image_id", "pid"]))
-    return out
+@_of_image(MixtureConfig)
+def mixture_labels(image: pd.DataFrame, config: MixtureConfig) -> np.ndarray:
+    labels = _smooth(image, mixture.joint_em(image[list(CHANNELS)].to_numpy(), config).argmax(axis=1) + 1)
+    return regions.planar_labels(image.assign(label=labels)) if config.merge_regions else labels
 
 
-@algorithm(WatsonConfig)
-def watson_segments(df: DataFrame, config: WatsonConfig) -> DataFrame:
-    return _per_image(df, lambda image: regions.renumbered(mixture.watson_mixture(image[list(NORMAL)].to_numpy(), config)))
+@_spread(MixtureConfig)
+def mixture_spread(df: DataFrame, config: MixtureConfig, side: int) -> DataFrame:
+    placed = df.select("image_id", "pid", "row", "col")
+    median = grid.median3x3(placed.join(iterated.joint_em(df, config, block=side * side), ["image_id", "pid"]))
+    out = regions.components_relational(placed.join(median, ["image_id", "pid"]))
+    return regions.merge_planar(df.drop("label").join(out, ["image_id", "pid"])) if config.merge_regions else out
 
 
-@algorithm(DiametricalConfig)
-def diametrical_segments(df: DataFrame, config: DiametricalConfig) -> DataFrame:
-    return _per_image(df, lambda image: regions.renumbered(mixture.diametrical(image[list(NORMAL)].to_numpy(), config)[1]))
+@_of_image(WatsonConfig)
+def watson_labels(image: pd.DataFrame, config: WatsonConfig) -> np.ndarray:
+    return regions.renumbered(mixture.watson_mixture(image[list(NORMAL)].to_numpy(), config))
 
 
-def landmarks(n: int, proportion: float) -> np.ndarray:
-    """Evenly spaced places, at least two."""
-    m = max(2, min(n, int(np.rint(n * proportion))))
-    return np.unique(np.floor(np.arange(m) * n / m).astype(int))
+@_spread(WatsonConfig)
+def watson_spread(df: DataFrame, config: WatsonConfig, side: int) -> DataFrame:
+    return regions.renumber(iterated.watson_mixture(df, config, side * side))
+
+
+@_of_image(DiametricalConfig)
+def diametrical_labels(image: pd.DataFrame, config: DiametricalConfig) -> np.ndarray:
+    return regions.renumbered(mixture.diametrical(image[list(NORMAL)].to_numpy(), config)[1])
+
+
+@_spread(DiametricalConfig)
+def diametrical_spread(df: DataFrame, config: DiametricalConfig, side: int) -> DataFrame:
+    return regions.renumber(iterated.diametrical_labels(df, config, side * side))
 
 
 def landmark_pixels(df: DataFrame, proportion: float) -> DataFrame:
@@ -160,66 +234,37 @@ def affinity(df: DataFrame, marks: DataFrame, names: tuple[str, ...] = (*COLOUR,
     return df.select("image_id", "pid", *names).join(other, "image_id").select("image_id", "pid", "mark", F.exp(-gap).alias("a"))
 
 
-def gaussian(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """exp of minus the squared distances, from norms and one product."""
-    square = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y) - 2 * x @ y.T
-    return np.exp(-np.maximum(square, 0))
-
-
-def nystrom(f: np.ndarray, at: np.ndarray, nev: int, affinity: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
-    """Leading eigenvectors of the normalised affinity, extended from landmarks to all rows.
-
-    Memory is that of rows times landmarks, twice.
-    """
-    c = (affinity or gaussian)(f, f[at])
-    inner = np.linalg.pinv(c[at], hermitian=True, rcond=1e-10)
-    degree = np.maximum(c @ (inner @ c.sum(axis=0)), 1e-12)
-    c /= np.sqrt(degree)[:, None]
-    c /= np.sqrt(degree[at])[None]
-    values, vectors = np.linalg.eigh((c[at] + c[at].T) / 2)
-    keep = np.argsort(-values)[: min(nev, len(at))]
-    return c @ vectors[:, keep] / np.where(np.abs(values[keep]) > 1e-10, values[keep], 1e-10)
-
-
-def disparity(f: np.ndarray, labels: np.ndarray) -> float:
-    """Half of inter-region minus intra-region disparity, weighted by area; the mean over feature sets."""
-    names, inverse, n = np.unique(labels, return_inverse=True, return_counts=True)
-    scores = []
-    for x in (f[:, :3], f[:, 5:6]):
-        mean = np.stack([np.bincount(inverse, x[:, k]) / n for k in range(x.shape[1])], axis=1)
-        intra = float(np.sqrt(((x - mean[inverse]) ** 2).sum(axis=1)).mean())
-        far = np.sqrt(((mean[:, None] - mean[None]) ** 2).sum(axis=2))
-        inter = float((far.sum(axis=1) / max(len(n) - 1, 1) * n).sum() / n.sum())
-        scores.append((inter - intra) / 2)
-    return float(np.mean(scores))
-
-
 def best_of(scores: DataFrame) -> DataFrame:
     """Of rows (image_id, place, .., score) each image's row of the greatest score, the first place of equal ones."""
     order = Window.partitionBy("image_id").orderBy(F.col("score").desc(), "place")
     return scores.where("score IS NOT NULL AND NOT isnan(score)").withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
-@algorithm(SpectralConfig)
-def spectral_segments(df: DataFrame, config: SpectralConfig) -> DataFrame:
-    colours = to_lab(df) if config.lab_mode == "reference" else to_lab(df.withColumns({c: F.col(c) * 255 for c in ("c1", "c2", "c3")}))
-
-    def act(image: pd.DataFrame) -> np.ndarray:
-        x = image[list(CHANNELS[:6])].to_numpy()
-        spread = x.std(axis=0, ddof=1)
-        own, a, b, at = regions.as_grid(image.assign(one=1), "one")
-        best = None
-        for weight in config.lambdas:
-            f = x * np.r_[[3 / max(spread[:3].sum(), 1e-12)] * 3, [weight * 3 / max(spread[3:].sum(), 1e-12)] * 3]
-            _, group = mixture.kmeans(nystrom(f, landmarks(len(x), config.proportion), config.nev, config.affinity), config.k, config.seed)
-            same = group[a] == group[b]
-            labels = regions.renumbered(regions.flooded(own, a[same], b[same]))
-            small = regions.pruned(labels, np.stack([a, b]), config.prune_below, config.delete)
-            score = disparity(f, small)
-            if not np.isnan(score) and (best is None or score > best[0]):
-                best = score, regions.renumbered(small) if config.return_pruned else labels
-        if best is None:
-            raise ValueError("no segmentation has a score")
-        return best[1]
-
-    return _per_image(colours, act)
+def lab(df: DataFrame, config: SpectralConfig) -> DataFrame:
+    return to_lab(df) if config.lab_mode == "reference" else to_lab(df.withColumns({c: F.col(c) * 255 for c in COLOUR}))
+
+
+@_of_image(SpectralConfig)
+def spectral_labels(image: pd.DataFrame, config: SpectralConfig) -> np.ndarray:
+    """The labels of the weight of greatest score; colours are CIE Lab already."""
+    x = image[list(CHANNELS[:6])].to_numpy()
+    spread = x.std(axis=0, ddof=1)
+    own, a, b, _ = regions.as_grid(image.assign(one=1), "one")
+    best = None
+    for weight in config.lambdas:
+        f = x * spectral.scales(spread, weight)
+        _, group = mixture.kmeans(nystrom(f, landmarks(len(x), config.proportion), config.nev, config.affinity), config.k, config.seed)
+        same = group[a] == group[b]
+        labels = regions.renumbered(regions.flooded(own, a[same], b[same]))
+        small = regions.pruned(labels, np.stack([a, b]), config.prune_below, config.delete, config.replace)
+        score = disparity(f, small)
+        if not np.isnan(score) and (best is None or score > best[0]):
+            best = score, regions.renumbered(small) if config.return_pruned else labels
+    if best is None:
+        raise ValueError("no segmentation has a score")
+    return best[1]
+
+
+@_spread(SpectralConfig)
+def spectral_spread(df: DataFrame, config: SpectralConfig, side: int) -> DataFrame:
+    return spectral.spread(df, config, landmark_pixels(df, config.proportion), best_of, side * side)

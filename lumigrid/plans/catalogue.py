@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import math
-import re
-import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import make_dataclass
 from functools import reduce
 
 import numpy as np
@@ -23,6 +22,7 @@ from lumigrid.operators.segment import best_of, landmark_pixels, segment
 from lumigrid.plans import harness, sql
 from lumigrid.sources import dataset, store
 from lumigrid.sources.fixtures import blocky, metric_rows, pixels, pixels_events, pixels_multi
+from lumigrid.sources.shared import folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +74,23 @@ def element_add(spark, d):
     return rounded(projections.combined(p.join(other, ["image_id", "pid"])))
 
 
+@query(sql.ELEMENT_LESS)
+def element_subtract(spark, d):
+    """Differences to the next pixel, and for some to the pixel itself, which have no direction."""
+    p = pixels(spark, d)
+    other = p.select("image_id", F.col("pid").alias("o_pid"), *[F.col(c).alias(f"o_{c}") for c in CHANNELS])
+    at = F.when(F.col("pid") % 3 == 0, F.col("pid")).otherwise(F.col("pid") + 1)
+    return rounded(projections.combined(p.withColumn("o_pid", at).join(other, ["image_id", "o_pid"]), -1))
+
+
+@query(sql.select("px", "image_id, pid", *CHANNELS))
+def element_zero(spark, d):
+    """Zero added to each pixel leaves it as it is."""
+    p = pixels(spark, d)
+    zero = projections.zero(p).select("image_id", "pid", *[F.col(c).alias(f"o_{c}") for c in CHANNELS])
+    return rounded(projections.combined(p.join(zero, ["image_id", "pid"])))
+
+
 @query(sql.ELEMENT_HALF)
 def element_divide(spark, d):
     return rounded(projections.divided(pixels(spark, d), 2.0))
@@ -91,6 +108,18 @@ def depth_to_world(spark, d):
     return rounded(projections.depth_to_world(pixels(spark, d)).select("image_id", "pid", "x", "y", "z"))
 
 
+@query(sql.COLOUR_CAMERA)
+def colour_camera(spark, d):
+    found = projections.to_colour_camera(pixels(spark, d)).select("image_id", "pid", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"), "w")
+    return rounded(found)
+
+
+@query(sql.RAW_DEPTH)
+def absolute_depth(spark, d):
+    p = pixels(spark, d).withColumn("raw", 600 + 400 * F.abs("c1"))
+    return rounded(projections.absolute_depth(p).select("image_id", "pid", "z"))
+
+
 @query(sql.MASK)
 def projection_mask(spark, d):
     return projections.projection_mask(pixels(spark, d), (3, 20), (4, 17)).select("image_id", "pid", "inside")
@@ -201,6 +230,15 @@ def fill_normals(spark, d):
     return rounded(grid.filled_normals(_holes(pixels(spark, d)), 1).select("image_id", "pid", *NORMAL))
 
 
+@query(sql.FEEDING)
+def fill_normals_feeding(spark, d):
+    """Holes in pairs: the first fill of a pair feeds the second."""
+    p = pixels(spark, d)
+    hole = (F.col("row") % 4 == 0) & (F.col("col") % 6).isin(2, 3)
+    p = p.withColumns({n: F.when(hole, 0.0).otherwise(F.col(n)) for n in NORMAL})
+    return rounded(grid.filled_normals_in_place(p, 1).select("image_id", "pid", *NORMAL))
+
+
 @query()
 def fill_normals_in_place(spark, d):
     return rounded(grid.filled_normals_in_place(_holes(pixels(spark, d)), 1).select("image_id", "pid", *NORMAL))
@@ -255,14 +293,13 @@ def boundary_strength(spark, d):
     return rounded(regions.boundary_strength(p, grid.sobel(p, ["c1"])))
 
 
-@query(sql.COMPONENTS)
+@query(sql.COMPONENTS(sql.PM, "pm"))
 def connected_components(spark, d):
-    return regions.components(pixels(spark, d))
+    return regions.components(pixels_multi(spark, d))
 
 
-@query(sql.COMPONENTS)
+@query(sql.COMPONENTS(sql.PX, "px"))
 def connected_components_relational(spark, d):
-    store_dir(spark)
     return regions.components_relational(pixels(spark, d))
 
 
@@ -287,9 +324,42 @@ def region_merge(spark, d):
     return regions.merge_planar(blocky(pixels_multi(spark, d)), MergeConfig(kappa=0.1, thd=50.0, thb=0.9, inliers=0.2, distance=0.2))
 
 
-@query()
+@query(sql.CONSISTENT)
 def plane_consistency(spark, d):
-    return rounded(regions.consistent(blocky(pixels(spark, d)), MergeConfig(distance=0.1)))
+    """Points of a plane, some lifted off it: the rest are those of the best plane."""
+    p = pixels_multi(spark, d).withColumns({"x": F.col("col") * 1.0, "y": F.col("row") * 1.0, "label": _block()})
+    odd = F.when(F.col("col") > 5, ((F.col("row") - 1) % 5).isin(1, 3)).otherwise(F.col("pid") % 5 == 0)
+    p = p.withColumn("z", 2 + F.col("x") * 0.5 - F.col("y") * 0.25 + F.when(odd, 1 + F.abs("c1")).otherwise(0.0))
+    return rounded(regions.consistent(p, MergeConfig(distance=0.01, inliers=0.75)))
+
+
+def _block():
+    return F.expr("cast((row - 1) div 5 * 2 + (col - 1) div 5 as int)")
+
+
+@query(sql.HALVES)
+def merged_planes(spark, d):
+    """Four blocks on two planes: the two of each plane become one region, and no boundary is crossed."""
+    p, left = pixels_multi(spark, d), F.col("col") < 6
+    p = p.withColumns({c: F.col(c) * 1e-3 + F.when(left, 0.1).otherwise(0.9) for c in COLOUR})
+    p = p.withColumns({"x": F.when(left, F.col("col") * 0.1).otherwise(9.0), "y": F.col("row") * 0.1, "z": F.when(left, 2.0).otherwise(3 + F.col("col") * 0.1)})
+    tilt = {"nx": F.when(left, F.col("nx") * 1e-3).otherwise(1.0), "ny": F.col("ny") * 1e-3, "nz": F.when(left, 1.0).otherwise(F.col("nz") * 1e-3)}
+    return regions.merge_planar(p.withColumns(tilt).withColumn("label", _block()), MergeConfig(thb=0.5))
+
+
+@query(sql.MERGED_RIMS)
+def merged_boundaries(spark, d):
+    """Boundaries of regions after two of them became one: pixels on either boundary count once."""
+    return rounded(regions.merged_boundaries(pixels_multi(spark, d).withColumn("label", _block()), "c1", [(0, 1, 9)]))
+
+
+@query(sql.PRUNED_BY)
+def prune_by_rule(spark, d):
+    """A narrow stripe between two wide ones goes to the larger, or, by another rule, to the smaller."""
+    p = pixels_multi(spark, d).withColumn("label", F.expr("cast(CASE WHEN col < 5 THEN 1 WHEN col > 5 THEN 3 ELSE 2 END as int)"))
+    even = F.col("image_id") % 2 == 0
+    both = regions.prune(p.where(even), 15).unionByName(regions.prune(p.where(~even), 15, lambda n: n < 15, lambda n, m: m))
+    return both.select("image_id", "pid", "label")
 
 
 # Clustering steps
@@ -316,6 +386,30 @@ def kmeans_update(spark, d):
     return rounded(mixture.centres_of(mixture.assigned(pixels(spark, d), CENTRES)))
 
 
+@query(sql.distances(CENTRES))
+def kmeans_objective(spark, d):
+    return rounded(mixture.objective(mixture.assigned(pixels(spark, d), CENTRES)), 2)
+
+
+AXES = [[1.0, 0.0, 0.0], [0.0, 0.6, 0.8], [0.0, 0.0, 1.0]]
+
+
+@query(sql.ERROR_OF)
+def clustering_error(spark, d):
+    return rounded(mixture.clustering_error(pixels(spark, d).withColumn("cluster", F.expr("cast(label % 3 as int)")), AXES))
+
+
+@query(sql.loss(PARTS))
+def watson_loss(spark, d):
+    return rounded(mixture.watson_loss(pixels(spark, d), PARTS))
+
+
+@query(sql.density(PARTS[1]["axis"], PARTS[1]["kappa"]))
+def watson_density(spark, d):
+    p = pixels(spark, d)
+    return rounded(p.select("image_id", "pid", distributions.watson_pdf(NORMAL, PARTS[1]["axis"], PARTS[1]["kappa"]).alias("density")))
+
+
 @query(sql.gaussian(PARTS[0]["mu_c"], COV))
 def gaussian_logpdf(spark, d):
     p = pixels(spark, d)
@@ -379,7 +473,7 @@ def region_covariance(spark, d):
 
 @query()
 def cdngraph_segments(spark, d):
-    return segment(pixels(spark, d), GraphConfig(scale_k=2.0, min_size=20))
+    return segment(pixels_multi(spark, d), GraphConfig(scale_k=2.0, min_size=20))
 
 
 @query()
@@ -389,7 +483,7 @@ def jcsa_segments(spark, d):
 
 @query()
 def gcf_segments(spark, d):
-    return segment(pixels(spark, d), SpectralConfig(k=6, proportion=0.1, prune_below=10))
+    return segment(pixels_multi(spark, d), SpectralConfig(k=6, proportion=0.1, prune_below=10))
 
 
 @query()
@@ -416,19 +510,26 @@ def _flat(spark, d) -> DataFrame:
     return p.withColumns({n: F.col(n) / length for n in NORMAL})
 
 
-def _halves(spark, d) -> DataFrame:
-    """The same with two halves, as median filters and poor starts change what lies between four blocks."""
-    p = _flat(spark, d)
-    side = F.expr("cast((col - 1) div 5 as int)")
-    small = {c: F.col(c) - F.round(F.col(c)) for c in (*COLOUR, *POSITION)}
-    p = p.withColumns(small).withColumns({c: F.col(c) + side * 4.0 + 1 for c in (*COLOUR, *POSITION)})
+def _two_sides(p: DataFrame, side) -> DataFrame:
+    """Two halves, far apart, with little noise from ``p``."""
+    p = p.withColumns({c: F.col(c) * 1e-3 + side * 4.0 + 1 for c in (*COLOUR, *POSITION)})
     length = F.sqrt(1 + F.col("c1") * F.col("c1") * 1e-6 * (1 - side) + F.col("c2") * F.col("c2") * 1e-6 * side)
     tilt = {"nx": F.when(side == 0, 1.0).otherwise(0.0), "ny": F.when(side == 0, F.col("c1") * 1e-3).otherwise(F.col("c2") * 1e-3), "nz": F.when(side == 1, 1.0).otherwise(0.0)}
     return p.withColumns({c: v / length for c, v in tilt.items()}).withColumn("label", side)
 
 
-def _flat_query(name: str, text: str, source: Callable, config: object) -> None:
-    QUERIES[name] = lambda spark, d: segment(source(spark, d), config)
+def _halves(spark, d) -> DataFrame:
+    """The same with two halves, as median filters and poor starts change what lies between four blocks."""
+    return _two_sides(pixels_multi(spark, d), F.expr("cast((col - 1) div 5 as int)"))
+
+
+def _wide(spark, d) -> DataFrame:
+    """One image in two halves."""
+    return _two_sides(pixels(spark, d), F.expr("cast((col - 1) div 10 as int)"))
+
+
+def _flat_query(name: str, text: str, source: Callable, config: object, spread: int = 0) -> None:
+    QUERIES[name] = lambda spark, d: segment(source(spark, d), config, spread)
     SQL[name] = text
 
 
@@ -441,15 +542,24 @@ for _name, _text, _source, _config in (
     ("diametrical_flat", sql.HALVES, _halves, DiametricalConfig(k=2)),
 ):
     _flat_query(_name, _text, _source, _config)
+# One image, over tiles of 8 rows and columns or blocks of 64 pixels
+for _name, _config in (
+    ("cdngraph_spread", GraphConfig(scale_k=0.5, min_size=5)),
+    ("depthwmm_spread", WatsonConfig(k=2, k_init=3, iterations=10)),
+    ("jcsa_spread", MixtureConfig(k=2, max_iterations=16, seed=3)),
+    ("gcf_spread", SpectralConfig(lambdas=(0.1,), nev=2, k=2, proportion=0.1, prune_below=3)),
+    ("diametrical_spread", DiametricalConfig(k=2)),
+):
+    _flat_query(_name, sql.WIDE, _wide, _config, 8)
 
 
 @query(sql.OBJECTIVE)
 def diametrical_objective(spark, d):
     """The mean squared cosine to the own cluster's first coordinate axis, by cluster."""
     p = _halves(spark, d)
-    labels = segment(p, DiametricalConfig(k=2)).withColumnRenamed("label", "cluster")
-    own = F.when(F.col("cluster") == 1, F.col("nx") * F.col("nx")).otherwise(F.col("nz") * F.col("nz"))
-    return rounded(p.join(labels, ["image_id", "pid"]).groupBy("image_id", "cluster").agg(F.count("*").alias("n"), F.avg(own).alias("objective")), 4)
+    labels = segment(p, DiametricalConfig(k=2)).select("image_id", "pid", (F.col("label") - 1).alias("cluster"))
+    found = mixture.clustering_error(p.join(labels, ["image_id", "pid"]), [[1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
+    return rounded(found.select("image_id", (F.col("cluster") + 1).alias("cluster"), "n", (F.col("error") / F.col("n")).alias("objective")), 4)
 
 
 @query(sql.SVD_FLAT)
@@ -493,45 +603,85 @@ def small_regions_of_stripes(spark, d):
 # Distributions
 
 
-def _numbers(spark, text: str, f: Callable, schema: str) -> DataFrame:
-    """A function of components' parameters (few rows) over the rows of a statement."""
+def _numbers(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """A function of numbers over the rows of a frame."""
 
     def run(batches):
         for b in batches:
             yield pd.DataFrame([f(*row) for row in b.itertuples(index=False)], columns=[c.split()[0] for c in schema.split(", ")])
 
-    return spark.sql(text).mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)
+
+
+def _spreads(spark, d) -> DataFrame:
+    """By region the pixels and the mean squares of the normals."""
+    return pixels(spark, d).groupBy("label").agg(F.count("*").alias("cnt"), *[F.avg(F.col(n) * F.col(n)).alias(f"a{i + 1}") for i, n in enumerate(NORMAL)])
+
+
+def _arguments(spark, d) -> DataFrame:
+    x = F.explode(F.array(*[F.round(F.lit(float(s)) * F.col(c), 3) for s, c in sql.SCALES])).alias("x")
+    return _spreads(spark, d).select(x).distinct()
+
+
+def _means(spark, d) -> DataFrame:
+    """By region the length of the mean statistic of the normals, and its first three numbers."""
+    t = regions.watson_of_regions(pixels(spark, d))
+    length = F.sqrt(sum((F.col(f"t{i}") * F.col(f"t{i}") for i in range(1, 7)), F.lit(0.0)))
+    return t.select(F.col("label").cast("long").alias("label"), F.explode(F.array(length, "t1", "t2", "t3")).alias("r"))
 
 
 @query(sql.KUMMER)
 def kummer_values(spark, d):
+    grid_ = spark.createDataFrame(sql.PARAMETERS_AB, "a double, b double").join(_arguments(spark, d))
     f = lambda a, b, x: (a, b, x, math.log(abs(distributions.kummer(a, b, x))))
-    return rounded(_numbers(spark, sql.KUMMER_GRID, f, "a double, b double, x double, log_m double"))
+    return rounded(_numbers(grid_, f, "a double, b double, x double, log_m double"))
 
 
 @query(sql.KUMMER_RATIO)
 def kummer_ratios(spark, d):
-    f = lambda a, c, x: (a, c, x, distributions.kummer_ratio(a, c, x))
-    return rounded(_numbers(spark, sql.RATIO_GRID, f, "a double, c double, x double, ratio double"))
+    grid_ = spark.createDataFrame([(1.5,), (2.0,)], "c double").join(_arguments(spark, d))
+    f = lambda c, x: (0.5, c, x, distributions.kummer_ratio(0.5, c, x))
+    return rounded(_numbers(grid_, f, "a double, c double, x double, ratio double"))
 
 
 @query(sql.CONCENTRATION)
 def watson_concentration(spark, d):
-    """Concentrations by mean statistic, turned back into the mean: what went in must come out."""
-    f = lambda r: (r, distributions.kummer_ratio(0.5, 1.5, distributions.concentration(3, r)))
-    return rounded(_numbers(spark, sql.MEAN_GRID, f, "r double, back double"), 4)
+    """Concentrations by the regions' mean statistics, turned back into the mean: what went in must come out."""
+    f = lambda label, r: (label, r, distributions.kummer_ratio(0.5, 1.5, distributions.concentration(3, r)))
+    return rounded(_numbers(_means(spark, d), f, "label long, r double, back double"), 4)
 
 
 @query(sql.BOUNDS)
 def concentration_bounds(spark, d):
-    f = lambda r: (r, *distributions.concentration_bounds(r, 1.5, 0.5), distributions.concentration_approximate(r, 1.5, 0.5))
-    return rounded(_numbers(spark, sql.MEAN_GRID, f, "r double, low double, middle double, high double, chosen double"))
+    """Bounds of the concentrations, in the paper's form and in the source's."""
+
+    def f(label, r):
+        low, middle, high = distributions.concentration_bounds(r, 1.5, 0.5)
+        other = distributions.concentration_bounds(r, 1.5, 0.5, "source")[1]
+        chosen = [distributions.concentration_approximate(r, 1.5, 0.5, v) for v in ("paper", "source")]
+        return label, r, low, middle, other, high, *chosen
+
+    return rounded(_numbers(_means(spark, d), f, "label long, r double, low double, middle double, other double, high double, chosen double, chosen_source double"), 5)
 
 
 @query(sql.GAMMA)
 def log_gamma_values(spark, d):
-    f = lambda x: (x, distributions.log_gamma(x), float(distributions.statistic_dimension(int(x) + 1)))
-    return rounded(_numbers(spark, sql.GAMMA_GRID, f, "x double, log_gamma double, dimension double"))
+    f = lambda label, n: (label, distributions.log_gamma(n / 2), float(distributions.statistic_dimension(label + 1)))
+    return rounded(_numbers(_spreads(spark, d).select(F.col("label").cast("long"), "cnt"), f, "label long, log_gamma double, dimension double"))
+
+
+@query(sql.DIVERGENCES)
+def watson_divergences(spark, d):
+    """Divergences between the Watsons along the normals of neighbouring pixels: from axes and concentrations, and from means."""
+    k = pixels(spark, d).select("image_id", "pid", F.round(2 + 5 * F.abs("nx"), 3).alias("k"), *NORMAL)
+    other = k.select("image_id", (F.col("pid") - 1).alias("pid"), F.col("k").alias("o_k"), *[F.col(n).alias(f"o_{n}") for n in NORMAL])
+
+    def f(image, pid, k, x, y, z, o_k, ox, oy, oz):
+        axes = [np.array([x, y, z]), np.array([ox, oy, oz])]
+        a, b = (distributions.Watson(distributions.watson_statistic(u)[0] * distributions.kummer_ratio(0.5, 1.5, c)) for u, c in zip(axes, (k, o_k)))
+        return image, pid, distributions.watson_divergence(axes[0], k, axes[1], o_k), a.divergence(b)
+
+    return rounded(_numbers(k.join(other, ["image_id", "pid"]), f, "image_id long, pid long, parameters double, means double"), 4)
 
 
 def _by_label(spark, d, f: Callable, schema: str) -> DataFrame:
@@ -590,7 +740,7 @@ def watson_mle_axis(spark, d):
         axis = axis * np.sign(axis[np.abs(axis).argmax()])
         return pd.DataFrame([[image["image_id"].iloc[0], image["label"].iloc[0], *np.round(axis, 2), kappa > 50]], columns=["image_id", "label", "ax", "ay", "az", "sharp"])
 
-    out = _flat(spark, d).where("label < 3").groupBy("image_id", "label").applyInPandas(run, "image_id long, label int, ax double, ay double, az double, sharp boolean")
+    out = _flat(spark, d).groupBy("image_id", "label").applyInPandas(run, "image_id long, label int, ax double, ay double, az double, sharp boolean")
     return rounded(out, 2)
 
 
@@ -633,7 +783,7 @@ for _name, _f in (
     ("q_metric", metrics.q_metric),
     ("values_entropy", metrics.values_entropy),
     ("zeboudj", metrics.zeboudj),
-    ("zeboudj_colour", metrics.of_channels(metrics.zeboudj, radius=5)),
+    ("zeboudj_colour", lambda p: metrics.zeboudj(p, 5, COLOUR)),
     ("values_entropy_colour", metrics.of_channels(metrics.values_entropy)),
     ("ecw", lambda p: metrics.ecw(p, 0.2)),
     ("frc_rgbd", metrics.frc_rgbd),
@@ -692,32 +842,46 @@ def pending_work(spark, d):
 
 @query(sql.FK)
 def segmentation_algorithms(spark, d):
-    rows = metric_rows(spark, d)
-    algorithms = rows.select("algorithm").distinct().withColumn("name", F.upper("algorithm"))
-    return rows.join(algorithms, "algorithm").groupBy("name").agg(F.countDistinct("image_id").alias("images"))
+    """Images by algorithm: rows name theirs by its number."""
+    none = F.map_from_arrays(F.array(F.lit("k")), F.array(F.lit("1")))
+    rows = store.with_id(metric_rows(spark, d).select("image_id", F.upper("algorithm").alias("name"), none.alias("params")), ["name", "params"])
+    algorithms = rows.select("id", "name", "params").dropDuplicates(["id"])
+    found = store.with_algorithm(rows.select(F.col("id").alias("algorithm_id"), "image_id"), algorithms)
+    return found.groupBy("name").agg(F.countDistinct("image_id").alias("images"))
 
 
 @query(sql.DDL)
 def table_statements(spark, d):
-    """DDL and lower-case table names from record types."""
-    rows = [(store.table_name(k), store.create_table_sql(k)) for k in (GraphConfig, DiametricalConfig)]
-    return spark.createDataFrame(rows, "name string, ddl string")
+    """A table made from a record type, filled and read."""
+    kind = make_dataclass(f"Measured_{uuid.uuid4().hex}", [("image_id", int), ("algorithm", str), ("metric", str), ("value", float)])
+    spark.sql(store.create_table_sql(kind))
+    metric_rows(spark, d).select("image_id", "algorithm", "metric", "value").write.insertInto(store.table_name(kind))
+    found = written(spark.table(store.table_name(kind)))
+    spark.sql(f"DROP TABLE {store.table_name(kind)}")
+    return rounded(found)
 
 
 @query(sql.PARAMETERS)
 def parameter_maps(spark, d):
-    """Parameter records as maps, as JSON text, and read back as records and maps."""
-    records = [("CDNGraph", GraphConfig(scale_k=2.0)), ("Diametrical", DiametricalConfig(k=7))]
-    again = [(n, params(config_of(type(r), params(r)))) for n, r in records]
-    df = spark.createDataFrame(again, "name string, params map<string,string>")
-    df = df.select("name", store.encoded("params").alias("text")).select("name", "text", F.explode(store.decoded("text")).alias("key", "value"))
-    return df.where("value <> 'None'")
+    """Parameter records with numbers of the regions as maps, as JSON text, and read back as records and maps."""
+    areas = pixels(spark, d).groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"))
+
+    def run(batches):
+        for b in batches:
+            records = [(label, name, r) for label, n in zip(b["label"].tolist(), b["n"].tolist()) for name, r in (("CDNGraph", GraphConfig(scale_k=2.0, min_size=n)), ("Diametrical", DiametricalConfig(k=label + 1)))]
+            yield pd.DataFrame([(k, name, params(config_of(type(r), params(r)))) for k, name, r in records], columns=["label", "name", "params"])
+
+    df = areas.mapInPandas(run, "label long, name string, params map<string,string>")
+    df = df.select("label", "name", store.encoded("params").alias("text"))
+    return df.select("label", "name", "text", F.explode(store.decoded("text")).alias("key", "value")).where("value <> 'None'")
 
 
 @query(sql.FILE_NAMES)
 def file_names(spark, d):
-    rows = [(i, store.file_name("NYU", i), dataset.raw_file("/data"), dataset.transformed_file("/data", i)) for i in (1, 2, 1449)]
-    return spark.createDataFrame(rows, "image int, segments string, raw string, transformed string")
+    """The names of each image's files."""
+    images = pixels_multi(spark, d).select("image_id").distinct()
+    f = lambda i: (i, store.file_name("NYU", i), dataset.raw_file("/data"), dataset.transformed_file("/data", i))
+    return _numbers(images, f, "image_id long, segments string, raw string, transformed string")
 
 
 @query(sql.FITS)
@@ -743,16 +907,10 @@ def fits_round_trip(spark, d):
     return rounded(files.mapInPandas(back, "image_id long, row int, col int, c1 double, c2 double, c3 double, x double, y double, z double, label int"))
 
 
-def _folder(spark) -> str:
-    store_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/lumigrid-scene-{uuid.uuid4().hex}"
-
-
 @query(sql.DATASET)
 def dataset_images(spark, d):
     """A data set written in two steps (three images, then all; none twice) and read: counts by image, and its size."""
-    data = dataset.Dataset(spark, _folder(spark))
+    data = dataset.Dataset(spark, folder(spark))
     source = pixels_multi(spark, d)
     data.preprocess(source, 3)
     data.preprocess(source)
@@ -763,28 +921,39 @@ def dataset_images(spark, d):
 
 @query(sql.IMAGE)
 def dataset_image(spark, d):
-    """One image of a data set, without its margin, labels from 1."""
-    data = dataset.Dataset(spark, _folder(spark))
-    data.preprocess(pixels_multi(spark, d))
-    found = data.images(F.col("image_id") == 2, margin=2, normals=False)
-    return rounded(found.select(F.col("image_id").cast("long").alias("image_id"), "pid", "row", "col", "c1", "label"))
+    """One image of a data set, a tilted plane, with its normals and without its margin, labels from 1."""
+    data = dataset.Dataset(spark, folder(spark))
+    p = pixels_multi(spark, d).withColumns({"x": F.col("col") * 0.01, "y": F.col("row") * 0.01})
+    data.preprocess(p.withColumn("z", 2 + F.col("x") * 0.5 - F.col("y") * 0.25))
+    found = data.images(F.col("image_id") == 2, margin=2, window=2, relative=0.5)
+    found = found.select(F.col("image_id").cast("long").alias("image_id"), "pid", "row", "col", F.round("c1", 6).alias("c1"), "label", *[F.round(n, 5).alias(n) for n in NORMAL])
+    return rounded(found)
 
 
 @query(sql.SAVED)
 def store_segments(spark, d):
     """Labels and region means saved twice, the second time over the first, and read again."""
-    kept = store.Store(spark, _folder(spark))
+    kept = store.Store(spark, folder(spark))
     p = pixels_multi(spark, d)
     for labels in (p.select("image_id", "pid", F.lit(0).alias("label")), p.select("image_id", "pid", "label")):
         kept.save_segments(labels, regions.summary(p), 5)
     return kept.load_segments(1, 5).select(F.col("image_id").cast("long").alias("image_id"), "pid", "label")
 
 
+@query(sql.STORED)
+def stored_files(spark, d):
+    """Of all images those whose labels have a file in the store."""
+    kept, p = store.Store(spark, folder(spark)), pixels_multi(spark, d)
+    kept.save_segments(p.where("image_id % 2 = 0").select("image_id", "pid", "label"), regions.summary(p.where("image_id % 2 = 0")), 5)
+    rows = p.select("image_id", F.lit(5).cast("long").alias("algorithm_id")).distinct()
+    return kept.stored(rows).select("image_id")
+
+
 @query(sql.UPDATED)
 def store_updates(spark, d):
     """Rows inserted twice (no row twice), then some updated, in a stored table."""
-    kept, schema = store.Store(spark, _folder(spark)), "image_id long, algorithm string, metric string, value double"
-    rows = metric_rows(spark, d).where("image_id % 3 = 0")
+    kept, schema = store.Store(spark, folder(spark)), "image_id long, algorithm string, metric string, value double"
+    rows = metric_rows(spark, d)
     for _ in range(2):
         kept.insert("rows", schema, rows, ["image_id"])
     kept.update("rows", schema, rows.where("image_id % 2 = 0").withColumn("value", F.lit(9.0)), ["image_id"])
@@ -801,7 +970,7 @@ def store_first(spark, d):
 
 @query(sql.MERGED_MAPS)
 def merged_metric_maps(spark, d):
-    rows = metric_rows(spark, d).where("value is not null and image_id < 200")
+    rows = metric_rows(spark, d).where("value is not null")
     maps = rows.groupBy("algorithm").agg(*[F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("metric").isin(*k), F.struct("metric", F.lit(v).alias("v")))))).alias(n) for n, k, v in (("a", ("m0", "m1"), 1.0), ("b", ("m1", "m2"), 2.0))])
     return maps.select("algorithm", F.explode(store.merged_metrics("a", "b")).alias("metric", "value"))
 
@@ -820,26 +989,23 @@ def resize_all_channels(spark, d):
 
 @query(sql.HARNESS)
 def harness_summary(spark, d):
-    """A batch of two algorithms segmented, segmented again (nothing left to do), evaluated and summarised."""
-    kept = store.Store(spark, _folder(spark))
-    p = _flat(spark, d).where("image_id < 2")
-    config = {"algorithms": {"CDNGraph": {"scale_k": 0.5, "min_size": 5}, "DepthWMM": {"k": 4, "k_init": 6, "iterations": 50}}}
-    harness.segment_batch(p, config, kept)
-    rows = harness.segment_batch(p, config, kept)
-    if rows.where("error IS NOT NULL OR elapsed <= 0").limit(1).count():
-        raise ValueError("an image was not segmented")
-    harness.evaluate_batch(p, config, kept)
+    """A batch of two algorithms over all images, segmented twice (the second time nothing is left to do), evaluated and
+    summarised; then the same with other parameters for one of them."""
+    kept, p = store.Store(spark, folder(spark)), _flat(spark, d)
+    watson = {"DepthWMM": {"k": 4, "k_init": 6, "iterations": 50}}
+    configs = {name: {"algorithms": {"CDNGraph": {"scale_k": 0.5, "min_size": n}, **more}} for name, n, more in (("first", 5, watson), ("second", 1000, {}))}
+    images = p.select("image_id").distinct().count()
     exact = ("RandIndex", "SegmentationCovering", "Precision", "FMeasure", "FMeasureRegions", "PRObjectsAndParts", "FBoundary", "BoundaryDisplacementError", "VariationOfInformation")
-    found = harness.summarize(kept).where(F.col("metric").isin(*exact))
-    return rounded(found.withColumn("mean", F.round("mean", 6) + 0.0))
-
-
-def store_dir(spark: SparkSession) -> None:
-    """A checkpoint folder where none is set, in local mode; an error on a cluster."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumigrid-"))
+    found = []
+    for k, (name, config) in enumerate(configs.items()):
+        harness.segment_batch(p, config, kept)
+        rows = harness.segment_batch(p, config, kept)
+        if rows.where("error IS NOT NULL OR elapsed <= 0").limit(1).count() or rows.count() != images * (2 + k):
+            raise ValueError("an image was not segmented, or was twice")
+        harness.evaluate_batch(p, config, kept)
+        summary = harness.summarize(kept, config).where(F.col("metric").isin(*exact))
+        found.append(summary.select(F.lit(name).alias("batch"), "algorithm", "metric", (F.round("mean", 6) + 0.0).alias("mean"), "n"))
+    return rounded(found[0].unionByName(found[1]))
 
 
 def queries() -> dict[str, Query]:

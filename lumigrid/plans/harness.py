@@ -4,29 +4,33 @@ A configuration is a mapping as a YAML file of it would give:
 
     {"algorithms": {"CDNGraph": {"min_size": 200}, "JCSA": {"k": 8}}, "scale": 0.5}
 
-Results go to a ``Store``: rows ``segmented`` (image_id, algorithm, elapsed, error) and the labels.
-Images that are stored for an algorithm are not segmented again.
+An algorithm is its name, its parameters and the scale; its number is a hash of all three.  One job
+segments all images by all algorithms that the store lacks: an image goes to a task once, which gives
+the labels of each algorithm with its elapsed seconds, or its error as a row.  Results go to a
+``Store``: the rows ``segmented`` and the labels; evaluation adds metric rows of what has none yet.
 """
 
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
-import time
 from collections.abc import Mapping
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigrid.model import DiametricalConfig, GraphConfig, MixtureConfig, SpectralConfig, WatsonConfig, params
 from lumigrid.operators import grid, metrics, regions
-from lumigrid.operators.segment import segment
+from lumigrid.operators.segment import attempted
 from lumigrid.sources import store as stores
 from lumigrid.sources.store import Store
 
 ALGORITHMS = {"CDNGraph": GraphConfig, "JCSA": MixtureConfig, "GCF": SpectralConfig, "DepthWMM": WatsonConfig, "Diametrical": DiametricalConfig}
-SEGMENTED = "image_id BIGINT, algorithm STRING, elapsed DOUBLE, error STRING"
-METRICS = "image_id BIGINT, algorithm STRING, metric STRING, value DOUBLE"
+SEGMENTED = "image_id BIGINT, algorithm STRING, algorithm_id BIGINT, elapsed DOUBLE, error STRING"
+METRICS = "image_id BIGINT, algorithm STRING, algorithm_id BIGINT, metric STRING, value DOUBLE"
+KEY = ["image_id", "algorithm_id"]
 
 
 def configs(config: Mapping) -> dict[str, object]:
@@ -34,54 +38,69 @@ def configs(config: Mapping) -> dict[str, object]:
     return {name: ALGORITHMS[name](**(options or {})) for name, options in config["algorithms"].items()}
 
 
-def segment_batch(df: DataFrame, config: Mapping, store: Store) -> DataFrame:
-    """Segments what the store lacks.  A batch that fails is taken again image by image, so that an
-    error of one image becomes its row and costs no other."""
-    if config.get("scale", 1) != 1:
-        df = grid.resized_nearest(df, config["scale"])
-    for name, record in configs(config).items():
-        key, algorithm_id = ["image_id", "algorithm"], store_id(name, record)
-        done = store.read("segmented", SEGMENTED).where((F.col("algorithm") == name) & F.col("error").isNull())
-        images = [r["image_id"] for r in stores.missing(df.select("image_id").distinct().withColumn("algorithm", F.lit(name)), done, key).select("image_id").orderBy("image_id").collect()]
-        rows = []
-        for image in images:
-            one, began = df.where(F.col("image_id") == image), time.perf_counter()
-            try:
-                labels = segment(one, record)
-                labels = store.kept(labels)
-                elapsed = time.perf_counter() - began
-                store.save_segments(labels, regions.summary(one.drop("label").join(labels, ["image_id", "pid"])), algorithm_id)
-                rows.append((image, name, elapsed, None))
-            except Exception as e:  # the batch goes on; the row says why
-                rows.append((image, name, None, f"{type(e).__name__}: {str(e)[:500]}"))
-        if rows:
-            store.update("segmented", SEGMENTED, df.sparkSession.createDataFrame(rows, SEGMENTED), key)
-    return store.read("segmented", SEGMENTED)
+def store_id(name: str, record: object, scale: float = 1) -> int:
+    """The algorithm's number: a hash of its name, parameters (functions by name and code) and scale."""
+    given = {k: f"{v.__module__}.{v.__qualname__}:{v.__code__.co_code.hex()}:{v.__code__.co_consts}" for k, v in asdict(record).items() if callable(v) and hasattr(v, "__code__")}
+    return int.from_bytes(hashlib.md5(f"{name}{sorted({**params(record), **given}.items())}{float(scale)}".encode()).digest()[:7], "big")
+
+
+def algorithms(config: Mapping) -> list[tuple[str, int, object]]:
+    """Name, number and parameters of each algorithm; an unknown algorithm or parameter is an error."""
+    return [(name, store_id(name, record, config.get("scale", 1)), record) for name, record in configs(config).items()]
+
 
+def _scaled(df: DataFrame, config: Mapping) -> DataFrame:
+    scale = config.get("scale", 1)
+    return df if scale == 1 else grid.resized_nearest(df, scale)
 
-def store_id(name: str, record: object) -> int:
-    """The algorithm's number: a hash of its name and parameters."""
-    return int.from_bytes(__import__("hashlib").md5(f"{name}{sorted(params(record).items())}".encode()).digest()[:7], "big")
+
+def _named(df: DataFrame, found: list[tuple[str, int, object]]) -> DataFrame:
+    """(image_id, algorithm, algorithm_id, place) of each image and algorithm."""
+    of = F.explode(F.array(*[F.struct(F.lit(n).alias("algorithm"), F.lit(i).alias("algorithm_id"), F.lit(k).alias("place")) for k, (n, i, _) in enumerate(found)]))
+    return df.select("image_id").distinct().select("image_id", of.alias("a")).select("image_id", "a.*")
+
+
+def segment_batch(df: DataFrame, config: Mapping, store: Store) -> DataFrame:
+    """Segments what the store lacks, in one job; images whose attempt failed are tried again.  Returns all rows ``segmented``."""
+    found = algorithms(config)
+    done = store.read("segmented", SEGMENTED).where(F.col("error").isNull())
+    todo = store.kept(stores.missing(_named(df, found), done, KEY))
+    if todo.limit(1).count():
+        pixels = store.kept(_scaled(df.join(todo.select("image_id").distinct(), "image_id", "left_semi"), config))
+        rows = store.kept(attempted(pixels, [r for _, _, r in found], todo.select("image_id", F.col("place").alias("algorithm"))))
+        rows = rows.withColumnRenamed("algorithm", "place").join(F.broadcast(todo.select("place", "algorithm", "algorithm_id").distinct()), "place")
+        labels = rows.where("pid IS NOT NULL").select("image_id", "algorithm_id", "pid", "label")
+        means = regions.summary(pixels.drop("label").join(labels, ["image_id", "pid"]), ("image_id", "algorithm_id"))
+        store.save_segments(labels, means)
+        store.update("segmented", SEGMENTED, rows.where("pid IS NULL").select("image_id", "algorithm", "algorithm_id", "elapsed", "error"), KEY)
+    store.dropped()
+    return store.read("segmented", SEGMENTED)
 
 
 def evaluate_batch(df: DataFrame, config: Mapping, store: Store) -> DataFrame:
-    """Metric rows of all stored segmentations, with and without ground truth; those there are replaced."""
-    if config.get("scale", 1) != 1:
-        df = grid.resized_nearest(df, config["scale"])
-    for name, record in configs(config).items():
-        labels = store.labels(store_id(name, record))
+    """Metric rows of the stored segmentations that have none, with and without ground truth.  Returns all metric rows."""
+    df = _scaled(df, config)
+    for name, number, _ in algorithms(config):
+        labels = store.labels(number)
         if labels is None:
+            raise LookupError(f"{name} with these parameters is not segmented at scale {config.get('scale', 1)}")
+        done = store.read("metrics", METRICS).where(F.col("algorithm_id") == number).select("image_id").distinct()
+        labels = labels.join(done, "image_id", "left_anti")
+        if not labels.limit(1).count():
             continue
         found = df.drop("label").join(labels, ["image_id", "pid"])
         truth = df.join(labels.select("image_id").distinct(), "image_id", "left_semi")
         rows = metrics.supervised(labels.join(df.select("image_id", "pid", "row", "col"), ["image_id", "pid"]), truth, name).unionByName(metrics.unsupervised(found, name))
-        store.update("metrics", METRICS, rows, ["image_id", "algorithm", "metric"])
+        store.update("metrics", METRICS, rows.withColumn("algorithm_id", F.lit(number)), [*KEY, "metric"])
     return store.read("metrics", METRICS)
 
 
-def summarize(store: Store) -> DataFrame:
-    """Mean of each metric by algorithm, in order."""
-    return metrics.summarised(store.read("metrics", METRICS)).orderBy("algorithm", "metric")
+def summarize(store: Store, config: Mapping | None = None) -> DataFrame:
+    """Mean of each metric by algorithm, in order; of the configuration's algorithms if there is one."""
+    rows = store.read("metrics", METRICS)
+    if config is not None:
+        rows = rows.where(F.col("algorithm_id").isin([i for _, i, _ in algorithms(config)]))
+    return metrics.summarised(rows, ("algorithm", "algorithm_id", "metric")).orderBy("algorithm", "algorithm_id", "metric")
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -93,10 +112,10 @@ def main(arguments: list[str] | None = None) -> None:
     config = json.loads("\n".join(r["value"] for r in spark.read.text(given.config).collect()))
     store = Store(spark, config["store"])
     if given.step == "summarize":
-        summarize(store).show(1000, False)
+        summarize(store, config).show(1000, False)
         return
     run = segment_batch if given.step == "segment" else evaluate_batch
-    run(spark.read.parquet(config["pixels"]), config, store).show()
+    run(spark.read.parquet(config["pixels"]), config, store).show(1000, False)
 
 
 if __name__ == "__main__":

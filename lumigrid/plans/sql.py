@@ -6,9 +6,10 @@ import math
 
 import numpy as np
 
-from lumigrid.functions.distributions import log_kummer
-from lumigrid.model import CHANNELS, COLOUR, NORMAL, POSITION
+from lumigrid.model import CHANNELS, COLOUR, NORMAL, POSITION, Camera
 
+#: Logarithm of the sum of k^n / (n! (2 n + 1)), the Watson normaliser in three dimensions.
+LOG_M = lambda k: math.log(sum(k**n / (math.factorial(n) * (2 * n + 1)) for n in range(120)))
 _E = [f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(9)]
 _NORM = f"sqrt({_E[6]} * {_E[6]} + {_E[7]} * {_E[7]} + {_E[8]} * {_E[8]})"
 _CHANNELS = (
@@ -158,10 +159,10 @@ STRENGTH = f"""WITH {PX}, {BL}, {_BD}, {_gradient("bl", ["c1"])}
 SELECT l.image_id, l.label AS a, q.label AS b, {r("avg(mog)", "wb")}, count(*) AS n FROM bd l JOIN bd q ON q.image_id = l.image_id AND q.pid = l.pid AND l.label < q.label
 JOIN g ON g.image_id = l.image_id AND g.pid = l.pid GROUP BY 1, 2, 3"""
 _FOUR = ((1, 0), (-1, 0), (0, 1), (0, -1))
-COMPONENTS = f"""WITH RECURSIVE {PX}, same AS (SELECT a.pid AS a, b.pid AS b FROM {near("px", _FOUR)} WHERE a.label = b.label),
-reach(pid, other) AS (SELECT pid, pid FROM px UNION SELECT r.pid, s.b FROM reach r JOIN same s ON s.a = r.other),
-root AS (SELECT pid, min(other) AS root FROM reach GROUP BY pid)
-SELECT CAST(0 AS BIGINT) AS image_id, pid, CAST(dense_rank() OVER (ORDER BY root) AS INTEGER) AS label FROM root"""
+COMPONENTS = lambda cte, t: f"""WITH RECURSIVE {cte}, same AS (SELECT a.image_id, a.pid AS a, b.pid AS b FROM {near(t, _FOUR)} WHERE a.label = b.label),
+reach(image_id, pid, other) AS (SELECT image_id, pid, pid FROM {t} UNION SELECT r.image_id, r.pid, s.b FROM reach r JOIN same s ON s.image_id = r.image_id AND s.a = r.other),
+root AS (SELECT image_id, pid, min(other) AS root FROM reach GROUP BY 1, 2)
+SELECT image_id, pid, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS INTEGER) AS label FROM root"""
 RENUMBERED = f"""WITH {PX}, f AS (SELECT label, dense_rank() OVER (ORDER BY min(pid)) AS n FROM px GROUP BY label)
 SELECT image_id, pid, CAST(n AS INTEGER) AS label FROM px JOIN f USING (label)"""
 PRUNED = f"""WITH {PX}, n AS (SELECT label, count(*) AS cnt FROM px GROUP BY label), adj AS ({_ADJ("px")}),
@@ -197,7 +198,7 @@ def _gauss(names, mu, cov) -> str:
 
 def _wat(axis, kappa) -> str:
     dot = " + ".join(f"{n} * {a}" for n, a in zip(NORMAL, axis))
-    return f"({kappa} * ({dot}) * ({dot}) - ({log_kummer(0.5, 1.5, kappa)!r}))"
+    return f"({kappa} * ({dot}) * ({dot}) - ({LOG_M(kappa)!r}))"
 
 
 def gaussian(mu, cov) -> str:
@@ -357,54 +358,65 @@ SELECT image_id, pid, {", ".join(r(f"{n} / CASE WHEN mended THEN {_LEN()} ELSE 1
 SMALL = f"""WITH {PM}, b AS (SELECT image_id, pid, ("row" - 1) // 2 AS stripe FROM pm)
 SELECT image_id, pid, CAST(stripe + 1 AS INTEGER) AS label FROM b"""
 
-# Distributions: Kummer's series, term by term
-KUMMER_GRID = "SELECT a, b, x FROM VALUES (0.5D, 1.5D), (1.5D, 2.5D), (1.5D, 1.5D), (2.5D, 1.5D), (1.0D, 2.0D), (3.0D, 1.0D) AS p(a, b) CROSS JOIN VALUES (-8.0D), (-0.5D), (0.0D), (0.5D), (3.0D), (25.0D), (60.0D), (400.0D), (600.0D) AS q(x)"
-RATIO_GRID = "SELECT 0.5D AS a, c, x FROM VALUES (1.5D), (2.0D) AS p(c) CROSS JOIN VALUES (-6.0D), (-0.5D), (0.5D), (4.0D), (20.0D), (29.0D) AS q(x)"
-MEAN_GRID = "SELECT CAST(id AS DOUBLE) / 20 AS r FROM range(7, 20)"
-GAMMA_GRID = "SELECT CAST(id AS DOUBLE) / 2 AS x FROM range(1, 60)"
+# Distributions: Kummer's series, term by term, at numbers that come from the regions' normals
+_SPREADS = "q AS (SELECT label, count(*) AS cnt, avg(nx * nx) AS a1, avg(ny * ny) AS a2, avg(nz * nz) AS a3 FROM px GROUP BY label)"
+SCALES = ((-8, "a1"), (-0.5, "a2"), (0.5, "a3"), (3, "a1"), (25, "a2"), (60, "a3"), (400, "a1"), (600, "a2"))
+_XS = "xs AS (SELECT DISTINCT x FROM (" + " UNION ALL ".join(f"SELECT round({s}::DOUBLE * {c}, 3) + 0.0 AS x FROM q" for s, c in SCALES) + "))"
+PARAMETERS_AB = ((0.5, 1.5), (1.5, 2.5), (1.5, 1.5), (2.5, 1.5), (1.0, 2.0), (3.0, 1.0))
 _SERIES = lambda grid, a, b: f"""t(a, b, x, k, term, total) AS (  -- e^x 1F1(b - a; b; -x) for negative x keeps all terms of one sign
   SELECT a, b, x, 0, 1.0::DOUBLE, 1.0::DOUBLE FROM {grid}
   UNION ALL SELECT a, b, x, k + 1, term * (CASE WHEN x < 0 THEN {b} - {a} ELSE {a} END + k) / ({b} + k) * abs(x) / (k + 1), total + term * (CASE WHEN x < 0 THEN {b} - {a} ELSE {a} END + k) / ({b} + k) * abs(x) / (k + 1)
   FROM t WHERE k < 1500),
 s AS (SELECT a, b, x, CASE WHEN x < 0 THEN exp(x) ELSE 1 END * total AS m FROM t WHERE k = 1500)"""
-_GRID = lambda p, names, q: f"g AS (SELECT * FROM (VALUES {p}) AS p({names}) CROSS JOIN (VALUES {q}) AS q(x))"
-_D = lambda *v: ", ".join(f"({x}::DOUBLE)" for x in v)
-KUMMER = f"""WITH RECURSIVE {_GRID(", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in ((0.5, 1.5), (1.5, 2.5), (1.5, 1.5), (2.5, 1.5), (1.0, 2.0), (3.0, 1.0))), "a, b", _D(-8, -0.5, 0, 0.5, 3, 25, 60, 400, 600))},
+_AB = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in PARAMETERS_AB)
+KUMMER = f"""WITH RECURSIVE {PX}, {_SPREADS}, {_XS}, g AS (SELECT a, b, x FROM (VALUES {_AB}) AS p(a, b) CROSS JOIN xs),
 {_SERIES("g", "a", "b")} SELECT a, b, x, {r("ln(abs(m))", "log_m")} FROM s"""
-KUMMER_RATIO = f"""WITH RECURSIVE {_GRID("(1.5::DOUBLE), (2.0::DOUBLE)", "c", _D(-6, -0.5, 0.5, 4, 20, 29))}, w AS (SELECT 0.5::DOUBLE + d AS a, c + d AS b, x, d FROM g, (VALUES (0), (1)) AS v(d)),
+KUMMER_RATIO = f"""WITH RECURSIVE {PX}, {_SPREADS}, {_XS}, g AS (SELECT c, x FROM (VALUES (1.5::DOUBLE), (2.0::DOUBLE)) AS p(c) CROSS JOIN xs),
+w AS (SELECT 0.5::DOUBLE + d AS a, c + d AS b, x, d FROM g, (VALUES (0), (1)) AS v(d)),
 {_SERIES("w", "a", "b")} SELECT 0.5::DOUBLE AS a, p.b AS c, p.x, {r("0.5 / p.b * q.m / p.m", "ratio")} FROM s p JOIN s q ON q.x = p.x AND q.b = p.b + 1 AND q.a = p.a + 1 WHERE p.a = 0.5"""
-_R = "(SELECT unnest(range(7, 20))::DOUBLE / 20 AS r)"
-CONCENTRATION = f"SELECT {r('r', 'r', 4)}, {r('r', 'back', 4)} FROM {_R}"
-BOUNDS = f"""WITH b AS (SELECT r, (r * 1.5 - 0.5) / (r * (1 - r)) * (1 + (1 - r) / 1.0) AS low, (r * 1.5 - 0.5) / (2 * r * (1 - r)) * (1 + sqrt(1 + 4 * 2.5 * r * (1 - r) / 0.5)) AS middle,
-  (r * 1.5 - 0.5) / (r * (1 - r)) * (1 + r / 0.5) AS high FROM {_R})
-SELECT {r("r", "r")}, {r("low", "low")}, {r("middle", "middle")}, {r("high", "high")}, {r("CASE WHEN r < 0.5 / 1.5 THEN low WHEN r < 1 / sqrt(1.5) THEN middle ELSE high END", "chosen")} FROM b"""
-GAMMA = f"SELECT {r('x', 'x')}, {r('lgamma(x)', 'log_gamma')}, (floor(x) + 1) + (floor(x) + 1) * floor(x) / 2 AS dimension FROM (SELECT unnest(range(1, 60))::DOUBLE / 2 AS x)"
+_R = f"""t AS (SELECT label, {", ".join(f"avg({t}) AS t{i + 1}" for i, t in enumerate(_T))} FROM px GROUP BY 1),
+m AS (SELECT label, unnest([sqrt({" + ".join(f"t{i} * t{i}" for i in range(1, 7))}), t1, t2, t3]) AS r FROM t)"""
+CONCENTRATION = f"WITH {PX}, {_R} SELECT label, {r('r', 'r', 4)}, {r('r', 'back', 4)} FROM m"
+_BOUND = lambda four: f"(r * 1.5 - 0.5) / (2 * r * (1 - r)) * (1 + sqrt(1 + {four} * 2.5 * r * (1 - r) / 0.5))"
+BOUNDS = f"""WITH {PX}, {_R}, b AS (SELECT label, r, (r * 1.5 - 0.5) / (r * (1 - r)) * (1 + (1 - r) / 1.0) AS low, {_BOUND("4")} AS middle, {_BOUND("r")} AS other,
+  (r * 1.5 - 0.5) / (r * (1 - r)) * (1 + r / 0.5) AS high FROM m)
+SELECT label, {rs(("r", "low", "middle", "other", "high"), 5)}, {r("CASE WHEN r < 0.5 / 1.5 THEN low WHEN r < 1 / sqrt(1.5) THEN middle ELSE high END", "chosen", 5)},
+  {r("CASE WHEN r < 0.5 / 3 THEN high WHEN r < 0.5 / sqrt(1.5) THEN other ELSE low END", "chosen_source", 5)} FROM b"""
+GAMMA = f"WITH {PX}, {_SPREADS} SELECT label, {r('lgamma(cnt / 2.0::DOUBLE)', 'log_gamma')}, (label + 1) + (label + 1) * label / 2 AS dimension FROM q"
+_KAPPA = "round(2 + 5 * abs(nx), 3)"
+DIVERGENCES = f"""WITH RECURSIVE {PX}, k AS (SELECT image_id, pid, nx, ny, nz, {_KAPPA} AS x FROM px),
+t(x, n, m, d, term) AS (SELECT DISTINCT x, 0, 1.0::DOUBLE, 1 / 3.0::DOUBLE, 1.0::DOUBLE FROM k  -- M = sum of x^n / (n! (2 n + 1)), its slope is the sum of x^n / (n! (2 n + 3))
+  UNION ALL SELECT x, n + 1, m + term * x / (n + 1) / (2 * n + 3), d + term * x / (n + 1) / (2 * n + 5), term * x / (n + 1) FROM t WHERE n < 80),
+w AS (SELECT k.*, ln(m) AS lm, d / m AS ratio FROM k JOIN t ON t.x = k.x AND t.n = 80),
+p AS (SELECT a.image_id, a.pid, a.x AS k1, b.x AS k2, a.lm AS l1, b.lm AS l2, a.ratio AS r1, b.ratio AS r2, pow({_DOT}, 2) AS c2 FROM w a JOIN w b ON b.pid = a.pid + 1)
+SELECT image_id, pid, {r("l1 - l2 - (k1 * c2 - k2) * r2", "parameters", 4)}, {r("k1 * r1 - l1 - (k2 * r2 - l2) - (r1 * k2 * c2 - r2 * k2)", "means", 4)} FROM p"""
 GAUSSIAN_OF = f"""WITH {PX}, g AS (SELECT image_id, label, avg(c1) AS m1, avg(c2) AS m2, avg(c3) AS m3, var_samp(c1) AS a, covar_samp(c1, c2) AS b, covar_samp(c1, c3) AS c, var_samp(c2) AS d, covar_samp(c2, c3) AS e, var_samp(c3) AS f FROM px GROUP BY 1, 2),
 h AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM g)
 SELECT image_id, label, {rs(("m1", "m2", "m3"))}, {r("a", "s11")}, {r("b", "s12")}, {r("e", "s23")}, {r("-0.5 * (ln(det) + 3 * ln(2 * pi()))", "at_mean")}, {r("-0.5 * (ln(det) + 3 * ln(2 * pi() * exp(1)))", "dual")} FROM h"""
 SCATTER_OF = f"""WITH {PX} SELECT image_id, label, {r("avg(nx * nx)", "sxx")}, {r("avg(nx * ny)", "sxy")}, {r("avg(ny * nz)", "syz")},
-  {r(f"sum(5.0 * pow(0.6 * ny + 0.8 * nz, 2) - ({log_kummer(0.5, 1.5, 5.0)!r}))", "ll")} FROM px GROUP BY 1, 2"""
+  {r(f"sum(5.0 * pow(0.6 * ny + 0.8 * nz, 2) - ({LOG_M(5.0)!r}))", "ll")} FROM px GROUP BY 1, 2"""
 WATSON_OF = f"""WITH {PX}, t AS (SELECT image_id, label, {", ".join(f"avg({t}) AS t{i + 1}" for i, t in enumerate(_T))} FROM px GROUP BY 1, 2),
 s AS (SELECT *, sqrt({" + ".join(f"t{i} * t{i}" for i in range(1, 7))}) AS size FROM t)
 SELECT image_id, label, {r("size", "length")}, {r("size", "back")}, 0.0::DOUBLE AS own, 1.0::DOUBLE AS trace FROM s"""
-MLE = f"""WITH {PM} SELECT DISTINCT image_id, {_BLOCK} AS label, CASE WHEN {_BLOCK} = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS ax, CASE WHEN {_BLOCK} = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS ay, CASE WHEN {_BLOCK} = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS az, true AS sharp
-FROM pm WHERE {_BLOCK} < 3"""
+MLE = f"""WITH {PM} SELECT DISTINCT image_id, {_BLOCK} AS label, CASE {_BLOCK} WHEN 0 THEN 1.0 WHEN 3 THEN 0.6 ELSE 0.0 END::DOUBLE AS ax, CASE {_BLOCK} WHEN 1 THEN 1.0 WHEN 3 THEN 0.6 ELSE 0.0 END::DOUBLE AS ay,
+  CASE {_BLOCK} WHEN 2 THEN 1.0 WHEN 3 THEN 0.53 ELSE 0.0 END::DOUBLE AS az, true AS sharp FROM pm"""
 
 # Data set, files and store
-_DDL = "CREATE TABLE IF NOT EXISTS {} ({}) USING parquet"
-DDL = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{_DDL.format(n, f)}')" for n, f in (("graphconfig", "scale_k DOUBLE, min_size BIGINT, update_sizes BOOLEAN, weigh STRING"), ("diametricalconfig", "k BIGINT, threshold DOUBLE, max_iterations BIGINT, seed BIGINT"))) + ") AS t(name, ddl)"
-_GRAPH, _DIAM = '{"min_size":"200","scale_k":"2.0","update_sizes":"False"}', '{"k":"7","max_iterations":"200","seed":"0","threshold":"0.001"}'
-PARAMETERS = f"""WITH t AS (SELECT * FROM (VALUES ('CDNGraph', '{_GRAPH}'), ('Diametrical', '{_DIAM}')) AS v(name, text)), k AS (SELECT name, text, unnest(json_keys(text)) AS key FROM t)
-SELECT name, text, key, json_extract_string(text, '$.' || key) AS value FROM k"""
-FILE_NAMES = "SELECT i AS image, 'NYU_' || i || '_seg' AS segments, '/data/raw/nyu_depth_v2_labeled.mat' AS raw, '/data/transformed/image_nyu_v2_' || i || '.fits' AS transformed FROM (SELECT unnest([1, 2, 1449]) AS i)"
+DDL = f"WITH {MR} SELECT image_id, algorithm, metric, {r('value', 'value')} FROM mr"
+PARAMETERS = f"""WITH {PX}, n AS (SELECT label, count(*) AS cnt FROM px GROUP BY 1),
+t AS (SELECT label, 'CDNGraph' AS name, '{{"min_size":"' || cnt || '","scale_k":"2.0","update_sizes":"False"}}' AS text FROM n
+  UNION ALL SELECT label, 'Diametrical', '{{"k":"' || (label + 1) || '","max_iterations":"200","seed":"0","threshold":"0.001"}}' FROM n),
+k AS (SELECT label, name, text, unnest(json_keys(text)) AS key FROM t)
+SELECT label, name, text, key, json_extract_string(text, '$.' || key) AS value FROM k"""
+FILE_NAMES = f"""WITH {PM} SELECT DISTINCT image_id, 'NYU_' || image_id || '_seg' AS segments, '/data/raw/nyu_depth_v2_labeled.mat' AS raw, '/data/transformed/image_nyu_v2_' || image_id || '.fits' AS transformed FROM pm"""
 FITS = f'WITH {PM} SELECT image_id, "row", col, {rs(COLOUR + POSITION)}, label FROM pm'
 DATASET = f"WITH {PM} SELECT image_id, count(*) AS n, CAST((SELECT count(DISTINCT image_id) FROM pm) AS INTEGER) AS size, 'NYU' AS name FROM pm GROUP BY image_id"
-IMAGE = f"""WITH {PM} SELECT image_id, CAST((col - 2) * 7 + "row" - 1 AS BIGINT) AS pid, "row" - 1 AS "row", col - 1 AS col, {r("c1", "c1")}, label + 1 AS label
+IMAGE = f"""WITH {PM} SELECT image_id, CAST((col - 2) * 7 + "row" - 1 AS BIGINT) AS pid, "row" - 1 AS "row", col - 1 AS col, {r("c1", "c1")}, label + 1 AS label, {', '.join(f'round({x!r}::DOUBLE, 5) AS {n}' for x, n in zip(_TILT, NORMAL))}
 FROM pm WHERE image_id = 2 AND "row" BETWEEN 2 AND 8 AND col BETWEEN 2 AND 8"""
 SAVED = f"WITH {PM} SELECT image_id, pid, label FROM pm WHERE image_id = 1"
-UPDATED = f"WITH {MR} SELECT image_id, algorithm, metric, CASE WHEN image_id % 2 = 0 THEN 9.0 ELSE round(value, 6) + 0.0 END::DOUBLE AS value FROM mr WHERE image_id % 3 = 0"
+UPDATED = f"WITH {MR} SELECT image_id, algorithm, metric, CASE WHEN image_id % 2 = 0 THEN 9.0 ELSE round(value, 6) + 0.0 END::DOUBLE AS value FROM mr"
 FIRST = f"WITH {MR} SELECT image_id, algorithm, true AS other, false AS none FROM mr WHERE image_id = 7"
-MERGED_MAPS = f"""WITH {MR}, m AS (SELECT DISTINCT algorithm, metric FROM mr WHERE value IS NOT NULL AND image_id < 200 AND metric IN ('m0', 'm1', 'm2'))
+MERGED_MAPS = f"""WITH {MR}, m AS (SELECT DISTINCT algorithm, metric FROM mr WHERE value IS NOT NULL AND metric IN ('m0', 'm1', 'm2'))
 SELECT algorithm, metric, CASE WHEN metric = 'm0' THEN 1.0 ELSE 2.0 END::DOUBLE AS value FROM m"""
 RESIZED_MEANS = f"""WITH {PX}, {_TARGET(0.5)}, n AS (SELECT p.* FROM t JOIN px p ON p."row" = CAST(floor((trow - 0.5) / 0.5) + 1 AS INTEGER) AND p.col = CAST(floor((tcol - 0.5) / 0.5) + 1 AS INTEGER))
 SELECT image_id, label, count(*) AS cnt, {r("avg(c1)", "mc1")}, {r("avg(x)", "mx")}, {r("avg(z)", "mz")} FROM n GROUP BY 1, 2"""
@@ -416,4 +428,53 @@ FROM v CROSS JOIN {offsets(((0, 0), (0, 1), (1, 0), (1, 1)))} JOIN px b ON b."ro
 GROUP BY v.image_id, th, trow, tcol"""
 # Segmentations that equal the ground truth have the best value of every metric
 _BEST = ", ".join(f"('{m}', {0.0 if m in ('BoundaryDisplacementError', 'VariationOfInformation') else 1.0}::DOUBLE)" for m in ("RandIndex", "SegmentationCovering", "Precision", "FMeasure", "FMeasureRegions", "PRObjectsAndParts", "FBoundary", "BoundaryDisplacementError", "VariationOfInformation"))
-HARNESS = f"SELECT algorithm, metric, mean, CAST(2 AS BIGINT) AS n FROM (VALUES ('CDNGraph'), ('DepthWMM')) AS a(algorithm) CROSS JOIN (VALUES {_BEST}) AS m(metric, mean)"
+# One segment against four blocks of 25 pixels
+_ONE = {"RandIndex": 1200 / 4950, "SegmentationCovering": 0.25, "Precision": 1200 / 4950, "FMeasure": 2400 / 6150, "FMeasureRegions": 0.0, "PRObjectsAndParts": 0.1, "VariationOfInformation": math.log(4)}
+HARNESS = f"""WITH {PM}, n AS (SELECT count(DISTINCT image_id) AS n FROM pm), m AS (
+  SELECT 'first' AS batch, algorithm, metric, mean FROM (VALUES ('CDNGraph'), ('DepthWMM')) AS a(algorithm) CROSS JOIN (VALUES {_BEST}) AS m(metric, mean)
+  UNION ALL SELECT 'second', 'CDNGraph', metric, mean FROM (VALUES {", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in _ONE.items())}) AS m(metric, mean))
+SELECT batch, algorithm, metric, {r("mean", "mean")}, n FROM m, n"""
+WIDE = f"WITH {PX} SELECT image_id, pid, CAST((col - 1) // 10 + 1 AS INTEGER) AS label FROM px"
+MERGED_RIMS = f"""WITH {PM}, bm AS (SELECT * REPLACE ({_BLOCK} AS label) FROM pm),
+d AS (SELECT DISTINCT a.image_id, a.pid, unnest([a.label, b.label]) AS label FROM {near("bm", window(1))} WHERE a.label <> b.label),
+m AS (SELECT DISTINCT image_id, pid, CASE WHEN label < 2 THEN 9 ELSE label END AS label FROM d)
+SELECT x.image_id, least(x.label, y.label) AS a, greatest(x.label, y.label) AS b, count(*) AS n, {r("sum(c1)", "total")} FROM m x JOIN m y ON y.image_id = x.image_id AND y.pid = x.pid AND x.label < y.label
+JOIN pm p ON p.image_id = x.image_id AND p.pid = x.pid GROUP BY 1, 2, 3"""
+_ODD = 'CASE WHEN col > 5 THEN ("row" - 1) % 5 IN (1, 3) ELSE pid % 5 = 0 END'
+CONSISTENT = f"""WITH {PM}, c AS (SELECT image_id, {_BLOCK} AS label, avg(CASE WHEN {_ODD} THEN 0.0 ELSE 1.0 END) AS share FROM pm GROUP BY 1, 2)
+SELECT image_id, label, {r("share", "share")}, share > 0.75 AS planar FROM c"""
+# Holes in pairs: the first is filled from the snapshot, the second with the first as it is then
+_PAIR = '"row" % 4 = 0 AND col % 6 IN (2, 3)'
+_SUMS = lambda t, cond: f"SELECT a.image_id, a.pid, sum(b.nx) AS nx, sum(b.ny) AS ny, sum(b.nz) AS nz FROM {near(t, window(1))} WHERE {cond} GROUP BY 1, 2"
+_PUT = lambda t, s: f'SELECT t.image_id, t.pid, t."row", t.col, {", ".join(f"coalesce(s.{n} / {_LEN("s.")}, t.{n}) AS {n}" for n in NORMAL)} FROM {t} t LEFT JOIN {s} s ON s.image_id = t.image_id AND s.pid = t.pid'
+FEEDING = f"""WITH {PX}, h AS (SELECT image_id, pid, "row", col, {", ".join(f"CASE WHEN {_PAIR} THEN 0.0 ELSE {n} END AS {n}" for n in NORMAL)} FROM px),
+s1 AS ({_SUMS("h", 'a."row" % 4 = 0 AND a.col % 6 = 2')}), h1 AS ({_PUT("h", "s1")}),
+s2 AS ({_SUMS("h1", 'a."row" % 4 = 0 AND a.col % 6 = 3')}), h2 AS ({_PUT("h1", "s2")})
+SELECT image_id, pid, {rs(NORMAL)} FROM h2"""
+ELEMENT_LESS = f"""WITH {PX}, s AS (SELECT a.image_id, a.pid, {", ".join(f"a.{c} - b.{c} AS {c}" for c in CHANNELS)} FROM px a JOIN px b ON b.pid = CASE WHEN a.pid % 3 = 0 THEN a.pid ELSE a.pid + 1 END)
+SELECT image_id, pid, {rs(COLOUR + POSITION)}, {", ".join(f"CASE WHEN pid % 3 = 0 THEN 'NaN'::DOUBLE ELSE round({n} / {_LEN()}, 6) + 0.0 END AS {n}" for n in NORMAL)} FROM s"""
+ERROR_OF = f"""WITH {PX}, e AS (SELECT image_id, label % 3 AS cluster, CASE label % 3 WHEN 0 THEN nx WHEN 1 THEN 0.6 * ny + 0.8 * nz ELSE nz END AS c FROM px)
+SELECT image_id, CAST(cluster AS INTEGER) AS cluster, count(*) AS n, {r("sum(c * c)", "error")} FROM e GROUP BY 1, 2"""
+
+
+def distances(centres) -> str:
+    return f"WITH d AS ({assign(centres)}) SELECT image_id, {r('sum(distance)', 'objective', 2)} FROM d GROUP BY 1"
+
+
+def loss(parts) -> str:
+    return f"WITH {PX} SELECT image_id, {r('ln(-sum(' + ' + '.join(_wat(p['axis'], p['kappa']) for p in parts) + '))', 'loss')} FROM px GROUP BY 1"
+
+
+def density(axis, kappa) -> str:
+    return f"WITH {PX} SELECT image_id, pid, {r('exp(' + _wat(axis, kappa) + ')', 'density')} FROM px"
+
+
+_TURN = np.linalg.inv(-np.array(Camera().turned).reshape(3, 3)).tolist()
+_MOVE = [" + ".join(f"({m!r}) * {c}" for m, c in zip(row, POSITION)) + f" + ({t!r})" for row, t in zip(_TURN, Camera().translation)]
+COLOUR_CAMERA = f"""WITH {PX}, m AS (SELECT image_id, pid, {_MOVE[0]} AS a, {_MOVE[1]} AS b, {_MOVE[2]} AS w FROM px)
+SELECT image_id, pid, {r("a / w * 518.85790117450188 + 325.58244941119034", "u", 4)}, {r("b / w * 519.46961112127485 + 253.73616633400465", "v", 4)}, {r("w", "w")} FROM m"""
+_METRES = "351.3::DOUBLE / (1092.5::DOUBLE - (600 + 400 * abs(c1)))"
+RAW_DEPTH = f"WITH {PX} SELECT image_id, pid, round(CASE WHEN {_METRES} < 0 OR {_METRES} > 10 THEN 10.0 ELSE {_METRES} END, 6) AS z FROM px"
+STORED = f"WITH {PM} SELECT DISTINCT image_id FROM pm WHERE image_id % 2 = 0"
+# Ten rows of 4, 1 and 5 columns: the middle stripe goes to the largest neighbour, or by the rule to the smallest
+PRUNED_BY = f"WITH {PM} SELECT image_id, pid, CAST(CASE WHEN col < 5 THEN 1 WHEN col > 5 THEN 3 WHEN image_id % 2 = 0 THEN 3 ELSE 1 END AS INTEGER) AS label FROM pm"

@@ -1,7 +1,7 @@
 """Result store as Parquet tables: algorithms, segmented images and metric rows.
 
 Rows get their id from a hash of their key, so inserting twice is harmless.  An
-update writes the whole table anew; tables here have a row per image and algorithm.
+update writes the whole table anew, as a version; tables here have a row per image and algorithm.
 """
 
 from __future__ import annotations
@@ -48,6 +48,11 @@ def lookup(table: DataFrame, **values: object) -> DataFrame:
     return table
 
 
+def with_algorithm(rows: DataFrame, algorithms: DataFrame) -> DataFrame:
+    """Rows that name their algorithm by ``algorithm_id`` with its name and parameters; rows of unknown ones go."""
+    return rows.join(algorithms.select(F.col("id").alias("algorithm_id"), "name", "params"), "algorithm_id")
+
+
 def get(table: DataFrame, **values: object):
     found = lookup(table, **values).limit(1).collect()
     if not found:
@@ -93,55 +98,84 @@ def merged_metrics(a: str, b: str):
 
 
 class Store:
-    """Tables under one folder."""
+    """Tables under one folder.
+
+    A table is a folder of versions.  A version counts once Spark has marked it as complete; the
+    last one is the table.  So an update that breaks off, wherever it does, leaves the table as it was.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
 
     def _at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
+    def _files(self, path: str) -> tuple:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self, name: str) -> list[int]:
+        """The complete versions of a table."""
+        where, fs = self._files(self._at(name))
+        if not fs.exists(where):
+            return []
+        found = [x.getPath().getName() for x in fs.listStatus(where)]
+        return sorted(int(x[8:]) for x in found if x.startswith("version=") and fs.exists(self._files(f"{self._at(name)}/{x}/_SUCCESS")[0]))
+
     def read(self, name: str, schema: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self._at(name))
-        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.schema(schema).parquet(self._at(name)) if fs.exists(where) else self.spark.createDataFrame([], schema)
+        found = self.versions(name)
+        return self.spark.read.schema(schema).parquet(f"{self._at(name)}/version={found[-1]}") if found else self.spark.createDataFrame([], schema)
 
     def insert(self, name: str, schema: str, rows: DataFrame, keys: Sequence[str]) -> None:
-        missing(rows, self.read(name, schema), keys).write.mode("append").parquet(self._at(name))
+        """Adds the rows whose key the table lacks."""
+        found = self.versions(name)
+        missing(rows, self.read(name, schema), keys).write.mode("append").parquet(f"{self._at(name)}/version={found[-1] if found else 0}")
 
     def update(self, name: str, schema: str, rows: DataFrame, keys: Sequence[str]) -> None:
-        """The stored table with ``rows`` in place of those of the same keys.
+        """The stored table with ``rows`` in place of those of the same keys, as a new version.
 
-        The new table is written beside the old one and takes its place by renaming; frames read
-        before no longer find their files, so read again.
+        Frames read before still find the version before; older ones go.
         """
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        old, new = (jvm.org.apache.hadoop.fs.Path(self._at(x)) for x in (name, f"{name}-{uuid.uuid4().hex}"))
-        upserted(self.read(name, schema), rows, keys).write.parquet(new.toString())
-        fs = old.getFileSystem(conf)
-        fs.delete(old, True)
-        fs.rename(new, old)
-
-    def save_segments(self, labels: DataFrame, regions: DataFrame, algorithm_id: int) -> None:
-        """Labels and region means of one algorithm, partitioned by algorithm and image; what is there of them is replaced."""
+        found = self.versions(name)
+        new = found[-1] + 1 if found else 0
+        upserted(self.read(name, schema), rows, keys).write.mode("overwrite").parquet(f"{self._at(name)}/version={new}")
+        for old in found[:-1]:
+            where, fs = self._files(f"{self._at(name)}/version={old}")
+            fs.delete(where, True)
+
+    def files(self, name: str = "") -> DataFrame:
+        """The store's files: path, length and time of the last change."""
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self._at(name))
+        return found.select("path", "length", F.col("modificationTime").alias("changed"))
+
+    def stored(self, rows: DataFrame) -> DataFrame:
+        """The rows (algorithm_id, image_id, ..) whose labels have a file."""
+        path = F.col("path")
+        there = self.files("labels").select(*[F.regexp_extract(path, f"/{c}=(-?[0-9]+)/", 1).cast("long").alias(c) for c in ("algorithm_id", "image_id")])
+        return rows.join(there.distinct(), ["algorithm_id", "image_id"], "left_semi")
+
+    def save_segments(self, labels: DataFrame, regions: DataFrame, algorithm_id: int | None = None) -> None:
+        """Labels and region means, partitioned by algorithm and image; what is there of them is replaced.
+
+        Frames without ``algorithm_id`` are of the one that is given."""
         for name, df in (("labels", labels), ("regions", regions)):
-            out = df.withColumn("algorithm_id", F.lit(algorithm_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            out = (df if algorithm_id is None else df.withColumn("algorithm_id", F.lit(algorithm_id))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             out.partitionBy("algorithm_id", "image_id").parquet(self._at(name))
 
     def kept(self, df: DataFrame) -> DataFrame:
-        """``df`` written under the store once and read again."""
+        """``df`` written under the store once and read again; ``dropped`` removes all of these."""
         path = f"{self.path}/_kept/{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def dropped(self) -> None:
+        where, fs = self._files(f"{self.path}/_kept")
+        fs.delete(where, True)
 
     def labels(self, algorithm_id: int) -> DataFrame | None:
         """All stored labels of an algorithm, or None."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self._at('labels')}/algorithm_id={algorithm_id}")
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            return None
-        return self.spark.read.parquet(where.toString()).withColumn("image_id", F.col("image_id").cast("long"))
+        where, fs = self._files(f"{self._at('labels')}/algorithm_id={algorithm_id}")
+        return self.spark.read.parquet(where.toString()).withColumn("image_id", F.col("image_id").cast("long")) if fs.exists(where) else None
 
     def load_segments(self, image_id: int, algorithm_id: int) -> DataFrame:
         return self.spark.read.parquet(self._at("labels")).where((F.col("image_id") == image_id) & (F.col("algorithm_id") == algorithm_id))
