@@ -271,7 +271,9 @@ def axis_scatter(x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
 
 
 def moved_axes(axes: np.ndarray, scatter: np.ndarray) -> np.ndarray:
-    """The leading direction of each cluster; an empty one keeps its axis."""
+    """The leading direction of each cluster; an empty one keeps its axis.  Normals that are not finite are an error."""
+    if not np.isfinite(scatter).all():
+        raise np.linalg.LinAlgError("normals are not finite")
     return np.array([np.linalg.eigh(s)[1][:, -1] if np.trace(s) > 0 else a for a, s in zip(axes, scatter)])
 
 

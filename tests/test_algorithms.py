@@ -1,5 +1,7 @@
 """Whole algorithms and stencils against plain versions, plug-ins, and batches."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -163,10 +165,12 @@ def test_boundary_distance_has_no_bound(spark):
     a = spark.createDataFrame(df.assign(label=1 + (df["col"] > 3)), PIXELS)
     b = spark.createDataFrame(df.assign(label=1 + (df["col"] > 50)), PIXELS)
     assert metrics.boundary_displacement(a, b).first()["value"] == pytest.approx(46.5)
-    mask = np.random.default_rng(2).random((13, 17)) < 0.1
-    at = np.argwhere(mask)
-    plain = np.array([[np.sqrt(((at - (i, j)) ** 2).sum(axis=1)).min() for j in range(17)] for i in range(13)])
-    np.testing.assert_allclose(metrics.nearest(mask), plain)
+    rng = np.random.default_rng(2)
+    one = noisy(70, 17, 4)
+    here, there = one[rng.random(len(one)) < 0.1], one[rng.random(len(one)) < 0.02]
+    got = {r["pid"]: r["distance"] for r in metrics.nearest_boundary(spark.createDataFrame(here, PIXELS), spark.createDataFrame(there, PIXELS)).collect()}
+    at = there[["row", "col"]].to_numpy()
+    assert got == pytest.approx({p.pid: np.sqrt(((at - (p.row, p.col)) ** 2).sum(axis=1)).min() for p in here.itertuples()})
 
 
 def test_kummer_at_large_arguments_and_poles():
@@ -183,16 +187,64 @@ def test_parameters_there_and_back():
 def test_batches(spark, tmp_path):
     df = spark.createDataFrame(pd.concat([noisy(6, 6, 1, 1), noisy(6, 6, 2, 2)]), PIXELS)
     kept = store.Store(spark, str(tmp_path))
-    config = {"algorithms": {"CDNGraph": {"scale_k": 2.0, "min_size": 3}}}
+    config = {"algorithms": {"CDNGraph": {"scale_k": 2.0, "min_size": 3}, "Diametrical": {"k": 2}}}
     first = harness.segment_batch(df, config, kept).collect()
-    assert sorted((r["image_id"], r["algorithm"], r["error"]) for r in first) == [(1, "CDNGraph", None), (2, "CDNGraph", None)]
+    assert sorted((r["image_id"], r["algorithm"], r["error"]) for r in first) == [(i, a, None) for i in (1, 2) for a in ("CDNGraph", "Diametrical")]
     again = harness.segment_batch(df, config, kept).collect()
     assert sorted(r["elapsed"] for r in again) == sorted(r["elapsed"] for r in first)
+    with pytest.raises(LookupError):
+        harness.evaluate_batch(df, {**config, "scale": 0.5}, kept)
     n = harness.evaluate_batch(df, config, kept).count()
-    assert n == 2 * (len(metrics.SUPERVISED) + len(metrics.BOUNDARY) + len(metrics.UNSUPERVISED))
+    assert n == 4 * (len(metrics.SUPERVISED) + len(metrics.BOUNDARY) + len(metrics.UNSUPERVISED))
     assert harness.evaluate_batch(df, config, kept).count() == n
     assert harness.summarize(kept).count() == n // 2
-    bad = harness.segment_batch(df.withColumn("nx", F.lit(float("nan"))), {"algorithms": {"DepthWMM": {"k": 2}}}, kept).where("algorithm = 'DepthWMM'").collect()
-    assert len(bad) == 2 and all(r["error"] for r in bad)
+    number = harness.store_id("CDNGraph", GraphConfig(scale_k=2.0, min_size=3))
+    expected = segment(df, GraphConfig(scale_k=2.0, min_size=3)).toPandas().sort_values(["image_id", "pid"])
+    assert kept.labels(number).toPandas().sort_values(["image_id", "pid"])["label"].tolist() == expected["label"].tolist()
+    other = {"algorithms": {"CDNGraph": {"scale_k": 2.0, "min_size": 36}}}
+    assert harness.segment_batch(df, other, kept).count() == 6
+    assert harness.evaluate_batch(df, other, kept).count() > n
+    assert harness.summarize(kept, other).select("algorithm_id").distinct().count() == 1
+    half = harness.segment_batch(df, {**config, "scale": 0.5}, kept)
+    assert half.count() == 10 and len({r["algorithm_id"] for r in half.collect()}) == 5
     with pytest.raises(KeyError):
         harness.segment_batch(df, {"algorithms": {"Unknown": {}}}, kept)
+
+
+def test_an_image_that_fails_costs_no_other(spark, tmp_path):
+    df = spark.createDataFrame(pd.concat([noisy(6, 6, 1, 1), noisy(6, 6, 2, 2).assign(nx=np.nan)]), PIXELS)
+    kept, config = store.Store(spark, str(tmp_path)), {"algorithms": {"Diametrical": {"k": 2}, "CDNGraph": {"min_size": 3}}}
+    rows = {(r["image_id"], r["algorithm"]): r for r in harness.segment_batch(df, config, kept).collect()}
+    assert {k for k, r in rows.items() if r["error"]} == {(2, "Diametrical")} and rows[2, "Diametrical"]["elapsed"] is None
+    assert all(r["elapsed"] > 0 for k, r in rows.items() if k != (2, "Diametrical"))
+    mended = spark.createDataFrame(pd.concat([noisy(6, 6, 1, 1), noisy(6, 6, 2, 2)]), PIXELS)
+    rows = {(r["image_id"], r["algorithm"]): r for r in harness.segment_batch(mended, config, kept).collect()}
+    assert len(rows) == 4 and not any(r["error"] for r in rows.values())
+
+
+def test_plug_ins_have_numbers_of_their_own():
+    a, b = (SpectralConfig(delete=f) for f in (lambda n: n < 3, lambda n: n < 30))
+    assert len({harness.store_id("GCF", r, s) for r in (a, b, SpectralConfig()) for s in (1, 0.5)}) == 6
+
+
+def test_command_line(spark, tmp_path, capsys):
+    spark.createDataFrame(noisy(6, 6, 1), PIXELS).write.parquet(str(tmp_path / "pixels"))
+    config = {"algorithms": {"CDNGraph": {"scale_k": 2.0, "min_size": 3}}, "pixels": str(tmp_path / "pixels"), "store": str(tmp_path / "store")}
+    (tmp_path / "config.json").write_text(json.dumps(config))
+    for step in ("segment", "evaluate", "summarize"):
+        harness.main([step, "--config", str(tmp_path / "config.json")])
+    assert "RandIndex" in capsys.readouterr().out
+
+
+def test_an_update_that_breaks_off_leaves_the_table(spark, tmp_path):
+    kept, schema = store.Store(spark, str(tmp_path)), "k long, v long"
+    kept.insert("t", schema, spark.createDataFrame([(1, 1), (2, 2)], schema), ["k"])
+    bad = spark.createDataFrame([(1, 5)], schema).withColumn("v", F.expr("assert_true(k > 1)").cast("long"))
+    with pytest.raises(Exception, match="k > 1"):
+        kept.update("t", schema, bad, ["k"])
+    assert sorted(map(tuple, kept.read("t", schema).collect())) == [(1, 1), (2, 2)]
+    before = kept.read("t", schema)
+    kept.update("t", schema, spark.createDataFrame([(1, 5), (3, 3)], schema), ["k"])
+    assert sorted(map(tuple, kept.read("t", schema).collect())) == [(1, 5), (2, 2), (3, 3)] and before.count() == 2
+    kept.insert("t", schema, spark.createDataFrame([(3, 9), (4, 4)], schema), ["k"])
+    assert sorted(map(tuple, kept.read("t", schema).collect())) == [(1, 5), (2, 2), (3, 3), (4, 4)]
