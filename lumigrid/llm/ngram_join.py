@@ -261,6 +261,17 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("t"))
     wanted = texts.join(one.hint("merge"), "doc").select("t", "class", "family", "blocks")
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The class of each text that no key names."""
+        shingles = Shingler(n)
+        for batch in batches:
+            for rows_ in _slices(batch):
+                classes = [digest(shingles(t)) for t in rows_.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), rows_.column(0)], ["class", "t"])
+
+    lone = texts.where("doc IS NULL AND t IS NOT NULL").select("t").mapInArrow(tidy(named), "class long, t string").groupBy("class").agg(F.first("t").alias("t"))
+    wanted = wanted.unionByName(lone.join(one.where("doc IS NULL").hint("merge"), "class").select("t", "class", "family", "blocks"))
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The set of each class, once for each pair of blocks that it takes part in."""
         shingles = Shingler(n)
