@@ -42,13 +42,16 @@ from lumigrid.llm.graph import Union, components
 PARTS, CODES = 8, 64
 #: Classes that the quantisers are fitted on at least, and vectors of a list in a task.
 SAMPLE, BLOCK = 16_384, 2048
+#: Rows whose distances to all centres are held at once; more than such distances, from norms and products, are off.
+ROWS, SLACK = 512, 1e-6
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(11)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        own = (np.einsum("ij,ij->i", centres, centres) - 2 * x @ centres.T).argmin(axis=1)
+        square = np.einsum("ij,ij->i", centres, centres)
+        own = np.concatenate([(square - 2 * x[i : i + ROWS] @ centres.T).argmin(axis=1) for i in range(0, len(x), ROWS)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         n = np.bincount(own, minlength=len(centres))
@@ -61,7 +64,7 @@ class Quantiser:
 
     def __init__(self, sample: np.ndarray, lists: int):
         self.centres = _kmeans(sample, lists)
-        own, _ = self.nearest(sample)
+        own = np.concatenate([self.nearest(sample[i : i + ROWS])[0] for i in range(0, len(sample), ROWS)])
         residual = sample - self.centres[own]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
         self.books = [_kmeans(residual[:, c], CODES) for c in self.cuts]
@@ -73,9 +76,8 @@ class Quantiser:
     def probes(self, x: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
         """Own list of each row, and the mask of all lists that its neighbourhood reaches."""
         own, d = self.nearest(x)
-        gap = np.linalg.norm(self.centres[own][:, None, :] - self.centres[None], axis=2)
-        plane = (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * gap, 1e-12)
-        return own, (plane <= r + 1e-9) | (gap < 1e-12)
+        gap = _apart(self.centres[own], self.centres) + SLACK
+        return own, d - d[np.arange(len(x)), own][:, None] <= 2 * gap * (r + 1e-9) + SLACK
 
     def coded(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes by subspace, and how far each is off."""
@@ -156,8 +158,8 @@ def indexed(classes: DataFrame, quantiser: Quantiser, r: float, kind: str) -> Da
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["label", "list", "class", "n", "codes", "off", "v"]
         for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.slice(start, 512)
+            for start in range(0, len(batch), ROWS):
+                part = batch.slice(start, ROWS)
                 x = _unit(_rows(part.column(3)))
                 own, mask = quantiser.probes(x, r)
                 codes, off = quantiser.coded(x - quantiser.centres[own])
