@@ -38,6 +38,8 @@ START, HEAD, BODY, END = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROLS = (START, HEAD, BODY, END)
 #: Packs start anew after about so many characters, or so many conversations (equal ones add no characters).
 PACK_CHARS, PACK_CONVERSATIONS = 1 << 20, 1 << 16
+#: Characters of conversations that are read back in one batch, about.
+READ_CHARS = 1 << 22
 #: Roles whose texts are learnt.
 LEARNT = ("assistant",)
 
@@ -155,8 +157,11 @@ def read_back(packs: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(len(batch)):
                 text, nodes, attends, convs = (batch.column(n)[k].as_py() for n in ("formatted", "nodes", "attends", "conversations"))
-                out = []
+                out, held = [], 0
                 for c in convs:
+                    if held >= READ_CHARS:
+                        yield _batch(out, shape)
+                        out, held = [], 0
                     leaf, learnt = c["leaf"], []
                     own = "".join(text[s["start"] : s["end"]] for s in attends[leaf]) if leaf >= 0 else ""
                     turns = _TURN.findall(own)
@@ -165,6 +170,7 @@ def read_back(packs: DataFrame) -> DataFrame:
                         if n["learnt"]:
                             learnt.append(unescaped(text[n["body"] : n["end"] - len(END)]))
                         leaf = n["parent"]
+                    held += len(own) + 1
                     out.append((c["conv_id"], [unescaped(a) for a, _ in turns], [unescaped(b) for _, b in turns], learnt[::-1], len(own)))
                 yield _batch(out, shape)
 
