@@ -5,7 +5,8 @@ not count).  A run of lines repeats if it stands in an earlier text, or earlier
 its own, and has ``LINES`` lines that are not blank or ``WORDS`` words, at least.
 
 From each line on, and back from each line, the shortest stretch that is long
-enough for a run is a window; its fingerprint is the hash of all its lines.
+enough for a run is a window; its fingerprint is the hash of all its lines,
+128 bits from two independent hashes of each.
 None is left out: the least hash of a window may stand elsewhere in other
 surroundings first.  A window whose fingerprint has an earlier holder is a
 repeated run, and every line of a repeated run lies in a window within that run,
@@ -15,7 +16,9 @@ first holder stays whole unless it repeats something earlier.
 Order is that of the key, then of a hash of the text.  Defined results: rows
 with equal key and text count as one place, so they keep or lose the same lines;
 a null key comes first; a null text stays null and an empty one empty; a
-text all of whose lines go becomes empty.
+text all of whose lines go becomes empty; a very long text takes memory for the hashes of its
+lines; an empty table gives no rows; extra columns are kept, one named like the
+result is replaced.
 """
 
 from __future__ import annotations
@@ -44,14 +47,14 @@ def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(text).isNotNull()).select(
         F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY)).alias("doc"),
         F.xxhash64(text).alias("mark"),
-        F.transform(trimmed, lambda x: F.xxhash64(x)).alias("lines"),
+        *[F.transform(trimmed, lambda x: F.xxhash64(F.lit(seed), x)).alias(f"lines{seed}") for seed in range(2)],  # noqa: B023
         words.alias("words"),
     )
 
 
-def windows(lines: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and fingerprint of the windows of one text."""
-    n = len(lines)
+def windows(hashes: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start, end and fingerprints (by each of the lines' hashes) of the windows of one text."""
+    n = len(words)
     sums = np.concatenate([[0], np.cumsum(words)])
     full = np.concatenate([[0], np.cumsum(words > 0)])
     ends = np.minimum(np.searchsorted(sums, sums[:n] + WORDS), np.searchsorted(full, full[:n] + LINES))
@@ -60,29 +63,29 @@ def windows(lines: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
     both = np.unique(np.concatenate([there * (n + 1) + ends[there], starts[back] * (n + 1) + back + 1]))
     start, end = both // (n + 1), both % (n + 1)
     powers, inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (_BASE, _INVERSE))
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.view(np.uint64) * powers[:n])])
-    return start, end, ((upto[end] - upto[start]) * inverses[start]).view(np.int64)
+    uptos = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h.view(np.uint64) * powers[:n])]) for h in hashes]
+    return start, end, *(((upto[end] - upto[start]) * inverses[start]).view(np.int64) for upto in uptos)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "mark", "at", "n", "print"]
+    names = ["doc", "mark", "at", "n", "print", "print1"]
     for batch in batches:
         for k in range(0, len(batch), 500):
-            docs, marks, lines, words = batch.slice(k, 500).columns
-            found = [windows(np.array(x, np.int64), np.array(w, np.int64)) for x, w in zip(lines.to_pylist(), words.to_pylist())]
+            docs, marks, *hashes, words = batch.slice(k, 500).columns
+            found = [windows([np.array(h, np.int64) for h in x], np.array(w, np.int64)) for *x, w in zip(*(c.to_pylist() for c in (*hashes, words)))]
             rows = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            start, end, value = (np.concatenate(c) for c in zip(*found))
-            columns = [docs.take(pa.array(rows)), marks.take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in (start, end - start, value))]
+            start, end, *values = (np.concatenate(c) for c in zip(*found))
+            columns = [docs.take(pa.array(rows)), marks.take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in (start, end - start, *values))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Repeated windows (doc, mark, start, end): lines from start, before end, of a text."""
     texts = hashed(small_batches(docs), key, text).dropDuplicates(["doc", "mark"])
-    prints = written(texts.mapInArrow(tidy(_windows), "doc long, mark long, at long, n long, print long"))
+    prints = written(texts.mapInArrow(tidy(_windows), "doc long, mark long, at long, n long, print long, print1 long"))
     place = F.struct("doc", "mark", "at")
-    firsts = written(prints.groupBy("print", "n").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").select("print", "n", "f"))
-    met = prints.join(firsts, ["print", "n"]).where(place != F.col("f"))
+    firsts = written(prints.groupBy("print", "print1", "n").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").select("print", "print1", "n", "f"))
+    met = prints.join(firsts, ["print", "print1", "n"]).where(place != F.col("f"))
     return met.select("doc", "mark", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"))
 
 
