@@ -4,8 +4,10 @@ A source's rate is its target weight times all rows over its own rows.  Each
 row draws its number of copies from the Poisson distribution with that mean, by
 inverting the distribution function at a number hashed from its key and a seed;
 so the expected mixture is the target mixture, and a row's copies depend on the
-row and the counts alone.  Rows are exploded by their number of copies and
-shuffled globally by a hash of key, copy and seed.
+row and the counts alone.  A mean above ``PART`` is drawn as the sum of independent parts of that
+mean at most, which has the same distribution: exp(-mean) would come to nothing.  Rows are exploded by their number of copies and
+shuffled globally by a hash of key, copy and seed.  A row of more than ``COPIES`` copies is dealt
+in blocks of so many first, so that no task makes all copies of the row of a rare source.
 
 Defined results: rows with a null source are a source of their own; a source
 without target weight gets weight 0; weights are scaled to sum to 1 over the
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 PART = 16.0
 #: The distribution function of a part is inverted over this many steps; beyond, its mass is under 1e-16.
 STEPS = 64
+#: Copies of a row that one task makes.
+COPIES = 1 << 16
 #: Sources whose rates are small enough to send to all executors.
 FEW = 10_000
 
@@ -61,6 +65,20 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, source: str = "sour
     return counts.crossJoin(sums).select("of", "rows", mean.alias("mean"))
 
 
+def _exploded(rows: DataFrame, kept: list[str], far: bool) -> DataFrame:
+    """Each row once for each of its copies; ``far``: some may have more than ``COPIES``."""
+    upto = lambda low, high: F.explode(F.sequence(low, high)).alias("copy")
+    one = F.lit(1).cast("long")
+    near = rows.where(F.col("copies") <= COPIES) if far else rows
+    out = near.select(*kept, "copies", upto(one, F.col("copies")))
+    if far:
+        blocks = rows.where(F.col("copies") > COPIES).select(*kept, "copies", F.explode(F.sequence(one * 0, F.expr(f"(copies - 1) div {COPIES}"))).alias("_block"))
+        blocks = blocks.repartition(F.xxhash64(*[c for c, t in blocks.dtypes if "map" not in t]))
+        first = F.col("_block") * COPIES
+        out = out.unionByName(blocks.select(*kept, "copies", upto(first + 1, F.least(first + COPIES, F.col("copies")))))
+    return out
+
+
 def mixed(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", source: str = "source", seed: int = 7, rate: float = 1.0) -> DataFrame:
     """``docs`` replicated to the target mixture and shuffled; with ``copy`` (from 1),
     ``copies`` and ``shuffle_key``, the hash that the rows are dealt and sorted by.
@@ -70,8 +88,9 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id"
     """
     kept = [c for c in docs.columns if c not in ("copy", "copies", "shuffle_key")]
     found = rates(docs, weights, source, rate).select("of", "mean")
-    few = found.limit(FEW + 1).collect()
+    few, largest = found.limit(FEW + 1).collect(), None
     if len(few) <= FEW:
+        largest = max((r["mean"] for r in few), default=0.0)
         found = F.broadcast(docs.sparkSession.createDataFrame(few, found.schema))
     rows = docs.select(*kept).join(found, F.col(source).eqNullSafe(F.col("of"))).drop("of")
     parts = F.ceil(F.col("mean") / PART).cast("long")
@@ -83,7 +102,7 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id"
     )
     copies = F.when(F.col("mean") <= PART, one).otherwise(more)
     rows = rows.withColumn("copies", copies).where("copies > 0")
-    rows = rows.select(*kept, "copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    rows = _exploded(rows, kept, largest is None or largest > COPIES // 2)
     mark = F.md5(F.concat_ws(":", F.lit(f"{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("copy").cast("string")))
     dealt = rows.withColumn("shuffle_key", mark)
     return dealt.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
