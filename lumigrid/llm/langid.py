@@ -12,8 +12,7 @@ are scaled on the way so that they never vanish.  A code point that no piece
 covers has a small probability that is equal in all languages.
 
 The classifier is fitted on about ``FIT_ROWS`` labelled rows, an equal part of them
-for each language (all rows of one that has fewer), and on words of ``LONGEST``
-code points at most.
+for each language (all rows of one that has fewer), and on all their words.
 
 Defined results: a null or empty text, or one without any letter, is ``und``
 with score 0; without training rows every text is ``und``; an empty table gives
@@ -42,6 +41,7 @@ from lumigrid.llm.common import small_batches, tidy, written
 #: At most about so many labelled rows, and words of so many code points, are used to fit the classifier.
 FIT_ROWS = 3000
 ROUNDS = 2
+#: Longer words are fitted one by one, in logarithms, and scaled while they are scored.
 LONGEST = 30
 #: Sums of words that are held at once, and the sum below which a word's are scaled.
 CELLS, LOW = 100_000, 1e-100
@@ -156,6 +156,23 @@ class Pieces:
                 beta[start, w] += value  # one match of a word has this start and end
         return np.stack([np.bincount(piece % len(p), u, len(p)) for u in uses.T], axis=1)
 
+    def expected_of_long(self, text: str, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The same for one word of any length, in logarithms."""
+        _, end, size, piece, lengths = self.matches([text])
+        n, log = int(lengths[0]), np.log(p)
+        cuts = np.searchsorted(end, np.arange(1, n + 2))
+        before, after = np.full((n + 1, p.shape[1]), -np.inf), np.full((n + 1, p.shape[1]), -np.inf)
+        before[0] = after[n] = 0
+        parts = [slice(cuts[t - 1], cuts[t]) for t in range(1, n + 1)]
+        for t, part in enumerate(parts, 1):
+            before[t] = np.logaddexp.reduce(before[t - size[part]] + log[piece[part]], axis=0)
+        uses = np.zeros((len(piece), p.shape[1]))
+        for t, part in reversed(list(enumerate(parts, 1))):
+            start, value = t - size[part], log[piece[part]] + after[t]
+            uses[part] = np.exp(before[start] + value - before[n]) * counts
+            after[start] = np.logaddexp(after[start], value)  # one match has this start and end
+        return np.stack([np.bincount(piece % len(p), u, len(p)) for u in uses.T], axis=1)
+
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
@@ -202,12 +219,16 @@ def fitted(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", o
                 for start in range(0, len(batch), 200):
                     rows_ = batch.iloc[start : start + 200]
                     seen: dict[str, int] = {}
-                    pairs = [(seen.setdefault(w, len(seen)), at[x]) for t, x in zip(rows_["text"], rows_["lang"]) for w in words_of(t) if len(w) <= LONGEST]
+                    pairs = [(seen.setdefault(w, len(seen)), at[x]) for t, x in zip(rows_["text"], rows_["lang"]) for w in words_of(t)]
                     if pairs:
-                        k = p.shape[1]
+                        k, words = p.shape[1], list(seen)
                         w, x = np.array(pairs).T
                         counts = np.bincount(w * k + x, minlength=len(seen) * k).reshape(-1, k)
-                        out += pieces(path).expected(list(seen), counts, p)
+                        short = np.array([len(word) <= LONGEST for word in words])
+                        if short.any():
+                            out += pieces(path).expected([word for word, s in zip(words, short) if s], counts[short], p)
+                        for at_ in np.flatnonzero(~short):
+                            out += pieces(path).expected_of_long(words[at_], counts[at_], p)
             i, j = np.nonzero(out)
             yield pd.DataFrame({"piece": i, "lang": j, "n": out[i, j]})
 
