@@ -17,6 +17,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,7 +91,7 @@ def by_tile(df: DataFrame, columns: list[str], halo: int, kernel: Callable[[Tile
     names = shape.names
 
     def run(table: pa.Table) -> pa.Table:
-        found = kernel(Tile(table, halo, clamp)) if table.column("own").to_pylist().count(True) else {n: [] for n in names[1:]}
+        found = kernel(Tile(table, halo, clamp)) if pa.compute.any(table.column("own")).as_py() else {n: [] for n in names[1:]}
         image, n = table.column("image_id")[0].as_py(), len(found[names[1]])
         columns = [pa.array(np.full(n, image), pa.int64()), *(found[k] for k in names[1:])]
         return pa.table([c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)

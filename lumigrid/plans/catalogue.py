@@ -21,6 +21,7 @@ from lumigrid.operators.segment import affinity as affinities
 from lumigrid.operators.segment import best_of, landmark_pixels, segment
 from lumigrid.plans import harness, sql
 from lumigrid.sources import dataset, store
+from lumigrid.sources import images as image_source
 from lumigrid.sources.fixtures import blocky, metric_rows, pixels, pixels_events, pixels_multi
 from lumigrid.sources.shared import folder, written
 
@@ -907,6 +908,15 @@ def fits_round_trip(spark, d):
     return rounded(files.mapInPandas(back, "image_id long, row int, col int, c1 double, c2 double, c3 double, x double, y double, z double, label int"))
 
 
+@query(sql.IMAGE_FILES)
+def image_files(spark, d):
+    """All images as files, written twice (the second time nothing is left to do), and read."""
+    where, p = folder(spark), pixels_multi(spark, d)
+    image_source.saved(p, where)
+    image_source.saved(p.withColumn("c1", F.lit(9.0)), where)
+    return rounded(image_source.images(spark, where, ("image_id", "pid", "row", "col", *COLOUR, *POSITION, "label")))
+
+
 @query(sql.DATASET)
 def dataset_images(spark, d):
     """A data set written in two steps (three images, then all; none twice) and read: counts by image, and its size."""

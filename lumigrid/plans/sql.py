@@ -475,6 +475,7 @@ COLOUR_CAMERA = f"""WITH {PX}, m AS (SELECT image_id, pid, {_MOVE[0]} AS a, {_MO
 SELECT image_id, pid, {r("a / w * 518.85790117450188 + 325.58244941119034", "u", 4)}, {r("b / w * 519.46961112127485 + 253.73616633400465", "v", 4)}, {r("w", "w")} FROM m"""
 _METRES = "351.3::DOUBLE / (1092.5::DOUBLE - (600 + 400 * abs(c1)))"
 RAW_DEPTH = f"WITH {PX} SELECT image_id, pid, round(CASE WHEN {_METRES} < 0 OR {_METRES} > 10 THEN 10.0 ELSE {_METRES} END, 6) AS z FROM px"
+IMAGE_FILES = f'WITH {PM} SELECT image_id, pid, "row", col, {rs(COLOUR + POSITION)}, label FROM pm'
 STORED = f"WITH {PM} SELECT DISTINCT image_id FROM pm WHERE image_id % 2 = 0"
 # Ten rows of 4, 1 and 5 columns: the middle stripe goes to the largest neighbour, or by the rule to the smallest
 PRUNED_BY = f"WITH {PM} SELECT image_id, pid, CAST(CASE WHEN col < 5 THEN 1 WHEN col > 5 THEN 3 WHEN image_id % 2 = 0 THEN 3 ELSE 1 END AS INTEGER) AS label FROM pm"

@@ -2,13 +2,14 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lumigrid.model import PIXELS, GraphConfig
 from lumigrid.operators import grid, metrics, regions
 from lumigrid.operators.segment import segment
-from lumigrid.sources import dataset, store
+from lumigrid.sources import dataset, images, store
 from lumigrid.streaming.images import segment_stream
 
 
@@ -98,3 +99,35 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(image(), PIXELS).write.parquet(source)
     segment_stream(spark, source, target, str(tmp_path / "check"), GraphConfig(scale_k=0.5, min_size=3)).awaitTermination()
     assert spark.read.parquet(f"{target}/regions").agg(F.sum("cnt")).first()[0] == 72
+
+
+def test_image_files_are_pruned(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(pd.concat([image(4, 5, k) for k in range(1, 6)]), PIXELS)
+    images.saved(df, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == [images.file_of(k) for k in range(1, 6)]
+    whole = images.images(spark, str(tmp_path))
+    assert sorted(map(tuple, whole.drop("nx", "ny", "nz").collect())) == sorted(map(tuple, df.drop("nx", "ny", "nz").collect()))
+    (tmp_path / images.file_of(2)).write_bytes(b"not an image")
+    some = images.images(spark, str(tmp_path), ("image_id", "pid", "label")).where("image_id IN (1, 3) AND label = 2")
+    assert sorted(r["image_id"] for r in some.collect()) == [1] * 12 + [3] * 12
+    assert images.images(spark, str(tmp_path), ("image_id",)).where("image_id > 4").count() == 20
+    assert images.images(spark, str(tmp_path)).where("image_id > 99").count() == 0
+
+
+def test_parts_that_no_column_needs_are_not_read(spark, tmp_path):
+    images.saved(spark.createDataFrame(image(4, 5, 1), PIXELS), str(tmp_path))
+    file = tmp_path / images.file_of(1)
+    data, heads = bytearray(file.read_bytes()), list(images.part_heads(pa.OSFile(str(file))))
+    at, size, kind, *_ = heads[1]
+    data[at : at + int(np.prod(size)) * kind.itemsize] = b"\xff" * (int(np.prod(size)) * kind.itemsize)  # NaN
+    file.write_bytes(bytes(data))
+    assert images.images(spark, str(tmp_path), ("pid", "c1", "label")).where("isnan(c1)").count() == 0
+    assert images.images(spark, str(tmp_path), ("pid", "z")).where("isnan(z)").count() == 20
+
+
+def test_partitions_are_planned_by_size(spark, tmp_path, monkeypatch):
+    images.saved(spark.createDataFrame(pd.concat([image(4, 5, k) for k in range(1, 6)]), PIXELS), str(tmp_path))
+    reader = images.ImageReader(spark.createDataFrame([], PIXELS).schema, str(tmp_path))
+    assert [len(p.files) for p in reader.partitions()] == [5]
+    monkeypatch.setattr(images, "BYTES", 2 * (tmp_path / images.file_of(1)).stat().st_size)
+    assert [len(p.files) for p in reader.partitions()] == [2, 2, 1]
