@@ -5,11 +5,12 @@ not count).  A run of lines repeats if it stands in an earlier text, or earlier
 its own, and has ``LINES`` lines that are not blank or ``WORDS`` words, at least.
 
 From each line on, and back from each line, the shortest stretch that is long
-enough for a run is a window; its fingerprint is the hash of all its lines,
-128 bits from two independent hashes of each.
-None is left out: the least hash of a window may stand elsewhere in other
-surroundings first.  A window whose fingerprint has an earlier holder is a
-repeated run, and every line of a repeated run lies in a window within that run,
+enough for a run is a window.  The least hash of its lines is its fingerprint: equal
+windows have equal ones, so a window whose fingerprint stands in one place alone
+is not repeated and goes no further.  Places that share a fingerprint are compared by all lines
+of their windows to both sides (by 128 bits from two independent hashes of each line), for
+the line may have stood elsewhere first in other surroundings.  A window with an earlier
+equal is a repeated run, runs that overlap are one, and every line of a repeated run lies in a window within that run,
 so deleting the repeated windows deletes the repeated runs and no more.  The
 first holder stays whole unless it repeats something earlier.
 
@@ -67,22 +68,56 @@ def windows(hashes: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, ..
     return start, end, *(((upto[end] - upto[start]) * inverses[start]).view(np.int64) for upto in uptos)
 
 
+def minima(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Place of the least value in each stretch, the last of equal ones, by tables of doubling width."""
+    n, width = len(values), end - start
+    best = np.arange(n)
+    out = np.empty(len(start), np.int64)
+    level = np.frexp(width.astype(float))[1] - 1  # floor of the binary logarithm
+    for k in range(int(level.max(initial=0)) + 1):
+        some = np.flatnonzero(level == k)
+        one, other = best[start[some]], best[end[some] - (1 << k)]
+        out[some] = np.where(values[one] < values[other], one, other)
+        later = best[np.minimum(np.arange(n) + (1 << k), n - 1)]
+        best = np.where(values[best] < values[later], best, later)
+    return out
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "mark", "at", "n", "print", "print1"]
+    """A row for each text and least line hash of its windows: in how many places that line stands, and those windows."""
     for batch in batches:
         for k in range(0, len(batch), 500):
             docs, marks, *hashes, words = batch.slice(k, 500).columns
-            found = [windows([np.array(h, np.int64) for h in x], np.array(w, np.int64)) for *x, w in zip(*(c.to_pylist() for c in (*hashes, words)))]
-            rows = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            start, end, *values = (np.concatenate(c) for c in zip(*found))
-            columns = [docs.take(pa.array(rows)), marks.take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in (start, end - start, *values))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            texts, least, places, cuts, parts = [], [], [], [0], []
+            for t, (*x, w) in enumerate(zip(*(c.to_pylist() for c in (*hashes, words)))):
+                lines, full = [np.array(h, np.int64) for h in x], np.array(w, np.int64)
+                start, end, *prints = windows(lines, full)
+                if not len(start):
+                    continue
+                at = minima(np.where(full > 0, lines[0], np.iinfo(np.int64).max), start, end)
+                order = np.lexsort((at, lines[0][at]))
+                value = lines[0][at][order]
+                first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+                new = np.concatenate([[True], at[order][1:] != at[order][:-1]])
+                texts += [t] * len(first)
+                least.append(value[first])
+                places.append(np.add.reduceat(new, first))
+                cuts += (cuts[-1] + np.append(first[1:], len(order))).tolist()
+                parts.append([c[order] for c in (start, end - start, *prints)])
+            at, empty = pa.array(texts, pa.int64()), np.zeros(0, np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([empty, *c]), pa.int64())) for c in (zip(*parts) if parts else [()] * 4)]
+            rows = [docs.take(at), marks.take(at), *(pa.array(np.concatenate([empty, *c]), pa.int64()) for c in (least, places)), *lists]
+            yield pa.RecordBatch.from_arrays(rows, ["doc", "mark", "least", "places", "at", "n", "print", "print1"])
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Repeated windows (doc, mark, start, end): lines from start, before end, of a text."""
     texts = hashed(small_batches(docs), key, text).dropDuplicates(["doc", "mark"])
-    prints = written(texts.mapInArrow(tidy(_windows), "doc long, mark long, at long, n long, print long, print1 long"))
+    lists = "at array<long>, n array<long>, print array<long>, print1 array<long>"
+    found = written(texts.mapInArrow(tidy(_windows), f"doc long, mark long, least long, places long, {lists}"))
+    shared = written(found.groupBy("least").agg(F.sum("places").alias("c")).where("c > 1").select("least"))
+    met = found.join(shared.hint("merge"), "least", "left_semi")
+    prints = written(met.select("doc", "mark", F.inline(F.arrays_zip("at", "n", "print", "print1"))))
     place = F.struct("doc", "mark", "at")
     firsts = written(prints.groupBy("print", "print1", "n").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").select("print", "print1", "n", "f"))
     met = prints.join(firsts, ["print", "print1", "n"]).where(place != F.col("f"))
