@@ -123,3 +123,13 @@ def test_a_very_long_text_keeps_its_lines(spark):
     rows = [(1, text), (2, "\n".join(text.split("\n")[5000:5010]))]
     got = {r["doc_id"]: r for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1]["deleted"] == [] and got[1]["text"] == text and len(got[2]["deleted"]) == 10
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_minima_of_stretches(seed):
+    r = np.random.default_rng(seed)
+    values = r.integers(0, 9, 50)
+    start = r.integers(0, 50, 200)
+    end = np.minimum(50, start + r.integers(1, 30, 200))
+    at = lines.minima(values, start, end)
+    assert all(values[k] == values[i:j].min() and (values[k + 1 : j] > values[k]).all() for k, i, j in zip(at, start, end))
