@@ -131,3 +131,16 @@ def test_partitions_are_planned_by_size(spark, tmp_path, monkeypatch):
     assert [len(p.files) for p in reader.partitions()] == [5]
     monkeypatch.setattr(images, "BYTES", 2 * (tmp_path / images.file_of(1)).stat().st_size)
     assert [len(p.files) for p in reader.partitions()] == [2, 2, 1]
+
+
+def test_an_image_may_come_in_parts(spark, tmp_path):
+    """Three images over four files, one file a micro-batch: each is segmented once it is whole."""
+    df = spark.createDataFrame(pd.concat([image(6, 6, k) for k in (1, 2, 3)]), PIXELS)
+    for k, some in enumerate(("image_id = 1 AND pid < 20 OR image_id = 2 AND pid < 5", "image_id = 2", "image_id = 1 AND pid >= 20 OR image_id = 3 AND pid < 30", "image_id = 1 AND pid < 3")):
+        df.where(some).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    config = GraphConfig(scale_k=0.5, min_size=3)
+    segment_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), config, size=36, files=1).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out/labels"))
+    assert {r["image_id"]: r["count"] for r in got.groupBy("image_id").count().collect()} == {1: 36, 2: 36}
+    expected = segment(df.where("image_id < 3"), config)
+    assert sorted(map(tuple, got.select("image_id", "pid", "label").collect())) == sorted(map(tuple, expected.collect()))
