@@ -24,8 +24,8 @@ from lumigrid.model import CHANNELS, NORMAL, DiametricalConfig, MixtureConfig, W
 from lumigrid.operators import mixture
 from lumigrid.sources.shared import written
 
-#: Pixels of a block, and images whose parameters are small enough to send to all executors.
-BLOCK, FEW = 4096, 4096
+#: Pixels of a block, and numbers of all images' parameters that are few enough to send to all executors (32 MB).
+BLOCK, FEW = 4096, 1 << 22
 STATE = "image_id long, turn int, done boolean, score double, v array<double>, kept array<double>"
 Step = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -41,11 +41,13 @@ def _matrix(x: pa.Scalar, width: int) -> np.ndarray:
     return x.values.to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _joined(blocks: DataFrame, state: DataFrame) -> DataFrame:
-    return blocks.join(F.broadcast(state) if state.count() <= FEW else state, "image_id")
+def _joined(blocks: DataFrame, state: DataFrame, numbers: int | None = None) -> DataFrame:
+    """Blocks with their image's parameters; beyond ``FEW`` numbers in all Spark joins them as it sees fit."""
+    numbers = state.agg(F.sum(F.size("v"))).first()[0] or 0 if numbers is None else numbers
+    return blocks.join(F.broadcast(state) if numbers <= FEW else state, "image_id")
 
 
-def summed(blocks: DataFrame, state: DataFrame, width: int, sums: Step) -> DataFrame:
+def summed(blocks: DataFrame, state: DataFrame, width: int, sums: Step, numbers: int | None = None) -> DataFrame:
     """(image_id, s): ``sums`` of each block under its image's parameters, added up by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +58,7 @@ def summed(blocks: DataFrame, state: DataFrame, width: int, sums: Step) -> DataF
                 total[image] = total[image] + s if image in total else s
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.list_(pa.float64()))], ["image_id", "s"])
 
-    return _joined(blocks, state.select("image_id", "v")).select("image_id", "x", "v").mapInArrow(run, "image_id long, s array<double>")
+    return _joined(blocks, state.select("image_id", "v"), numbers).select("image_id", "x", "v").mapInArrow(run, "image_id long, s array<double>")
 
 
 def iterate(blocks: DataFrame, state: DataFrame, width: int, sums: Step, step: Callable[[dict, np.ndarray], dict]) -> DataFrame:
@@ -76,9 +78,10 @@ def iterate(blocks: DataFrame, state: DataFrame, width: int, sums: Step, step: C
     state = written(state)
     while True:
         active = state.where("NOT done")
-        if not active.limit(1).count():
+        images, numbers = active.agg(F.count("*"), F.sum(F.size("v"))).first()
+        if not images:
             return state
-        parts = summed(blocks, active, width, sums)
+        parts = summed(blocks, active, width, sums, numbers)
         found = active.groupBy("image_id").cogroup(parts.groupBy("image_id")).applyInArrow(update, STATE)
         state = written(found.unionByName(state.where("done")))
 

@@ -136,8 +136,10 @@ def merged_graph(n: int, edges: np.ndarray, weights: np.ndarray, config: GraphCo
 def _pairs(image: pd.DataFrame, offsets=grid.HALF) -> np.ndarray:
     """Places of both ends of an image's edges."""
     t = Tile.whole(image.assign(place=np.arange(len(image))), ["place"], 1)
-    place = t.near(t.grid("place"))
-    parts = [np.stack([place[there], t.near(t.grid("place"), *o)[there]], axis=1) for o in offsets if (there := t.near(t.there) & t.near(t.there, *o)) is not None]
+    place, parts = t.grid("place"), []
+    for o in offsets:
+        there = t.near(t.there) & t.near(t.there, *o)
+        parts.append(np.stack([t.near(place)[there], t.near(place, *o)[there]], axis=1))
     return np.concatenate(parts)
 
 
