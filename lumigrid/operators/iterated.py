@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigrid.model import CHANNELS, NORMAL, DiametricalConfig, MixtureConfig, WatsonConfig
@@ -189,6 +189,20 @@ def joint_start(blocks: DataFrame, k: int, seed: int) -> DataFrame:
 # The joint mixture
 
 
+def model_of(df: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(image_id, comp, weight, means, mean products and mean statistic): the mixture's model of labels 0.. to k - 1."""
+    blocks = packed(df, (*CHANNELS, "label"), block)
+    none = blocks.select("image_id").distinct().withColumn("v", F.array(F.lit(0.0)))
+    parts = summed(blocks, none, 10, lambda x, v: mixture.statistics(x[:, :9], np.eye(k)[x[:, 9].astype(int)]).ravel())
+    names = [n for g in ("c1 c2 c3", "x y z") for n in [*g.split(), *(f"{a}_{b}" for i, a in enumerate(g.split()) for b in g.split()[i:])]] + [f"t{i}" for i in range(1, 7)]
+    total = parts.select("image_id", F.posexplode("s").alias("at", "s")).groupBy("image_id", "at").agg(F.sum("s").alias("s"))
+    rows = total.groupBy("image_id", F.expr(f"cast(at div {mixture.WIDE} as int)").alias("comp"))
+    place = F.col("at") % mixture.WIDE
+    rows = rows.agg(*[F.sum(F.when(place == i, F.col("s"))).alias(n) for i, n in enumerate(["n", *names])])
+    every = F.sum("n").over(Window.partitionBy("image_id"))
+    return rows.withColumn("weight", F.col("n") / every).where("n > 0").select("image_id", "comp", "weight", *[(F.col(n) / F.col("n")).alias(n) for n in names])
+
+
 def joint_em(df: DataFrame, config: MixtureConfig, start: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(image_id, pid, label) of the joint mixture; ``start``: labels 0.. to begin from in place of the joint start."""
     blocks = packed(df, CHANNELS, block)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lumigrid.functions import distributions
 from lumigrid.model import CHANNELS, COLOUR, NORMAL, POSITION, DiametricalConfig, GraphConfig, MergeConfig, MixtureConfig, SpectralConfig, WatsonConfig, config_of, params
-from lumigrid.operators import grid, metrics, mixture, projections, regions
+from lumigrid.operators import grid, iterated, metrics, mixture, projections, regions
 from lumigrid.operators.segment import affinity as affinities
 from lumigrid.operators.segment import best_of, landmark_pixels, segment
 from lumigrid.plans import harness, sql
@@ -387,6 +387,13 @@ def kmeans_update(spark, d):
     return rounded(mixture.centres_of(mixture.assigned(pixels(spark, d), CENTRES)))
 
 
+@query(sql.MODEL)
+def model_of_labels(spark, d):
+    """The mixture's model of given labels: weights, means, mean products and mean statistics by component."""
+    p = pixels(spark, d).withColumn("label", F.expr("cast(label % 3 as int)"))
+    return rounded(iterated.model_of(p, 3, 64))
+
+
 @query(sql.distances(CENTRES))
 def kmeans_objective(spark, d):
     return rounded(mixture.objective(mixture.assigned(pixels(spark, d), CENTRES)), 2)
@@ -697,14 +704,17 @@ def _by_label(spark, d, f: Callable, schema: str) -> DataFrame:
 
 @query(sql.GAUSSIAN_OF)
 def gaussian_of_regions(spark, d):
-    """Mean, covariance, log density at the mean and dual of the Gaussian of each region."""
+    """Mean, covariance, log density at the mean, dual, dimension, and trace of mean square times covariance of the Gaussian of each region."""
 
     def f(image):
         g = distributions.Gaussian.of(image[list(COLOUR)].to_numpy())
         s = g.covariance()
-        return [*g.mu, s[0, 0], s[0, 1], s[1, 2], float(g.logpdf(g.mu[None])[0]), g.dual()]
+        flat = np.concatenate([g.mu, -g.h.T.ravel()])
+        mu, square = distributions.gaussian_parameters(flat)
+        trace = distributions.trace_of_product(square, s)
+        return [*mu, s[0, 0], s[0, 1], s[1, 2], float(g.logpdf(g.mu[None])[0]), g.dual(), distributions.gaussian_dimension(len(flat)), trace]
 
-    return _by_label(spark, d, f, "m1 double, m2 double, m3 double, s11 double, s12 double, s23 double, at_mean double, dual double")
+    return _by_label(spark, d, f, "m1 double, m2 double, m3 double, s11 double, s12 double, s23 double, at_mean double, dual double, dim int, trace double")
 
 
 @query(sql.SCATTER_OF)

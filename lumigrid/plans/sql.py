@@ -392,7 +392,8 @@ p AS (SELECT a.image_id, a.pid, a.x AS k1, b.x AS k2, a.lm AS l1, b.lm AS l2, a.
 SELECT image_id, pid, {r("l1 - l2 - (k1 * c2 - k2) * r2", "parameters", 4)}, {r("k1 * r1 - l1 - (k2 * r2 - l2) - (r1 * k2 * c2 - r2 * k2)", "means", 4)} FROM p"""
 GAUSSIAN_OF = f"""WITH {PX}, g AS (SELECT image_id, label, avg(c1) AS m1, avg(c2) AS m2, avg(c3) AS m3, var_samp(c1) AS a, covar_samp(c1, c2) AS b, covar_samp(c1, c3) AS c, var_samp(c2) AS d, covar_samp(c2, c3) AS e, var_samp(c3) AS f FROM px GROUP BY 1, 2),
 h AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM g)
-SELECT image_id, label, {rs(("m1", "m2", "m3"))}, {r("a", "s11")}, {r("b", "s12")}, {r("e", "s23")}, {r("-0.5 * (ln(det) + 3 * ln(2 * pi()))", "at_mean")}, {r("-0.5 * (ln(det) + 3 * ln(2 * pi() * exp(1)))", "dual")} FROM h"""
+SELECT image_id, label, {rs(("m1", "m2", "m3"))}, {r("a", "s11")}, {r("b", "s12")}, {r("e", "s23")}, {r("-0.5 * (ln(det) + 3 * ln(2 * pi()))", "at_mean")}, {r("-0.5 * (ln(det) + 3 * ln(2 * pi() * exp(1)))", "dual")}, 3 AS dim,
+  {r("a * a + d * d + f * f + 2 * (b * b + c * c + e * e) + a * m1 * m1 + d * m2 * m2 + f * m3 * m3 + 2 * (b * m1 * m2 + c * m1 * m3 + e * m2 * m3)", "trace")} FROM h"""
 SCATTER_OF = f"""WITH {PX} SELECT image_id, label, {r("avg(nx * nx)", "sxx")}, {r("avg(nx * ny)", "sxy")}, {r("avg(ny * nz)", "syz")},
   {r(f"sum(5.0 * pow(0.6 * ny + 0.8 * nz, 2) - ({LOG_M(5.0)!r}))", "ll")} FROM px GROUP BY 1, 2"""
 WATSON_OF = f"""WITH {PX}, t AS (SELECT image_id, label, {", ".join(f"avg({t}) AS t{i + 1}" for i, t in enumerate(_T))} FROM px GROUP BY 1, 2),
@@ -453,6 +454,9 @@ s2 AS ({_SUMS("h1", 'a."row" % 4 = 0 AND a.col % 6 = 3')}), h2 AS ({_PUT("h1", "
 SELECT image_id, pid, {rs(NORMAL)} FROM h2"""
 ELEMENT_LESS = f"""WITH {PX}, s AS (SELECT a.image_id, a.pid, {", ".join(f"a.{c} - b.{c} AS {c}" for c in CHANNELS)} FROM px a JOIN px b ON b.pid = CASE WHEN a.pid % 3 = 0 THEN a.pid ELSE a.pid + 1 END)
 SELECT image_id, pid, {rs(COLOUR + POSITION)}, {", ".join(f"CASE WHEN pid % 3 = 0 THEN 'NaN'::DOUBLE ELSE round({n} / {_LEN()}, 6) + 0.0 END AS {n}" for n in NORMAL)} FROM s"""
+_SQUARES = [(a, b) for g in (COLOUR, POSITION) for i, a in enumerate(g) for b in g[i:]]
+MODEL = f"""WITH {PX} SELECT image_id, CAST(label % 3 AS INTEGER) AS comp, {r("count(*)::DOUBLE / (SELECT count(*) FROM px)", "weight")}, {", ".join(r(f"avg({c})", c) for c in COLOUR + POSITION)},
+  {", ".join(r(f"avg({a} * {b})", f"{a}_{b}") for a, b in _SQUARES)}, {", ".join(r(f"avg({t})", f"t{i + 1}") for i, t in enumerate(_T))} FROM px GROUP BY 1, 2"""
 ERROR_OF = f"""WITH {PX}, e AS (SELECT image_id, label % 3 AS cluster, CASE label % 3 WHEN 0 THEN nx WHEN 1 THEN 0.6 * ny + 0.8 * nz ELSE nz END AS c FROM px)
 SELECT image_id, CAST(cluster AS INTEGER) AS cluster, count(*) AS n, {r("sum(c * c)", "error")} FROM e GROUP BY 1, 2"""
 
