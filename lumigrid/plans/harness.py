@@ -78,20 +78,27 @@ def segment_batch(df: DataFrame, config: Mapping, store: Store) -> DataFrame:
 
 
 def evaluate_batch(df: DataFrame, config: Mapping, store: Store) -> DataFrame:
-    """Metric rows of the stored segmentations that have none, with and without ground truth.  Returns all metric rows."""
-    df = _scaled(df, config)
+    """Metric rows of the stored segmentations that have none, with and without ground truth, of all algorithms in one job.
+    Returns all metric rows."""
+    labels = None
     for name, number, _ in algorithms(config):
-        labels = store.labels(number)
-        if labels is None:
+        one = store.labels(number)
+        if one is None:
             raise LookupError(f"{name} with these parameters is not segmented at scale {config.get('scale', 1)}")
-        done = store.read("metrics", METRICS).where(F.col("algorithm_id") == number).select("image_id").distinct()
-        labels = labels.join(done, "image_id", "left_anti")
-        if not labels.limit(1).count():
-            continue
-        found = df.drop("label").join(labels, ["image_id", "pid"])
-        truth = df.join(labels.select("image_id").distinct(), "image_id", "left_semi")
-        rows = metrics.supervised(labels.join(df.select("image_id", "pid", "row", "col"), ["image_id", "pid"]), truth, name).unionByName(metrics.unsupervised(found, name))
-        store.update("metrics", METRICS, rows.withColumn("algorithm_id", F.lit(number)), [*KEY, "metric"])
+        one = one.select("image_id", "pid", "label", F.lit(name).alias("algorithm"), F.lit(number).alias("algorithm_id"))
+        labels = one if labels is None else labels.unionByName(one)
+    todo = stores.missing(labels.select("image_id", "algorithm", "algorithm_id").distinct(), store.read("metrics", METRICS), KEY)
+    todo = store.kept(todo.withColumn("unit", F.monotonically_increasing_id()))
+    if todo.limit(1).count():
+        # an image and algorithm is a unit, which the metrics take for an image
+        unit = lambda rows, on: rows.join(todo.select("unit", *on), on).drop(*on).withColumnRenamed("unit", "image_id")
+        truth = store.kept(unit(_scaled(df, config), ["image_id"]))
+        labels = unit(labels.drop("algorithm"), KEY)
+        found = store.kept(truth.drop("label").join(labels, ["image_id", "pid"]))
+        rows = metrics.supervised(found.select("image_id", "pid", "row", "col", "label"), truth, "").unionByName(metrics.unsupervised(found, ""))
+        rows = rows.drop("algorithm").withColumnRenamed("image_id", "unit").join(todo, "unit").select(*[c.split()[0] for c in METRICS.split(", ")])
+        store.update("metrics", METRICS, rows, [*KEY, "metric"])
+    store.dropped()
     return store.read("metrics", METRICS)
 
 
