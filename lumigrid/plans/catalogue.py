@@ -217,9 +217,9 @@ def local_planes(spark, d):
     return rounded(grid.planes(pixels(spark, d), 2, 0.1))
 
 
-@query()
+@query(sql.SVD)
 def svd_normals(spark, d):
-    return rounded(grid.svd_normals(pixels(spark, d), 2, 0.3))
+    return rounded(grid.svd_normals(pixels(spark, d), 2, 0.3), 4)
 
 
 def _holes(p: DataFrame) -> DataFrame:

@@ -347,6 +347,21 @@ OBJECTIVE = f"WITH {PM} SELECT image_id, CAST((col - 1) // 5 + 1 AS INTEGER) AS
 _TILT = [x / math.sqrt(0.25 + 0.0625 + 1) for x in (0.5, -0.25, -1.0)]
 SVD_FLAT = f"WITH {PX} SELECT image_id, pid, {', '.join(f'round({x!r}::DOUBLE, 5) AS {n}' for x, n in zip(_TILT, NORMAL))} FROM px"
 PLANES_FLAT = SVD_FLAT
+# The least eigenvalue of a symmetric 3 by 3 matrix in closed form; its direction is the longest cross product of two rows without it
+_SYM = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
+_CROSS = lambda a, b: ", ".join(f"{a}{i} * {b}{j} - {a}{j} * {b}{i} AS {a}{b}{k}" for k, (i, j) in enumerate(((2, 3), (3, 1), (1, 2)), 1))
+_SIZE = lambda v: " + ".join(f"{v}{k} * {v}{k}" for k in (1, 2, 3))
+SVD = f"""WITH {PX}, m AS (SELECT a.image_id, a.pid, count(*) AS n, {", ".join(f"sum(b.{p} * b.{q}) AS s{p}{q}" for p, q in _SYM)}, {", ".join(f"sum(b.{p}) AS s{p}" for p in POSITION)}
+  FROM {near("px", window(2))} WHERE abs(b.z - a.z) <= 0.3 GROUP BY 1, 2 HAVING count(*) > 3),
+c AS (SELECT image_id, pid, {", ".join(f"s{p}{q} - s{p} * s{q} / n AS {p}{q}" for p, q in _SYM)} FROM m),
+d AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c), e AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM d),
+f AS (SELECT *, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p) AS r FROM e),
+g AS (SELECT *, q + 2 * p * cos(acos(greatest(-1.0, least(1.0, r))) / 3 + 2 * pi() / 3) AS l FROM f),
+h AS (SELECT image_id, pid, xx - l AS u1, xy AS u2, xz AS u3, xy AS v1, yy - l AS v2, yz AS v3, xz AS w1, yz AS w2, zz - l AS w3 FROM g),
+i AS (SELECT image_id, pid, {_CROSS("u", "v")}, {_CROSS("u", "w")}, {_CROSS("v", "w")} FROM h),
+j AS (SELECT *, {_SIZE("uv")} AS a, {_SIZE("uw")} AS b, {_SIZE("vw")} AS c FROM i),
+k AS (SELECT image_id, pid, {", ".join(f"CASE WHEN a >= b AND a >= c THEN uv{n} / sqrt(a) WHEN b >= c THEN uw{n} / sqrt(b) ELSE vw{n} / sqrt(c) END AS n{n}" for n in (1, 2, 3))} FROM j)
+SELECT image_id, pid, {", ".join(r(f"CASE WHEN n3 > 0 THEN -n{k} ELSE n{k} END", n, 4) for k, n in enumerate(NORMAL, 1))} FROM k"""
 _APART = 'CASE WHEN "row" % 4 = 0 AND col % 4 = 0 THEN 0.0 ELSE'
 FILL_ONE = f"""WITH {PX}, h AS (SELECT image_id, pid, "row", col, {", ".join(f"{_APART} {n} END AS {n}" for n in NORMAL)} FROM px),
 s AS (SELECT a.image_id, a.pid, sum(b.nx) AS nx, sum(b.ny) AS ny, sum(b.nz) AS nz FROM {near("h", window(1))} WHERE {_LEN("a.")} < 1e-6 GROUP BY a.image_id, a.pid)
